@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, url_filter
+from . import exact_dedup, mixing, near_dedup, packing, quality, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op9(spark, sf_dir):
 @query("op10_best_fit_packing")
 def op10(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op2_setsketch_near_dedup")
+def op2(spark, sf_dir):
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), near_dedup.Sketch(words=2))
