@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, quality, url_filter
+from . import exact_dedup, mixing, near_dedup, packing, personal_data, quality, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ def op10(spark, sf_dir):
 @query("op2_setsketch_near_dedup")
 def op2(spark, sf_dir):
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), near_dedup.Sketch(words=2))
+
+
+@query("op4_weak_personal_data")
+def op4(spark, sf_dir):
+    return personal_data.find_personal_data(table(spark, sf_dir, "documents"))
