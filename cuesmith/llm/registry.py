@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, personal_data, quality, url_filter
+from . import exact_dedup, mixing, near_dedup, packing, personal_data, quality, token_ids, url_filter, web_archive
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,25 @@ def op2(spark, sf_dir):
 @query("op4_weak_personal_data")
 def op4(spark, sf_dir):
     return personal_data.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op6_zip_archives",
+    """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN first <> page_id THEN first END AS refers_to
+    FROM p LEFT JOIN f USING (payload_digest)
+    """,
+)
+def op6(spark, sf_dir):
+    archives = web_archive.write_archives(table(spark, sf_dir, "pages"))
+    return web_archive.read_records(archives).drop("url").withColumnRenamed("id", "page_id")
+
+
+@query("op8_token_id_files")
+def op8(spark, sf_dir):
+    import public_tokenizers
+
+    return token_ids.encode_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
