@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, personal_data, quality, token_ids, url_filter, web_archive
+from . import class_lm, exact_dedup, mixing, near_dedup, packing, personal_data, quality, token_ids, url_filter, web_archive
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,8 @@ def op8(spark, sf_dir):
     import public_tokenizers
 
     return token_ids.encode_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op3_class_ngrams")
+def op3(spark, sf_dir):
+    return class_lm.score_corpus(table(spark, sf_dir, "documents"))
