@@ -169,25 +169,3 @@ def ablations(ledger: DataFrame, policy: Policy) -> DataFrame:
         total(F.col("pattern") == 0).alias("n_kept"),
         total(rest).alias("n_kept_without"),
     ).withColumn("policy", F.lit(policy.version))
-
-
-def keep_good(docs: DataFrame, policy: Policy, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that the policy keeps.
-
-    The verdict is of the row itself and in place: nothing is shuffled.
-    """
-    schema = docs.schema
-    at = schema.fieldNames().index(text)
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [measures(t or "") for t in batch.column(at).to_pylist()]
-            columns = zip(*rows, strict=True) if rows else [()] * len(MEASURES)
-            made = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], MEASURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "_measures"])
-
-    wide = docs.mapInArrow(judged, schema.add("_measures", "struct<" + ", ".join(f"{m}: bigint" for m in MEASURES) + ">") if False else _with_measures(docs))
-    failed = F.lit(0).cast("long")
-    for r in rules():
-        failed = failed.bitwiseOR(F.when(_in_struct(r.name), F.lit(BITS[r.name])).otherwise(F.lit(0)).cast("long"))
-    return wide.where(failed.bitwiseAND(F.lit(policy.mask)) == 0).drop("_measures")
