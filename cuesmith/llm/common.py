@@ -37,6 +37,21 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without(docs: DataFrame, id: str, lost: DataFrame) -> DataFrame:
+    """``docs``, all columns as they are, less the rows whose id is one of ``lost``'s
+    only column. A null id is an id like any other."""
+    name = fresh(docs, "lost")
+    return docs.join(lost.toDF(name).distinct(), F.col(id).eqNullSafe(F.col(name)), "left_anti")
+
+
 def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """``df`` written once to the shared folder and read from there.
 
@@ -48,15 +63,6 @@ def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a ``stored`` table that nothing reads any more."""
-    spark = df.sparkSession
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if parent.startswith(scratch(spark).replace("file://", "file:").rstrip("/")) or parent.startswith(scratch(spark)):
-            path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def words_in(text: Column) -> Column:
     """Number of words of a text as LONG; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, without
 
 KEY = ["digest", "bytes", "proof"]
 
@@ -79,5 +79,4 @@ def drop_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", keep: s
 
     Texts are moved once, by id, and only rows whose id lost are matched.
     """
-    lost = exact_groups(docs, text, id, keep).where("not kept").select(F.col(id).alias("_lost")).distinct()
-    return docs.join(lost, docs[id].eqNullSafe(F.col("_lost")), "left_anti")
+    return without(docs, id, exact_groups(docs, text, id, keep).where("not kept").select(id))

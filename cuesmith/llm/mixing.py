@@ -28,6 +28,7 @@ MAX_BLOCKS = 16_384
 #: Sources, at most: their weights are a configuration.
 MAX_SOURCES = 100_000
 PASSES = 2
+TAKE = ("_pass", "_shard", "_place")
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -134,28 +135,24 @@ def plan_mix(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share: floa
 
     tree = spark.range(shards).repartition(min(shards, 16)).mapInPandas(leaves, "source_no int, pass int, first long, n long, shard int")
     owned = tree.select("source_no", "pass", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("rank"))
-    takes = drawn.select("source_no", "block", "whole", "cut", "last", "rank", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("pass")) if strata else None
-    if takes is None:
-        blocks = drawn.where("false").select("source_no", "block", "whole", "cut", "last", F.array(F.struct(F.lit(0).alias("pass"), F.lit(0).alias("shard"))).alias("takes"))
-    else:
-        # ranks within a pass: drawn blocks are the first of the permutation
-        takes = drawn.where("passes > 0").select("source_no", "block", "whole", "cut", "last", "rank", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("pass"))
-        blocks = takes.join(owned, ["source_no", "pass", "rank"]).groupBy("source_no", "block", "whole", "cut", "last").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("takes"))
+    # the blocks that a pass draws are the first of the permutation, so their ranks have no holes
+    takes = drawn.where("passes > 0").select("source_no", "block", "whole", "cut", "last", "rank", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("pass"))
+    blocks = takes.join(owned, ["source_no", "pass", "rank"]).groupBy("source_no", "block", "whole", "cut", "last").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("takes"))
     return Mix(sources, stored(blocks, "takes"), seed, shards)
 
 
 def with_takes(docs: DataFrame, mix: Mix, id: str = "doc_id", source: str = "source") -> DataFrame:
-    """``docs`` with ``_source`` (its row of the plan) and ``_takes``, the array of
-    (pass, shard) that take it, empty where none does. No row is shuffled: the
-    plan has at most MAX_BLOCKS blocks and a block for each source."""
-    own = F.struct("source_no", "blocks", "source_size", "target")
-    by_source = mix.sources.select(F.col("source").alias("_name"), own.alias("_source"))
-    placed = docs.join(F.broadcast(by_source), docs[source].eqNullSafe(F.col("_name"))).drop("_name").withColumn("_block", F.pmod(_place(F.col(id), mix.seed), F.col("_source.blocks")))
-    plan = mix.blocks.select(F.struct(F.col("source_no").alias("s"), F.col("block").alias("b")).alias("_key"), F.struct("whole", "cut", "last", "takes").alias("_plan"))
-    placed = placed.withColumn("_key", F.struct(F.col("_source.source_no").alias("s"), F.col("_block").alias("b"))).join(F.broadcast(plan), "_key", "left")
-    here = F.struct(_order(F.col(id), mix.seed).alias("place"), F.col(id).cast("long").alias("id"))
-    taken = F.filter("_plan.takes", lambda t: (t["pass"] < F.col("_plan.whole")) | ~F.col("_plan.cut") | (here <= F.col("_plan.last")))
-    return placed.withColumn("_takes", F.coalesce(taken, F.array().cast("array<struct<pass: int, shard: int>>"))).drop("_key", "_plan", "_block")
+    """(row, at, takes): every row of ``docs`` as a struct, its source's row of the
+    plan, and the array of (pass, shard) that take it, empty where none does. No
+    row is shuffled: the plan has at most MAX_BLOCKS blocks and one a source."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(id).cast("long").alias("id"), F.col(source).alias("source"))
+    sources = mix.sources.select(F.col("source").alias("name"), F.struct("source_no", "blocks", "source_size", "target").alias("at"))
+    placed = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name"))).select("row", "id", "at", F.struct(F.col("at.source_no").alias("s"), F.pmod(_place(F.col("id"), mix.seed), "at.blocks").alias("b")).alias("key"))
+    plan = mix.blocks.select(F.struct(F.col("source_no").alias("s"), F.col("block").alias("b")).alias("key"), F.struct("whole", "cut", "last", "takes").alias("plan"))
+    here = F.struct(_order(F.col("id"), mix.seed).alias("place"), "id")
+    taken = F.filter("plan.takes", lambda t: (t["pass"] < F.col("plan.whole")) | ~F.col("plan.cut") | (here <= F.col("plan.last")))
+    none = F.array().cast("array<struct<pass: int, shard: int>>")
+    return placed.join(F.broadcast(plan), "key", "left").select("row", "at", F.coalesce(taken, none).alias("takes"))
 
 
 def sizes(docs: DataFrame, text: str = "text", source: str = "source", id: str = "doc_id") -> DataFrame:
@@ -164,14 +161,16 @@ def sizes(docs: DataFrame, text: str = "text", source: str = "source", id: str =
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "doc_id", **options) -> DataFrame:
     """The mixed rows: ``docs``' columns, then ``_pass``, ``_shard`` and ``_place``,
-    the order within the shard. A document taken twice gives two rows.
+    the order within the shard; input columns of these names are replaced. A
+    document taken twice gives two rows.
 
     Null sources are one source, the last. A null or empty text has size 0 and
     goes with its block. Rows of one id go together. No rows give no rows.
     """
     plan = plan_mix(sizes(docs, text, source, id), **options)
-    rows = with_takes(docs, plan, id, source).drop("_source").withColumn("_take", F.explode("_takes")).drop("_takes")
-    return rows.withColumns({"_pass": F.col("_take.pass"), "_shard": F.col("_take.shard")}).withColumn("_place", F.xxhash64(F.lit(plan.seed), "_shard", "_pass", id)).drop("_take")
+    rows = with_takes(docs, plan, id, source).select("row", F.explode("takes").alias("take"))
+    order = F.xxhash64(F.lit(plan.seed), "take.shard", "take.pass", f"row.{id}")
+    return rows.select(*[F.col(f"row.{c}") for c in docs.columns if c not in TAKE], F.col("take.pass").alias("_pass"), F.col("take.shard").alias("_shard"), order.alias("_place"))
 
 
 def write_shards(mixed: DataFrame, path: str) -> None:

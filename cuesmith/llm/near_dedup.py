@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, without
 from .graph import components
 
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -312,5 +312,4 @@ def near_groups(docs: DataFrame, sketch: Sketch = Sketch(), text: str = "text",
 def drop_near_copies(docs: DataFrame, sketch: Sketch = Sketch(), text: str = "text", id: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, all columns as they are, without those whose group
     keeps another. Rows without id stay."""
-    lost = near_groups(docs, sketch, text, id).where("not kept").select(F.col(id).alias("_lost")).distinct()
-    return docs.join(lost, docs[id] == F.col("_lost"), "left_anti")
+    return without(docs, id, near_groups(docs, sketch, text, id).where("not kept").select(id))

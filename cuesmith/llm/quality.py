@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
+
 #: Characters that count as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
@@ -145,8 +147,9 @@ def keep_good(docs: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
 
     Each row is judged where it lies: nothing is shuffled.
     """
-    wide = docs.withColumn("_measured", measured(F.col(text)))
-    return wide.where(passes(policy, failures(lambda m: F.col(f"_measured.{m}")))).drop("_measured")
+    name = fresh(docs, "measured")
+    wide = docs.withColumn(name, measured(F.col(text)))
+    return wide.where(passes(policy, failures(lambda m: F.col(f"{name}.{m}")))).drop(name)
 
 
 def ablations(ledger: DataFrame, policy: Policy) -> DataFrame:

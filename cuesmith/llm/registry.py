@@ -25,7 +25,24 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-@query("op1_quality_ledger")
+@query(
+    "op1_quality_ledger",
+    r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    pos AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS k FROM d),
+    win AS (SELECT doc_id, k, word || chr(10) || lead(word) OVER x || chr(10) || lead(word, 2) OVER x AS g FROM pos WINDOW x AS (PARTITION BY doc_id ORDER BY k)),
+    twice AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win WHERE g IS NOT NULL) WHERE n > 1),
+    rep AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS k FROM twice) GROUP BY doc_id),
+    line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
+    dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines, count(*) AS n_lines FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+    m AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+          coalesce(n_lines, 0) AS n_lines, length(regexp_replace(t, '[^!]', '', 'g')) AS n_exclaims, length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS n_capitals, coalesce(list_max(list_transform(w, lambda x: strlen(x))), 0) AS longest_word
+          FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id LEFT JOIN dup ON d.doc_id = dup.doc_id),
+    f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (n_symbols * 10 > n_words)::BIGINT + 8 * (n_dup_lines * 2 > n_lines)::BIGINT
+          + 16 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::BIGINT + 32 * (n_exclaims * 5 > n_words)::BIGINT + 64 * (n_capitals * 2 > word_chars)::BIGINT + 128 * (n_words > 1000000)::BIGINT + 256 * (longest_word > 1000)::BIGINT AS fail_bits FROM m)
+    SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits & 63 = 0 AS kept FROM f
+    """,
+)
 def op1(spark, sf_dir):
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", *quality.MEASURES, F.col("failed").alias("fail_bits"), (~quality.passes(quality.BASE)).alias("base_failed"), quality.passes(quality.POLICIES["v1"]).alias("kept"))
@@ -35,7 +52,7 @@ def op1(spark, sf_dir):
 def op5(spark, sf_dir):
     sized = mixing.sizes(table(spark, sf_dir, "documents"))
     rows = mixing.with_takes(sized, mixing.plan_mix(sized), "id")
-    return rows.select(F.col("id").alias("doc_id"), "size", "_source.source_size", "_source.target", (F.col("size") * F.size("_takes")).alias("taken"), F.transform("_takes", lambda t: t["shard"]).alias("shards"))
+    return rows.select(F.col("row.id").alias("doc_id"), "row.size", "at.source_size", "at.target", (F.col("row.size") * F.size("takes")).alias("taken"), F.transform("takes", lambda t: t["shard"]).alias("shards"))
 
 
 #: The rules of the registered query (fixed values).
@@ -78,7 +95,20 @@ def op10(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-@query("op2_setsketch_near_dedup")
+@query(
+    "op2_setsketch_near_dedup",
+    r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda k: w[k] || chr(10) || w[k + 1]) END) AS s FROM w)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+    c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+    """,
+)
 def op2(spark, sf_dir):
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), near_dedup.Sketch(words=2))
 

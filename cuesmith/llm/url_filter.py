@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -95,7 +97,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", defaul
     or unparsable URL has empty host and path and fits none. Columns of these
     four names in the input are replaced; rows are never dropped or merged.
     """
-    parsed = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    parsed = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))}).drop("rule", "verdict")
+    judged = fresh(parsed, "judged")
     if len(rules) > max_broadcast:
         return judge_by_join(parsed, pages.sparkSession.createDataFrame([(r.action, r.host, r.path) for r in rules], "action string, host string, path string"), default)
     trie = pages.sparkSession.sparkContext.broadcast(build_trie(rules))
@@ -107,7 +110,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", defaul
             found = [best_rule(root, h, p) for h, p in zip(hosts, paths, strict=True)]
             yield pd.DataFrame({"rule": [r and r.text for r in found], "verdict": [r.action if r else default for r in found]})
 
-    return parsed.withColumn("_judged", verdicts("host", "path")).withColumns({"rule": F.col("_judged.rule"), "verdict": F.col("_judged.verdict")}).drop("_judged")
+    return parsed.withColumn(judged, verdicts("host", "path")).withColumns({"rule": F.col(f"{judged}.rule"), "verdict": F.col(f"{judged}.verdict")}).drop(judged)
 
 
 def judge_by_join(parsed: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
@@ -126,4 +129,5 @@ def judge_by_join(parsed: DataFrame, rules: DataFrame, default: str = "allow") -
     waiting = rules.select("action", F.col("host").alias("_at"), F.col("path").alias("_path"), F.regexp_extract("path", r"^(.*/)?", 1).alias("_folder"))
     rank = F.struct(F.length("_at") + F.length("_path"), F.length("_at"), (F.col("action") == "block").cast("int"))
     best = offers.join(waiting, ["_at", "_folder"]).where(F.startswith("path", "_path")).groupBy("host", "path").agg(F.max_by(F.struct(F.concat("_at", "_path").alias("rule"), "action"), rank).alias("_best"))
-    return parsed.drop("rule", "verdict").join(best, ["host", "path"], "left").withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.action", F.lit(default))}).drop("_best")
+    name = fresh(parsed, "best")
+    return parsed.join(best.withColumnRenamed("_best", name), ["host", "path"], "left").withColumns({"rule": F.col(f"{name}.rule"), "verdict": F.coalesce(f"{name}.action", F.lit(default))}).drop(name)
