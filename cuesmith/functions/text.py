@@ -14,18 +14,18 @@ from pyspark.sql import functions as F
 # The character sets of the subtitle rules.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 NOT_SPACE = SPACE.replace("[", "[^", 1)
-CJK = r"[\u4e00-\u9fff\u3040-\u30ff\uac00-\ud7af]"
-HAN = r"[\u4e00-\u9fff]"
-SENTENCE_END = r"[\u3002\uff01\uff1f!?\uff1b;\u2026]"
-SOFT_END = r"[\uff0c,\u3001\uff1a:]"
-KEPT_PUNCTUATION = r"[\u3002\uff0e.\uff0c,\u3001\uff01\uff1f!?\uff1b;\uff1a:\u2026]"
-CLOSES_UP = r"[,.!?;:%\uff0c\u3002\uff01\uff1f\uff1b\uff1a]"
-OPENS_UP = r"[\u00bf\u00a1]"
-CLEAN_CLOSES_UP = r"[\uff0c\u3002\uff01\uff1f\uff1b\uff1a\u3001,.!?;:]"
-UNIT_PUNCTUATION = r"[\uff0c\u3002\uff01\uff1f\uff1b\uff1a\u3001,.!?;:\u2026]"
+CJK = r"[一-鿿぀-ヿ가-힯]"
+HAN = r"[一-鿿]"
+SENTENCE_END = r"[。！？!?；;…]"
+SOFT_END = r"[，,、：:]"
+KEPT_PUNCTUATION = r"[。．.，,、！？!?；;：:…]"
+CLOSES_UP = r"[,.!?;:%，。！？；：]"
+OPENS_UP = r"[¿¡]"
+CLEAN_CLOSES_UP = r"[，。！？；：、,.!?;:]"
+UNIT_PUNCTUATION = r"[，。！？；：、,.!?;:…]"
 #: What a transcript must have more than; the older profile also discards curly quotes.
-NO_CONTENT = "\u3002\uff0e.\uff0c,\u3001\uff01\uff1f!?\uff1b;\uff1a:\u300c\u300d\u300e\u300f\uff08\uff09()[]\u3010\u3011\u300a\u300b\u3008\u3009\u2026-\u2014_~\u301c\"'"
-CURLY = "\u201c\u201d\u2018\u2019"
+NO_CONTENT = "。．.，,、！？!?；;：:「」『』（）()[]【】《》〈〉…-—_~〜\"'"
+CURLY = "“”‘’"
 
 
 def strip(c: Column) -> Column:
@@ -90,7 +90,7 @@ def visual_length(c: Column) -> Column:
 
 def normalize_romanized(c: Column) -> Column:
     """Letters a-z and apostrophes of a romanized unit."""
-    return F.regexp_replace(F.translate(F.lower(c), "\u2019`", "''"), "[^a-z']", "")
+    return F.regexp_replace(F.translate(F.lower(c), "’`", "''"), "[^a-z']", "")
 
 
 def millis(seconds: Column) -> Column:

@@ -1,13 +1,13 @@
 """DuckDB text of the derived tables and of the sequential rules, for the oracles."""
 
 SP = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-CJK = r"[\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]"
-HAN = r"[\x{4e00}-\x{9fff}]"
-SENTENCE = r"[\x{3002}\x{ff01}\x{ff1f}!?\x{ff1b};\x{2026}]"
-SOFT = r"[\x{ff0c},\x{3001}\x{ff1a}:]"
-CLOSES = r"[,.!?;:%\x{ff0c}\x{3002}\x{ff01}\x{ff1f}\x{ff1b}\x{ff1a}]"
-CLEAN_CLOSES = r"[\x{ff0c}\x{3002}\x{ff01}\x{ff1f}\x{ff1b}\x{ff1a}\x{3001},.!?;:]"
-KEPT = r"[^\x{3002}\x{ff0e}.\x{ff0c},\x{3001}\x{ff01}\x{ff1f}!?\x{ff1b};\x{ff1a}:\x{2026}]"
+CJK = r"[一-鿿぀-ヿ가-힯]"
+HAN = r"[一-鿿]"
+SENTENCE = r"[。！？!?；;…]"
+SOFT = r"[，,、：:]"
+CLOSES = r"[,.!?;:%，。！？；：]"
+CLEAN_CLOSES = r"[，。！？；：、,.!?;:]"
+KEPT = r"[^。．.，,、！？!?；;：:…]"
 
 TRANSCRIPTS = "transcripts AS (SELECT conv_id AS media_id, turn AS chunk_index, text AS transcript FROM conversations)"
 WORDS = (

@@ -110,8 +110,9 @@ def merge_short_cues(cues: list[Cue], p: Profile) -> list[Cue]:
     return out
 
 
-_STRONG = "\u3002\uff01\uff1f\uff1b.!?;"
-_WEAK = "\uff0c\u3001,:\uff1a"
+# Marks that end a cue, and marks that may.
+_STRONG = "。！？；.!?;"
+_WEAK = "，、,:："
 
 
 def cut_units(texts: list[str], starts: list[float], ends: list[float], p: GapProfile) -> list[Cue]:
