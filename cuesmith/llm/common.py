@@ -24,8 +24,9 @@ def scratch(spark: SparkSession) -> str:
     cluster a folder of one machine would lose rows, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
+    if named:  # with its store, so that executors resolve it as Spark does
+        path = spark._jvm.org.apache.hadoop.fs.Path(named)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if getattr(scratch, "own", None) is None:
@@ -45,11 +46,14 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-def without(docs: DataFrame, id: str, lost: DataFrame) -> DataFrame:
-    """``docs``, all columns as they are, less the rows whose id is one of ``lost``'s
-    only column. A null id is an id like any other."""
-    name = fresh(docs, "lost")
-    return docs.join(lost.toDF(name).distinct(), F.col(id).eqNullSafe(F.col(name)), "left_anti")
+def without(docs: DataFrame, lost: DataFrame, *keys: Column) -> DataFrame:
+    """``docs``, all columns as they are, less the rows whose ``keys`` are a row of
+    ``lost``. A null key is a key like any other."""
+    names = [fresh(docs, f"lost{k}") for k in range(len(keys))]
+    same = F.lit(True)
+    for key, name in zip(keys, names, strict=True):
+        same = same & key.eqNullSafe(F.col(name))
+    return docs.join(lost.toDF(*names).distinct(), same, "left_anti")
 
 
 def stored(df: DataFrame, label: str, **options: str) -> DataFrame:

@@ -77,6 +77,8 @@ def exact_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", keep:
 def drop_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", keep: str = "largest") -> DataFrame:
     """The rows of ``docs``, all columns as they are, that exact copies leave.
 
-    Texts are moved once, by id, and only rows whose id lost are matched.
+    Texts are moved once, by id and digest. Rows without id go where another of
+    their text has one.
     """
-    return without(docs, id, exact_groups(docs, text, id, keep).where("not kept").select(id))
+    lost = exact_groups(docs, text, id, keep).where("not kept").select(id, F.unhex("text_sha256"))
+    return without(docs, lost, F.col(id), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))

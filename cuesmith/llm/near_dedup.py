@@ -312,4 +312,4 @@ def near_groups(docs: DataFrame, sketch: Sketch = Sketch(), text: str = "text",
 def drop_near_copies(docs: DataFrame, sketch: Sketch = Sketch(), text: str = "text", id: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, all columns as they are, without those whose group
     keeps another. Rows without id stay."""
-    return without(docs, id, near_groups(docs, sketch, text, id).where("not kept").select(id))
+    return without(docs, near_groups(docs, sketch, text, id).where("not kept").select(id), F.col(id))
