@@ -42,7 +42,7 @@ class Model:
     classes: int = 64
     frequent: int = 4_096
     endings: int = 1_024
-    lookup: int = 400_000
+    lookup: int = 300_000
     rounds: int = 8
     prior: float = 50.0
     flush: int = 300_000
@@ -83,9 +83,10 @@ def word_counts(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(vocabulary: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The most frequent words, most first: all above a count that at most
-    ``most`` words reach. The count is found from a histogram of fixed bins."""
+def frequent_words(vocabulary: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words and their counts, most first: all above a count
+    that at most ``most`` words reach. The count is found from a histogram of
+    fixed bins; words and counts come to the driver as columns, not as rows."""
     bin_ = F.floor(F.log2("n") * 16)
     bins = vocabulary.where(F.col("word") != END).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect()
     held, least = 0, None
@@ -95,37 +96,38 @@ def frequent_words(vocabulary: DataFrame, most: int) -> list[tuple[bytes, int]]:
             break
         least = r.least
     if least is None:
-        return []
-    rows = vocabulary.where((F.col("n") >= least) & (F.col("word") != END)).collect()
-    return sorted(((bytes(r.word), r.n) for r in rows), key=lambda x: (-x[1], x[0]))
+        return [], np.zeros(0)
+    got = vocabulary.where((F.col("n") >= least) & (F.col("word") != END)).orderBy(F.desc("n"), "word").toArrow()
+    return got.column("word").to_pylist(), got.column("n").to_numpy().astype(float)
 
 
 def ending_unit(word: bytes, model: Model) -> int:
     return 1 + model.frequent + zlib.crc32(word[-2:]) % model.endings
 
 
-def encoded(docs: DataFrame, top: list[tuple[bytes, int]], discount: float, model: Model, end_n: int) -> DataFrame:
+def encoded(docs: DataFrame, top: tuple[list[bytes], np.ndarray], discount: float, model: Model, end_n: int) -> DataFrame:
     """Each row as units, with the sums over the words in ``top`` and the others listed.
 
     (key, id, held_out, n_tokens, n_known, base, emit, units, rare); ``base`` adds
     log10(c + 1), ``emit`` log10 of the count less discount.
     """
-    frequent = min(model.frequent, len(top))
-    unit = np.array([k + 1 if k < frequent else ending_unit(w, model) for k, (w, _) in enumerate(top)], np.uint16)
-    n = np.array([c for _, c in top], float)
-    sums = np.stack([np.log10(n + 1), np.log10(np.where(np.arange(len(top)) < frequent, n, n - discount))], 1) if top else np.zeros((0, 2))
-    shared = docs.sparkSession.sparkContext.broadcast(({w: k for k, (w, _) in enumerate(top)}, unit, sums))
+    words, n = top
+    frequent = min(model.frequent, len(words))
+    unit = np.array([k + 1 if k < frequent else ending_unit(w, model) for k, w in enumerate(words)], np.uint16)
+    sums = np.stack([np.log10(n + 1), np.log10(np.where(np.arange(len(words)) < frequent, n, n - discount))], 1)
+    shared = docs.sparkSession.sparkContext.broadcast((words, unit, sums))
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32()), ("unit", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        place, unit, sums = shared.value
+        words, unit, sums = shared.value
+        place = {w: k for k, w in enumerate(words)}
         get, key = place.get, TaskContext.get().partitionId() << 40
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 batch = whole.slice(a, 512)
-                rows, all_units, offsets, words, counts, units = [], [], [0], [], [], []
+                rows, all_units, offsets, rares, counts, units = [], [], [0], [], [], []
                 for text in batch.column("text").to_pylist():
                     tokens = tokens_of(text)
                     at = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
@@ -136,16 +138,16 @@ def encoded(docs: DataFrame, top: list[tuple[bytes, int]], discount: float, mode
                     if len(missing):
                         u[missing] = [ending_unit(tokens[k], model) for k in missing]
                         rare = Counter(tokens[k] for k in missing)
-                        words += rare
+                        rares += rare
                         counts += rare.values()
                         units += [ending_unit(w, model) for w in rare]
-                    offsets.append(len(words))
+                    offsets.append(len(rares))
                     total = sums[at[known]].sum(0)
                     rows.append((key, len(tokens) + 1, int(known.sum()) + (end_n > 0), float(total[0]) + math.log10(end_n + 1), float(total[1])))
                     all_units.append(u.tobytes())
                     key += 1
                 cols = list(zip(*rows, strict=True))
-                rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int32()), pa.array(units, pa.int32())], fields=list(rare_type.value_type)))
+                rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(rares, pa.binary()), pa.array(counts, pa.int32()), pa.array(units, pa.int32())], fields=list(rare_type.value_type)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[0], pa.int64()), batch.column("id"), batch.column("held_out"), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)), pa.array(all_units, pa.binary()), rare],
                     ["key", "id", "held_out", "n_tokens", "n_known", "base", "emit", "units", "rare"],
@@ -279,7 +281,7 @@ def score_corpus(docs: DataFrame, model: Model = Model(), text: str = "text", id
     kinds = np.zeros(model.units)
     for r in vocabulary.where(F.col("word") != END).groupBy(ending.alias("e")).count().collect():
         kinds[1 + model.frequent + r.e] = r["count"]
-    for w, _ in top[: model.frequent]:
+    for w in top[0][: model.frequent]:
         kinds[ending_unit(w, model)] -= 1
     unseen = np.zeros(model.classes)
     np.add.at(unseen, classes, kinds)
