@@ -222,7 +222,8 @@ def exchange(before: np.ndarray, after: np.ndarray, twice: np.ndarray, classes:
         rest[a] -= right
         rest[:, a] -= left
         rest[a, a] -= both
-        rows, cols = rest.sum(1), rest.sum(0)
+        # each class's totals with the unit as the other side of its pairs
+        rows, cols = rest.sum(1) + left, rest.sum(0) + right
         gain_row = _h(rest + right) - _h(rest)
         gain_col = _h(rest + left[:, None]) - _h(rest)
         own = rest[diagonal, diagonal]
