@@ -1,10 +1,11 @@
 """Token ids in files of byte-aligned variable-length codes.
 
-Ids are ranked by how often the corpus has them, so the most frequent 256 take
-one byte. A file holds documents in ascending id: a header, the rank table, the
-documents' ids and lengths, then the control bytes of all codes (two bits each:
-bytes less one) apart from the data bytes. Four codes are decoded at a time by
-looking their control byte up in a table of byte places.
+A file holds documents in ascending id: a header, its rank table, the documents'
+ids and lengths, then the control bytes of all codes (two bits each: bytes less
+one) apart from the data bytes. Ids are ranked by how often the file has them, so
+its most frequent 256 take one byte; a file ranks on its own, so writing takes one
+pass and any file can be read alone. Four codes are decoded at a time by looking
+their control byte up in a table of byte places.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,8 +30,10 @@ from .files import filesystem
 
 MAGIC = b"VLCIDS01"
 HEAD = struct.Struct("<8sQQQQ")  # magic, documents, ids, data bytes, ranks
-#: Words whose ids a worker keeps at a time, and the longest kept.
-KNOWN_WORDS, KNOWN_LENGTH = 300_000, 64
+#: Words whose ids a worker keeps at a time, and the longest kept, in bytes.
+KNOWN_WORDS, KNOWN_LENGTH = 600_000, 64
+#: Marks that are cut off a word's end: each makes a token of its own run.
+MARKS = ".,!?;:"
 FILE_IDS = 4_000_000
 
 
@@ -73,77 +77,80 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return np.concatenate(out)[:n] if out else np.empty(0, "<u4")
 
 
-@lru_cache(2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class WordIds:
+    """Ids of texts, word by word.
 
-    return Tokenizer.from_file(path)
-
-
-def encoder(path: str, end: int):
-    """A function from a list of texts to their ids as little-endian unsigned 32-bit bytes.
-
-    The tokenizer never joins across white space, so each word is encoded once
-    and looked up from then on.
+    The tokenizer never joins across white space, nor a letter with the marks
+    behind it, and lower-cases: so each word is cut into stem and marks, a stem
+    is encoded once, and words are looked up from then on. A-Z are only
+    lower-cased here in stems that have nothing else, which no composition of
+    characters can touch.
     """
-    known: dict[bytes, bytes] = {}
-    tail = struct.pack("<I", end)
-
-    def run(texts: list[str | None]) -> list[bytes]:
-        tokenizer = _tokenizer(path)
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        out = []
-        for text in texts:
-            words = (text or "").encode().split()
-            try:
-                out.append(b"".join(map(known.__getitem__, words)) + tail)
-                continue
-            except KeyError:
-                pass
-            new = list({w for w in words if w not in known})
-            ids = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True)}
-            out.append(b"".join([known[w] if w in known else ids[w] for w in words]) + tail)
-            known.update((w, x) for w, x in ids.items() if len(w) <= KNOWN_LENGTH)
-        return out
 
-    return run
-
-
-def token_ids(docs: DataFrame, path: str, end: int = 1, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(id, ids): each whole text's token ids and the end id, 32 bits each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_texts = encoder(path, end)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
-                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(encode_texts(some.column("text").to_pylist()), pa.binary())], ["id", "ids"])
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words, 32 bits each; those that are not too long are kept."""
+        cut: dict[bytes, tuple[bytes, bytes]] = {}
+        stems: dict[bytes, str] = {}
+        for w in words:
+            s = w.decode()
+            stem = s.rstrip(MARKS)
+            if not stem or not stem[-1].isalpha():
+                stem = s
+            marks = s[len(stem) :]
+            if stem.isascii() and stem.isalpha():
+                stem = stem.lower()
+            parts = (stem.encode(), marks.encode())
+            cut[w] = parts
+            for part, text in zip(parts, (stem, marks), strict=True):
+                if text and part not in self.known:
+                    stems[part] = text
+        found = {b"": b""}
+        for part, e in zip(stems, self.tokenizer.encode_batch_fast(list(stems.values()), add_special_tokens=False), strict=True):
+            found[part] = array("I", e.ids).tobytes()
+        self.known.update((k, v) for k, v in found.items() if len(k) <= KNOWN_LENGTH)
+        get = lambda part: found[part] if part in found else self.known[part]
+        out = {w: get(a) + get(b) for w, (a, b) in cut.items()}
+        self.known.update((w, v) for w, v in out.items() if len(w) <= KNOWN_LENGTH)
+        return out
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, ids binary")
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        split = [(t or "").encode().split() for t in texts]
+        new = set().union(*split) - self.known.keys()
+        if not new:
+            return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        learned = self.learn(new)
+        if all(len(w) <= KNOWN_LENGTH for w in new):
+            return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        return [b"".join([self.known[w] if w in self.known else learned[w] for w in words]) for words in split]
 
 
-def id_counts(ids: DataFrame) -> DataFrame:
-    """(token, n) over the corpus: a row per token and partition is shuffled at most."""
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """The worker's own, kept from task to task."""
+    return WordIds(path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(0, np.int64)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                here = np.bincount(np.frombuffer(b"".join(batch.column("ids").slice(k, 1024).to_pylist()), "<u4"))
-                if len(here) > len(counts):
-                    here, counts = counts, here
-                counts[: len(here)] += here
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], ["token", "n"])
 
-    return ids.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id by rank, rank of each): most frequent first, then the smaller id."""
+    counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+    by_rank = np.argsort(-counts, kind="stable")[: int((counts > 0).sum())].astype(np.uint32)
+    rank_of = np.zeros(len(counts), np.uint32)
+    rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
+    return by_rank, rank_of[ids]
 
 
-def file_bytes(doc_ids: list[int | None], parts: list[np.ndarray], by_rank: np.ndarray) -> bytes:
+def file_bytes(doc_ids: list[int | None], parts: list[np.ndarray]) -> bytes:
     lengths = np.array([len(x) for x in parts], "<u8")
-    control, data = encode(np.concatenate(parts) if parts else np.empty(0, np.uint32))
+    by_rank, ranks = ranked(np.concatenate(parts) if parts else np.empty(0, np.uint32))
+    control, data = encode(ranks)
     named = np.array([d is not None for d in doc_ids], np.uint8)
     ids = np.array([d or 0 for d in doc_ids], "<i8")
     head = HEAD.pack(MAGIC, len(parts), int(lengths.sum()), len(data), len(by_rank))
@@ -178,20 +185,14 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, end: int
     it, and a document is never cut. Files of tasks that were run again are not
     in the manifest.
     """
-    spark = docs.sparkSession
-    path = path or new_path(spark, "token-files")
-    ids = stored(token_ids(docs, tokenizer, end, text, id), "token-ids")
-    counts = id_counts(ids).orderBy(F.desc("n"), "token").collect()  # a row per entry of the vocabulary
-    by_rank = np.array([r.token for r in counts], np.uint32)
-    rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
-    rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
-    ranks = spark.sparkContext.broadcast((by_rank, rank_of))
+    path = path or new_path(docs.sparkSession, "token-files")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        by_rank, rank_of = ranks.value
+        words = word_ids(tokenizer)
         part, number, names, parts, held = TaskContext.get().partitionId(), 0, [], [], 0
+        last = np.array([end], np.uint32)
         store, root = filesystem(path)
         store.create_dir(root, recursive=True)
 
@@ -199,22 +200,25 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, end: int
             nonlocal number, names, parts, held
             name = f"{part:06d}-{number:06d}-{uuid.uuid4().hex}.ids"
             with store.open_output_stream(f"{root}/{name}") as out:
-                out.write(file_bytes(names, parts, by_rank))
+                out.write(file_bytes(names, parts))
             row = pa.RecordBatch.from_pylist([{"part": part, "file": number, "path": f"{path}/{name}", "docs": len(names), "ids": held}], MANIFEST)
             number, names, parts, held = number + 1, [], [], 0
             return row
 
-        for batch in batches:
-            for doc, raw in zip(batch.column("id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                names.append(doc)
-                parts.append(rank_of[np.frombuffer(raw, "<u4")])
-                held += len(parts[-1])
-                if held >= file_ids:
-                    yield flush()
+        for whole in batches:
+            for k in range(0, whole.num_rows, 128):
+                batch = whole.slice(k, 128)
+                for doc, raw in zip(batch.column("id").to_pylist(), words.of(batch.column("text").to_pylist()), strict=True):
+                    names.append(doc)
+                    parts.append(np.concatenate([np.frombuffer(raw, np.uint32), last]))
+                    held += len(parts[-1])
+                    if held >= file_ids:
+                        yield flush()
         if names:
             yield flush()
 
-    ordered = ids.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("ids"))
+    texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    ordered = texts.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"), "text")
     return stored(ordered.mapInArrow(run, "part long, file long, path string, docs long, ids long"), "manifest")
 
 
