@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from array import array
@@ -32,9 +33,13 @@ MAGIC = b"VLCIDS01"
 HEAD = struct.Struct("<8sQQQQ")  # magic, documents, ids, data bytes, ranks
 #: Words whose ids a worker keeps at a time, and the longest kept, in bytes.
 KNOWN_WORDS, KNOWN_LENGTH = 600_000, 64
-#: Marks that are cut off a word's end: each makes a token of its own run.
-MARKS = ".,!?;:"
+#: Marks that are cut off a word's end: behind a letter they make a token run of
+#: their own. Those of contractions and of special tokens are not among them.
+MARKS = b'!"#$%&()*+,-./:;=?@[\\]^_`{}~'
+#: Letters below this have been letters in every version of Unicode in use.
+SETTLED = "\u0500"
 FILE_IDS = 4_000_000
+MOST_TASKS = 50_000
 
 
 def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -77,59 +82,52 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return np.concatenate(out)[:n] if out else np.empty(0, "<u4")
 
 
-class WordIds:
-    """Ids of texts, word by word.
+def byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies write the bytes that have no visible letter:
+    as the letters from 256 on, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - shown))}
+
+
+class WordIds(dict):
+    """Ids by word, 32 bits each, found out when a word is first looked up.
 
     The tokenizer never joins across white space, nor a letter with the marks
-    behind it, and lower-cases: so each word is cut into stem and marks, a stem
-    is encoded once, and words are looked up from then on. A-Z are only
-    lower-cased here in stems that have nothing else, which no composition of
-    characters can touch.
+    behind it. A stem of settled letters alone goes straight to the tokenizer's
+    merges: it lower-cases to itself and is one piece. All else takes the whole
+    way through the tokenizer.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words, 32 bits each; those that are not too long are kept."""
-        cut: dict[bytes, tuple[bytes, bytes]] = {}
-        stems: dict[bytes, str] = {}
-        for w in words:
-            s = w.decode()
-            stem = s.rstrip(MARKS)
-            if not stem or not stem[-1].isalpha():
-                stem = s
-            marks = s[len(stem) :]
-            if stem.isascii() and stem.isalpha():
-                stem = stem.lower()
-            parts = (stem.encode(), marks.encode())
-            cut[w] = parts
-            for part, text in zip(parts, (stem, marks), strict=True):
-                if text and part not in self.known:
-                    stems[part] = text
-        found = {b"": b""}
-        for part, e in zip(stems, self.tokenizer.encode_batch_fast(list(stems.values()), add_special_tokens=False), strict=True):
-            found[part] = array("I", e.ids).tobytes()
-        self.known.update((k, v) for k, v in found.items() if len(k) <= KNOWN_LENGTH)
-        get = lambda part: found[part] if part in found else self.known[part]
-        out = {w: get(a) + get(b) for w, (a, b) in cut.items()}
-        self.known.update((w, v) for w, v in out.items() if len(w) <= KNOWN_LENGTH)
-        return out
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merges, self.letters = self.tokenizer.model.tokenize, byte_letters()
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.encode(word)
+        if len(word) <= KNOWN_LENGTH:
+            self[word] = ids
+        return ids
+
+    def encode(self, word: bytes) -> bytes:
+        if word.isalpha():  # A-Z and a-z
+            return array("I", [t.id for t in self.merges(word.lower().decode())]).tobytes()
+        stem = word.rstrip(MARKS)
+        s = stem.decode()
+        if len(stem) < len(word) and s[-1:].isalpha():
+            return self[stem] + self[word[len(stem) :]]
+        s = word.decode()
+        if s.isalpha() and max(s) < SETTLED and "\u0130" not in s and "\u03a3" not in s and unicodedata.is_normalized("NFC", s):
+            return array("I", [t.id for t in self.merges(s.lower().encode().decode("latin-1").translate(self.letters))]).tobytes()
+        return array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        split = [(t or "").encode().split() for t in texts]
-        new = set().union(*split) - self.known.keys()
-        if not new:
-            return [b"".join(map(self.known.__getitem__, words)) for words in split]
-        learned = self.learn(new)
-        if all(len(w) <= KNOWN_LENGTH for w in new):
-            return [b"".join(map(self.known.__getitem__, words)) for words in split]
-        return [b"".join([self.known[w] if w in self.known else learned[w] for w in words]) for words in split]
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        return [b"".join(map(self.__getitem__, (t or "").encode().split())) for t in texts]
 
 
 @lru_cache(1)
@@ -246,7 +244,8 @@ def read_ids(spark: SparkSession, manifest: DataFrame, tokens: bool = False) ->
                 out = pd.DataFrame({"id": pd.array(ids, "Int64"), "start": first + start, "n_tokens": lengths, "ids_crc32": [zlib.crc32(np.ascontiguousarray(p, "<u4").tobytes()) for p in parts]})
                 yield out.assign(tokens=[p.astype(np.int32) for p in parts]) if tokens else out
 
-    return before.repartition("path").mapInPandas(run, schema)
+    # a row here stands for a whole file: tasks by files, not by the size of their rows
+    return before.repartition(min(MOST_TASKS, max(1, manifest.count())), "path").mapInPandas(run, schema)
 
 
 def encode_corpus(docs: DataFrame, tokenizer: str, id: str = "doc_id", **options) -> DataFrame:
