@@ -12,6 +12,7 @@ from cuesmith.jobs import fixtures as fx
 from cuesmith.jobs import oracles as o
 from cuesmith.operators import backlog, intervals, merge, plan, segment, tokens, units
 from cuesmith.sources import files
+from cuesmith.streaming import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -409,3 +410,56 @@ def _(s, d):
 @query("one_chunk", f"WITH {o.TRANSCRIPTS} SELECT media_id, chunk_index FROM transcripts WHERE chunk_index = 1")
 def _(s, d):
     return backlog.one_chunk(fx.chunks(s, d), 2)
+
+
+@query("completed_chunks", f"WITH {o.DONE} SELECT media_id, chunk_index FROM done")
+def _(s, d):
+    chunks = fx.chunks(s, d)
+    return chunks.join(backlog.pending_chunks(chunks, fx.manifest(s, d)), ["media_id", "chunk_index"], "left_anti").distinct()
+
+
+@query("sentence_islands", "WITH " + o.TOKENS + f""", e AS (SELECT *, CASE WHEN regexp_matches(text, '{o.SENTENCE}{o.SP}*$') THEN 1 ELSE 0 END AS cut FROM tokens)
+SELECT media_id, chunk_index, pos, CAST(coalesce(sum(cut) OVER (PARTITION BY media_id, chunk_index ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS island FROM e""")
+def _(s, d):
+    return segment.islands(fx.tokens(s, d)).select("media_id", "chunk_index", "pos", "island")
+
+
+@query("combine_text", "SELECT doc_id, CASE WHEN a = '' THEN b WHEN b = '' THEN a ELSE a || ' ' || b END AS text FROM (SELECT doc_id, substr(text, 1, doc_id % 5) AS a, substr(text, 10, doc_id % 4) AS b FROM documents)")
+def _(s, d):
+    c = F.col("text")
+    return fx._table(s, d, "documents").select("doc_id", t.combine(c.substr(F.lit(1), (F.col("doc_id") % 5).cast("int")), c.substr(F.lit(10), (F.col("doc_id") % 4).cast("int"))).alias("text"))
+
+
+@query("normalize_romanized", "SELECT doc_id, regexp_replace(lower(translate(text, '’`', chr(39) || chr(39))), '[^a-z' || chr(39) || ']', '', 'g') AS text FROM documents")
+def _(s, d):
+    return fx._table(s, d, "documents").select("doc_id", t.normalize_romanized(F.col("text")).alias("text"))
+
+
+@query("gap_summary", "WITH " + o.TOKENS + o.GAP + " SELECT media_id, count(*) AS cues, round(max(c.e), 6) AS last FROM gsubs GROUP BY media_id")
+def _(s, d):
+    rows = segment.gap_segment(fx.tokens(s, d).withColumn("pos", F.col("chunk_index") * 100_000 + F.col("pos")), segment.GAP)
+    return rows.groupBy("media_id").agg(F.count(F.lit(1)).alias("cues"), F.round(F.max("end"), 6).alias("last"))
+
+
+# Streams
+
+
+@query("stream_subtitles", f"{o.MAIN} SELECT media_id, chunk_index, {o.SUBS}")
+def _(s, d):
+    return tables.subtitles(s, d)
+
+
+@query("stream_parts", "SELECT conv_id AS media_id, turn // 2 AS part, count(DISTINCT turn) AS chunks, true AS complete FROM conversations GROUP BY ALL")
+def _(s, d):
+    return tables.parts(s, d)
+
+
+@query("stream_windows", """SELECT user_id, time_bucket(INTERVAL '1 hour', ts) AS "start", time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS "end", count(*) AS n FROM events GROUP BY ALL""")
+def _(s, d):
+    return tables.windows(s, d)
+
+
+@query("stream_sessions", """WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL '6 hours', true) AS fresh FROM events),
+r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM g) SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM r GROUP BY user_id, run""")
+def _(s, d):
+    return tables.sessions(s, d)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cuesmith.jobs import fixtures as fx
 from cuesmith.operators import segment
 from cuesmith.streaming import stream
+from cuesmith.streaming.tables import run_out
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -17,7 +18,7 @@ def finish(query):
         time.sleep(0.2)
     if query.exception():
         raise query.exception()
-    query.stop()
+    assert not query.isActive
 
 
 def chunk_rows(spark):
@@ -41,9 +42,8 @@ def test_parts_complete_once(spark, tmp_path):
     for k, chunks in enumerate([[0, 2, 1], [1, 4], [3, 3], [0, 4]]):
         spark.createDataFrame([(1, c, 5) for c in chunks], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = stream.complete_parts(source, 3).writeStream.format("memory").queryName("parts").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    finish(query)
-    assert sorted(map(tuple, spark.table("parts").collect())) == [(1, 0, 3, True), (1, 1, 2, True)]
+    got = run_out(stream.complete_parts(source, 3))
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 3, True), (1, 1, 2, True)]
 
 
 def events(spark, tmp_path, rows):
