@@ -30,6 +30,7 @@ RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: A payload of fewer bytes is always written in full.
 LEAST_SHARED = 100
 ARCHIVE_BYTES = 64 << 20
+MOST_TASKS = 50_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -107,7 +108,7 @@ def record(page: str, url: str | None, html: bytes, digest: str, first: str | No
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n\r\n".encode()
     block = http + (b"" if first else html)
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if first else 'response'}", f"WARC-Record-ID: <urn:page:{page}>", "WARC-Date: 1970-01-01T00:00:00Z"]
-    head += [f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~._-')}"] * (url is not None)
+    head += [f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~._-')}"] if url is not None else []
     head += [f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}"]
     head += [f"WARC-Refers-To: <urn:page:{first}>", f"WARC-Profile: {PROFILE}"] if first else []
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -216,6 +217,12 @@ class Ranged:
         return self.file.size()
 
 
+def _tasks(archives: DataFrame, per_task: int) -> int:
+    """Tasks for reading the archives. Their rows here are small and what they stand
+    for is not, so the number is given and not left to the size of the rows."""
+    return min(MOST_TASKS, max(1, -(-(archives.agg(F.sum("bytes")).first()[0] or 0) // per_task)))
+
+
 def index_of(archives: DataFrame) -> DataFrame:
     """(path, page, at, length) of every record, from the archives' own indexes."""
 
@@ -229,7 +236,7 @@ def index_of(archives: DataFrame) -> DataFrame:
                 lines = [json.loads(x) for x in read(stored_at(read, index), index.size).decode().splitlines()]
                 yield pd.DataFrame({"path": path, "page": pd.array([x["page"] for x in lines], "Int64"), "at": [start + x["offset"] for x in lines], "length": [x["length"] for x in lines]})
 
-    return archives.select("path").repartition("path").mapInPandas(run, "path string, page long, at long, length long")
+    return archives.select("path").repartition(_tasks(archives, ARCHIVE_BYTES), "path").mapInPandas(run, "path string, page long, at long, length long")
 
 
 def read_records(archives: DataFrame, chunk: int = 8 << 20, payload: bool = False) -> DataFrame:
@@ -259,4 +266,4 @@ def read_records(archives: DataFrame, chunk: int = 8 << 20, payload: bool = Fals
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], ["id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * payload])
 
     places = index_of(archives).withColumn("part", F.floor(F.col("at") / chunk))
-    return places.repartition("path", "part").sortWithinPartitions("path", "at").mapInArrow(run, schema)
+    return places.repartition(_tasks(archives, chunk), "path", "part").sortWithinPartitions("path", "at").mapInArrow(run, schema)
