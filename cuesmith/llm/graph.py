@@ -27,7 +27,8 @@ def components(links: DataFrame) -> DataFrame:
     rounds = []
     names = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
     while not edges.isEmpty():
-        parents = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent"))
+        # written before the jumps: a hub that many nodes share is then a plain join key, whose rows can be split
+        parents = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")), "hooks")
         parents = stored(_jump(_jump(parents)), "parents")
         rounds.append(parents)
         for end in ("a", "b"):
