@@ -93,9 +93,11 @@ class WordIds(dict):
     """Ids by word, 32 bits each, found out when a word is first looked up.
 
     The tokenizer never joins across white space, nor a letter with the marks
-    behind it. A stem of settled letters alone goes straight to the tokenizer's
-    merges: it lower-cases to itself and is one piece. All else takes the whole
-    way through the tokenizer.
+    behind it. That holds for the letters it sees: some, as U+0130 and U+09DF,
+    become a letter and a combining mark, which joins the marks, so only a settled
+    letter is cut from them. A stem of settled letters alone goes straight to the
+    tokenizer's merges: it lower-cases to itself and is one piece. All else takes
+    the whole way through the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -117,7 +119,7 @@ class WordIds(dict):
             return array("I", [t.id for t in self.merges(word.lower().decode())]).tobytes()
         stem = word.rstrip(MARKS)
         s = stem.decode()
-        if len(stem) < len(word) and s[-1:].isalpha():
+        if len(stem) < len(word) and s[-1:].isalpha() and s[-1] < SETTLED and s[-1] != "\u0130":
             return self[stem] + self[word[len(stem) :]]
         s = word.decode()
         if s.isalpha() and max(s) < SETTLED and "\u0130" not in s and "\u03a3" not in s and unicodedata.is_normalized("NFC", s):

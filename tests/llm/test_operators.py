@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import unicodedata
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -550,6 +551,24 @@ def test_token_files(spark, odd, none):
         token_ids.parse_file(b"x" * 100)
 
 
+def test_letters_that_end_in_a_combining_mark(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, words = Tokenizer.from_file(path), token_ids.WordIds(path)
+    # every letter that composing changes or lower-casing makes longer
+    letters = [c for c in map(chr, range(0x80, 0x110000)) if c.isalpha() and (len(c.lower()) > 1 or not unicodedata.is_normalized("NFC", c))]
+    made = [w for c in letters for w in (f"{c}.", f"A{c},", f"e\u0301{c}!?", f"{c}\u0301;", f"a.{c}...")]
+    made += ["AL\u0130.", "\u09b9\u09df,", "\u092b\u0930\u0958!", "\ufb2a:"]
+    assert [w for w in made if np.frombuffer(words.encode(w.encode()), "<u4").tolist() != tokenizer.encode(w, add_special_tokens=False).ids] == []
+    texts = ["AL\u0130. x", "\u09b9\u09df, y", "z"]
+    got = token_ids.encode_corpus(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).orderBy("doc_id").collect()
+    ids = [[*tokenizer.encode(x, add_special_tokens=False).ids, 1] for x in texts]
+    assert [r.n_tokens for r in got] == [len(x) for x in ids]
+    assert [r.ids_crc32 for r in got] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
+
+
 # packing
 
 
