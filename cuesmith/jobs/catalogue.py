@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cuesmith.functions import text as t
 from cuesmith.jobs import fixtures as fx
@@ -430,6 +431,12 @@ def _(s, d):
     return fx._table(s, d, "documents").select("doc_id", t.combine(c.substr(F.lit(1), (F.col("doc_id") % 5).cast("int")), c.substr(F.lit(10), (F.col("doc_id") % 4).cast("int"))).alias("text"))
 
 
+@query("combine_turns", "SELECT media_id, chunk_index, CASE WHEN b IS NULL OR b = '' THEN a WHEN a = '' THEN b ELSE a || ' ' || b END AS text FROM (SELECT conv_id AS media_id, turn AS chunk_index, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)")
+def _(s, d):
+    after = F.lead("transcript").over(Window.partitionBy("media_id").orderBy("chunk_index"))
+    return fx.transcripts(s, d).withColumn("after", F.coalesce(after, F.lit(""))).select("media_id", "chunk_index", t.combine(F.col("transcript"), F.col("after")).alias("text"))
+
+
 @query("normalize_romanized", "SELECT doc_id, regexp_replace(lower(translate(text, '’`', chr(39) || chr(39))), '[^a-z' || chr(39) || ']', '', 'g') AS text FROM documents")
 def _(s, d):
     return fx._table(s, d, "documents").select("doc_id", t.normalize_romanized(F.col("text")).alias("text"))
