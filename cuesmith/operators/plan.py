@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cuesmith.operators.runs import over_runs
+from cuesmith.operators.runs import cut_islands, in_order, over_runs, renumbered
 
 
 def chunk_counts(media: DataFrame, seconds: float) -> DataFrame:
@@ -50,13 +50,20 @@ def join_segments(starts: list[float], ends: list[float], longest: float) -> lis
 
 
 def speech_chunks(segments: DataFrame, longest: float) -> DataFrame:
-    """(media_id, chunk_index, start, end): runs of whole segments of at most ``longest`` seconds."""
+    """(media_id, chunk_index, start, end): runs of whole segments of at most ``longest`` seconds.
+
+    No run reaches over a segment that ends more than ``longest`` after the one
+    before it starts, so the islands between such places are joined apart.
+    """
+    keys, order = ("media_id",), ("start", "end")
 
     def rule(g: dict[str, list]) -> dict[str, list]:
         chunks = join_segments(g["start"], g["end"], longest)
         return {"chunk_index": list(range(len(chunks))), "start": [c[0] for c in chunks], "end": [c[1] for c in chunks]}
 
-    return over_runs(segments, ("media_id",), ("start", "end"), rule, "chunk_index long, start double, `end` double", ["media_id", "start", "end"])
+    rows = cut_islands(segments.select(*keys, *order), keys, order, F.col("end") - F.lag("start").over(in_order(keys, order)) > longest)
+    parts = over_runs(rows, (*keys, "island"), order, rule, "chunk_index long, start double, `end` double")
+    return renumbered(parts, keys, "chunk_index").select("media_id", "chunk_index", "start", "end")
 
 
 def speech_from_frames(frames: DataFrame, threshold: float = 0.5, least_speech: float = 0.25, least_silence: float = 0.3, pad: float = 0.3, frame: float = 0.032) -> DataFrame:

@@ -11,12 +11,28 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window, WindowSpec
 
 Rule = Callable[[dict[str, list]], dict[str, list]]
 
 
+def in_order(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(*order)
+
+
+def cut_islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], cut: Column) -> DataFrame:
+    """``df`` with ``island``: a new one starts at each row where ``cut`` holds."""
+    return df.withColumn("_cut", F.coalesce(cut, F.lit(False)).cast("long")).withColumn("island", F.sum("_cut").over(in_order(keys, order).rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
+
+
+def renumbered(parts: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
+    """Results of (keys, island) numbered through each group."""
+    return parts.withColumn(number, F.row_number().over(in_order(keys, ["island", number])).cast("long") - 1).drop("island")
+
+
 def over_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: Rule, schema: str, columns: Sequence[str] | None = None) -> DataFrame:
     """``rule`` maps the columns of one group, in order, to columns of the result;
     the keys are added in front. ``schema`` is of the result without the keys."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cuesmith.functions import text as t
-from cuesmith.operators.runs import over_runs
+from cuesmith.operators.runs import cut_islands, in_order, over_runs, renumbered
 from cuesmith.operators.tokens import repair_durations
 
 SUBTITLE = "sub_no long, start double, `end` double, text string"
@@ -189,14 +189,24 @@ def merge_short(subtitles: DataFrame, profile: Profile = MAIN, keys: tuple[str,
 
 def gap_segment(units: DataFrame, profile: GapProfile = GAP, keys: tuple[str, ...] = ("media_id",), order: tuple[str, ...] = ("pos",), post: bool = True) -> DataFrame:
     """Subtitles of timed units by gaps and punctuation; with ``post`` fragments
-    are glued and times made monotonic."""
+    are glued and times made monotonic.
+
+    A strong gap always cuts, so the islands between two of them are cut apart;
+    only the finished subtitles are brought back together.
+    """
 
     def rule(g: dict[str, list]) -> dict[str, list]:
-        cues = cut_units(g["text"], g["start"], g["end"], profile)
-        return _columns(monotonic_cues(merge_fragments(cues, profile)) if post else cues)
+        return _columns(cut_units(g["text"], g["start"], g["end"], profile))
+
+    def finish(g: dict[str, list]) -> dict[str, list]:
+        return _columns(monotonic_cues(merge_fragments(list(zip(g["start"], g["end"], g["text"], strict=True)), profile)))
 
-    rows = units.where(t.strip(F.col("text")) != "")
-    return over_runs(rows, keys, ("start", "end", *order), rule, SUBTITLE, [*keys, *order, "text", "start", "end"])
+    rows, by = units.where(t.strip(F.col("text")) != ""), ("start", "end", *order)
+    gap = F.col("start") - F.lag("end").over(in_order(keys, by))
+    rows = cut_islands(rows, keys, by, (gap >= profile.strong_gap) & ~F.isnan(gap))
+    parts = over_runs(rows, (*keys, "island"), by, rule, SUBTITLE, [*keys, "island", *order, "text", "start", "end"])
+    parts = renumbered(parts, keys, "sub_no")
+    return over_runs(parts, keys, ("sub_no",), finish, SUBTITLE) if post else parts.select(*keys, "sub_no", "start", "end", "text")
 
 
 def islands(tokens: DataFrame, keys: tuple[str, ...] = ("media_id", "chunk_index"), order: tuple[str, ...] = ("pos",)) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cuesmith.functions import text as t
 from cuesmith.jobs import fixtures as fx
-from cuesmith.operators import engine, merge, segment, tokens
+from cuesmith.operators import engine, merge, plan, runs, segment, tokens
 from cuesmith.sources import files
 
 SMALL = "/root/testdata/sf0.001"
@@ -129,3 +129,31 @@ def test_engine_keeps_order_and_counts(spark):
     assert [(r.transcript, r.tokens[0].start) for r in got] == [(f"c{k}", k * 10 + 0.5) for k in range(11)]
     with pytest.raises(Exception, match="the engine returned"):
         engine.run_engine(pending, lambda: lambda rows: []).collect()
+
+
+def test_long_groups_go_to_the_rules_in_islands(spark, monkeypatch):
+    """No group of the rules is a whole recording where a state-free cut parts it."""
+    seen = []
+
+    def spy(df, keys, *rest, **named):
+        seen.append(tuple(keys))
+        return runs.over_runs(df, keys, *rest, **named)
+
+    monkeypatch.setattr(plan, "over_runs", spy)
+    monkeypatch.setattr(segment, "over_runs", spy)
+    r = random.Random(8)
+    at, rows = 0.0, []
+    for k in range(400):
+        at += r.choice([0.0, 0.1, 0.6, 0.9, 4.0])
+        rows.append((1, k, at, at + r.choice([0.2, 1.0, 7.0]), r.choice(["a", "bcd.", "e,", "fgh ijk"])))
+        at = rows[-1][3] if r.random() < 0.7 else at
+    df = spark.createDataFrame(rows, "media_id long, pos long, start double, `end` double, text string").repartition(4)
+    rows.sort(key=lambda x: (x[2], x[3], x[1]))
+    starts, ends, texts = [x[2] for x in rows], [x[3] for x in rows], [x[4] for x in rows]
+    got = [(x.start, x.end) for x in plan.speech_chunks(df, 6.0).orderBy("chunk_index").collect()]
+    assert got == plan.join_segments(starts, ends, 6.0)
+    cues = segment.cut_units(texts, starts, ends, segment.GAP)
+    for post, want in ((False, cues), (True, segment.monotonic_cues(segment.merge_fragments(cues, segment.GAP)))):
+        out = segment.gap_segment(df, post=post).orderBy("sub_no").collect()
+        assert [(x.sub_no, x.start, x.end, x.text) for x in out] == [(k, *c) for k, c in enumerate(want)]
+    assert seen == [("media_id", "island"), ("media_id", "island"), ("media_id", "island"), ("media_id",)]
