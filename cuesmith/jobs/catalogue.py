@@ -52,7 +52,7 @@ _ORDERED = ", ordered AS (SELECT *, row_number() OVER (PARTITION BY media_id ORD
 
 @query("media_subtitles_legacy", "WITH " + o.TOKENS + _ORDERED + "," + o.cut("ordered", "media_id", False, True, False, "media_pos") + "," + o.merged("media_id", False) + f" SELECT media_id, {o.SUBS}")
 def _(s, d):
-    return segment.segment(tokens.media_order(fx.tokens(s, d)), segment.LEGACY, ("media_id",), ("media_pos",))
+    return segment.segment_stream(tokens.media_order(fx.tokens(s, d)), segment.LEGACY, ("media_id",), ("media_pos",))
 
 
 @query("part_subtitles_main", "WITH " + o.TOKENS + ", parts AS (SELECT *, chunk_index // 2 AS part, row_number() OVER (PARTITION BY media_id ORDER BY \"start\", \"end\", chunk_index, pos) - 1 AS media_pos FROM tokens)," + o.cut("parts", "media_id, part", True, False, True, "media_pos") + "," + o.merged("media_id, part", True) + f" SELECT media_id, part, {o.SUBS}")

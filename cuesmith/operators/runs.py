@@ -9,6 +9,8 @@ the engine each.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,6 +19,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window, WindowSpec
 
 Rule = Callable[[dict[str, list]], dict[str, list]]
+StreamRule = Callable[[Iterator[tuple]], Iterator[tuple]]
 
 
 def in_order(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -86,3 +89,36 @@ def over_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: Ru
             yield full()
 
     return df.select(*columns).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(stream, out)
+
+
+def over_streams(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: StreamRule, schema: str, columns: Sequence[str]) -> DataFrame:
+    """``over_runs`` for a rule that maps the rows of a group, tuples of ``columns``
+    in order, to rows of the result one by one: no group is ever held."""
+    keys, order, columns = list(keys), list(order), list(columns)
+    out = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", " + schema
+    fields = StructType.fromDDL(schema).names
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape: dict[str, pa.DataType] = {}
+        made: list[tuple] = []
+
+        def rows() -> Iterator[tuple[tuple, tuple]]:
+            for batch in batches:
+                shape.update((k, batch.schema.field(k).type) for k in keys)
+                key_rows = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
+                yield from zip(key_rows, zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True)
+
+        def full() -> pa.RecordBatch:
+            cols = dict(zip([*keys, *fields], zip(*made, strict=True), strict=True))
+            made.clear()
+            return pa.RecordBatch.from_pydict({k: pa.array(v, shape.get(k)) for k, v in cols.items()})
+
+        for key, group in groupby(rows(), key=itemgetter(0)):
+            for got in rule(row for _, row in group):
+                made.append((*key, *got))
+                if len(made) >= 4096:
+                    yield full()
+        if made:
+            yield full()
+
+    return df.select(*dict.fromkeys([*keys, *order, *columns])).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(stream, out)

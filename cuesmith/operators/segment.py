@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cuesmith.functions import text as t
-from cuesmith.operators.runs import cut_islands, in_order, over_runs, renumbered
+from cuesmith.operators.runs import cut_islands, in_order, over_runs, over_streams, renumbered
 from cuesmith.operators.tokens import repair_durations
 
 SUBTITLE = "sub_no long, start double, `end` double, text string"
@@ -60,54 +61,64 @@ GAP = GapProfile()
 Cue = tuple[float, float, str]
 
 
-def cut_tokens(texts: list[str], starts: list[float], ends: list[float], p: Profile) -> list[Cue]:
-    """Cues of one ordered group. The pause is to the next token, blank or not."""
-    cues: list[Cue] = []
+def cut_stream(tokens: Iterable[tuple[str, float, float]], p: Profile) -> Iterator[Cue]:
+    """Cues of one ordered group of (text, start, end), each as soon as it is cut.
+    The pause is to the next token, blank or not."""
     words: list[str] = []
     first = last = 0.0
-
-    def close() -> None:
-        if words and (joined := t.py_join(words)):
-            cues.append((first, last, joined))
-        words.clear()
-
-    final = len(texts) - 1
-    for k, word in enumerate(texts):
+    coming = iter(tokens)
+    after = next(coming, None)
+    while after is not None:
+        (word, start, end), after = after, next(coming, None)
         if not word.strip():
             continue
         if not words:
-            first = starts[k]
+            first = start
         words.append(word)
-        last = ends[k]
+        last = end
         sentence = bool(t.py_ends_sentence(word))
-        held = last - first < p.min_duration and k < final and not (sentence and p.sentence_not_held)
+        held = last - first < p.min_duration and after is not None and not (sentence and p.sentence_not_held)
         if held:
             continue
-        if k == final or last - first >= p.max_duration or (sentence and not p.sentence_needs_text):
-            close()
-            continue
-        length = len(t.py_join(words))
-        paused = starts[k + 1] - ends[k] >= p.pause
-        if length >= p.max_chars or (length >= p.min_chars and (paused or sentence)) or (length >= int(p.max_chars * 0.75) and t.py_soft(word)):
-            close()
-    close()
-    return cues
+        joined = t.py_join(words)
+        cut = after is None or last - first >= p.max_duration or (sentence and not p.sentence_needs_text)
+        if not cut:
+            length = len(joined)
+            paused = after[1] - end >= p.pause
+            cut = length >= p.max_chars or (length >= p.min_chars and (paused or sentence)) or (length >= int(p.max_chars * 0.75) and t.py_soft(word))
+        if cut:
+            if joined:
+                yield first, last, joined
+            words.clear()
+    if words and (joined := t.py_join(words)):
+        yield first, last, joined
 
 
-def merge_short_cues(cues: list[Cue], p: Profile) -> list[Cue]:
-    """Short cues go into the one before them; a short first cue stays."""
-    out: list[Cue] = []
+def cut_tokens(texts: list[str], starts: list[float], ends: list[float], p: Profile) -> list[Cue]:
+    return list(cut_stream(zip(texts, starts, ends, strict=True), p))
+
+
+def merge_stream(cues: Iterable[Cue], p: Profile) -> Iterator[Cue]:
+    """Short cues go into the one before them; a short first cue stays. Only the
+    last cue is held back."""
+    before: Cue | None = None
     for cue in cues:
         start, end, words = cue
-        if out and (len(words) < p.short_chars or end - start < p.short_duration):
-            before = out[-1]
+        if before and (len(words) < p.short_chars or end - start < p.short_duration):
             both = t.py_combine(before[2], words)
             near = p.max_gap is None or start - before[1] <= p.max_gap
             if near and len(both) <= p.merged_chars and end - before[0] <= p.merged_duration:
-                out[-1] = (before[0], end, both)
+                before = (before[0], end, both)
                 continue
-        out.append(cue)
-    return out
+        if before:
+            yield before
+        before = cue
+    if before:
+        yield before
+
+
+def merge_short_cues(cues: list[Cue], p: Profile) -> list[Cue]:
+    return list(merge_stream(cues, p))
 
 
 # Marks that end a cue, and marks that may.
@@ -180,6 +191,18 @@ def segment(tokens: DataFrame, profile: Profile = MAIN, keys: tuple[str, ...] =
     return over_runs(rows, keys, order, rule, SUBTITLE, [*keys, *order, "text", "start", "end"])
 
 
+def segment_stream(tokens: DataFrame, profile: Profile = LEGACY, keys: tuple[str, ...] = ("media_id",), order: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """``segment`` for long groups of a profile without islands: tokens pass one by
+    one, and a task holds the open subtitle and the one before it."""
+    rows = repair_durations(tokens) if profile.repair else tokens
+
+    def rule(group: Iterator[tuple]) -> Iterator[tuple]:
+        for k, cue in enumerate(merge_stream(cut_stream(group, profile), profile)):
+            yield k, *cue
+
+    return over_streams(rows, keys, order, rule, SUBTITLE, ["text", "start", "end"])
+
+
 def merge_short(subtitles: DataFrame, profile: Profile = MAIN, keys: tuple[str, ...] = ("media_id", "chunk_index")) -> DataFrame:
     def rule(g: dict[str, list]) -> dict[str, list]:
         return _columns(merge_short_cues(list(zip(g["start"], g["end"], g["text"], strict=True)), profile))

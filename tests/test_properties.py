@@ -157,3 +157,29 @@ def test_long_groups_go_to_the_rules_in_islands(spark, monkeypatch):
         out = segment.gap_segment(df, post=post).orderBy("sub_no").collect()
         assert [(x.sub_no, x.start, x.end, x.text) for x in out] == [(k, *c) for k, c in enumerate(want)]
     assert seen == [("media_id", "island"), ("media_id", "island"), ("media_id", "island"), ("media_id",)]
+
+
+def test_legacy_rule_holds_no_group(spark):
+    """A cue comes out after a few tokens of an endless group, and long groups are cut as short ones."""
+    read = []
+
+    def endless():
+        for k in range(10_000):
+            read.append(k)
+            yield "word", k * 1.0, k + 0.9
+
+    cues = segment.merge_stream(segment.cut_stream(endless(), segment.LEGACY), segment.LEGACY)
+    assert next(cues)[0] == 0.0 and len(read) < 50
+    r = random.Random(9)
+    rows, want = [], []
+    for m in range(3):
+        at = 0.0
+        for k in range((1, 12_000, 30)[m]):
+            at += r.choice([0.0, 0.1, 0.7])
+            rows.append((m, k, at, at + r.choice([0.1, 0.3, 2.0]), r.choice(["a", "bcd.", " ", "e,", "fgh ijk", "好。"])))
+            at = rows[-1][3]
+        own = [list(x) for x in zip(*(x[2:] for x in rows if x[0] == m), strict=True)]
+        want += [(m, k, *c) for k, c in enumerate(segment.merge_short_cues(segment.cut_tokens(own[2], own[0], own[1], segment.LEGACY), segment.LEGACY))]
+    df = spark.createDataFrame(rows, "media_id long, pos long, start double, `end` double, text string").repartition(4)
+    for f in (segment.segment, segment.segment_stream):
+        assert sorted(map(tuple, f(df, segment.LEGACY, ("media_id",)).collect())) == want
