@@ -73,3 +73,13 @@ def test_clean_documents_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").select("doc_id"), "doc_id")
     ledger = quality.ledger(docs).where(quality.passes(quality.BASE))
     assert ledger.count() == ledger.where(quality.passes(quality.POLICIES["v1"])).count() > 200
+
+
+def test_exact_copies_leave_one_row_of_each_text(spark):
+    """Repeated rows of an id, and copies without any id, are copies too."""
+    rows = [(1, "a"), (7, "a"), (7, "a"), (None, "a"), (None, "b"), (None, "b"), (7, "c"), (3, "d"), (3, "d"), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, x, "s") for i, x in rows], "doc_id long, text string, source string").repartition(3)
+    got = cp.exact_copies(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    assert sorted((r.text or "", r.doc_id) for r in got.where("doc_id is not null").collect()) == [("", 4), ("a", 7), ("c", 7), ("d", 3)]
+    assert [r.text for r in got.where("doc_id is null").collect()] == ["b"]
