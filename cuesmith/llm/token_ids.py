@@ -1,18 +1,19 @@
 """Token ids in files of byte-aligned variable-length codes.
 
-A file holds documents in ascending id: a header, its rank table, the documents'
-ids and lengths, then the control bytes of all codes (two bits each: bytes less
-one) apart from the data bytes. Ids are ranked by how often the file has them, so
-its most frequent 256 take one byte; a file ranks on its own, so writing takes one
-pass and any file can be read alone. Four codes are decoded at a time by looking
-their control byte up in a table of byte places.
+Texts are encoded where they lie; the ids are kept once, counted over the whole
+corpus and ranked by frequency, so that the 256 most frequent take one byte in
+every file. Then the ids, not the texts, are brought into document order and
+written. A file holds documents in ascending id: a header, the documents' ids and
+lengths, then the control bytes of all codes (two bits each: bytes less one) apart
+from the data bytes. The rank table is one small file beside them. Four codes are
+decoded at a time by looking their control byte up in a table of byte places.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
-import unicodedata
 import uuid
 import zlib
 from array import array
@@ -26,18 +27,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_path, stored
+from .common import discard, new_path, stored
 from .files import filesystem
 
-MAGIC = b"VLCIDS01"
-HEAD = struct.Struct("<8sQQQQ")  # magic, documents, ids, data bytes, ranks
+MAGIC, RANKS = b"VLCIDS02", b"VLCRNK01"
+HEAD = struct.Struct("<8sQQQ")  # magic, documents, ids, data bytes
 #: Words whose ids a worker keeps at a time, and the longest kept, in bytes.
 KNOWN_WORDS, KNOWN_LENGTH = 600_000, 64
-#: Marks that are cut off a word's end: behind a letter they make a token run of
-#: their own. Those of contractions and of special tokens are not among them.
+#: Marks that are cut off a word's end: behind one of A-Z or a-z they make a token
+#: run of their own. Those of contractions and of special tokens are not among them.
 MARKS = b'!"#$%&()*+,-./:;=?@[\\]^_`{}~'
-#: Letters below this have been letters in every version of Unicode in use.
-SETTLED = "\u0500"
+#: How a tokenizer must prepare a text for its words to be encoded apart (fixed values).
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PIECES = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 FILE_IDS = 4_000_000
 MOST_TASKS = 50_000
 
@@ -82,22 +87,23 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return np.concatenate(out)[:n] if out else np.empty(0, "<u4")
 
 
-def byte_letters() -> dict[int, int]:
-    """How byte-level vocabularies write the bytes that have no visible letter:
-    as the letters from 256 on, in order."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    return {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - shown))}
+def by_words(path: str) -> bool:
+    """Whether a tokenizer file drops white space before it cuts pieces, so that a
+    text's ids are those of its words one after another."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    added = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not t["normalized"] and t["content"].split() == [t["content"]] for t in spec.get("added_tokens") or [])
+    parts = lambda name, inner: (spec.get(name) or {}).get(inner)
+    return added and parts("normalizer", "normalizers") == NORMAL and parts("pre_tokenizer", "pretokenizers") == PIECES and not any(spec.get(k) for k in ("post_processor", "truncation", "padding")) and not spec["model"].get("dropout")
 
 
 class WordIds(dict):
     """Ids by word, 32 bits each, found out when a word is first looked up.
 
-    The tokenizer never joins across white space, nor a letter with the marks
-    behind it. That holds for the letters it sees: some, as U+0130 and U+09DF,
-    become a letter and a combining mark, which joins the marks, so only a settled
-    letter is cut from them. A stem of settled letters alone goes straight to the
-    tokenizer's merges: it lower-cases to itself and is one piece. All else takes
-    the whole way through the tokenizer.
+    Words are encoded by the library. Only one of A-Z and a-z alone goes straight to its
+    merges: it is one piece and lower-cases letter by letter. Marks are cut off only
+    behind one of these letters, where a piece ends. A tokenizer that does not
+    cut at white space is given whole texts.
     """
 
     def __init__(self, path: str):
@@ -105,8 +111,9 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.merges, self.letters = self.tokenizer.model.tokenize, byte_letters()
+        self.tokenizer, self.apart = Tokenizer.from_file(path), by_words(path)
+        self.merges = self.tokenizer.model.tokenize
+        self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else "<u4")
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.encode(word)
@@ -118,15 +125,13 @@ class WordIds(dict):
         if word.isalpha():  # A-Z and a-z
             return array("I", [t.id for t in self.merges(word.lower().decode())]).tobytes()
         stem = word.rstrip(MARKS)
-        s = stem.decode()
-        if len(stem) < len(word) and s[-1:].isalpha() and s[-1] < SETTLED and s[-1] != "\u0130":
+        if len(stem) < len(word) and stem[-1:].isalpha():
             return self[stem] + self[word[len(stem) :]]
-        s = word.decode()
-        if s.isalpha() and max(s) < SETTLED and "\u0130" not in s and "\u03a3" not in s and unicodedata.is_normalized("NFC", s):
-            return array("I", [t.id for t in self.merges(s.lower().encode().decode("latin-1").translate(self.letters))]).tobytes()
-        return array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
     def of(self, texts: list[str | None]) -> list[bytes]:
+        if not self.apart:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         if len(self) > KNOWN_WORDS:
             self.clear()
         return [b"".join(map(self.__getitem__, (t or "").encode().split())) for t in texts]
@@ -138,28 +143,27 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(id by rank, rank of each): most frequent first, then the smaller id."""
-    counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+def ranked(ids: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(id by rank, rank of each): most frequent first, then the smaller id.
+    ``counts`` by id are those of ``ids`` themselves if not given."""
+    if counts is None:
+        counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
     by_rank = np.argsort(-counts, kind="stable")[: int((counts > 0).sum())].astype(np.uint32)
     rank_of = np.zeros(len(counts), np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     return by_rank, rank_of[ids]
 
 
-def file_bytes(doc_ids: list[int | None], parts: list[np.ndarray]) -> bytes:
-    lengths = np.array([len(x) for x in parts], "<u8")
-    by_rank, ranks = ranked(np.concatenate(parts) if parts else np.empty(0, np.uint32))
+def file_bytes(doc_ids: list[int | None], lengths: np.ndarray, ranks: np.ndarray) -> bytes:
     control, data = encode(ranks)
     named = np.array([d is not None for d in doc_ids], np.uint8)
     ids = np.array([d or 0 for d in doc_ids], "<i8")
-    head = HEAD.pack(MAGIC, len(parts), int(lengths.sum()), len(data), len(by_rank))
-    return b"".join([head, by_rank.astype("<u4").tobytes(), named.tobytes(), ids.tobytes(), lengths.tobytes(), control, data])
+    return b"".join([HEAD.pack(MAGIC, len(doc_ids), len(ranks), len(data)), named.tobytes(), ids.tobytes(), lengths.astype("<u8").tobytes(), control, data])
 
 
-def parse_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """(document ids, lengths, token ids) of a file."""
-    magic, docs, n, size, ranks = HEAD.unpack_from(raw)
+def parse_file(raw: bytes, by_rank: np.ndarray | None = None) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """(document ids, lengths, token ids) of a file; ranks for ids without the table."""
+    magic, docs, n, size = HEAD.unpack_from(raw)
     if magic != MAGIC:
         raise ValueError("not a token-id file")
     at = HEAD.size
@@ -170,59 +174,123 @@ def parse_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         at += out.nbytes
         return out
 
-    by_rank, named, ids, lengths = take("<u4", ranks), take("u1", docs), take("<i8", docs), take("<u8", docs)
+    named, ids, lengths = take("u1", docs), take("<i8", docs), take("<u8", docs)
     control = take("u1", -(-n // 4)).tobytes()
-    tokens = by_rank[decode(control, raw[at : at + size], n)] if n else np.empty(0, "<u4")
+    tokens = decode(control, raw[at : at + size], n)
+    if by_rank is not None and n:
+        tokens = by_rank[tokens]
     return [int(i) if k else None for i, k in zip(ids, named, strict=True)], lengths.astype(np.int64), tokens
 
 
+def _save(uri: str, raw: bytes) -> None:
+    store, path = filesystem(uri)
+    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(path) as out:
+        out.write(raw)
+
+
+def _load(uri: str) -> bytes:
+    store, path = filesystem(uri)
+    with store.open_input_file(path) as f:
+        return f.read()
+
+
+def load_ranks(uri: str) -> np.ndarray:
+    raw = _load(uri)
+    if raw[:8] != RANKS:
+        raise ValueError("not a rank table")
+    return np.frombuffer(raw, "<u4", offset=8)
+
+
+def encoded(docs: DataFrame, tokenizer: str, end: int = 1, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """(id, wide, ids) of each row: its ids, 16 bits each or 32 where ``wide``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = word_ids(tokenizer)
+        kind = np.dtype("<u4") if end > 0xFFFF else words.kind
+        last = np.array([end], kind).tobytes()
+        for whole in batches:
+            for k in range(0, whole.num_rows, 128):
+                batch = whole.slice(k, 128)
+                ids = [np.frombuffer(raw, np.uint32).astype(kind).tobytes() + last for raw in words.of(batch.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([kind.itemsize == 4] * len(ids), pa.bool_()), pa.array(ids, pa.binary())], ["id", "wide", "ids"])
+
+    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, wide boolean, ids binary")
+
+
+def _numbers(batch: pa.RecordBatch) -> list[np.ndarray]:
+    wide = batch.column("wide")[0].as_py() if batch.num_rows else False
+    return [np.frombuffer(x, "<u4" if wide else "<u2") for x in batch.column("ids").to_pylist()]
+
+
+def id_counts(rows: DataFrame) -> np.ndarray:
+    """How often ``encoded`` rows have each id, by id: no more numbers than the
+    tokenizer has ids. Tasks add up before they send."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                got = np.bincount(np.concatenate(_numbers(batch.slice(k, 512))))
+                if len(got) > len(total):
+                    total, got = got, total
+                total[: len(got)] += got
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["token", "n"])
+
+    got = rows.select("wide", "ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(int(got.column("token").to_numpy().max(initial=-1)) + 1, np.int64)
+    counts[got.column("token").to_numpy()] = got.column("n").to_numpy()
+    return counts
+
+
 def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, end: int = 1, text: str = "text", id: str = "doc_id", file_ids: int = FILE_IDS) -> DataFrame:
     """Encode ``docs`` into files under ``path``; returns their manifest (part, file,
-    path, docs, ids), in ascending document id by (part, file).
+    path, ranks, docs, ids), in ascending document id by (part, file).
 
-    A null text is an empty one: its end id alone. Null ids come first; rows of
+    Ids are those of the tokenizers library for the whole text, with any of its
+    files. A null text is an empty one: its end id alone. Null ids come first; rows of
     one id stand next to each other. A file ends after the document that fills
     it, and a document is never cut. Files of tasks that were run again are not
     in the manifest.
     """
     path = path or new_path(docs.sparkSession, "token-files")
+    rows = stored(encoded(docs, tokenizer, end, text, id), "encoded", compression="zstd")
+    counts = id_counts(rows)
+    by_rank, rank_of = ranked(np.arange(len(counts)), counts)
+    table = f"{path}/{uuid.uuid4().hex}.ranks"
+    _save(table, RANKS + by_rank.astype("<u4").tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words = word_ids(tokenizer)
         part, number, names, parts, held = TaskContext.get().partitionId(), 0, [], [], 0
-        last = np.array([end], np.uint32)
-        store, root = filesystem(path)
-        store.create_dir(root, recursive=True)
 
         def flush() -> pa.RecordBatch:
             nonlocal number, names, parts, held
-            name = f"{part:06d}-{number:06d}-{uuid.uuid4().hex}.ids"
-            with store.open_output_stream(f"{root}/{name}") as out:
-                out.write(file_bytes(names, parts))
-            row = pa.RecordBatch.from_pylist([{"part": part, "file": number, "path": f"{path}/{name}", "docs": len(names), "ids": held}], MANIFEST)
+            name = f"{path}/{part:06d}-{number:06d}-{uuid.uuid4().hex}.ids"
+            _save(name, file_bytes(names, np.array([len(x) for x in parts]), rank_of[np.concatenate(parts)]))
+            row = pa.RecordBatch.from_pylist([{"part": part, "file": number, "path": name, "ranks": table, "docs": len(names), "ids": held}], MANIFEST)
             number, names, parts, held = number + 1, [], [], 0
             return row
 
-        for whole in batches:
-            for k in range(0, whole.num_rows, 128):
-                batch = whole.slice(k, 128)
-                for doc, raw in zip(batch.column("id").to_pylist(), words.of(batch.column("text").to_pylist()), strict=True):
-                    names.append(doc)
-                    parts.append(np.concatenate([np.frombuffer(raw, np.uint32), last]))
-                    held += len(parts[-1])
-                    if held >= file_ids:
-                        yield flush()
+        for batch in batches:
+            for doc, ids in zip(batch.column("id").to_pylist(), _numbers(batch), strict=True):
+                names.append(doc)
+                parts.append(ids)
+                held += len(ids)
+                if held >= file_ids:
+                    yield flush()
         if names:
             yield flush()
 
-    texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    ordered = texts.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"), "text")
-    return stored(ordered.mapInArrow(run, "part long, file long, path string, docs long, ids long"), "manifest")
+    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("ids"), "ids")
+    manifest = stored(ordered.mapInArrow(run, "part long, file long, path string, ranks string, docs long, ids long"), "manifest")
+    discard(rows)
+    return manifest
 
 
-MANIFEST = pa.schema([("part", pa.int64()), ("file", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
+MANIFEST = pa.schema([("part", pa.int64()), ("file", pa.int64()), ("path", pa.string()), ("ranks", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
 
 
 def read_ids(spark: SparkSession, manifest: DataFrame, tokens: bool = False) -> DataFrame:
@@ -236,11 +304,12 @@ def read_ids(spark: SparkSession, manifest: DataFrame, tokens: bool = False) ->
     schema = "id long, start long, n_tokens long, ids_crc32 long" + ", tokens array<int>" * tokens
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables_: dict[str, np.ndarray] = {}
         for batch in batches:
-            for path, start in zip(batch["path"], batch["before"], strict=True):
-                store, at = filesystem(path)
-                with store.open_input_file(at) as f:
-                    ids, lengths, all_ids = parse_file(f.read())
+            for path, ranks, start in zip(batch["path"], batch["ranks"], batch["before"], strict=True):
+                if ranks not in tables_:
+                    tables_ = {ranks: load_ranks(ranks)}
+                ids, lengths, all_ids = parse_file(_load(path), tables_[ranks])
                 first = np.cumsum(lengths) - lengths
                 parts = [all_ids[a : a + n] for a, n in zip(first, lengths, strict=True)]
                 out = pd.DataFrame({"id": pd.array(ids, "Int64"), "start": first + start, "n_tokens": lengths, "ids_crc32": [zlib.crc32(np.ascontiguousarray(p, "<u4").tobytes()) for p in parts]})

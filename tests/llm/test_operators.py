@@ -569,6 +569,55 @@ def test_letters_that_end_in_a_combining_mark(spark):
     assert [r.ids_crc32 for r in got] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
 
 
+def mismatches(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, words = Tokenizer.from_file(path), token_ids.WordIds(path)
+    assert words.apart
+    out = []
+    for k in range(0, len(texts), 1000):
+        some = texts[k : k + 1000]
+        for t, got, want in zip(some, words.of(some), tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            if np.frombuffer(got, "<u4").tolist() != want.ids:
+                out.append(t)
+    return out
+
+
+def test_every_character_beside_marks():
+    """Before a mark, behind one, alone and doubled; of the large blocks of one
+    kind of character, every 37th."""
+    large = ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xAC00, 0xD7A4), (0xE000, 0xF900), (0x17000, 0x18D00), (0x20000, 0x110000))
+    chars = [chr(k) for k in range(1, 0x110000) if not 0xD800 <= k < 0xE000 and (k % 37 == 0 or not any(a <= k < b for a, b in large)) and unicodedata.category(chr(k)) != "Cn"]
+    assert len(chars) > 39_000
+    assert mismatches([f"{c}! !{c} {c} {c}{c} a{c}, {c}a." for c in chars]) == []
+
+
+def test_random_texts_have_the_librarys_ids():
+    r = random.Random(12)
+    some = "aZé.,!'-\u0301 \t\n\x0b\x1c\x85\u00a0\u3000\u0130\u03a3ς\u0928\u093c\u0958\u09df1٣½<|>_s\u0338=ßǅ\u1e9b\u0323ﬁ中か가\u200d😀"
+    texts = ["".join(r.choice(some) for _ in range(r.randint(1, 14))) for _ in range(100_000)]
+    assert mismatches(texts) == []
+    assert mismatches([t.replace("a", "<|endoftext|>") for t in texts[:2000]]) == []
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_other_tokenizers_get_whole_texts(spark, name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    tokenizer = Tokenizer.from_file(path)
+    assert token_ids.by_words(path) == name.startswith("word")
+    texts = [None, "", "Two  words\nand more", "é x İ! ", " lead", *ODD]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    manifest = token_ids.write_ids(df, path, end=100_000, file_ids=50)
+    got = token_ids.read_ids(spark, manifest, tokens=True).orderBy("id").collect()
+    assert [r.tokens for r in got] == [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 100_000] for t in texts]
+    assert manifest.select("ranks").distinct().count() == 1  # one table for all files
+
+
 # packing
 
 
