@@ -56,6 +56,17 @@ def without(docs: DataFrame, lost: DataFrame, *keys: Column) -> DataFrame:
     return docs.join(lost.toDF(*names).distinct(), same, "left_anti")
 
 
+def single_rows(docs: DataFrame, repeated: DataFrame, key: Column) -> DataFrame:
+    """``docs``, all columns as they are, with one row for each value of ``key`` that
+    ``repeated``, a written table, lists; all other rows stay where they are."""
+    if repeated.isEmpty():
+        return docs
+    name = fresh(docs, "repeated")
+    repeated = repeated.toDF(name).distinct()
+    held = docs.withColumn(name, key).join(repeated, name, "left_semi").dropDuplicates([name])
+    return without(docs, repeated, key).unionByName(held.select(*docs.columns))
+
+
 def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """``df`` written once to the shared folder and read from there.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, without
+from .common import single_rows, stored, without
 
 KEY = ["digest", "bytes", "proof"]
 
@@ -78,24 +78,18 @@ def _digest(text: str) -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
 
-def drop_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", keep: str = "largest", single: bool = False) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that exact copies leave.
+def drop_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", keep: str = "largest", single: bool = True) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that exact copies leave: one
+    row of each text.
 
     Texts are moved once, by id and digest. Rows without id go where another of
-    their text has one. Repeated rows of the kept id stay, and rows without id
-    where none of their text has one; with ``single`` one row of them does. Only
+    their text has one. Of repeated rows of the kept id, and of a text whose rows
+    all lack an id, one is left; without ``single`` they all stay. Only
     texts that have such rows are looked at again.
     """
-    groups = exact_groups(docs, text, id, keep)
-    if single:
-        groups = stored(groups, "verdicts")
+    groups = stored(exact_groups(docs, text, id, keep), "verdicts")
     rows = without(docs, groups.where("not kept").select(id, F.unhex("text_sha256")), F.col(id), _digest(text))
     if not single:
         return rows
     again = stored(groups.where("kept").groupBy("text_sha256").count().where("count > 1").select(F.unhex("text_sha256").alias("digest")), "repeated")
-    if again.isEmpty():
-        return rows
-    name = fresh(docs, "digest")
-    held = docs.withColumn(name, _digest(text)).join(again.withColumnRenamed("digest", name), name, "left_semi")
-    held = without(held, groups.where("not kept").select(id, F.unhex("text_sha256")), F.col(id), F.col(name))
-    return without(rows, again, _digest(text)).unionByName(held.dropDuplicates([name]).select(*docs.columns))
+    return single_rows(rows, again, _digest(text))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _jump(parents: DataFrame) -> DataFrame:
@@ -24,18 +24,23 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     edges = stored(edges, "links")
-    rounds = []
-    names = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
+    first, rounds = edges, []
     while not edges.isEmpty():
         # written before the jumps: a hub that many nodes share is then a plain join key, whose rows can be split
-        parents = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")), "hooks")
-        parents = stored(_jump(_jump(parents)), "parents")
+        hooks = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")), "hooks")
+        parents = stored(_jump(_jump(hooks)), "parents")
         rounds.append(parents)
+        renamed = edges
         for end in ("a", "b"):
             up = parents.select(F.col("node").alias(end), F.col("parent").alias("_up"))
-            edges = edges.join(up, end, "left").withColumn(end, F.coalesce("_up", end)).drop("_up")
-        edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+            renamed = renamed.join(up, end, "left").withColumn(end, F.coalesce("_up", end)).drop("_up")
+        renamed = stored(renamed.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        discard(hooks, *([edges] if edges is not first else []))
+        edges = renamed
+    names = first.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
     for parents in rounds:
         up = parents.select(F.col("node").alias("component"), F.col("parent").alias("_up"))
         names = names.join(up, "component", "left").select("node", F.coalesce("_up", "component").alias("component"))
-    return stored(names, "components")
+    out = stored(names, "components")
+    discard(first, *rounds, *([edges] if edges is not first else []))
+    return out

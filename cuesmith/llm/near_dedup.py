@@ -8,7 +8,12 @@ more often the more they have in common. Documents meet when they agree on all
 registers of a band. Of two that meet, the number of registers that are larger,
 smaller and equal gives the likelihood of their Jaccard similarity; only pairs
 whose most likely similarity is within four standard errors of the threshold are
-compared, on their full sets.
+compared, on their full sets. Registers and sizes are compared before any text
+moves: texts are joined only to what is left.
+
+Rows of one text and id are one document, known by its id and the hash of its
+text, so an id that repeats with other texts is told apart. Rows whose sets look
+equal make a class and are confirmed on their sets against the class's first.
 
 With 32 bands of 5, two sets at similarity 0.8 meet in no band with probability
 3e-6. Nothing caps a bucket: one that holds documents of several components is
@@ -25,14 +30,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, without
+from .common import discard, single_rows, stored, without
 from .graph import components
 
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
-BLOCK = 512
+#: Documents of a bucket in a block, and of a hub's members in one.
+BLOCK, STAR = 512, 4096
 #: Distinct words whose hashes a worker keeps at a time.
 KNOWN_WORDS = 500_000
 
@@ -81,20 +87,28 @@ def shingles(words: list[bytes], size: int) -> frozenset:
 
 
 def shingle_hashes(words: list[bytes], size: int, known: dict[bytes, int]) -> np.ndarray:
-    """A 64-bit hash of each distinct shingle, in order of value."""
+    """A 64-bit hash of each distinct shingle. Shingles are told apart by their
+    words and not by the hashes, so there are as many as the set has members."""
     if not words:
         return np.empty(0, np.uint64)
     if len(known) > KNOWN_WORDS:
         known.clear()
-    for w in words:
+    place: dict[bytes, int] = {}
+    ids = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words))
+    for w in place:
         if w not in known:
             known[w] = xxhash.xxh64_intdigest(w)
-    each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    size = min(size, len(words))
-    h = mixed(each[: len(words) - size + 1] + np.uint64(size))
+    each = np.fromiter(map(known.__getitem__, place), np.uint64, len(place))[ids]
+    size, distinct = min(size, len(words)), len(place)
+    m = len(words) - size + 1
+    h, key, kinds = mixed(each[:m] + np.uint64(size)), ids[:m], distinct
     for k in range(1, size):
-        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + each[k : len(words) - size + 1 + k])
-    return np.unique(h)
+        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + each[k : m + k])
+        if kinds * distinct >= 2**62:
+            seen, key = np.unique(key, return_inverse=True)
+            kinds = len(seen)
+        key, kinds = key * distinct + ids[k : m + k], kinds * distinct
+    return h[np.unique(key, return_index=True)[1]]
 
 
 def registers(hashes: np.ndarray, sketch: Sketch, seeds: np.ndarray) -> np.ndarray:
@@ -111,9 +125,14 @@ def seeds_of(sketch: Sketch) -> np.ndarray:
     return mixed(np.arange(1, sketch.registers + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def text_hash(text: str) -> Column:
+    """With the id, what tells a row's text from others; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def sketched(docs: DataFrame, sketch: Sketch, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(id, n, print, registers) of each row: size of its set, 128 bits that stand
-    for the set (null for the empty one), and its registers."""
+    """(id, th, n, print, registers) of each row: its text's hash, size of its set,
+    128 bits that stand for the set (null for the empty one), and its registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -125,13 +144,14 @@ def sketched(docs: DataFrame, sketch: Sketch, text: str = "text", id: str = "doc
                 n.append(len(h))
                 prints.append(mixed(h).sum(dtype=np.uint64).tobytes() + mixed(~h).sum(dtype=np.uint64).tobytes() if len(h) else None)
                 regs.append(registers(h, sketch, seeds).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(regs, pa.binary())], ["id", "n", "print", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(regs, pa.binary())], ["id", "th", "n", "print", "registers"])
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, print binary, registers binary")
+    rows = docs.select(F.col(id).cast("long").alias("id"), text_hash(text).alias("th"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "id long, th long, n long, print binary, registers binary")
 
 
 def banded(classes: DataFrame, sketch: Sketch) -> DataFrame:
-    """(id, band, key) for each band of each sketch."""
+    """(node, band, key) for each band of each class's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,10 +161,10 @@ def banded(classes: DataFrame, sketch: Sketch) -> DataFrame:
                 key = np.broadcast_to(np.arange(sketch.bands, dtype=np.uint64), (rows, sketch.bands))
                 for k in range(sketch.rows):
                     key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + r[:, :, k] + np.uint64(1))
-                ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), sketch.bands)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.tile(np.arange(sketch.bands, dtype=np.int32), rows)), pa.array(key.ravel().view(np.int64))], ["id", "band", "key"])
+                ids = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), sketch.bands)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.tile(np.arange(sketch.bands, dtype=np.int32), rows)), pa.array(key.ravel().view(np.int64))], ["node", "band", "key"])
 
-    return classes.select("id", "registers").mapInArrow(run, "id long, band int, key long")
+    return classes.select("node", "registers").mapInArrow(run, "node long, band int, key long")
 
 
 def likely(larger: np.ndarray, smaller: np.ndarray, equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, at: float, base: float) -> np.ndarray:
@@ -168,41 +188,70 @@ def similar(a: frozenset, b: frozenset, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _hub_links(pairs: DataFrame, texts: DataFrame, sketch: Sketch) -> DataFrame:
-    """The pairs (a, b) that hold on their full sets."""
+def likely_pairs(pairs: DataFrame, classes: DataFrame, sketch: Sketch) -> DataFrame:
+    """The pairs (a, b) that sizes and registers leave; no text is looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hub = None, frozenset()
         for batch in batches:
-            got = batch.to_pydict()
-            a, b, keep = got["a"], got["b"], []
-            if a:
-                ra, rb = (np.frombuffer(b"".join(got[k]), np.uint16).reshape(len(a), -1) for k in ("ra", "rb"))
-                na, nb = np.array(got["na"], float), np.array(got["nb"], float)
-                ok = 100 * np.minimum(na, nb) >= sketch.percent * np.maximum(na, nb)
-                ok &= likely((ra > rb).sum(1), (ra < rb).sum(1), (ra == rb).sum(1), na, nb, sketch.floor, sketch.base)
-                for k in np.flatnonzero(ok):
-                    if b[k] != last:
-                        last, hub = b[k], shingles(words_of(got["tb"][k]), sketch.words)
-                    if similar(shingles(words_of(got["ta"][k]), sketch.words), hub, sketch.percent):
-                        keep.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], ["a", "b"])
-
-    one = texts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"), F.col("text").alias("ta"))
-    two = texts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"), F.col("text").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb", "ta", "tb").mapInArrow(run, "a long, b long")
+            if batch.num_rows:
+                ra, rb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for k in ("ra", "rb"))
+                na, nb = (batch.column(k).to_numpy().astype(float) for k in ("na", "nb"))
+                ok = likely((ra > rb).sum(1), (ra < rb).sum(1), (ra == rb).sum(1), na, nb, sketch.floor, sketch.base)
+                yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    one = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
+    two = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
+    # a hub's sizes and registers are repeated for its members, 330 bytes each; its text is not
+    both = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= sketch.percent * F.greatest("na", "nb"))
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _stars(rows: DataFrame, texts: DataFrame, sketch: Sketch) -> DataFrame:
+    """``rows`` (hub, kind, key, node) with ``ok``: whether the text of ``key`` is
+    linked with the hub's (kind 1), or has the very set of it (kind 0).
+
+    ``texts`` has (key, node, first, text). Members go to blocks of about STAR, so
+    no task holds a hub's members, and the hub's text travels once a block.
+    """
+    blocks = rows.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("blocks"))
+    members = rows.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    members = members.join(texts.select("key", "text"), "key").select("hub", "block", "kind", "key", "node", "text")
+    hubs = blocks.join(texts.where("first").select(F.col("node").alias("hub"), "text"), "hub")
+    hubs = hubs.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(-1).alias("kind"), F.lit(None).cast("string").alias("key"), F.col("hub").alias("node"), "text")
+    order = ["hub", "block", "kind"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        body, hub = None, frozenset()
+        for batch in batches:
+            out = []
+            for at, kind, key, node, text in zip(*(batch.column(c).to_pylist() for c in ("hub", "kind", "key", "node", "text")), strict=True):
+                if kind < 0:
+                    body, hub = text, shingles(words_of(text), sketch.words)
+                elif kind == 0:
+                    out.append((at, kind, key, node, text == body or shingles(words_of(text), sketch.words) == hub))
+                else:
+                    out.append((at, kind, key, node, similar(shingles(words_of(text), sketch.words), hub, sketch.percent)))
+            yield pa.RecordBatch.from_pylist([dict(zip(("hub", "kind", "key", "node", "ok"), r, strict=True)) for r in out], CHECKED)
+
+    every = hubs.unionByName(members).repartition("hub", "block").sortWithinPartitions(*order)
+    return every.mapInArrow(run, "hub long, kind int, key string, node long, ok boolean")
+
+
+CHECKED = pa.schema([("hub", pa.int64()), ("kind", pa.int32()), ("key", pa.string()), ("node", pa.int64()), ("ok", pa.bool_())])
 
 
 def block_links(rows: pd.DataFrame, sketch: Sketch) -> list[tuple[int, int]]:
-    """Links across the components of one block pair, enough to join them.
+    """Links across the components of one block pair, enough to join them; from rows
+    without texts, one (node, node) for each that has a likely partner.
 
     A pair is looked at in the first band that it shares. Ends that links of
     this block already join are passed over: they are in one component.
     """
-    ids, comps, n = rows["id"].to_numpy(), rows["component"].to_numpy(), rows["n"].to_numpy().astype(float)
+    ids, comps, n = rows["node"].to_numpy(), rows["component"].to_numpy(), rows["n"].to_numpy().astype(float)
     regs = np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(len(rows), -1)
-    texts, outside = rows["text"].to_numpy(), rows["outside"].to_numpy()
+    texts, outside = rows["text"].to_numpy() if "text" in rows else None, rows["outside"].to_numpy()
     band = int(rows["band"].iloc[0])
+    wanted = np.zeros(len(rows), bool)
     sets: dict[int, frozenset] = {}
     top: dict[int, int] = {}
 
@@ -231,51 +280,152 @@ def block_links(rows: pd.DataFrame, sketch: Sketch) -> list[tuple[int, int]]:
             continue
         larger, equal = (regs[i] > regs[others]).sum(1), same.sum(1)
         ok = likely(larger, sketch.registers - larger - equal, equal, n[i], n[others], sketch.floor, sketch.base)
+        if texts is None:
+            wanted[others[ok]] = True
+            wanted[i] |= ok.any()
+            continue
         for k in sorted(np.flatnonzero(ok), key=lambda k: -equal[k]):
             j = others[k]
             ci, cj = root(comps[i]), root(comps[j])
             if ci != cj and similar(set_of(i), set_of(j), sketch.percent):
                 top[max(ci, cj)] = min(ci, cj)
                 found.append((int(ids[i]), int(ids[j])))
-    return found
+    return found if texts is not None else [(int(x), int(x)) for x in ids[wanted]]
+
+
+PAIR = ["key", "band", "kind", "i", "j"]
 
 
-def _cross_links(shared: DataFrame, labels: DataFrame, texts: DataFrame, sketch: Sketch) -> DataFrame:
-    """Links between components that meet in a bucket, all pairs considered.
+def bucket_blocks(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(PAIR, node, component, outside): where documents whose components meet in a
+    bucket are to be compared.
 
-    A bucket with one component is settled. In any other the largest component
+    A bucket with one component is settled, and of buckets with the same members
+    the first band's stands for all. In any other the largest component
     is the main one and the rest are outsiders: each block of outsiders meets
     each block of the main component and each block of outsiders. A block holds
     about BLOCK documents, so no task holds a bucket.
     """
-    named = shared.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = named.groupBy("band", "key", "component").count()
-    mixed_ = sizes.groupBy("band", "key").agg(F.max(F.struct("count", F.col("component").alias("main"))).alias("top"), F.sum("count").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    named = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = named.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("count"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"))
+    mixed_ = sizes.groupBy("band", "key").agg(F.max(F.struct("count", F.col("component").alias("main"))).alias("top"), F.sum("count").alias("all"), F.count(F.lit(1)).alias("parts"), F.sum("members").alias("members")).where("parts > 1")
+    mixed_ = mixed_.groupBy("members", "all", "parts", "top").agg(F.min(F.struct("band", "key")).alias("at")).select("at.band", "at.key", "top", "all")
     mixed_ = mixed_.select("band", "key", "top.main", F.ceil(F.col("top.count") / BLOCK).alias("n_in"), F.ceil((F.col("all") - F.col("top.count")) / BLOCK).alias("n_out"))
     rows = named.join(mixed_, ["band", "key"]).withColumn("outside", F.col("component") != F.col("main"))
-    own = F.pmod(F.xxhash64("id"), F.when(F.col("outside"), F.col("n_out")).otherwise(F.col("n_in")))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("outside"), F.col("n_out")).otherwise(F.col("n_in")))
     numbers = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("i"), j.cast("long").alias("j"))
     outsider = F.concat(F.transform(numbers(F.col("n_in")), lambda j: pair("main", F.col("own"), j)), F.transform(numbers(F.col("n_out")), lambda k: pair("out", F.least("own", k), F.greatest("own", k))))
     member = F.transform(numbers(F.col("n_out")), lambda i: pair("main", i, F.col("own")))
-    blocks = rows.withColumn("own", own).select("band", "key", "id", "component", "outside", F.explode(F.when(F.col("outside"), outsider).otherwise(member)).alias("at"))
-    # two outsiders of one component alone make no pair
-    blocks = blocks.select("band", "key", "at.*", "id", "component", "outside").join(texts, "id")
-    order = ["key", "band", "kind", "i", "j"]
+    blocks = rows.withColumn("own", own).select("band", "key", "node", "component", "outside", F.explode(F.when(F.col("outside"), outsider).otherwise(member)).alias("at"))
+    return blocks.select("band", "key", "at.*", "node", "component", "outside")
+
+
+def _by_block(blocks: DataFrame, sketch: Sketch) -> DataFrame:
+    """``block_links`` of each block pair with more than one component, as (PAIR, a, b)."""
+
+    def made(g: pd.DataFrame) -> pd.DataFrame:
+        links = block_links(g, sketch) if g["component"].nunique() > 1 else []
+        out = pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+        for c in reversed(PAIR):
+            out.insert(0, c, g[c].iloc[0])
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_: pd.DataFrame | None = None
         for batch in batches:
             if open_ is not None:
                 batch = pd.concat([open_, batch], ignore_index=True)
-            groups = [g for _, g in batch.groupby(order, sort=False)]
+            groups = [g for _, g in batch.groupby(PAIR, sort=False)]
             open_ = groups.pop() if groups else None
-            links = [x for g in groups if g["component"].nunique() > 1 for x in block_links(g, sketch)]
-            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-        if open_ is not None and open_["component"].nunique() > 1:
-            yield pd.DataFrame(block_links(open_, sketch), columns=["a", "b"], dtype="int64")
+            for g in groups:
+                yield made(g)
+        if open_ is not None:
+            yield made(open_)
+
+    return blocks.repartition(*PAIR).sortWithinPartitions(*PAIR).mapInPandas(run, "key long, band int, kind string, i long, j long, a long, b long")
+
+
+def wanted_blocks(blocks: DataFrame, classes: DataFrame, sketch: Sketch) -> DataFrame:
+    """The rows of ``blocks`` that sizes and registers leave a likely partner in
+    their block pair: those alone need their texts."""
+    some = _by_block(blocks.join(classes.select("node", "n", "registers"), "node"), sketch)
+    return blocks.join(some.select(*PAIR, F.col("a").alias("node")), [*PAIR, "node"], "left_semi")
+
+
+def _classes(every: DataFrame) -> DataFrame:
+    """One row per set: print, alt, node, rows, first (the row that stands for it), n, registers."""
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th")).alias("first")
+    sets = every.where("n > 0").groupBy("print", "alt").agg(F.count(F.lit(1)).alias("rows"), first, F.first("n").alias("n"), F.first("registers").alias("registers"))
+    return stored(sets.withColumn("node", F.monotonically_increasing_id()), "classes")
+
 
-    return blocks.repartition(*order).sortWithinPartitions(*order).mapInPandas(run, "a long, b long")
+def _key(id: str = "id", th: str = "th") -> Column:
+    """A row's id and text hash as one string."""
+    return F.concat_ws(":", F.coalesce(F.col(id).cast("string"), F.lit("-")), F.hex(th))
+
+
+def _linked(docs: DataFrame, every: DataFrame, sketch: Sketch, text: str, id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, component of each linked class, rows whose set is not their class's)."""
+    classes = _classes(every)
+    bands = banded(classes, sketch)
+    hubs = bands.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = stored(bands.join(hubs, ["band", "key"]), "shared")
+    # first each class against the smallest it meets, then what is still apart
+    pairs = shared.groupBy(F.col("node").alias("a")).agg(F.min("hub").alias("b")).where("b < a")
+    pairs = stored(likely_pairs(pairs, classes, sketch), "pairs")
+    some = classes.where("rows > 1").select("print", "alt", F.col("node").alias("hub"), F.col("first").alias("_first"))
+    rows_ = every.where("n > 0").select("id", "th", "print", "alt").join(some, ["print", "alt"]).where(~((F.col("id").eqNullSafe(F.col("_first.id"))) & (F.col("th") == F.col("_first.th"))))
+    copies = rows_.select("hub", F.lit(0).alias("kind"), _key().alias("key"), F.col("hub").alias("node")).distinct()
+    firsts = classes.select("node", _key("first.id", "first.th").alias("key"))
+    near = pairs.select(F.col("b").alias("hub"), F.lit(1).alias("kind"), F.col("a").alias("node")).join(firsts, "node").select("hub", "kind", "key", "node")
+    star = stored(copies.unionByName(near), "stars")
+
+    bodies = docs.select(_key_of(id, text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if not every.groupBy("id", "th").count().where("count > 1").isEmpty():
+        bodies = bodies.dropDuplicates(["key"])  # before the join, so that a row that is there many times is no hot key
+    need = star.select("key", "node", (F.col("kind") == 1).alias("first")).union(star.select(F.col("hub").alias("node")).distinct().join(firsts, "node").select("key", "node", F.lit(True))).distinct()
+    texts = stored(bodies.join(need, "key"), "texts")
+    checked = stored(_stars(star, texts, sketch), "checked")
+    links = checked.where("ok and kind = 1").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    wrong = checked.where("not ok and kind = 0").select("key")
+    labels = components(links)
+    blocks = stored(bucket_blocks(shared, labels), "blocks")
+    if not blocks.isEmpty():
+        wanted = stored(wanted_blocks(blocks, classes, sketch), "wanted")
+        bodies = stored(bodies.join(wanted.select("node").distinct().join(firsts, "node"), "key").select("node", "text"), "texts")
+        more = stored(_by_block(wanted.join(classes.select("node", "n", "registers"), "node").join(bodies, "node"), sketch).select("a", "b"), "cross-links")
+        if not more.isEmpty():
+            labels, old = components(links.union(more)), labels
+            discard(old)
+        discard(wanted, bodies, more)
+    discard(shared, pairs, star, texts, blocks)
+    return classes, labels, wrong
+
+
+def _key_of(id: str, text: str) -> Column:
+    return F.concat_ws(":", F.coalesce(F.col(id).cast("long").cast("string"), F.lit("-")), F.hex(text_hash(text)))
+
+
+def _verdicts(docs: DataFrame, sketch: Sketch, text: str, id: str) -> DataFrame:
+    """(id, th, n, component, key) of each row; ``component`` is its smallest id and
+    ``key`` the row that stands for it."""
+    sketches = stored(sketched(docs, sketch, text, id), "sketches")
+    every = sketches.withColumn("alt", F.lit(0).cast("long"))
+    classes, labels, wrong = _linked(docs, every, sketch, text, id)
+    if not wrong.isEmpty():  # equal prints of different sets: those rows become classes of their own
+        other = wrong.withColumnRenamed("key", "_key").distinct()
+        every = stored(every.join(other, _key() == F.col("_key"), "left").withColumn("alt", F.when(F.col("_key").isNotNull(), F.col("th")).otherwise(F.lit(0).cast("long"))).drop("_key"), "apart")
+        discard(classes, labels)
+        classes, labels, _ = _linked(docs, every, sketch, text, id)
+    named = classes.select("print", "alt", "node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    names = named.groupBy("label").agg(F.min("first").alias("least"))
+    named = named.join(names, "label").select("print", "alt", "least")
+    full = every.where("n > 0").drop("registers").join(named, ["print", "alt"]).select("id", "th", "n", F.col("least.id").alias("component"), _key("least.id", "least.th").alias("key"))
+    rest = every.where("n = 0").select("id", "th", "n", F.col("id").alias("component"), _key().alias("key"))
+    out = stored(full.union(rest), "verdicts")
+    discard(sketches, classes, labels)
+    return out
 
 
 def near_groups(docs: DataFrame, sketch: Sketch = Sketch(), text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -285,31 +435,22 @@ def near_groups(docs: DataFrame, sketch: Sketch = Sketch(), text: str = "text",
     ``percent`` similarity reach; it is named by its smallest id, the one kept.
     Null, empty and wordless texts have empty sets, link with nothing and are
     kept. Documents with equal sets are one class and are compared once. Rows of
-    one id count as one document and share a verdict; a row without id has a
-    null component and verdict. Other columns of the input play no part.
+    one id and text share a verdict; rows of one id with other texts are documents
+    of their own. A row without id links like any other, is named by the smallest
+    id it reaches, if any, and is kept only where it reaches none. Other columns of
+    the input play no part.
     """
-    every = stored(sketched(docs, sketch, text, id), "sketches")
-    some = every.where("n > 0 and id is not null")
-    classes = stored(some.groupBy("print").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes")
-    bands = banded(classes, sketch)
-    hubs = bands.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = stored(bands.join(hubs, ["band", "key"]), "shared")
-    meeting = classes.drop("print").join(shared.select("id").distinct(), "id")
-    texts = stored(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(meeting, "id").dropDuplicates(["id"]), "texts")
-    # first each document against the smallest it meets, then what is still apart
-    pairs = shared.groupBy(F.col("id").alias("a")).agg(F.min("hub").alias("b")).where("b < a")
-    links = stored(_hub_links(pairs, texts, sketch), "hub-links")
-    labels = components(links)
-    more = stored(_cross_links(shared, labels, texts, sketch), "cross-links")
-    if not more.isEmpty():
-        labels = components(links.union(more))
-    named = classes.select("print", "id").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("print", F.coalesce("component", "id").alias("component"))
-    full = every.where("n > 0 and id is not null").drop("registers").join(named, "print").select("id", "n", "component")
-    rest = every.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
-    return full.union(rest).select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    rows = _verdicts(docs, sketch, text, id)
+    return rows.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, sketch: Sketch = Sketch(), text: str = "text", id: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, all columns as they are, without those whose group
-    keeps another. Rows without id stay."""
-    return without(docs, near_groups(docs, sketch, text, id).where("not kept").select(id), F.col(id))
+    keeps another: of each group one row is left, that of the smallest id, and of
+    rows with that id or of groups without any id that of the smallest text hash.
+    Rows with empty sets all stay."""
+    rows = _verdicts(docs, sketch, text, id)
+    mine = _key_of(id, text)
+    lost = rows.where(_key() != F.col("key")).select(_key().alias("key"))
+    again = rows.where((F.col("n") > 0) & (_key() == F.col("key"))).groupBy("key").count().where("count > 1").select("key")
+    return single_rows(without(docs, lost, mine), again, mine)

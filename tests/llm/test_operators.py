@@ -163,7 +163,7 @@ def test_near_groups(odd, none, words):
     assert len(got) == len(odd_rows())
     for r in got:
         if r.doc_id is None:
-            assert r.component_id is None and r.kept is None
+            assert r.component_id is None and r.kept
         else:
             assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
     assert near_dedup.near_groups(none).count() == 0
@@ -222,6 +222,89 @@ def test_drop_near_copies(odd, none):
     assert near_dedup.drop_near_copies(none).count() == 0
 
 
+PAIRS = {"A": prose(90, 501), "B": prose(90, 502)}
+
+
+def keyed(spark, rows, parts=3):
+    return spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").repartition(parts)
+
+
+def test_ids_with_several_texts_lose_none(spark):
+    rows = [(i, PAIRS[x]) for i, x in ((3, "A"), (5, "A"), (5, "B"), (9, "B"))]
+    got = near_dedup.near_groups(keyed(spark, rows), near_dedup.Sketch(words=2)).collect()
+    assert by_id(got, "doc_id", "component_id", "kept") == [(3, 3, True), (5, 3, False), (5, 5, True), (9, 5, False)]
+    left = near_dedup.drop_near_copies(keyed(spark, rows))
+    assert by_id(left.collect(), "doc_id", "text") == sorted([(3, PAIRS["A"]), (5, PAIRS["B"])])
+    assert by_id(exact_dedup.drop_copies(keyed(spark, rows)).collect(), "doc_id", "text") == sorted([(5, PAIRS["A"]), (9, PAIRS["B"])])
+
+
+def test_one_id_with_two_near_texts(spark):
+    near = PAIRS["A"] + " tail"
+    got = near_dedup.drop_near_copies(keyed(spark, [(1, PAIRS["A"]), (1, near), (2, near)])).collect()
+    assert len(got) == 1 and got[0].doc_id == 1
+
+
+def test_repeated_rows_and_rows_without_id_leave_one(spark):
+    near = PAIRS["B"] + " tail"
+    rows = [(1, PAIRS["A"])] * 2 + [(2, PAIRS["B"])] * 3 + [(None, near)] * 2 + [(None, prose(90, 503))] * 3 + [(None, prose(90, 503) + " x")] + [(4, None), (4, None)]
+    for drop, texts in ((exact_dedup.drop_copies, 6), (near_dedup.drop_near_copies, 3)):
+        got = drop(keyed(spark, rows)).collect()
+        full = [r for r in got if r.text]
+        assert len(full) == len({r.text for r in full}) == (texts - 1 if drop is exact_dedup.drop_copies else texts)
+        assert {r.doc_id for r in full} >= {1, 2}
+    twice = spark.read.parquet(f"{SMALL}/documents.parquet")
+    twice = twice.union(twice)
+    once = exact_dedup.drop_copies(twice)
+    assert once.count() == once.select(F.coalesce("text", F.lit(""))).distinct().count() == twice.select(F.coalesce("text", F.lit(""))).distinct().count()
+    apart = near_dedup.drop_near_copies(twice.where("text rlike '[a-z]'"))
+    assert apart.count() == apart.select("doc_id").distinct().count() == near_dedup.near_groups(twice.where("text rlike '[a-z]'")).select("component_id").distinct().count()
+
+
+def test_equal_prints_are_confirmed_on_sets(spark, monkeypatch):
+    """Rows whose prints agree by accident do not become one class."""
+    plain = near_dedup.sketched
+
+    def clash(*args, **kw):
+        return plain(*args, **kw).withColumn("print", F.when(F.col("n") > 0, F.lit(b"same"))).withColumn("n", F.when(F.col("n") > 0, F.lit(80)).otherwise(F.col("n")))
+
+    monkeypatch.setattr(near_dedup, "sketched", clash)
+    rows = [(k, prose(81, 700 + k)) for k in range(6)] + [(10 + k, prose(81, 700 + k).upper()) for k in range(3)]
+    got = near_dedup.near_groups(keyed(spark, rows), near_dedup.Sketch(words=2)).collect()
+    assert all(r.kept for r in got if r.doc_id < 10)
+    assert {r.component_id for r in got if r.doc_id < 10} == set(range(6))
+
+
+def test_sets_are_counted_by_their_words():
+    for size in (1, 2, 5):
+        for text in ("", "a", "a b", "a b a b a b a b", prose(3000, 5), prose(40, 6) * 9):
+            words = near_dedup.words_of(text)
+            assert len(near_dedup.shingle_hashes(words, size, {})) == len(near_dedup.shingles(words, size))
+
+
+def hot_bucket(members, outsiders):
+    """Unrelated texts that all share one band's registers, in two components."""
+    rows = [(0, 77, k, 0 if k < members else k) for k in range(members + outsiders)]
+    return rows
+
+
+def test_a_hot_bucket_moves_no_texts_of_unlikely_pairs(spark):
+    sketch = near_dedup.Sketch(words=2)
+    rows = hot_bucket(700, 900)
+    shared = spark.createDataFrame([(k, band, key, 0) for band, key, k, _ in rows], "node long, band int, key long, hub long")
+    shared = shared.union(shared.withColumn("band", F.lit(3)))  # the same members again in a later band
+    labels = spark.createDataFrame([(k, c) for _, _, k, c in rows], "node long, component long")
+    seeds = near_dedup.seeds_of(sketch)
+    r = np.random.default_rng(9)
+    regs = [near_dedup.registers(r.integers(0, 2**63, 120).astype(np.uint64), sketch, seeds) for _ in rows]
+    regs[1500] = regs[5]  # one likely pair across the components
+    classes = spark.createDataFrame([(k, 120, bytearray(x.tobytes())) for k, x in enumerate(regs)], "node long, n long, registers binary")
+    blocks = near_dedup.bucket_blocks(shared, labels)
+    assert blocks.select("band").distinct().count() == 1  # equal buckets are looked at once
+    assert blocks.groupBy(*near_dedup.PAIR).count().agg(F.max("count")).first()[0] < 4 * near_dedup.BLOCK
+    wanted = near_dedup.wanted_blocks(blocks, classes, sketch)
+    assert {x.node for x in wanted.collect()} == {5, 1500} and wanted.count() == 2
+
+
 # class n-grams
 
 
