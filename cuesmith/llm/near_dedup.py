@@ -354,10 +354,13 @@ def wanted_blocks(blocks: DataFrame, classes: DataFrame, sketch: Sketch) -> Data
 
 
 def _classes(every: DataFrame) -> DataFrame:
-    """One row per set: print, alt, node, rows, first (the row that stands for it), n, registers."""
+    """One row per set: print, alt, node, rows, first (the row that stands for it), n,
+    registers. Nodes are numbered in the order of their ids: in a group of near copies
+    the first is most likely the one that the others were made of, which makes
+    it the best hub."""
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th")).alias("first")
     sets = every.where("n > 0").groupBy("print", "alt").agg(F.count(F.lit(1)).alias("rows"), first, F.first("n").alias("n"), F.first("registers").alias("registers"))
-    return stored(sets.withColumn("node", F.monotonically_increasing_id()), "classes")
+    return stored(sets.orderBy("first", "print").withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
 def _key(id: str = "id", th: str = "th") -> Column:
