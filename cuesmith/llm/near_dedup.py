@@ -324,24 +324,30 @@ def bucket_blocks(shared: DataFrame, labels: DataFrame) -> DataFrame:
 def _by_block(blocks: DataFrame, sketch: Sketch) -> DataFrame:
     """``block_links`` of each block pair with more than one component, as (PAIR, a, b)."""
 
-    def made(g: pd.DataFrame) -> pd.DataFrame:
-        links = block_links(g, sketch) if g["component"].nunique() > 1 else []
-        out = pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-        for c in reversed(PAIR):
-            out.insert(0, c, g[c].iloc[0])
-        return out
+    def made(groups: list[pd.DataFrame]) -> pd.DataFrame:
+        out = []
+        for g in groups:
+            comps = g["component"].to_numpy()
+            if (comps != comps[0]).any():
+                at = tuple(g[c].iloc[0] for c in PAIR)
+                out += [(*at, a, b) for a, b in block_links(g, sketch)]
+        return pd.DataFrame(out, columns=[*PAIR, "a", "b"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_: pd.DataFrame | None = None
         for batch in batches:
             if open_ is not None:
                 batch = pd.concat([open_, batch], ignore_index=True)
-            groups = [g for _, g in batch.groupby(PAIR, sort=False)]
-            open_ = groups.pop() if groups else None
-            for g in groups:
-                yield made(g)
+            if len(batch):
+                new = np.zeros(len(batch), bool)
+                for c in PAIR:
+                    x = batch[c].to_numpy()
+                    new[1:] |= x[1:] != x[:-1]
+                cuts = [0, *np.flatnonzero(new).tolist()]
+                open_ = batch.iloc[cuts[-1] :]
+                yield made([batch.iloc[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
         if open_ is not None:
-            yield made(open_)
+            yield made([open_])
 
     return blocks.repartition(*PAIR).sortWithinPartitions(*PAIR).mapInPandas(run, "key long, band int, kind string, i long, j long, a long, b long")
 

@@ -63,20 +63,65 @@ def no_hits() -> Column:
     return F.array().cast("array<struct<start: int, end: int, body: string, before: string>>")
 
 
+def summed(lengths: Column, width: int = 64) -> Column:
+    """For each element of an array of numbers the sum of those before it.
+
+    An array that grows in a fold is copied each time, so only short ones do:
+    runs of ``width`` are summed on their own, then the runs' totals in runs of
+    ``width`` again, and each run is shifted by what lies before it. A fold's array
+    has at most ``width`` elements, or one for each ``width ** 2`` of the input.
+    """
+    let = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  evaluates ``value`` once
+
+    def fold(total: Column, x: Column) -> Column:
+        return F.struct((total["at"] + x).alias("at"), F.concat(total["out"], F.array(total["at"])).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def runs(xs: Column, get) -> Column:
+        """(at, out) of each run; ``get`` takes an element to its number."""
+        n = F.floor((F.size(xs) + width - 1) / width).cast("int")
+        here = lambda k: F.sequence(k * width, F.least(k * width + width, F.size(xs)) - 1)
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.aggregate(here(k), start, lambda t, i: fold(t, get(F.get(xs, i)))))).otherwise(F.array().cast("array<struct<at: int, out: array<int>>>"))
+
+    def shifted(parts: Column, before: Column) -> Column:
+        return F.flatten(F.transform(parts, lambda p, k: let(F.get(before, k), lambda b: F.transform(p["out"], lambda x: x + b))))
+
+    def top(outer: Column) -> Column:
+        return F.aggregate(F.transform(outer, lambda p: p["at"]), start, fold)["out"]
+
+    def levels(inner: Column) -> Column:
+        return let(runs(inner, lambda p: p["at"]), lambda outer: let(top(outer), lambda heads: let(shifted(outer, heads), lambda before: shifted(inner, before))))
+
+    return let(lengths, lambda xs: let(runs(xs, lambda x: x), levels))
+
+
 def found(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches in order: array of (start, end, body, before);
-    places in code points, ``before`` the end of the gap in front."""
+    places in code points, ``before`` the end of the gap in front. The work grows
+    with the text and not with the square of its matches."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    let = lambda value, body: F.transform(F.array(value), body)[0]
+
+    def placed(pairs: Column) -> Column:
+        at = summed(F.transform(pairs, lambda x: F.length(x["gap"]) + F.length(x["body"])))
+
+        def hit(x: Column, before: Column) -> Column:
+            begin = before + F.length(x["gap"])
+            return F.struct(begin.alias("start"), (begin + F.length(x["body"])).alias("end"), x["body"].alias("body"), F.right(x["gap"], F.lit(BEFORE)).alias("before"))
+
+        return F.zip_with(pairs, at, hit)
+
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("body")))
-    start = F.struct(F.lit(0).alias("at"), no_hits().alias("out"))
+    return let(pairs, lambda p: F.when(F.size(p) == 0, no_hits()).otherwise(placed(p)))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["body"])
-        hit = F.struct(begin.alias("start"), end.alias("end"), x["body"].alias("body"), F.right(x["gap"], F.lit(BEFORE)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+def hidden(text: Column, kind: str) -> Column:
+    """The text with NUL for each character of the kind's base spans: what lies in
+    one is found no more, and all else keeps its place."""
+    gaps, hits = F.split(text, BASE[kind], -1), F.regexp_extract_all(text, F.lit(BASE[kind]), F.lit(0))
+    mask = lambda h: F.when(CHECKS[kind](h), F.repeat(F.lit("\0"), F.length(h))).otherwise(h)
+    return F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.coalesce(mask(h), F.lit("")))), "")
 
 
 def luhn(digits: Column) -> Column:
@@ -124,15 +169,16 @@ def votes(kind: str, base: bool, hit: Column) -> Column:
 
 
 def candidates(text: Column, kind: str) -> Column:
-    """Base spans of a kind that hold, and looser ones that touch none of them."""
+    """Base spans of a kind that hold."""
     base = F.filter(F.when(text.rlike(NEEDS[kind]), found(text, BASE[kind])).otherwise(no_hits()), lambda h: CHECKS[kind](h["body"]))
     return F.transform(base, lambda h: votes(kind, True, h))
 
 
-def loose_candidates(text: Column, kind: str, base: Column) -> Column:
-    clear = lambda h: ~F.exists(base, lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"]))
-    hits = F.when(text.rlike(HINT[kind]), found(text, LOOSE[kind])).otherwise(no_hits())
-    return F.transform(F.filter(hits, clear), lambda h: votes(kind, False, h))
+def loose_candidates(text: Column, kind: str) -> Column:
+    """Looser spans of a kind beside its base spans."""
+    rest = F.when(text.rlike(NEEDS[kind]), hidden(text, kind)).otherwise(text)
+    hits = F.when(text.rlike(HINT[kind]), found(rest, LOOSE[kind])).otherwise(no_hits())
+    return F.transform(hits, lambda h: votes(kind, False, h))
 
 
 def proposed(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -141,7 +187,7 @@ def proposed(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFra
     rows = docs.select(F.col(id).alias("id"), body.alias("_text"))
     for kind in KINDS:
         rows = rows.withColumn(f"_{kind}", candidates(F.col("_text"), kind))
-    return rows.select("id", *[F.concat(F.col(f"_{kind}"), loose_candidates(F.col("_text"), kind, F.col(f"_{kind}"))).alias(kind) for kind in KINDS])
+    return rows.select("id", *[F.concat(F.col(f"_{kind}"), loose_candidates(F.col("_text"), kind)).alias(kind) for kind in KINDS])
 
 
 def reliabilities(counts: Sequence[Row], rounds: int = 50) -> dict[str, tuple[float, dict[str, tuple[float, float]]]]:

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 import unicodedata
 import zipfile
 import zlib
@@ -405,6 +406,26 @@ def test_spans(spark):
         assert set(said.split(",")) <= set(r.spans.split(","))
 
 
+def test_sums_before_each_element(spark):
+    r = random.Random(6)
+    rows = [([r.randint(0, 9) for _ in range(n)],) for n in (0, 1, 2, 3, 4, 8, 9, 10, 27, 28, 80, 82, 700)]
+    df = spark.createDataFrame(rows, "x array<int>")
+    for width in (3, 64):
+        for r in df.select("x", personal_data.summed(F.col("x"), width).alias("s")).collect():
+            assert r.s == [sum(r.x[:k]) for k in range(len(r.x))]
+
+
+def test_work_grows_with_the_matches_and_not_their_square(spark):
+    small = spark.createDataFrame([(0, "a@b.co 1.2.3.4")], "doc_id long, text string")
+    took = []
+    for df in (small, spark.createDataFrame([(0, "a@b.co " * 80_000 + "1.2.3.4 " * 40_000 + "x(at)y.de " * 10_000)], "doc_id long, text string")):
+        start = time.time()
+        got = personal_data.find_personal_data(df).collect()[0]
+        took.append(time.time() - start)
+    assert (got.n_email, got.n_ip) == (80_000, 40_000) and got.spans.count("email") == 90_000 and got.spans.startswith("email:0:6,email:7:13,")
+    assert took[1] < took[0] + 10
+
+
 def test_looser_spans_are_added_and_plain_numbers_are_not(spark):
     texts = ["mail me at bob(at)host.com", "call (212) 555-1234 now", "tel 212-555-1234", "release 1234.5678.1234.5678 build", "order 111-222-3333 page", "nothing at all"]
     texts += [f"call +1 (212) 555-{k:04d} or mail a{k}@host.com from host 8.8.4.{k}" for k in range(60)]
