@@ -27,6 +27,8 @@ from .common import stored, words_in
 MAX_BLOCKS = 16_384
 #: Sources, at most: their weights are a configuration.
 MAX_SOURCES = 100_000
+#: Words to a shard, about; one task shuffles and writes it.
+SHARD_WORDS = 8_000_000
 PASSES = 2
 TAKE = ("_pass", "_shard", "_place")
 
@@ -85,12 +87,13 @@ def _order(id: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), id)
 
 
-def plan_mix(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, shards: int = 64, block_words: int = 50_000, seed: int = 5, max_blocks: int = MAX_BLOCKS) -> Mix:
+def plan_mix(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, shards: int | None = None, block_words: int = 50_000, seed: int = 5, max_blocks: int = MAX_BLOCKS) -> Mix:
     """Plan over ``sized`` (id, source, size), which is read several times.
 
     Sources in code-point order, null last, take the weights in turn. Whole
     documents are taken; the last block of a source's last pass is taken up to
-    the document nearest to the target.
+    the document nearest to the target. Without ``shards`` there are as many as
+    the mix has SHARD_WORDS, but no more than blocks.
     """
     spark = sized.sparkSession
     totals = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
@@ -101,6 +104,8 @@ def plan_mix(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share: floa
     goal = targets(sizes, [weights[k % len(weights)] for k in range(len(sizes))], share, float(PASSES))
     per = max(block_words, sum(sizes) // max_blocks)
     n_blocks = [max(1, -(-s // per)) for s in sizes]
+    if shards is None:
+        shards = max(1, min(sum(n_blocks), int(-(-sum(goal) // SHARD_WORDS))))
     rows = [(r.source, k, b, s, g) for k, (r, b, s, g) in enumerate(zip(totals, n_blocks, sizes, goal, strict=True))]
     sources = spark.createDataFrame(rows, "source string, source_no int, blocks long, source_size long, target double")
 
@@ -173,6 +178,11 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "
     return rows.select(*[F.col(f"row.{c}") for c in docs.columns if c not in TAKE], F.col("take.pass").alias("_pass"), F.col("take.shard").alias("_shard"), order.alias("_place"))
 
 
+def shuffled(mixed: DataFrame) -> DataFrame:
+    """The mixed rows shard by shard, each shuffled on its own by ``_place``."""
+    return mixed.repartition("_shard").sortWithinPartitions("_shard", "_place")
+
+
 def write_shards(mixed: DataFrame, path: str) -> None:
     """One folder a shard, each shuffled on its own by ``_place``."""
-    mixed.repartition("_shard").sortWithinPartitions("_shard", "_place").write.partitionBy("_shard").parquet(path)
+    shuffled(mixed).write.partitionBy("_shard").parquet(path)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import class_lm, exact_dedup, mixing, near_dedup, packing, personal_data, quality, token_ids, url_filter, web_archive
-from .common import table
+from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,9 +26,7 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-@query(
-    "op1_quality_ledger",
-    r"""
+LEDGER_SQL = r"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
     pos AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS k FROM d),
     win AS (SELECT doc_id, k, word || chr(10) || lead(word) OVER x || chr(10) || lead(word, 2) OVER x AS g FROM pos WINDOW x AS (PARTITION BY doc_id ORDER BY k)),
@@ -40,14 +39,32 @@ def query(name: str, oracle: str | None = None):
           FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id LEFT JOIN dup ON d.doc_id = dup.doc_id),
     f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (n_symbols * 10 > n_words)::BIGINT + 8 * (n_dup_lines * 2 > n_lines)::BIGINT
           + 16 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::BIGINT + 32 * (n_exclaims * 5 > n_words)::BIGINT + 64 * (n_capitals * 2 > word_chars)::BIGINT + 128 * (n_words > 1000000)::BIGINT + 256 * (longest_word > 1000)::BIGINT AS fail_bits FROM m)
-    SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits & 63 = 0 AS kept FROM f
-    """,
-)
+"""
+
+
+@query("op1_quality_ledger", LEDGER_SQL + "SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits & 63 = 0 AS kept FROM f")
 def op1(spark, sf_dir):
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", *quality.MEASURES, F.col("failed").alias("fail_bits"), (~quality.passes(quality.BASE)).alias("base_failed"), quality.passes(quality.POLICIES["v1"]).alias("kept"))
 
 
+@query(
+    "quality_ablations",
+    LEDGER_SQL
+    + """
+    , r(rule, bit) AS (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('repeated_lines', 8), ('word_length', 16), ('exclaims', 32), ('capitals', 64)),
+    p(policy, mask) AS (VALUES ('base', 3), ('v1', 63), ('v2', 127))
+    SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits & mask = bit) AS n_only, count(*) FILTER (fail_bits & mask = 0) AS n_kept,
+           count(*) FILTER (fail_bits & mask & ~bit = 0) AS n_kept_without, policy
+    FROM f, r, p WHERE mask & bit <> 0 GROUP BY rule, policy
+    """,
+)
+def quality_ablations(spark, sf_dir):
+    """What each rule costs each policy, from a ledger that is written once."""
+    ledger = stored(quality.ledger(table(spark, sf_dir, "documents")).select("failed"), "ledger")
+    return reduce(DataFrame.unionByName, [quality.ablations(ledger, p) for p in quality.POLICIES.values()])
+
+
 @query("op5_source_mixing")
 def op5(spark, sf_dir):
     sized = mixing.sizes(table(spark, sf_dir, "documents"))
@@ -95,6 +112,13 @@ def op10(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query("sequences_read_back")
+def sequences_read_back(spark, sf_dir):
+    """The same sequences written whole and read back: per piece the digest of its content."""
+    path = packing.write_sequences(packing.pack(table(spark, sf_dir, "documents")))
+    return packing.read_sequences(spark, path).withColumn("body", F.sha2("body", 256)).withColumnRenamed("body", "body_sha256")
+
+
 @query(
     "op2_setsketch_near_dedup",
     r"""

@@ -68,9 +68,14 @@ def plain_measures(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(repeated)
 
 
-def test_measures_of_odd_texts():
-    for text in [None, "", "a", "a a a a", "a b c a b c x", "q\nq\n\nq\x1c r\u2028\u3000s", "a b a b a b", "# *x&|<>%$", prose(3000, 2), "x" * 100_000, "é\u00a0b\x85c d\u00a0e"]:
-        assert quality.measures(text or "")[:5] == plain_measures(text), text
+def test_measures_of_odd_texts(spark):
+    texts = [None, "", "a", "a a a a", "a b c a b c x", "q\nq\n\nq\x1c r\u2028\u3000s", "a b a b a b", "# *x&|<>%$", prose(3000, 2), "x" * 100_000, "é\u00a0b\x85c d\u00a0e", "ÀB c! ǅ Ⅷ ΣΑ!! \U00010400 😀"]
+    rows = quality.ledger(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        assert tuple(r[m] for m in quality.MEASURES[:5]) == plain_measures(text), text
+        assert r.n_exclaims == text.count("!") and r.n_capitals == sum(unicodedata.category(c) == "Lu" for c in text)
+        assert r.longest_word == max(map(len, text.encode().split()), default=0)
 
 
 def test_repeated_words_with_large_vocabularies():
@@ -519,6 +524,28 @@ def test_shards_are_written_shuffled(spark, odd, tmp_path):
         assert places == sorted(places)
 
 
+def test_taken_words_are_exactly_those_of_the_permuted_prefix(spark):
+    """With documents of one word a block's cut is exact: each source gives its target."""
+    rows = [(k, "w", "en", "abc"[min(2, k % 7)], 1) for k in range(4200)]
+    took = Counter()
+    for r in mixing.mix(spark.createDataFrame(rows, DOCS), block_words=100, shards=5).collect():
+        took[r.source] += 1
+    size = Counter(r[3] for r in rows)
+    goal = plain_targets([size[s] for s in "abc"], [5, 2, 1])
+    assert [took[s] for s in "abc"] == [round(g) for g in goal]
+
+
+def test_shards_follow_the_words(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 1000)
+    rows = [(k, prose(50, k), "en", "ab"[k % 2], 1) for k in range(200)]
+    df = spark.createDataFrame(rows, DOCS)
+    mixed = mixing.mix(df, block_words=200)
+    assert 10 <= mixed.select("_shard").distinct().count() <= 15
+    places = mixing.shuffled(mixed).select(F.spark_partition_id().alias("p"), "_shard", "_place").collect()
+    assert len({r._shard for r in places}) == len({(r.p, r._shard) for r in places})
+    assert [(r._shard, r._place) for r in places if r.p == places[0].p] == sorted((r._shard, r._place) for r in places if r.p == places[0].p)
+
+
 def test_plan_is_bounded(spark):
     sized = spark.createDataFrame([(k, "a", 100) for k in range(1000)], "id long, source string, size long")
     plan = mixing.plan_mix(sized, block_words=10, max_blocks=16)
@@ -763,6 +790,76 @@ def test_packing_is_dense_and_repeats(spark):
     assert by_id(packing.pack(docs.repartition(7)).collect(), "doc_id", "piece", "bin", "offset") == by_id(got, "doc_id", "piece", "bin", "offset")
 
 
+@pytest.mark.parametrize("sizes", [(512, 1024, 2048, 4096, 8192), (7,)])
+def test_sequences_hold_the_texts(spark, odd, tmp_path, sizes):
+    """Written, read back and put together again, the documents are what they were."""
+    packed = packing.pack(odd, sizes=sizes, group_rows=20)
+    path = packing.write_sequences(packed, str(tmp_path / "sequences"))
+    back = packing.read_sequences(spark, path)
+    assert sorted(map(str, back.select(*sorted(back.columns)).collect())) == sorted(map(str, packed.select(*sorted(back.columns)).collect()))
+    got = Counter((r.doc_id, r.text, r.tokens) for r in packing.texts_of(back).collect() if r.doc_id != 4 and r.doc_id is not None)
+    assert got == Counter((i, t or "", len((t or "").encode().split()) + 1) for i, t, *_ in odd_rows() if i != 4 and i is not None)
+    for r in back.where("body <> ''").collect():
+        assert len(r.body.encode().split()) in (r.length, r.length - 1)
+
+
+def test_texts_are_cut_before_words(spark):
+    for text in ["", " ", "a", "  a b  c ", "a b c d e f g", "\n" + "é\tx " * 50, "x" * 5000 + " y" * 7]:
+        n = len(text.encode().split()) + 1
+        df = spark.createDataFrame([(text, n)], "t string, n long")
+        for largest in (1, 2, 3, 7, 8):
+            got = df.select(packing.pieces(F.col("t"), F.col("n"), largest).alias("p")).first().p
+            assert "".join(got).split() == text.split() and len(got) == -(-n // largest)
+            if n > 1:
+                assert "".join(got) == text
+            assert all(len(p.encode().split()) == largest for p in got[:-1])
+
+
+def test_rows_that_are_there_very_often_fill_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "HOT", 4)
+    rows = [(1, "a b c")] * 100 + [(None, "d")] * 50 + [(k, prose(5, k)) for k in range(2, 30)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), sizes=(16,), group_rows=10).collect()
+    keys = Counter((r.doc_id, r.copy) for r in got)
+    assert max(keys.values()) == 1 and sum(keys.values()) == len(rows)
+    assert max(Counter(r.bin.split("-")[0] for r in got).values()) < 80
+
+
+def test_several_lengths_cost_less_than_any_one(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = [x.n for x in docs.select((common.words_in(F.col("text")) + 1).alias("n")).collect()]
+
+    def packed(sizes):
+        parts = sorted((min(max(sizes), n - k) for n in r for k in range(0, n, max(sizes))), reverse=True)
+        return packing.cost(packing.best_fit(parts, sizes)[2], sum(r))
+
+    together = packed(packing.SIZES)
+    assert all(together < packed((s,)) for s in packing.SIZES)
+
+
+def plain_best_fit(lengths, sizes):
+    """Looks at every open bin for each piece."""
+    used, room, out = [], [], []
+    for k, n in enumerate(lengths):
+        fit = [b for b in range(len(used)) if room[b] >= n]
+        if fit:
+            b = min(fit, key=lambda b: (room[b], b))
+        else:
+            b = len(used)
+            used.append(0)
+            room.append(packing.opening_size(n, sum(lengths[k + 1 :]), len(lengths) - k - 1, sorted(sizes)))
+        out.append((b, used[b]))
+        used[b] += n
+        room[b] -= n
+    return [b for b, _ in out], [o for _, o in out], [min(s for s in sizes if s >= u) for u in used]
+
+
+def test_best_fit_is_what_looking_at_every_bin_gives():
+    r = random.Random(4)
+    for _ in range(60):
+        lengths = sorted((r.randint(1, 64) for _ in range(r.randint(0, 120))), reverse=True)
+        assert packing.best_fit(lengths, (16, 32, 64)) == plain_best_fit(lengths, (16, 32, 64))
+
+
 def test_best_fit_takes_the_tightest_bin():
     bins, offsets, capacity = packing.best_fit([70, 60, 40, 30], [100])
     assert bins == [0, 1, 1, 0] and offsets == [0, 0, 60, 70] and capacity == [100, 100]
