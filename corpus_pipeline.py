@@ -8,19 +8,22 @@ last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cuesmith.llm import exact_dedup, mixing, near_dedup, packing, quality
 from cuesmith.llm.common import stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy keeps."""
-    return quality.keep_good(docs, quality.POLICIES["v1"])
+    """Documents that the current policy keeps, by a ledger that is written beside them."""
+    rows, entry = quality.judged(docs)
+    rows = stored(rows, "ledger")
+    return rows.where(quality.passes(quality.POLICIES["v1"], F.col(f"{entry}.failed"))).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text, of the largest id."""
-    return exact_dedup.drop_copies(docs, single=True)
+    return exact_dedup.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +32,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; a document taken twice is there twice."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Sources at their target weights, shard by shard and shuffled within each; a
+    document taken twice is there twice."""
+    return mixing.shuffled(mixing.mix(docs)).select(*docs.columns)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the training sequences."""
+    """The training sequences: each piece of each document with its text and its
+    place, a sequence's pieces one after another."""
     return packing.pack(docs)
 
 
