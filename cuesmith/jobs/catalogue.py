@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql.window import Window
 from cuesmith.functions import text as t
 from cuesmith.jobs import fixtures as fx
 from cuesmith.jobs import oracles as o
-from cuesmith.operators import backlog, intervals, merge, plan, segment, tokens, units
+from cuesmith.operators import backlog, engine, intervals, merge, plan, segment, tokens, units
 from cuesmith.sources import files
 from cuesmith.streaming import tables
 
@@ -61,6 +62,20 @@ def _(s, d):
     return segment.segment(rows, segment.MAIN, ("media_id", "part"), ("media_pos",))
 
 
+_READY = o.DONE.removeprefix(o.TRANSCRIPTS) + """, ready AS (SELECT media_id, chunk_index // 2 AS part FROM transcripts GROUP BY ALL EXCEPT
+    SELECT media_id, chunk_index // 2 FROM transcripts t WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.media_id = t.media_id AND d.chunk_index = t.chunk_index))"""
+
+
+@query("part_subtitles_legacy", "WITH " + o.TOKENS + _READY + ", parts AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY \"start\", \"end\", chunk_index, pos) - 1 AS media_pos FROM (SELECT *, chunk_index // 2 AS part FROM tokens) JOIN ready USING (media_id, part))," + o.cut("parts", "media_id, part", False, True, False, "media_pos") + "," + o.merged("media_id, part", False) + f" SELECT media_id, part, {o.SUBS}")
+def _(s, d):
+    """Parts of which every chunk is done, cut by the older profile."""
+    chunks = fx.chunks(s, d)
+    done = chunks.join(backlog.pending_chunks(chunks, fx.manifest(s, d)), ["media_id", "chunk_index"], "left_anti")
+    ready = backlog.ready_parts(chunks, done, 2).where("ready").select("media_id", "part")
+    rows = tokens.media_order(fx.tokens(s, d)).withColumn("part", F.floor(F.col("chunk_index") / 2)).join(ready, ["media_id", "part"], "left_semi")
+    return segment.segment_stream(rows, segment.LEGACY, ("media_id", "part"), ("media_pos",))
+
+
 @query("media_subtitles_by_island", "WITH " + o.TOKENS + _ORDERED + "," + o.cut("ordered", "media_id", True, False, True, "media_pos") + "," + o.merged("media_id", True) + f" SELECT media_id, {o.SUBS}")
 def _(s, d):
     return segment.segment_long(tokens.media_order(fx.tokens(s, d)), segment.MAIN, ("media_id",), ("media_pos",))
@@ -361,9 +376,28 @@ def _(s, d):
     return backlog.after_force(fx.manifest(s, d), ["force_srt"])
 
 
-@query("stale_tokens", "WITH " + o.BARE + " SELECT media_id, chunk_index FROM transcripts WHERE regexp_matches(transcript, '[A-Za-z]') EXCEPT SELECT media_id, chunk_index FROM tokens WHERE media_id % 4 <> 0")
+_STORE = "WITH " + o.TRANSCRIPTS + """, f AS (
+    SELECT 'v' || media_id AS media_id, kind, chunk_index, length(transcript) AS size FROM transcripts, (VALUES ('wav'), ('txt'), ('tokens'), ('srt'), ('part_srt')) k(kind)
+    UNION ALL SELECT 'v' || media_id, kind, NULL, sum(length(transcript))::BIGINT FROM transcripts, (VALUES ('all_tokens'), ('vad'), ('full_wav'), ('final'), ('final_txt')) k(kind) GROUP BY media_id, kind),
+    gone(flag, kind) AS (VALUES ('force_asr', 'txt'), ('force_asr', 'tokens'), ('force_asr', 'srt'), ('force_asr', 'all_tokens'), ('force_asr', 'part_srt'), ('force_asr', 'vad'), ('force_srt', 'srt'), ('force_srt', 'part_srt'),
+        ('force_parts', 'srt'), ('force_parts', 'part_srt'), ('force_chunks', 'wav'), ('force_chunks', 'vad'), ('force_wav', 'full_wav'))"""
+
+
+@query("manifest", _STORE + " SELECT media_id, kind, chunk_index, size FROM f")
 def _(s, d):
-    return backlog.stale_tokens(fx.transcripts(s, d), fx.bare_tokens(s, d).where("media_id % 4 <> 0"))
+    return files.artifacts(fx.artifact_files(s, d))
+
+
+@query("after_each_force", _STORE + " SELECT flag, media_id, f.kind, chunk_index, size FROM f, (SELECT DISTINCT flag FROM gone) x WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.flag = x.flag AND g.kind = f.kind)")
+def _(s, d):
+    manifest = files.artifacts(fx.artifact_files(s, d))
+    return reduce(DataFrame.unionByName, [backlog.after_force(manifest, [flag]).select(F.lit(flag).alias("flag"), "*") for flag in backlog.FORCED])
+
+
+@query("stale_tokens", "WITH " + o.BARE + ", m AS (SELECT media_id, chunk_index FROM transcripts WHERE (media_id + chunk_index) % 7 <> 0) SELECT media_id, chunk_index FROM transcripts WHERE regexp_matches(transcript, '[A-Za-z]') EXCEPT SELECT media_id, chunk_index FROM tokens JOIN m USING (media_id, chunk_index)")
+def _(s, d):
+    kept = fx.manifest(s, d).where("kind = 'tokens'").select("media_id", "chunk_index")  # the other chunks' token files are empty
+    return backlog.stale_tokens(fx.transcripts(s, d), fx.bare_tokens(s, d).join(kept, ["media_id", "chunk_index"], "left_semi"))
 
 
 @query("parts_ready", f"""WITH {o.DONE}, c AS (SELECT media_id, max(chunk_index) AS top FROM transcripts GROUP BY 1)
@@ -425,10 +459,10 @@ def _(s, d):
     return segment.islands(fx.tokens(s, d)).select("media_id", "chunk_index", "pos", "island")
 
 
-@query("combine_text", "SELECT doc_id, CASE WHEN a = '' THEN b WHEN b = '' THEN a ELSE a || ' ' || b END AS text FROM (SELECT doc_id, substr(text, 1, doc_id % 5) AS a, substr(text, 10, doc_id % 4) AS b FROM documents)")
+@query("combine_text", "SELECT doc_id, CASE WHEN b = '' THEN a WHEN a = '' THEN b ELSE a || ' ' || b END AS text FROM (SELECT doc_id, coalesce(text, '') AS a, coalesce(source, '') AS b FROM documents)")
 def _(s, d):
-    c = F.col("text")
-    return fx._table(s, d, "documents").select("doc_id", t.combine(c.substr(F.lit(1), (F.col("doc_id") % 5).cast("int")), c.substr(F.lit(10), (F.col("doc_id") % 4).cast("int"))).alias("text"))
+    whole = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return fx._table(s, d, "documents").select("doc_id", t.combine(whole("text"), whole("source")).alias("text"))
 
 
 @query("combine_turns", "SELECT media_id, chunk_index, CASE WHEN b IS NULL OR b = '' THEN a WHEN a = '' THEN b ELSE a || ' ' || b END AS text FROM (SELECT conv_id AS media_id, turn AS chunk_index, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)")
@@ -470,3 +504,42 @@ def _(s, d):
 r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM g) SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM r GROUP BY user_id, run""")
 def _(s, d):
     return tables.sessions(s, d)
+
+
+@query("stream_first_results", f"WITH {o.TRANSCRIPTS} SELECT media_id, chunk_index, transcript AS text FROM transcripts")
+def _(s, d):
+    return tables.first_deliveries(s, d)
+
+
+@query("stream_late_parts", """WITH c AS (SELECT conv_id AS media_id, turn, max(turn) OVER (PARTITION BY conv_id) AS top FROM conversations)
+SELECT media_id, turn // 2 AS part, count(*) AS chunks, count(*) = least(2, any_value(top) + 1 - turn // 2 * 2) AS complete FROM c WHERE turn < top GROUP BY media_id, turn // 2""")
+def _(s, d):
+    return tables.late_parts(s, d)
+
+
+@query("stream_closed_windows", """WITH m AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '5 minutes' AS mark FROM events),
+w AS (SELECT user_id, time_bucket(INTERVAL '1 hour', ts) AS "start", time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS "end", count(*) AS n FROM events GROUP BY ALL) SELECT w.* FROM w, m WHERE "end" <= mark""")
+def _(s, d):
+    return tables.closed_windows(s, d)
+
+
+@query("stream_closed_sessions", """WITH m AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '5 minutes' AS mark FROM events),
+g AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL '6 hours', true) AS fresh FROM events),
+r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM g),
+x AS (SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM r GROUP BY user_id, run) SELECT x.* FROM x, m WHERE last + INTERVAL '6 hours' - INTERVAL '1 microsecond' <= mark""")
+def _(s, d):
+    return tables.closed_sessions(s, d)
+
+
+def _stub():
+    """An engine that hears a chunk's words half a second apart."""
+    return lambda rows: [(f"{len(r['transcript'])} characters", [(w, k / 2, k / 2 + 0.25) for k, w in enumerate(r["transcript"].split(" "))]) for r in rows]
+
+
+@query("engine_stub", f"""WITH {o.DONE}, p AS (SELECT * FROM transcripts t WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.media_id = t.media_id AND d.chunk_index = t.chunk_index)),
+w AS (SELECT media_id, chunk_index, length(transcript) || ' characters' AS transcript, unnest(string_split(transcript, ' ')) AS text, unnest(range(len(string_split(transcript, ' ')))) AS pos FROM p)
+SELECT media_id, chunk_index, transcript, pos, text, chunk_index * 60.0::DOUBLE + pos / 2.0::DOUBLE AS "start", chunk_index * 60.0::DOUBLE + (pos / 2.0::DOUBLE + 0.25::DOUBLE) AS "end" FROM w""")
+def _(s, d):
+    rows = fx.transcripts(s, d).withColumn("padded_start", F.col("chunk_index") * 60.0)
+    heard = engine.run_engine(backlog.pending_chunks(rows, fx.manifest(s, d)), _stub)
+    return heard.select("media_id", "chunk_index", "transcript", F.posexplode("tokens").alias("pos", "t")).select("media_id", "chunk_index", "transcript", F.col("pos").cast("long").alias("pos"), "t.*")

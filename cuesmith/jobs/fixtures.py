@@ -106,3 +106,17 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir).select("user_id", "ts", F.concat(F.upper("event_type"), F.lit("-"), F.coalesce(F.get_json_object("props", "$.k"), F.lit(""))).alias("code"))
+
+
+def artifact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, length) of a store that holds every kind of artifact of every recording."""
+    rows = transcripts(spark, sf_dir)
+    at = F.format_string("%04d", "chunk_index")
+    work = F.concat(F.lit("/store/"), "media_id", F.lit("/v"), "media_id", F.lit(".srt_work/"))
+    size = F.length("transcript").cast("long")
+    chunk = [F.concat(work, F.lit("chunk_"), at, F.lit(end)) for end in (".wav", ".txt", ".tokens.json", ".srt")]
+    chunk.append(F.concat(work, F.lit("part_"), at, F.lit("_"), at, F.lit(".srt")))
+    some = rows.select(size.alias("length"), F.explode(F.array(*chunk)).alias("path"))
+    beside = F.concat(F.lit("/store/"), "media_id", F.lit("/v"), "media_id")
+    media = [F.concat(work, F.lit("all.tokens.json")), F.concat(work, F.lit("vad_segments.json")), F.concat(work, F.lit("notes.md")), *[F.concat(beside, F.lit(end)) for end in ("_16k_mono.wav", ".srt", ".txt", ".mp4")]]
+    return some.unionByName(rows.groupBy("media_id").agg(F.sum(size).alias("length")).select("length", F.explode(F.array(*media)).alias("path")))

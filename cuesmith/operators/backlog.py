@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from cuesmith.functions import text as t
 
 #: Least size in bytes of a valid artifact, by kind (fixed values).
-LEAST_SIZE = {"wav": 1024, "tokens": 2, "srt": 0, "part_srt": 1, "txt": 0, "all_tokens": 2, "vad": 2, "final": 1}
+LEAST_SIZE = {"wav": 1024, "tokens": 2, "srt": 0, "part_srt": 1, "txt": 0, "all_tokens": 2, "vad": 2, "final": 1, "final_txt": 0, "full_wav": 1024}
 #: What a force flag drops before work resumes (fixed values).
 FORCED = {
     "force_asr": ("txt", "tokens", "srt", "all_tokens", "part_srt", "vad"),
@@ -22,7 +22,7 @@ FORCED = {
 }
 VIDEO = (".mp4", ".avi", ".mkv", ".mov", ".wmv", ".flv", ".ts", ".m2ts", ".webm")
 #: Requested codes, at most, for which the catalog is searched by broadcast.
-MOST_CODES = 100_000
+MOST_CODES = 300
 
 
 def valid() -> Column:

@@ -2,28 +2,59 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuesmith.functions import text as t
 
-CHUNK_FILE = r"([^/]+)/[^/]*chunk_([0-9]+)[^/]*$"
+CHUNK_FILE = r"([^/]+?)(?:\.srt_work)?/[^/]*chunk_([0-9]+)[^/]*$"
+
+
+#: What each artifact of a recording is called (fixed values). The first pattern that fits
+#: names the kind; its group, where it has one, is the chunk, or a part's first.
+ARTIFACTS = [
+    ("wav", r"chunk_([0-9]+)\.wav$"),
+    ("tokens", r"chunk_([0-9]+)\.tokens\.json$"),
+    ("srt", r"chunk_([0-9]+)\.srt$"),
+    ("txt", r"chunk_([0-9]+)\.txt$"),
+    ("part_srt", r"^part_([0-9]+)_[0-9]+\.srt$"),
+    ("all_tokens", r"^all\.tokens\.json$"),
+    ("vad", r"^vad_segments\.json$|\.vad\.json$"),
+    ("full_wav", r"_16k_mono\.wav$"),
+    ("final", r"\.srt$"),
+    ("final_txt", r"\.txt$"),
+]
+#: The folder of a recording's pieces is its name and this ending; beside it lie the
+#: whole audio and the final files, named by the recording.
+WORK = ".srt_work"
+
+
+def artifacts(listed: DataFrame) -> DataFrame:
+    """(media_id, kind, chunk_index, size) of listed files (path, length); files of
+    no known kind are left out. A work folder's files belong to the recording it is named after,
+    the full audio and final files to the one they are named after, and pieces in
+    any other folder to that folder's."""
+    name, folder = F.element_at(F.split("path", "/"), -1), F.element_at(F.split("path", "/"), -2)
+    kind = index = F.lit(None)
+    for k, pattern in reversed(ARTIFACTS):
+        kind = F.when(name.rlike(pattern), F.lit(k)).otherwise(kind)
+        index = F.when(name.rlike(pattern), F.regexp_extract(name, pattern, 1) if "(" in pattern else F.lit("")).otherwise(index)
+    rows = listed.select(kind.cast("string").alias("kind"), index.try_cast("long").alias("chunk_index"), F.col("length").cast("long").alias("size"), name.alias("_name"), folder.alias("_folder")).where("kind is not null")
+    own = F.regexp_replace("_name", r"_16k_mono\.wav$|\.srt$|\.txt$", "")
+    media = F.when(F.col("kind").isin("full_wav", "final", "final_txt"), own).when(F.endswith("_folder", F.lit(WORK)), F.regexp_replace("_folder", re.escape(WORK) + "$", "")).otherwise(F.col("_folder"))
+    return rows.select(media.alias("media_id"), "kind", "chunk_index", "size")
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """(media_id, kind, chunk_index, size) of files ``<media>/<kind>_chunk_<n>.<ext>``;
-    only names and sizes are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    name = F.element_at(F.split("path", "/"), -1)
-    kind = F.when(name.endswith(".wav"), "wav").when(name.endswith(".tokens.json"), "tokens").when(name.endswith(".vad.json"), "vad").when(name.endswith(".srt"), F.when(name.startswith("part_"), "part_srt").otherwise("srt")).when(name.endswith(".txt"), "txt")
-    return files.select(
-        F.element_at(F.split("path", "/"), -2).alias("media_id"), kind.alias("kind"), F.regexp_extract(name, r"(?:chunk|part)_([0-9]+)", 1).try_cast("long").alias("chunk_index"), F.col("length").alias("size")
-    ).where("kind is not null")
-
-
-def whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """(media_id, chunk_index, body) of text files of chunks."""
-    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+    """``artifacts`` of all files below ``root``; only names and sizes are read."""
+    return artifacts(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length"))
+
+
+def whole_files(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
+    """(media_id, chunk_index, body) of text files of chunks whose names fit ``names``."""
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=names).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
     return rows.select(F.regexp_extract("path", CHUNK_FILE, 1).alias("media_id"), F.regexp_extract("path", CHUNK_FILE, 2).try_cast("long").alias("chunk_index"), "body")
 
 

@@ -22,10 +22,11 @@ def first_results(chunks: DataFrame, delay: str | None = None, event_time: str =
     return chunks.dropDuplicates(key)
 
 
-def write_subtitles(chunks: DataFrame, path: str, checkpoint: str, profile: Profile = MAIN) -> StreamingQuery:
+def write_subtitles(chunks: DataFrame, path: str, checkpoint: str, profile: Profile = MAIN, delay: str | None = None, event_time: str = "ts") -> StreamingQuery:
     """Subtitles of arriving chunks, appended to a table by recording.
 
-    A row is a chunk with its ``tokens`` array, so a batch holds whole chunks and
+    With ``delay`` a repeat is known as one until that long after the watermark of ``event_time``, and the memory of
+    it is bounded; without, every chunk is remembered. A row is a chunk with its ``tokens`` array, so a batch holds whole chunks and
     the batch rule applies as it is.
     """
 
@@ -34,7 +35,7 @@ def write_subtitles(chunks: DataFrame, path: str, checkpoint: str, profile: Prof
         # a batch that is run again replaces what it wrote
         segment(tokens, profile).withColumn("batch", F.lit(number)).write.partitionBy("batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
-    return first_results(chunks).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return first_results(chunks, delay, event_time).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 PART_SCHEMA = "media_id long, part long, chunks long, complete boolean"

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from cuesmith.functions import text as t
 from cuesmith.jobs import fixtures as fx
-from cuesmith.operators import engine, merge, plan, runs, segment, tokens
+from cuesmith.jobs import resume
+from cuesmith.operators import backlog, engine, merge, plan, runs, segment, tokens
 from cuesmith.sources import files
 
 SMALL = "/root/testdata/sf0.001"
@@ -113,6 +114,76 @@ def test_written_files_are_read_again(spark, tmp_path):
     assert got == sorted((m, c, k, *x) for (m, c), rows in want.items() for k, x in enumerate(rows))
 
 
+def a_store(tmp_path):
+    """Real files of every kind, of two recordings."""
+    for media in ("talk.v1", "ABC-1"):
+        work = tmp_path / "store" / f"{media}.srt_work"
+        work.mkdir(parents=True)
+        for k in (0, 12345):
+            for end in (".wav", ".txt", ".tokens.json", ".srt"):
+                (work / f"chunk_{k:04d}{end}").write_text("x" * 2000)
+        for name in ("part_0000_0009.srt", "all.tokens.json", "vad_segments.json", "notes.md"):
+            (work / name).write_text("xyz")
+        for end in ("_16k_mono.wav", ".srt", ".txt", ".mp4"):
+            (tmp_path / "store" / f"{media}{end}").write_text("xyz")
+    return str(tmp_path / "store")
+
+
+CHUNKED = {"wav", "txt", "tokens", "srt"}
+ONCE = {"part_srt", "all_tokens", "vad", "full_wav", "final", "final_txt"}
+
+
+def test_every_artifact_has_its_kind(spark, tmp_path):
+    got = files.read_manifest(spark, a_store(tmp_path)).collect()
+    want = {(m, k, c) for m in ("talk.v1", "ABC-1") for k in CHUNKED for c in (0, 12345)} | {(m, k, 0 if k == "part_srt" else None) for m in ("talk.v1", "ABC-1") for k in ONCE}
+    assert {(r.media_id, r.kind, r.chunk_index) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize(
+    ("flag", "gone"),
+    [("force_wav", {"full_wav"}), ("force_chunks", {"wav", "vad"}), ("force_srt", {"srt", "part_srt"}), ("force_parts", {"srt", "part_srt"}), ("force_asr", {"txt", "tokens", "srt", "all_tokens", "part_srt", "vad"})],
+)
+def test_each_flag_drops_its_files(spark, tmp_path, flag, gone):
+    manifest = files.read_manifest(spark, a_store(tmp_path))
+    left = {r.kind for r in backlog.after_force(manifest, [flag]).select("kind").distinct().collect()}
+    assert left == (CHUNKED | ONCE) - gone
+
+
+def test_files_to_final_files_and_only_what_is_left(spark, tmp_path):
+    root, out = tmp_path / "in", tmp_path / "out"
+    bodies = {(r.media_id, r.chunk_index): r.body for r in files.token_json(fx.bare_tokens(spark, SMALL)).collect()}
+    said = {(r.media_id, r.chunk_index): r.transcript for r in fx.transcripts(spark, SMALL).collect()}
+    media = sorted({m for m, _ in bodies})[:6]
+
+    def put(m):
+        work = root / f"{m}.srt_work"
+        work.mkdir(parents=True)
+        for (i, k), body in bodies.items():
+            if i == m:
+                (work / f"chunk_{k:04d}.tokens.json").write_text(body)
+                (work / f"chunk_{k:04d}.txt").write_text(said[(i, k)])
+
+    def finals():
+        return {p.parent.name.split("=")[1]: (p.read_text(), p.stat().st_mtime_ns) for p in out.glob("media_id=*/part-*")}
+
+    for m in media[:4]:
+        put(m)
+    resume.write_final_files(spark, str(root), str(out))
+    first = finals()
+    subs = segment.segment(tokens.restore_punctuation(fx.bare_tokens(spark, SMALL), fx.transcripts(spark, SMALL)), segment.MAIN)
+    want = {str(r.media_id): r.body for r in merge.srt_body(merge.final_entries(subs, 0.5)).collect()}
+    assert {k: v for k, (v, _) in first.items()} == {str(m): want[str(m)] for m in media[:4]}
+    for m in media[4:]:
+        put(m)
+    assert {r.media_id for r in resume.left(spark, str(root), str(out)).collect()} == {str(m) for m in media[4:]}
+    resume.write_final_files(spark, str(root), str(out))
+    second = finals()
+    assert set(second) == {str(m) for m in media} and all(second[k] == v for k, v in first.items())
+    resume.write_final_files(spark, str(root), str(out), again=[str(media[0])])
+    third = finals()
+    assert {k for k in third if third[k] != second[k]} == {str(media[0])} and third[str(media[0])][0] == second[str(media[0])][0]
+
+
 def test_bodies_resume(spark, tmp_path):
     out = str(tmp_path / "srt")
     df = spark.createDataFrame([(1, "a\nb\n"), (2, "c\n")], "media_id long, body string")
