@@ -1,17 +1,18 @@
 """Class-based n-gram scores: exchange clustering puts words into classes, and a
 text's probability is the product of class transitions and word emissions.
 
-Words are clustered by units. Each of the ``frequent`` most frequent words is a
-unit; all other words, seen or not, share units by their last two bytes. So
-every word has a class, and what a round of the clustering counts, each unit's
-neighbours by class, is bounded by the model and not by the corpus: a round is
-one pass over the encoded corpus and a sum of one matrix per task. With the
-matrix the units of one half move to the class that raises the likelihood of
-the class bigrams most, the others held fixed, then those of the other half.
+Each of the ``lookup`` most frequent words is a unit of its own; rarer words and
+unseen ones share units by their ending. All that the clustering asks of the corpus is how
+often each unit stands before and behind each other one. That is counted once, summed
+where a unit's counts meet, and written as a table dealt by unit. A round is two passes over it:
+the class transitions, 64 x 64 sums, and then, in the tasks, the class of
+each unit that raises the likelihood of the class bigrams most, the others held
+fixed. Half of the units may move in a round; the rounds end when the likelihood no longer
+rises, and the best one counts.
 
 P(word | previous) = P(class | class of previous) * P(word | class). Transitions
-are smoothed towards the class frequencies; rarer words give up an absolute
-discount to the unseen words of their class. Counts of the ``lookup`` most
+are smoothed towards the class frequencies; every word gives up an absolute
+discount to the unseen words of its class. Counts of the ``lookup`` most
 frequent words go to the tasks; those of the rest are joined.
 """
 
@@ -28,28 +29,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 END = b""  # no word is empty
 
 
 @dataclass(frozen=True)
 class Model:
-    """``classes`` with the end's own, ``frequent`` units of one word, ``endings``
-    units by ending, ``lookup`` words broadcast at most, ``rounds`` of exchange,
-    ``prior`` transitions of smoothing."""
+    """``classes`` with the end's own, ``lookup`` words at most that are units of their own and
+    are broadcast, ``endings`` units of the others, ``rounds`` of exchange at most,
+    ``prior`` transitions of smoothing, ``part_pairs`` neighbours to a part of the table."""
 
     classes: int = 64
-    frequent: int = 4_096
     endings: int = 1_024
     lookup: int = 300_000
-    rounds: int = 8
+    rounds: int = 12
     prior: float = 50.0
     flush: int = 300_000
-
-    @property
-    def units(self) -> int:
-        return 1 + self.frequent + self.endings
+    part_pairs: int = 4_000_000
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -101,8 +98,9 @@ def frequent_words(vocabulary: DataFrame, most: int) -> tuple[list[bytes], np.nd
     return got.column("word").to_pylist(), got.column("n").to_numpy().astype(float)
 
 
-def ending_unit(word: bytes, model: Model) -> int:
-    return 1 + model.frequent + zlib.crc32(word[-2:]) % model.endings
+def ending_unit(word: bytes, words: int, model: Model) -> int:
+    """The unit of a word that is none of the ``words`` with one of their own."""
+    return 1 + words + zlib.crc32(word[-2:]) % model.endings
 
 
 def encoded(docs: DataFrame, top: tuple[list[bytes], np.ndarray], discount: float, model: Model, end_n: int) -> DataFrame:
@@ -112,16 +110,15 @@ def encoded(docs: DataFrame, top: tuple[list[bytes], np.ndarray], discount: floa
     log10(c + 1), ``emit`` log10 of the count less discount.
     """
     words, n = top
-    frequent = min(model.frequent, len(words))
-    unit = np.array([k + 1 if k < frequent else ending_unit(w, model) for k, w in enumerate(words)], np.uint16)
-    sums = np.stack([np.log10(n + 1), np.log10(np.where(np.arange(len(words)) < frequent, n, n - discount))], 1)
-    shared = docs.sparkSession.sparkContext.broadcast((words, unit, sums))
+    own = len(words)
+    sums = np.stack([np.log10(n + 1), np.log10(np.maximum(n - discount, 1e-9))], 1)
+    shared = docs.sparkSession.sparkContext.broadcast((words, sums))
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32()), ("unit", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, unit, sums = shared.value
+        words, sums = shared.value
         place = {w: k for k, w in enumerate(words)}
         get, key = place.get, TaskContext.get().partitionId() << 40
         for whole in batches:
@@ -132,15 +129,14 @@ def encoded(docs: DataFrame, top: tuple[list[bytes], np.ndarray], discount: floa
                     tokens = tokens_of(text)
                     at = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
                     known = at >= 0
-                    u = np.zeros(len(tokens), np.uint16)
-                    u[known] = unit[at[known]]
+                    u = (at + 1).astype(np.uint32)
                     missing = np.flatnonzero(~known)
                     if len(missing):
-                        u[missing] = [ending_unit(tokens[k], model) for k in missing]
+                        u[missing] = [ending_unit(tokens[k], own, model) for k in missing]
                         rare = Counter(tokens[k] for k in missing)
                         rares += rare
                         counts += rare.values()
-                        units += [ending_unit(w, model) for w in rare]
+                        units += [ending_unit(w, own, model) for w in rare]
                     offsets.append(len(rares))
                     total = sums[at[known]].sum(0)
                     rows.append((key, len(tokens) + 1, int(known.sum()) + (end_n > 0), float(total[0]) + math.log10(end_n + 1), float(total[1])))
@@ -157,40 +153,132 @@ def encoded(docs: DataFrame, top: tuple[list[bytes], np.ndarray], discount: floa
     return docs.mapInArrow(run, schema)
 
 
-def neighbours(units: DataFrame, classes: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts over the training rows: of each unit by the class before it, by the
-    class after it, and of each unit followed by itself. A task sends its part of
-    the matrix in blocks of units; the whole has units * (2 * classes + 1) cells."""
-    n, c, block = model.units, model.classes, 256
+CELLS = {"unit": "<u4", "after": "u1", "other": "<u4", "n": "<i8"}
+
+
+def _packed(part: int, cells: dict[str, np.ndarray]) -> pa.RecordBatch:
+    columns = [pa.array([part], pa.int32()), *(pa.array([cells[k].astype(t).tobytes()], pa.binary()) for k, t in CELLS.items())]
+    return pa.RecordBatch.from_arrays(columns, ["part", *CELLS])
+
+
+def contexts(units: DataFrame, n_units: int, tokens: int, model: Model) -> DataFrame:
+    """The table of neighbours: (part, unit, after, other, n), a row a part, its columns packed
+    numbers in order of unit, side and other. ``after`` is 1 where ``other``
+    stands behind the unit, else 0.
+
+    A part has the units of one remainder. Parts grow in number with the corpus, so that
+    a task holds its share of the pairs, and of a very frequent unit no
+    more than every other unit once on each side.
+    """
+    parts = max(8, min(20_000, -(-2 * tokens // model.part_pairs)))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, end = [], 0, bytes(4)
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            u = np.frombuffer(end + end.join(held) + end, np.uint32).astype(np.int64)
+            key, n = np.unique(u[:-1] * n_units + u[1:], return_counts=True)
+            left, right = key // n_units, key % n_units
+            for after, unit, other in ((1, left, right), (0, right, left)):
+                order = np.argsort((unit % parts).astype(np.uint16), kind="stable")
+                unit, other, many = unit[order], other[order], n[order]
+                cuts = np.searchsorted(unit % parts, np.arange(parts + 1))
+                for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
+                    at = slice(cuts[k], cuts[k + 1])
+                    yield _packed(int(k), {"unit": unit[at], "after": np.full(cuts[k + 1] - cuts[k], after), "other": other[at], "n": many[at]})
+            held.clear()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, after, twice = np.zeros(n * c, np.int64), np.zeros(n * c, np.int64), np.zeros(n, np.int64)
-        end = bytes(2)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                u = np.frombuffer(end + end.join(batch.column("units").slice(k, 1024).to_pylist()) + end, np.uint16).astype(np.int64)
-                left, right = u[:-1], u[1:]
-                after += np.bincount(left * c + classes[right], minlength=n * c)
-                before += np.bincount(right * c + classes[left], minlength=n * c)
-                twice += np.bincount(left[left == right], minlength=n)
-        table = np.concatenate([before.reshape(n, c), after.reshape(n, c), twice[:, None]], 1)
-        some = [(k // block, zlib.compress(table[k : k + block].astype("<i8").tobytes(), 1)) for k in range(0, n, block)]
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], ["block", "cells"])
-
-    def added(key, batches):
-        total = None
+            for raw in batch.column("units").to_pylist():
+                held.append(raw)
+                size += len(raw) // 4 + 1
+                if size > model.part_pairs:
+                    yield from rows()
+                    size = 0
+        if held:
+            yield from rows()
+
+    def summed(some: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+        unit, after, other, n = (np.concatenate([x[k] for x in some]).astype(np.int64) for k in CELLS)
+        key = (unit * 2 + after) * n_units + other
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        at = order[first]
+        return {"unit": unit[at], "after": after[at], "other": other[at], "n": np.add.reduceat(n[order], first)}
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, some, size = None, [], 0
         for batch in batches:
-            for x in batch.column("cells").to_pylist():
-                part = np.frombuffer(zlib.decompress(x), "<i8")
-                total = part.copy() if total is None else total + part
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "cells"])
+            for k in range(batch.num_rows):
+                at = batch.column("part")[k].as_py()
+                if at != part and some:
+                    yield _packed(part, summed(some))
+                    some, size = [], 0
+                part = at
+                some.append({c: np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in CELLS.items()})
+                size += len(some[-1]["unit"])
+                if size > 2 * model.part_pairs:
+                    some = [summed(some)]
+                    size = len(some[0]["unit"])
+        if some:
+            yield _packed(part, summed(some))
+
+    schema = "part int, unit binary, after binary, other binary, n binary"
+    dealt = units.mapInArrow(counted, schema).repartition(parts, "part").sortWithinPartitions("part")
+    return stored(dealt.mapInArrow(merged, schema), "contexts", compression="zstd")
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {c: np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in CELLS.items()}
+
+
+def class_pairs(table: DataFrame, classes: np.ndarray, c: int) -> np.ndarray:
+    """Transitions of the classes over the table of neighbours; tasks send sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(c * c)
+        for x in _parts(batches):
+            some = x["after"] == 1
+            total += np.bincount(classes[x["unit"][some]] * c + classes[x["other"][some]], x["n"][some], c * c)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at].astype(np.int64))], ["cell", "n"])
+
+    out = np.zeros(c * c)
+    for r in table.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # c * c rows at most
+        out[r.cell] = r.n
+    return out.reshape(c, c)
 
-    def add_up(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(added((table.column("block")[0],), table.to_batches())))
 
-    rows = units.mapInArrow(run, "block int, cells binary").groupBy("block").applyInArrow(add_up, "block int, cells binary").collect()
-    table = np.concatenate([np.frombuffer(r.cells, "<i8") for r in sorted(rows, key=lambda r: r.block)]).reshape(-1, 2 * c + 1) if rows else np.zeros((n, 2 * c + 1), np.int64)
-    return table[:, :c].astype(float), table[:, c : 2 * c].astype(float), table[:, -1].astype(float)
+def moved(table: DataFrame, classes: np.ndarray, n: np.ndarray, turn: int) -> np.ndarray:
+    """The classes after a round: half of the units, another half each turn, take their best."""
+    c = len(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _parts(batches):
+            units, row = np.unique(x["unit"], return_inverse=True)
+            movable = (units != 0) & (((units.astype(np.int64) * 2654435761 >> (3 + turn // 2)) + turn) % 2 == 0)
+            some = movable[row]
+            kept = np.cumsum(movable) - 1
+            row, other, after, many = kept[row[some]], x["other"][some], x["after"][some], x["n"][some]
+            units = units[movable]
+            for a in range(0, len(units), 2048):
+                here = (row >= a) & (row < a + 2048)
+                u, o, f, m = units[a : a + 2048], other[here], after[here], many[here]
+                cell = (row[here] - a) * c + classes[o]
+                right, left = (np.bincount(cell[f == side], m[f == side], len(u) * c).reshape(-1, c) for side in (1, 0))
+                self_ = (f == 1) & (o == u[row[here] - a])
+                twice = np.bincount(row[here][self_] - a, m[self_], len(u))
+                best = best_classes(left, right, twice, classes[u], n)
+                at = np.flatnonzero(best != classes[u])
+                yield pa.RecordBatch.from_arrays([pa.array(u[at].astype(np.int64)), pa.array(best[at].astype(np.int32))], ["unit", "class"])
+
+    out = classes.copy()
+    got = table.mapInArrow(run, "unit long, class int").toArrow()  # one row a moved unit at most
+    out[got.column("unit").to_numpy()] = got.column("class").to_numpy()
+    return out
 
 
 def _h(x: np.ndarray) -> np.ndarray:
@@ -207,49 +295,65 @@ def likelihood(n: np.ndarray) -> float:
     return float(_h(n).sum() - _h(n.sum(0)).sum() - _h(n.sum(1)).sum())
 
 
+def best_classes(before: np.ndarray, after: np.ndarray, twice: np.ndarray, own: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The class of each of some units that raises the likelihood most, all else held.
+
+    ``before`` and ``after`` have a row a unit: how often each class stands before and behind it;
+    ``twice`` how often it stands behind itself, ``own`` its class; ``n`` are the transitions.
+    """
+    rows, c = np.arange(len(own)), len(n)
+    right, left = after.copy(), before.copy()
+    right[rows, own] -= twice
+    left[rows, own] -= twice
+    gain = np.zeros((len(own), c))
+    for mine, others, table in ((right, left, n), (left, right, n.T)):
+        unit, k = np.nonzero(mine)  # only these cells change what their row holds
+        if not len(unit):
+            continue
+        many = mine[unit, k][:, None]
+        rest = table[:, k].T.copy()  # by class of the unit, without the unit
+        rest[np.arange(len(unit)), own[unit]] -= many[:, 0]
+        same = k == own[unit]
+        rest[same] -= others[unit[same]]
+        rest[np.flatnonzero(same), k[same]] -= twice[unit[same]]
+        more = _h(rest + many) - _h(rest)
+        more[np.arange(len(unit)), k] = 0  # the diagonal is below
+        first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+        gain[unit[first]] += np.add.reduceat(more, first, axis=0)
+    diagonal = np.broadcast_to(np.diag(n), gain.shape).copy()
+    diagonal[rows, own] -= right[rows, own] + left[rows, own] + twice
+    gain += _h(diagonal + right + left + twice[:, None]) - _h(diagonal)
+    for total, mine in ((n.sum(1), right), (n.sum(0), left)):
+        size = mine.sum(1) + twice
+        held = np.broadcast_to(total, gain.shape).copy()
+        held[rows, own] -= size
+        gain -= _h(held + size[:, None]) - _h(held)
+    gain[:, 0] = -np.inf  # the end's class is its own
+    best = gain.argmax(1)
+    return np.where(gain[rows, best] > gain[rows, own] + 1e-6, best, own)
+
+
 def exchange(before: np.ndarray, after: np.ndarray, twice: np.ndarray, classes: np.ndarray, movable: np.ndarray, c: int) -> np.ndarray:
-    """The class of each movable unit that raises the likelihood most, others held."""
-    n = transitions(after, classes, c)
+    """``classes`` with the best class of each movable unit; the arrays have all units."""
     out = classes.copy()
-    diagonal = np.arange(c)
-    for u in movable:
-        right, left, both, a = after[u].copy(), before[u].copy(), twice[u], classes[u]
-        if not right.sum() + left.sum():
-            continue
-        right[a] -= both
-        left[a] -= both
-        rest = n.copy()
-        rest[a] -= right
-        rest[:, a] -= left
-        rest[a, a] -= both
-        # each class's totals with the unit as the other side of its pairs
-        rows, cols = rest.sum(1) + left, rest.sum(0) + right
-        gain_row = _h(rest + right) - _h(rest)
-        gain_col = _h(rest + left[:, None]) - _h(rest)
-        own = rest[diagonal, diagonal]
-        gain = gain_row.sum(1) - gain_row[diagonal, diagonal] + gain_col.sum(0) - gain_col[diagonal, diagonal]
-        gain += _h(own + right + left + both) - _h(own)
-        gain -= _h(rows + right.sum() + both) - _h(rows) + _h(cols + left.sum() + both) - _h(cols)
-        gain[0] = -np.inf  # the end's class is its own
-        best = int(gain.argmax())
-        if gain[best] > gain[a] + 1e-6:
-            out[u] = best
+    out[movable] = best_classes(before[movable], after[movable], twice[movable], classes[movable], transitions(after, classes, c))
     return out
 
 
-def cluster(units: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+def cluster(table: DataFrame, n_units: int, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """(class of each unit, class transitions) of the best round."""
-    k = np.arange(model.units)
+    k = np.arange(n_units)
     classes = np.where(k == 0, 0, 1 + k % (model.classes - 1))
-    best = None
+    best, idle = None, 0
     for turn in range(model.rounds + 1):
-        before, after, twice = neighbours(units, classes, model)
-        n = transitions(after, classes, model.classes)
+        n = class_pairs(table, classes, model.classes)
         value = likelihood(n)
+        idle = 0 if best is None or value > best[0] + 1e-4 * abs(best[0]) else idle + 1
         if best is None or value > best[0]:
             best = (value, classes, n)
-        half = k[1:][(k[1:] * 2654435761 >> (turn // 2)) % 2 == turn % 2]
-        classes = exchange(before, after, twice, classes, half, model.classes)
+        if turn == model.rounds or idle == 2:  # neither half gains any more
+            break
+        classes = moved(table, classes, n, turn)
     return best[1], best[2]
 
 
@@ -270,35 +374,40 @@ def score_corpus(docs: DataFrame, model: Model = Model(), text: str = "text", id
     discount = min(0.9, max(0.1, of.once / (of.once + 2 * of.two))) if of.once else 0.5
     top = frequent_words(vocabulary, model.lookup)
     table = stored(encoded(rows, top, discount, model, ends), "encoded", compression="zstd")
-    classes, counts = cluster(table.where("not held_out").select("units"), model)
+    own, n_units = len(top[0]), 1 + len(top[0]) + model.endings
+    neighbours = contexts(table.where("not held_out").select("units"), n_units, n, model)
+    classes, counts = cluster(neighbours, n_units, model)
+    discard(neighbours)
 
     size = counts.sum(0)  # tokens of each class
     share = size / size.sum() if size.sum() else np.full(model.classes, 1 / model.classes)
     share = np.maximum(share, 1e-12)
     log_t = np.log10((counts + model.prior * share) / (counts.sum(1, keepdims=True) + model.prior))
     log_size = np.log10(np.maximum(size, 1.0))
-    # distinct rarer words of each unit by ending: their discounts are the unseen words' mass
+    # distinct words of each unit: their discounts are the unseen words' mass of their class
     ending = F.crc32(F.substring("word", -2, 2)) % model.endings
-    kinds = np.zeros(model.units)
+    kinds = np.zeros(n_units)
     for r in vocabulary.where(F.col("word") != END).groupBy(ending.alias("e")).count().collect():
-        kinds[1 + model.frequent + r.e] = r["count"]
-    for w in top[0][: model.frequent]:
-        kinds[ending_unit(w, model)] -= 1
+        kinds[1 + own + r.e] = r["count"]
+    for k, w in enumerate(top[0]):
+        kinds[ending_unit(w, own, model)] -= 1
+        kinds[k + 1] = 1
     unseen = np.zeros(model.classes)
     np.add.at(unseen, classes, kinds)
     unseen = np.log10(discount * np.maximum(unseen, 1.0))
+    classes = classes.astype(np.uint8 if model.classes <= 256 else np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for raw in batch.column("units").to_pylist():
-                at = classes[np.concatenate([[0], np.frombuffer(raw, np.uint16), [0]]).astype(np.int64)]
+                at = classes[np.concatenate([[0], np.frombuffer(raw, np.uint32), [0]]).astype(np.int64)]
                 out.append(float(log_t[at[:-1], at[1:]].sum() - log_size[at[1:-1]].sum()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "id", "held_out", "n_tokens", "n_known", "base", "emit")), pa.array(out, pa.float64())], ["key", "id", "held_out", "n_tokens", "n_known", "base", "emit", "classes"])
 
     passed = table.drop("rare").mapInArrow(run, f"key long, id {docs.schema[id].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, emit double, classes double")
     rare = table.select("key", F.explode("rare").alias("r")).select("key", "r.word", F.col("r.n").alias("times"), "r.unit")
-    by_unit = docs.sparkSession.createDataFrame([(k, float(unseen[classes[k]])) for k in range(1 + model.frequent, model.units)], "unit int, unseen double")
+    by_unit = docs.sparkSession.createDataFrame([(k, float(unseen[classes[k]])) for k in range(1 + own, n_units)], "unit int, unseen double")
     looked = rare.join(vocabulary, "word", "left").join(F.broadcast(by_unit), "unit")
     emit = F.when(F.col("n").isNull(), F.col("unseen")).otherwise(F.log10(F.col("n") - discount))
     sums = looked.groupBy("key").agg(

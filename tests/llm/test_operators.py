@@ -315,7 +315,7 @@ def test_a_hot_bucket_moves_no_texts_of_unlikely_pairs(spark):
 
 
 def test_scores(odd, none):
-    model = class_lm.Model(classes=8, frequent=50, endings=32, lookup=100, rounds=3, flush=200)
+    model = class_lm.Model(classes=8, endings=32, lookup=100, rounds=3, flush=200, part_pairs=5000)
     rows = [(r[0], class_lm.tokens_of(r[1]) + [class_lm.END]) for r in odd_rows()]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     c = Counter(w for i, ws in rows if not held(i) for w in ws)
@@ -327,10 +327,94 @@ def test_scores(odd, none):
     assert class_lm.score_corpus(none, model).count() == 0
 
 
+def test_scores_by_hand(spark, monkeypatch):
+    """Transitions, emissions and unseen words from their definitions, word by word."""
+    model = class_lm.Model(classes=6, endings=16, lookup=40, rounds=4, part_pairs=700)
+    docs = [(k, prose(30 + k % 50, 900 + k % 37) + (f" new{k}" if k % 9 == 0 else "")) for k in range(200)]
+    seen, plain = {}, class_lm.cluster
+
+    def kept(table, n_units, m):
+        seen["classes"], seen["n"] = plain(table, n_units, m)
+        return seen["classes"], seen["n"]
+
+    monkeypatch.setattr(class_lm, "cluster", kept)
+    got = {r.doc_id: r.score for r in class_lm.score_corpus(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), model).collect()}
+    texts = {i: [*class_lm.tokens_of(t), b""] for i, t in docs}
+    train = {i: w for i, w in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2}
+    count = Counter(w for ws in train.values() for w in ws)
+    words = count.most_common()
+    once, two = (sum(v == k for v in count.values()) for k in (1, 2))
+    d = min(0.9, max(0.1, once / (once + 2 * two))) if once else 0.5
+    bins = Counter(math.floor(math.log2(v) * 16) for w, v in words if w)
+    held, least = 0, None
+    for b in sorted(bins, reverse=True):
+        held += bins[b]
+        if held > model.lookup:
+            break
+        least = min(v for w, v in words if w and math.floor(math.log2(v) * 16) == b)
+    top = [w for w, _ in sorted(((w, v) for w, v in words if w and v >= least), key=lambda x: (-x[1], x[0]))]
+    unit = {b"": 0, **{w: k + 1 for k, w in enumerate(top)}}
+    class_of = lambda w: int(seen["classes"][unit[w] if w in unit else class_lm.ending_unit(w, len(top), model)])
+    pairs, size, kinds = Counter(), Counter(), Counter(class_of(w) for w in count if w)
+    for ws in train.values():
+        for a, b in zip([b"", *ws[:-1]], ws, strict=True):
+            pairs[class_of(a), class_of(b)] += 1
+            size[class_of(b)] += 1
+    assert all(seen["n"][a, b] == k for (a, b), k in pairs.items()) and seen["n"].sum() == sum(pairs.values())
+    total, row = sum(size.values()), Counter()
+    for (a, _), k in pairs.items():
+        row[a] += k
+
+    def step(a, b):
+        x, y = class_of(a), class_of(b)
+        p = (pairs[x, y] + model.prior * max(size[y] / total, 1e-12)) / (row[x] + model.prior)
+        if b:
+            p *= (count[b] - d if b in count else d * max(kinds[y], 1)) / max(size[y], 1)
+        return math.log10(p)
+
+    for i, ws in texts.items():
+        want = sum(step(a, b) for a, b in zip([b"", *ws[:-1]], ws, strict=True))
+        assert abs(got[i] - want) < 1e-6 * abs(want), i
+
+
+def test_best_classes_by_recounting():
+    r = np.random.default_rng(3)
+    for _ in range(5):
+        units, c = 30, 5
+        pair = r.poisson(1.5, (units, units)).astype(float)
+        classes = np.where(np.arange(units) == 0, 0, r.integers(1, c, units))
+        one = np.eye(c)[classes]
+        got = class_lm.exchange(pair.T @ one, pair @ one, np.diag(pair).copy(), classes, np.arange(1, units), c)
+        value = lambda cl: class_lm.likelihood(np.eye(c)[cl].T @ pair @ np.eye(c)[cl])
+        for u in range(1, units):
+            tried = [value(np.where(np.arange(units) == u, k, classes)) for k in range(1, c)]
+            assert np.isclose(value(np.where(np.arange(units) == u, got[u], classes)), max(tried), atol=1e-4)
+
+
+def test_contexts_are_the_counts_of_pairs(spark):
+    r = np.random.default_rng(5)
+    docs = [r.integers(1, 50, r.integers(0, 90)).astype(np.uint32) for _ in range(60)]
+    units = spark.createDataFrame([(bytearray(x.tobytes()),) for x in docs], "units binary").repartition(4)
+    want = Counter()
+    for x in docs:
+        for a, b in zip([0, *x.tolist()], [*x.tolist(), 0], strict=True):
+            want[a, 1, b] += 1
+            want[b, 0, a] += 1
+    got = Counter()
+    for row in class_lm.contexts(units, 50, 3000, class_lm.Model(part_pairs=300)).collect():
+        for cell in zip(*(np.frombuffer(row[c], t).tolist() for c, t in class_lm.CELLS.items()), strict=True):
+            assert cell[0] % 20 == row.part and cell[:3] not in got
+            got[cell[:3]] = cell[3]
+    for (u, side, o), n in want.items():
+        if u and o:
+            assert got[u, side, o] == n
+    assert sum(got.values()) >= sum(want.values()) - 2 * len(docs)
+
+
 def test_nothing_to_learn_from(spark):
     held = [k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2][:3]
     df = spark.createDataFrame([(k, "a b") for k in held], "doc_id long, text string")
-    got = class_lm.score_corpus(df, class_lm.Model(classes=4, frequent=5, endings=8, rounds=1)).collect()
+    got = class_lm.score_corpus(df, class_lm.Model(classes=4, endings=8, rounds=1)).collect()
     assert all((r.held_out, r.n_known, r.train_tokens, r.base_score) == (True, 0, 0, 0.0) and math.isfinite(r.score) for r in got)
 
 
