@@ -217,6 +217,17 @@ class Ranged:
         return self.file.size()
 
 
+def spans(places: list[tuple[str, int, int]], gap: int = 1 << 16, most: int = 8 << 20) -> list[tuple[int, int]]:
+    """(first, after the last) of runs of records (path, at, length) that one read covers: one
+    archive, in order, no more than ``gap`` bytes apart and ``most`` together."""
+    cuts = [0]
+    for k in range(1, len(places)):
+        (path, at, length), (last, before, size), first = places[k], places[k - 1], places[cuts[-1]][1]
+        if path != last or not before + size <= at <= before + size + gap or at + length - first > most:
+            cuts.append(k)
+    return list(zip(cuts, [*cuts[1:], len(places)], strict=True)) if places else []
+
+
 def _tasks(archives: DataFrame, per_task: int) -> int:
     """Tasks for reading the archives. Their rows here are small and what they stand
     for is not, so the number is given and not left to the size of the rows."""
@@ -243,7 +254,8 @@ def read_records(archives: DataFrame, chunk: int = 8 << 20, payload: bool = Fals
     """Every record of the archives: id, url, payload_bytes, payload_digest,
     record_type, refers_to, and with ``payload`` the payload of responses.
 
-    A task reads about ``chunk`` bytes of an archive, record by record in order.
+    A task reads about ``chunk`` bytes of an archive; records that lie beside each
+    other come with one ranged read and are cut from it.
     A response's length and digest are taken from the bytes read.
     """
     schema = "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
@@ -253,8 +265,14 @@ def read_records(archives: DataFrame, chunk: int = 8 << 20, payload: bool = Fals
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 rows = []
-                for x in batch.slice(k, 64).to_pylist():
-                    named, body, full = parse_record(zlib.decompress(source.open(x["path"])(x["at"], x["length"]), 31))
+                places = [(x["path"], x["at"], x["length"]) for x in batch.slice(k, 64).to_pylist()]
+                held: list[bytes] = []
+                for a, b in spans(places):
+                    start, (_, last, size) = places[a][1], places[b - 1]
+                    raw = source.open(places[a][0])(start, last + size - start)
+                    held += [raw[at - start : at - start + n] for _, at, n in places[a:b]]
+                for raw in held:
+                    named, body, full = parse_record(zlib.decompress(raw, 31))
                     kind = named["warc-type"]
                     digest = hashlib.sha256(body).hexdigest() if kind == "response" else named["warc-payload-digest"].removeprefix("sha256:")
                     if kind == "response" and named["warc-payload-digest"] != f"sha256:{digest}":

@@ -663,6 +663,13 @@ def test_archives(spark, tmp_path):
     assert web_archive.read_records(web_archive.write_archives(df.where("false"))).count() == 0
 
 
+def test_records_beside_each_other_are_one_read():
+    places = [("a", 0, 10), ("a", 10, 5), ("a", 40, 5), ("a", 5000, 5), ("b", 5005, 5), ("b", 5000, 5), ("b", 5005, 20)]
+    assert web_archive.spans(places, gap=100, most=50) == [(0, 3), (3, 4), (4, 5), (5, 7)]
+    assert web_archive.spans(places, gap=100, most=20) == [(0, 2), (2, 3), (3, 4), (4, 5), (5, 6), (6, 7)]
+    assert web_archive.spans([]) == []
+
+
 def reader(raw):
     return lambda at, n: raw[at : at + n]
 
