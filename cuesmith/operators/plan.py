@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cuesmith.operators.runs import cut_islands, in_order, over_runs, renumbered
+from cuesmith.operators.runs import STRETCH, by_blocks, cut_islands, over_runs, renumbered, row_before
 
 
 def chunk_counts(media: DataFrame, seconds: float) -> DataFrame:
@@ -61,7 +61,9 @@ def speech_chunks(segments: DataFrame, longest: float) -> DataFrame:
         chunks = join_segments(g["start"], g["end"], longest)
         return {"chunk_index": list(range(len(chunks))), "start": [c[0] for c in chunks], "end": [c[1] for c in chunks]}
 
-    rows = cut_islands(segments.select(*keys, *order), keys, order, F.col("end") - F.lag("start").over(in_order(keys, order)) > longest)
+    block = by_blocks("start", STRETCH)
+    rows = row_before(segments.select(*keys, *order), keys, order, block, "start", "_before")
+    rows = cut_islands(rows, keys, order, block, F.col("end") - F.col("_before") > longest).drop("_before")
     parts = over_runs(rows, (*keys, "island"), order, rule, "chunk_index long, start double, `end` double")
     return renumbered(parts, keys, "chunk_index").select("media_id", "chunk_index", "start", "end")
 

@@ -22,18 +22,59 @@ Rule = Callable[[dict[str, list]], dict[str, list]]
 StreamRule = Callable[[Iterator[tuple]], Iterator[tuple]]
 
 
+#: Seconds, and positions, of a group that are sorted together where a group is cut into islands.
+STRETCH, POSITIONS = 3600.0, 20_000
+
+
 def in_order(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def cut_islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], cut: Column) -> DataFrame:
+def by_blocks(column: str, width: float) -> Column:
+    """Number of the stretch of ``width`` that a value lies in; null lies before
+    all others and NaN behind them, as in a sort."""
+    c = F.col(column)
+    low, high = F.lit(-(2**63)), F.lit(2**63 - 1)
+    return F.when(c.isNull(), low).when(F.isnan(c.cast("double")), high).otherwise(F.floor(c / width)).cast("long")
+
+
+def row_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: ``value`` of the row before in its group; null in the first.
+
+    Only rows of one block are sorted together, ``block`` being a number that grows with the
+    order; of each block its last row goes on to the next. So a group of any length is spread over
+    tasks. Rows with a null key are in no group and are left out.
+    """
+    rows = df.withColumn("_block", block)
+    last = rows.groupBy(*keys, "_block").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
+    last = last.withColumn("_held", F.lag("_last").over(in_order(keys, ["_block"]))).drop("_last")
+    here = F.lag(F.struct(value)).over(in_order([*keys, "_block"], order))
+    rows = rows.join(last, [*keys, "_block"]).withColumn(name, F.coalesce(here, F.col("_held"))[value])
+    return rows.select(*df.columns, name)
+
+
+def sum_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, value: Column, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value``, a LONG, over the earlier rows of the
+    group, by blocks as in ``row_before``. Keys are not null."""
+    rows = df.withColumns({"_block": block, "_value": value.cast("long")})
+    totals = rows.groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
+    earlier = lambda by, order, c: F.coalesce(F.sum(c).over(in_order(by, order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.withColumn("_held", earlier(keys, ["_block"], "_total")).drop("_total")
+    rows = rows.join(totals, [*keys, "_block"]).withColumn(name, F.col("_held") + earlier([*keys, "_block"], order, "_value"))
+    return rows.select(*[c for c in df.columns if c != name], name)
+
+
+def cut_islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, cut: Column) -> DataFrame:
     """``df`` with ``island``: a new one starts at each row where ``cut`` holds."""
-    return df.withColumn("_cut", F.coalesce(cut, F.lit(False)).cast("long")).withColumn("island", F.sum("_cut").over(in_order(keys, order).rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
+    rows = df.withColumn("_cut", F.coalesce(cut, F.lit(False)).cast("long"))
+    rows = sum_before(rows, keys, order, block, F.col("_cut"), "island")
+    return rows.withColumn("island", F.col("island") + F.col("_cut")).drop("_cut")
 
 
 def renumbered(parts: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
     """Results of (keys, island) numbered through each group."""
-    return parts.withColumn(number, F.row_number().over(in_order(keys, ["island", number])).cast("long") - 1).drop("island")
+    rows = parts.withColumnRenamed(number, "_number")
+    return sum_before(rows, keys, ["island", "_number"], by_blocks("island", 1000), F.lit(1), number).select(*[c for c in parts.columns if c not in ("island", number)], number)
 
 
 def over_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: Rule, schema: str, columns: Sequence[str] | None = None) -> DataFrame:

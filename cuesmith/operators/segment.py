@@ -7,10 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cuesmith.functions import text as t
-from cuesmith.operators.runs import cut_islands, in_order, over_runs, over_streams, renumbered
+from cuesmith.operators.runs import POSITIONS, STRETCH, by_blocks, cut_islands, over_runs, over_streams, renumbered, row_before, sum_before
 from cuesmith.operators.tokens import repair_durations
 
 SUBTITLE = "sub_no long, start double, `end` double, text string"
@@ -225,8 +224,9 @@ def gap_segment(units: DataFrame, profile: GapProfile = GAP, keys: tuple[str, ..
         return _columns(monotonic_cues(merge_fragments(list(zip(g["start"], g["end"], g["text"], strict=True)), profile)))
 
     rows, by = units.where(t.strip(F.col("text")) != ""), ("start", "end", *order)
-    gap = F.col("start") - F.lag("end").over(in_order(keys, by))
-    rows = cut_islands(rows, keys, by, (gap >= profile.strong_gap) & ~F.isnan(gap))
+    block = by_blocks("start", STRETCH)
+    gap = F.col("start") - F.col("_before")
+    rows = cut_islands(row_before(rows, keys, by, block, "end", "_before"), keys, by, block, (gap >= profile.strong_gap) & ~F.isnan(gap)).drop("_before")
     parts = over_runs(rows, (*keys, "island"), by, rule, SUBTITLE, [*keys, "island", *order, "text", "start", "end"])
     parts = renumbered(parts, keys, "sub_no")
     return over_runs(parts, keys, ("sub_no",), finish, SUBTITLE) if post else parts.select(*keys, "sub_no", "start", "end", "text")
@@ -235,9 +235,8 @@ def gap_segment(units: DataFrame, profile: GapProfile = GAP, keys: tuple[str, ..
 def islands(tokens: DataFrame, keys: tuple[str, ...] = ("media_id", "chunk_index"), order: tuple[str, ...] = ("pos",)) -> DataFrame:
     """``tokens`` with ``island``: the main profile always cuts after a sentence
     end, so the tokens between two of them can be segmented on their own."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ends = (t.ends_sentence(F.col("text")) & (t.strip(F.col("text")) != "")).cast("long")
-    return tokens.withColumn("island", F.coalesce(F.sum(ends).over(w), F.lit(0)))
+    return sum_before(tokens, keys, order, by_blocks(order[0], POSITIONS if order[0].endswith("pos") else STRETCH), ends, "island")
 
 
 def segment_long(tokens: DataFrame, profile: Profile = MAIN, keys: tuple[str, ...] = ("media_id",), order: tuple[str, ...] = ("pos",)) -> DataFrame:
@@ -251,5 +250,9 @@ def segment_long(tokens: DataFrame, profile: Profile = MAIN, keys: tuple[str, ..
     if profile.sentence_needs_text or not profile.sentence_not_held:
         raise ValueError("only a profile that cuts at every sentence end has islands")
     parts = segment(islands(tokens, keys, order), profile, (*keys, "island"), order, merge=False)
-    w = Window.partitionBy(*keys).orderBy("island", "sub_no")
-    return merge_short(parts.withColumn("sub_no", F.row_number().over(w).cast("long") - 1), profile, keys)
+
+    def rule(group: Iterator[tuple]) -> Iterator[tuple]:
+        for k, cue in enumerate(merge_stream(group, profile)):
+            yield k, *cue
+
+    return over_streams(renumbered(parts, keys, "sub_no"), keys, ("sub_no",), rule, SUBTITLE, ["start", "end", "text"])

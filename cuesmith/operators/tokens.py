@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cuesmith.functions import text as t
-from cuesmith.operators.runs import over_runs
+from cuesmith.operators.runs import STRETCH, by_blocks, over_runs, sum_before
 
 CHUNK = ("media_id", "chunk_index")
 
@@ -57,9 +57,9 @@ def with_pause(tokens: DataFrame, keys: tuple[str, ...] = CHUNK, order: tuple[st
 
 
 def media_order(tokens: DataFrame) -> DataFrame:
-    """All tokens of a recording by (start, end), then chunk and position; ``pos`` is renumbered."""
-    w = Window.partitionBy("media_id").orderBy("start", "end", "chunk_index", "pos")
-    return tokens.withColumn("media_pos", F.row_number().over(w).cast("long") - 1)
+    """All tokens of a recording by (start, end), then chunk and position; ``media_pos``
+    numbers them from 0. Stretches of an hour are sorted on their own."""
+    return sum_before(tokens, ["media_id"], ["start", "end", "chunk_index", "pos"], by_blocks("start", STRETCH), F.lit(1), "media_pos")
 
 
 def punctuate(texts: list[str], transcript: str) -> list[str]:

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cuesmith.functions import text as t
 from cuesmith.jobs import fixtures as fx
@@ -254,3 +255,15 @@ def test_legacy_rule_holds_no_group(spark):
     df = spark.createDataFrame(rows, "media_id long, pos long, start double, `end` double, text string").repartition(4)
     for f in (segment.segment, segment.segment_stream):
         assert sorted(map(tuple, f(df, segment.LEGACY, ("media_id",)).collect())) == want
+
+
+def test_blocks_do_not_change_sums_and_neighbours(spark):
+    """Groups that reach over many blocks, ties at their edges, null and NaN starts."""
+    r = random.Random(3)
+    rows = [(m, k, r.choice([None, float("nan"), *[x / 4 for x in range(60)]]), r.randint(0, 3)) for m in range(4) for k in range(200)]
+    df = spark.createDataFrame(rows, "m long, k long, s double, v long").repartition(5)
+    w = Window.partitionBy("m").orderBy("s", "k")
+    want = df.withColumns({"p": F.lag("v").over(w), "t": F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    block = runs.by_blocks("s", 1.0)
+    got = runs.sum_before(runs.row_before(df, ["m"], ["s", "k"], block, "v", "p"), ["m"], ["s", "k"], block, F.col("v"), "t")
+    assert sorted((x.m, x.k, x.p, x.t) for x in got.collect()) == sorted((x.m, x.k, x.p, x.t) for x in want.collect())
