@@ -178,7 +178,7 @@ def _(s, d):
 
 @query("subtitles_from_transcripts", _PUNCTUATED.replace("    SELECT media_id, chunk_index, c.p AS pos", ", restored AS (SELECT media_id, chunk_index, c.p AS pos") + ")," + o.cut("restored", "media_id, chunk_index", True, False, True) + "," + o.merged("media_id, chunk_index", True) + f" SELECT media_id, chunk_index, {o.SUBS}")
 def _(s, d):
-    return segment.segment(tokens.restore_punctuation(fx.bare_tokens(s, d), fx.transcripts(s, d)), segment.MAIN)
+    return segment.segment_said(fx.bare_tokens(s, d), fx.transcripts(s, d), segment.MAIN)
 
 
 @query("token_json", "WITH " + o.BARE + ' SELECT media_id, chunk_index, count(*) AS n, sum(length(text)) AS chars, round(sum("end" - "start"), 3) AS seconds FROM tokens GROUP BY ALL')

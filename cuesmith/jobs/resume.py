@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesmith.operators import backlog, merge, segment, tokens
+from cuesmith.operators import backlog, merge, segment
 from cuesmith.sources import files
 
 
@@ -43,5 +43,5 @@ def write_final_files(spark: SparkSession, root: str, out: str, delay: float = 0
     keys = ["media_id", "chunk_index"]
     said = files.whole_files(spark, root, "*.txt").where("chunk_index is not null").withColumnRenamed("body", "transcript").join(todo, keys, "left_semi")
     made = files.tokens_of(files.parse_token_json(files.whole_files(spark, root, "*.tokens.json").where("chunk_index is not null").join(todo, keys, "left_semi")))
-    subs = segment.segment(tokens.restore_punctuation(made, said), segment.MAIN)
+    subs = segment.segment_said(made, said, segment.MAIN)
     files.write_bodies(merge.srt_body(merge.final_entries(subs, delay)), out)

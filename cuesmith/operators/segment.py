@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cuesmith.functions import text as t
 from cuesmith.operators.runs import POSITIONS, STRETCH, by_blocks, cut_islands, over_runs, over_streams, renumbered, row_before, sum_before
-from cuesmith.operators.tokens import repair_durations
+from cuesmith.operators.tokens import CHUNK, punctuate, repair_durations, repaired, with_transcript
 
 SUBTITLE = "sub_no long, start double, `end` double, text string"
 
@@ -190,6 +190,18 @@ def segment(tokens: DataFrame, profile: Profile = MAIN, keys: tuple[str, ...] =
     return over_runs(rows, keys, order, rule, SUBTITLE, [*keys, *order, "text", "start", "end"])
 
 
+def segment_said(tokens: DataFrame, transcripts: DataFrame, profile: Profile = MAIN) -> DataFrame:
+    """``segment`` of the tokens with their transcript's punctuation, a chunk a group: both rules,
+    and the repair between them, in one pass over tokens that are shuffled once."""
+
+    def rule(g: dict[str, list]) -> dict[str, list]:
+        texts = punctuate(g["text"], g["_said"][0]) if g["_said"][0] else g["text"]
+        starts = repaired(texts, g["start"], g["end"]) if profile.repair else g["start"]
+        return _columns(merge_short_cues(cut_tokens(texts, starts, g["end"], profile), profile))
+
+    return over_runs(with_transcript(tokens, transcripts), CHUNK, ("pos",), rule, SUBTITLE, [*CHUNK, "pos", "text", "start", "end", "_said"])
+
+
 def segment_stream(tokens: DataFrame, profile: Profile = LEGACY, keys: tuple[str, ...] = ("media_id",), order: tuple[str, ...] = ("pos",)) -> DataFrame:
     """``segment`` for long groups of a profile without islands: tokens pass one by
     one, and a task holds the open subtitle and the one before it."""

@@ -44,6 +44,12 @@ def repair_durations(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("start", F.when(wrong, F.col("end") - n * 0.5).otherwise(F.col("start")))
 
 
+def repaired(texts: list[str], starts: list[float], ends: list[float]) -> list[float]:
+    """The starts of ``repair_durations`` inside a rule."""
+    size = [len(x.strip()) for x in texts]
+    return [e - n * 0.5 if 1 <= n <= 2 and e - s > 4.0 else s for n, s, e in zip(size, starts, ends, strict=True)]
+
+
 def absolute_times(tokens: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunk-relative times moved by the padded start of their chunk."""
     offsets = chunks.select(*CHUNK, F.col("padded_start").alias("_at"))
@@ -79,15 +85,20 @@ def punctuate(texts: list[str], transcript: str) -> list[str]:
     return out
 
 
+def with_transcript(tokens: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """``tokens`` with ``_said``, the chunk's transcript on its first token and null on the rest."""
+    w = Window.partitionBy(*CHUNK).orderBy("pos")
+    firsts = tokens.withColumn("_n", F.row_number().over(w))
+    return firsts.join(transcripts.select(*CHUNK, F.lit(1).alias("_n"), F.col("transcript").alias("_said")), [*CHUNK, "_n"], "left")
+
+
 def restore_punctuation(tokens: DataFrame, transcripts: DataFrame) -> DataFrame:
     """Tokens with the transcript's punctuation; without a transcript as they are.
 
     The transcript travels once a chunk, on the chunk's first token, and not with
     every token.
     """
-    w = Window.partitionBy(*CHUNK).orderBy("pos")
-    firsts = tokens.withColumn("_n", F.row_number().over(w))
-    rows = firsts.join(transcripts.select(*CHUNK, F.lit(1).alias("_n"), F.col("transcript").alias("_said")), [*CHUNK, "_n"], "left")
+    rows = with_transcript(tokens, transcripts)
 
     def rule(g: dict[str, list]) -> dict[str, list]:
         said = g["_said"][0]
