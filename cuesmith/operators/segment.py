@@ -240,8 +240,9 @@ def gap_segment(units: DataFrame, profile: GapProfile = GAP, keys: tuple[str, ..
     gap = F.col("start") - F.col("_before")
     rows = cut_islands(row_before(rows, keys, by, block, "end", "_before"), keys, by, block, (gap >= profile.strong_gap) & ~F.isnan(gap)).drop("_before")
     parts = over_runs(rows, (*keys, "island"), by, rule, SUBTITLE, [*keys, "island", *order, "text", "start", "end"])
-    parts = renumbered(parts, keys, "sub_no")
-    return over_runs(parts, keys, ("sub_no",), finish, SUBTITLE) if post else parts.select(*keys, "sub_no", "start", "end", "text")
+    if post:
+        return over_runs(parts, keys, ("island", "sub_no"), finish, SUBTITLE, [*keys, "island", "sub_no", "start", "end", "text"])
+    return renumbered(parts, keys, "sub_no").select(*keys, "sub_no", "start", "end", "text")
 
 
 def islands(tokens: DataFrame, keys: tuple[str, ...] = ("media_id", "chunk_index"), order: tuple[str, ...] = ("pos",)) -> DataFrame:
@@ -267,4 +268,4 @@ def segment_long(tokens: DataFrame, profile: Profile = MAIN, keys: tuple[str, ..
         for k, cue in enumerate(merge_stream(group, profile)):
             yield k, *cue
 
-    return over_streams(renumbered(parts, keys, "sub_no"), keys, ("sub_no",), rule, SUBTITLE, ["start", "end", "text"])
+    return over_streams(parts, keys, ("island", "sub_no"), rule, SUBTITLE, ["start", "end", "text"])
