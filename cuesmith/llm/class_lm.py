@@ -46,7 +46,7 @@ class Model:
     rounds: int = 12
     prior: float = 50.0
     flush: int = 300_000
-    part_pairs: int = 4_000_000
+    part_pairs: int = 1_000_000
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -257,6 +257,7 @@ def moved(table: DataFrame, classes: np.ndarray, n: np.ndarray, turn: int) -> np
     c = len(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = small_steps(n)
         for x in _parts(batches):
             units, row = np.unique(x["unit"], return_inverse=True)
             movable = (units != 0) & (((units.astype(np.int64) * 2654435761 >> (3 + turn // 2)) + turn) % 2 == 0)
@@ -264,14 +265,14 @@ def moved(table: DataFrame, classes: np.ndarray, n: np.ndarray, turn: int) -> np
             kept = np.cumsum(movable) - 1
             row, other, after, many = kept[row[some]], x["other"][some], x["after"][some], x["n"][some]
             units = units[movable]
-            for a in range(0, len(units), 2048):
-                here = (row >= a) & (row < a + 2048)
-                u, o, f, m = units[a : a + 2048], other[here], after[here], many[here]
+            for a in range(0, len(units), 512):
+                here = slice(*np.searchsorted(row, [a, a + 512]))
+                u, o, f, m = units[a : a + 512], other[here], after[here], many[here]
                 cell = (row[here] - a) * c + classes[o]
                 right, left = (np.bincount(cell[f == side], m[f == side], len(u) * c).reshape(-1, c) for side in (1, 0))
                 self_ = (f == 1) & (o == u[row[here] - a])
                 twice = np.bincount(row[here][self_] - a, m[self_], len(u))
-                best = best_classes(left, right, twice, classes[u], n)
+                best = best_classes(left, right, twice, classes[u], n, steps)
                 at = np.flatnonzero(best != classes[u])
                 yield pa.RecordBatch.from_arrays([pa.array(u[at].astype(np.int64)), pa.array(best[at].astype(np.int32))], ["unit", "class"])
 
@@ -295,8 +296,21 @@ def likelihood(n: np.ndarray) -> float:
     return float(_h(n).sum() - _h(n.sum(0)).sum() - _h(n.sum(1)).sum())
 
 
-def best_classes(before: np.ndarray, after: np.ndarray, twice: np.ndarray, own: np.ndarray, n: np.ndarray) -> np.ndarray:
+def small_steps(n: np.ndarray, most: int = 16) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """What 1, 2, ... more of a transition add, by (class beside the unit, class of the unit):
+    of the classes behind the unit, and of those before it."""
+    out = []
+    for table in (n, n.T):
+        some = [(_h(table + m) - _h(table)).T for m in range(1, most + 1)]
+        for x in some:
+            np.fill_diagonal(x, 0)
+        out.append(some)
+    return out[0], out[1]
+
+
+def best_classes(before: np.ndarray, after: np.ndarray, twice: np.ndarray, own: np.ndarray, n: np.ndarray, steps: tuple[list[np.ndarray], list[np.ndarray]]) -> np.ndarray:
     """The class of each of some units that raises the likelihood most, all else held.
+    ``steps`` are ``small_steps`` of ``n``.
 
     ``before`` and ``after`` have a row a unit: how often each class stands before and behind it;
     ``twice`` how often it stands behind itself, ``own`` its class; ``n`` are the transitions.
@@ -306,8 +320,19 @@ def best_classes(before: np.ndarray, after: np.ndarray, twice: np.ndarray, own:
     right[rows, own] -= twice
     left[rows, own] -= twice
     gain = np.zeros((len(own), c))
-    for mine, others, table in ((right, left, n), (left, right, n.T)):
-        unit, k = np.nonzero(mine)  # only these cells change what their row holds
+    for mine, others, table, more in ((right, left, n, steps[0]), (left, right, n.T, steps[1])):
+        # small counts of other classes, most of all cells: what they add is looked up
+        quick = (mine > 0) & (mine <= len(more))
+        quick[rows, own] = False
+        for m, step in enumerate(more, 1):
+            some = quick & (mine == m)
+            if some.any():
+                gain += some @ step
+        unit, k = np.nonzero(quick)
+        m, x = mine[unit, k], table[own[unit], k]
+        off = 2 * _h(x) - _h(x - m) - _h(x + m)  # the own class is without the unit
+        gain[rows, own] += np.bincount(unit, off, len(own))
+        unit, k = np.nonzero((mine > 0) & ~quick)  # only these cells change what their row holds
         if not len(unit):
             continue
         many = mine[unit, k][:, None]
@@ -316,10 +341,10 @@ def best_classes(before: np.ndarray, after: np.ndarray, twice: np.ndarray, own:
         same = k == own[unit]
         rest[same] -= others[unit[same]]
         rest[np.flatnonzero(same), k[same]] -= twice[unit[same]]
-        more = _h(rest + many) - _h(rest)
-        more[np.arange(len(unit)), k] = 0  # the diagonal is below
+        add = _h(rest + many) - _h(rest)
+        add[np.arange(len(unit)), k] = 0  # the diagonal is below
         first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
-        gain[unit[first]] += np.add.reduceat(more, first, axis=0)
+        gain[unit[first]] += np.add.reduceat(add, first, axis=0)
     diagonal = np.broadcast_to(np.diag(n), gain.shape).copy()
     diagonal[rows, own] -= right[rows, own] + left[rows, own] + twice
     gain += _h(diagonal + right + left + twice[:, None]) - _h(diagonal)
@@ -335,8 +360,8 @@ def best_classes(before: np.ndarray, after: np.ndarray, twice: np.ndarray, own:
 
 def exchange(before: np.ndarray, after: np.ndarray, twice: np.ndarray, classes: np.ndarray, movable: np.ndarray, c: int) -> np.ndarray:
     """``classes`` with the best class of each movable unit; the arrays have all units."""
-    out = classes.copy()
-    out[movable] = best_classes(before[movable], after[movable], twice[movable], classes[movable], transitions(after, classes, c))
+    out, n = classes.copy(), transitions(after, classes, c)
+    out[movable] = best_classes(before[movable], after[movable], twice[movable], classes[movable], n, small_steps(n))
     return out
 
 
