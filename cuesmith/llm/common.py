@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,17 +76,35 @@ def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, label)
     df.write.options(**options).parquet(path)
+    WRITTEN.append(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.scratch_path = path
     return table
 
 
+#: Paths of the tables that ``stored`` wrote and nobody discarded.
+WRITTEN: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    WRITTEN.remove(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``stored`` wrote and that nothing reads any more."""
     for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(t.sparkSession, t.scratch_path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """``make``'s result written as a table; the tables that ``make`` wrote on the way are deleted."""
+    before = set(WRITTEN)
+    table = stored(make(), label)
+    for path in [p for p in WRITTEN if p not in before and p != table.scratch_path]:
+        _delete(spark, path)
+    return table
 
 
 def words_in(text: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, words_in
+from .common import discard, stored, words_in
 
 #: Blocks of all sources together, about; it bounds what is broadcast.
 MAX_BLOCKS = 16_384
@@ -143,7 +143,9 @@ def plan_mix(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share: floa
     # the blocks that a pass draws are the first of the permutation, so their ranks have no holes
     takes = drawn.where("passes > 0").select("source_no", "block", "whole", "cut", "last", "rank", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("pass"))
     blocks = takes.join(owned, ["source_no", "pass", "rank"]).groupBy("source_no", "block", "whole", "cut", "last").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("takes"))
-    return Mix(sources, stored(blocks, "takes"), seed, shards)
+    plan = Mix(sources, stored(blocks, "takes"), seed, shards)
+    discard(words, drawn)
+    return plan
 
 
 def with_takes(docs: DataFrame, mix: Mix, id: str = "doc_id", source: str = "source") -> DataFrame:
@@ -172,7 +174,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "
     Null sources are one source, the last. A null or empty text has size 0 and
     goes with its block. Rows of one id go together. No rows give no rows.
     """
-    plan = plan_mix(sizes(docs, text, source, id), **options)
+    sized = sizes(docs, text, source, id)
+    plan = plan_mix(sized, **options)
+    discard(sized)
     rows = with_takes(docs, plan, id, source).select("row", F.explode("takes").alias("take"))
     order = F.xxhash64(F.lit(plan.seed), "take.shard", "take.pass", f"row.{id}")
     return rows.select(*[F.col(f"row.{c}") for c in docs.columns if c not in TAKE], F.col("take.pass").alias("_pass"), F.col("take.shard").alias("_shard"), order.alias("_place"))

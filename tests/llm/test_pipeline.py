@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline as cp
-from cuesmith.llm import quality
+from cuesmith.llm import common, quality
 from tests.llm.test_operators import DOCS, odd_rows, plain_components, plain_measures, plain_targets
 
 SMALL = "/root/testdata/sf0.001"
@@ -56,7 +56,10 @@ def test_stages_on_the_smallest_tables(spark):
 
 def test_run_is_the_stages(spark):
     _, pieces = stages(spark, spark.read.parquet(f"{SMALL}/documents.parquet"), SMALL)
+    before = set(common.WRITTEN)
     got = cp.run(spark, SMALL)
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in common.WRITTEN if p not in before]
+    assert left == ["source_mix"]  # what the last stage reads
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pieces))
 
 
