@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, words_in
+from .common import discard, new_path, stored, words_in
 
 SIZES = (512, 1024, 2048, 4096, 8192)
 #: Padding-equivalent tokens that one more sequence costs.
@@ -106,7 +106,12 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", sizes: Sequenc
     groups = max(1, -(-(total.rows or 0) // group_rows), -(-(total.tokens or 0) // group_tokens))
     # few keys can be hot: each has HOT rows or more; their copies are dealt by place, all others by value
     hot = rows.groupBy("id", "th").count().where(F.col("count") > HOT).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.ceil(F.col("count") / HOT).alias("deals"))
-    rows = rows.join(hot, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+    hot = stored(hot, "hot")  # its size is known then, and texts do not move for it
+    if hot.isEmpty():
+        discard(hot)
+        rows = rows.withColumn("deals", F.lit(None).cast("long"))
+    else:
+        rows = rows.join(hot, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
     deal = F.when(F.col("deals").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("deals"))).cast("long")
     rows = rows.select("id", "th", "tokens", F.coalesce("deals", F.lit(1)).cast("long").alias("deals"), deal.alias("deal"), F.posexplode(pieces(F.col("body"), F.col("tokens"), largest)).alias("piece", "body"))
     rows = rows.withColumn("length", F.least(F.lit(largest).cast("long"), F.col("tokens") - F.col("piece") * largest))
