@@ -63,7 +63,8 @@ def speech_chunks(segments: DataFrame, longest: float) -> DataFrame:
 
     block = by_blocks("start", STRETCH)
     rows = row_before(segments.select(*keys, *order), keys, order, block, "start", "_before")
-    rows = cut_islands(rows, keys, order, block, F.col("end") - F.col("_before") > longest).drop("_before")
+    # of equal segments the first has the lesser start before it, and may be the one that cuts
+    rows = cut_islands(rows, keys, (*order, "_before"), block, F.col("end") - F.col("_before") > longest).drop("_before")
     parts = over_runs(rows, (*keys, "island"), order, rule, "chunk_index long, start double, `end` double")
     return renumbered(parts, keys, "chunk_index").select("media_id", "chunk_index", "start", "end")
 

@@ -231,6 +231,15 @@ def test_long_groups_go_to_the_rules_in_islands(spark, monkeypatch):
     assert seen == [("media_id", "island"), ("media_id", "island"), ("media_id", "island"), ("media_id",)]
 
 
+def test_equal_segments_stay_in_order(spark):
+    """Of two equal segments the first one cuts, whichever way the rows come."""
+    rows = [(1, 0.0, 2.0), *[(1, 10.0 * k, 10.0 * k + 7.0) for k in range(1, 40) for _ in range(3)]]
+    want = plan.join_segments([x[1] for x in rows], [x[2] for x in rows], 8.0)
+    for seed in range(4):
+        df = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "media_id long, start double, `end` double").repartition(3)
+        assert [(x.start, x.end) for x in plan.speech_chunks(df, 8.0).orderBy("chunk_index").collect()] == want
+
+
 def test_legacy_rule_holds_no_group(spark):
     """A cue comes out after a few tokens of an endless group, and long groups are cut as short ones."""
     read = []
