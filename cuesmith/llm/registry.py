@@ -9,7 +9,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, exact_dedup, mixing, near_dedup, packing, personal_data, quality, token_ids, url_filter, web_archive
+from . import class_lm, divergence, exact_dedup, hard_negatives, mixing, near_dedup, packing, personal_data, quality, rule_ensemble, token_ids, url_filter, web_archive
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,6 +169,58 @@ def op3(spark, sf_dir):
     return class_lm.score_corpus(table(spark, sf_dir, "documents"))
 
 
+@query("op11_rule_ensemble")
+def op11(spark, sf_dir):
+    held = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % 5 == 0, F.lit(False))
+    scored = rule_ensemble.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held("id"))
+    return scored.select("doc_id", held("doc_id").alias("held_out"), "score", "predicted")
+
+
+@query(
+    "op12_radix_negatives",
+    """
+    WITH v AS (SELECT row_number() OVER () AS row, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+               FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.row AS arow, a.id AS anchor, b.row AS brow, b.id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+          FROM v a JOIN v b ON a.row <> b.row AND len(a.x) = len(b.x) WHERE a.id % 100 = 0),
+    p AS (SELECT * FROM s WHERE same AND id <> anchor QUALIFY row_number() OVER (PARTITION BY arow ORDER BY score DESC, id) <= 5),
+    n AS (SELECT p.anchor AS anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.arow, p.brow ORDER BY s.score DESC, s.id) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+          FROM p JOIN s ON p.arow = s.arow AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+    SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+    """,
+)
+def op12(spark, sf_dir):
+    own = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), own.alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+@query(
+    "op13_divergence_audit",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+    v AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+    z AS (SELECT lang, count(*) AS kept, sum(n)::HUGEINT AS total FROM v GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN v USING (lang, term) GROUP BY lang, source, term),
+    u AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY lang, source),
+    s AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n,
+                 (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(u.total, 0) + 2 * z.kept))::BIGINT AS p, (1 + 1000000000::HUGEINT * (v.n + 2) // (z.total + 2 * z.kept))::BIGINT AS q
+          FROM g JOIN v USING (lang) JOIN z USING (lang) LEFT JOIN u ON u.lang = g.lang AND u.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+    f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM s WHERE n > 0 AND p > q),
+    k AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r)
+    SELECT lang, source, part, item, value, rank FROM k WHERE part = 'pair' OR rank <= 10
+    """,
+)
+def op13(spark, sf_dir):
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
