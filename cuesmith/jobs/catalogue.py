@@ -13,7 +13,7 @@ from cuesmith.functions import text as t
 from cuesmith.jobs import fixtures as fx
 from cuesmith.jobs import oracles as o
 from cuesmith.operators import backlog, engine, intervals, merge, plan, segment, tokens, units
-from cuesmith.sources import files
+from cuesmith.sources import files, subtitle_files
 from cuesmith.streaming import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,20 @@ def _(s, d):
     return files.parse_srt(bodies)
 
 
+_NAMES = ["my film ", "影片 ", "a#", "Ep: ", "100% "]
+
+
+@query("subtitle_files", o.FINAL + f""" SELECT {_NAMES}[media_id % 5 + 1] || media_id AS file, 'final' AS kind, entry_no - 1 AS sub_no, {o.quantized('"start"')} AS "start", {o.quantized('"end"')} AS "end", text FROM final""")
+def _(s, d):
+    """Final subtitles written as files by their recordings' names, listed as artifacts and read again."""
+    named = F.concat(F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("media_id") % 5 + 1).cast("int")), "media_id")
+    rows = merge.final_entries(segment.segment(fx.tokens(s, d), segment.MAIN), 0.5).withColumn("file", named).withColumnRenamed("entry_no", "sub_no")
+    folder = tables.shared_folder(s)
+    subtitle_files.write_subtitles(rows, folder)
+    kinds = files.read_manifest(s, folder).select(F.col("media_id").alias("file"), "kind")
+    return subtitle_files.read_subtitles(s, folder).join(kinds, "file").select("file", "kind", "sub_no", "start", "end", "text")
+
+
 @query("display_delay", f'{o.MAIN} SELECT media_id, chunk_index, sub_no, c.s AS "start", least(c.e + 0.5::DOUBLE, coalesce(lead(c.s) OVER w, c.e + 0.5::DOUBLE)) AS "end", c.t AS text FROM subs WINDOW w AS (PARTITION BY media_id ORDER BY c.s, c.e, chunk_index, sub_no)')
 def _(s, d):
     return merge.display_delay(segment.segment(fx.tokens(s, d), segment.MAIN), 0.5)

@@ -31,20 +31,20 @@ ARTIFACTS = [
 WORK = ".srt_work"
 
 
-def artifacts(listed: DataFrame) -> DataFrame:
+def artifacts(listed: DataFrame, *more: str) -> DataFrame:
     """(media_id, kind, chunk_index, size) of listed files (path, length); files of
     no known kind are left out. A work folder's files belong to the recording it is named after,
     the full audio and final files to the one they are named after, and pieces in
-    any other folder to that folder's."""
+    any other folder to that folder's. ``more`` columns of the list stay."""
     name, folder = F.element_at(F.split("path", "/"), -1), F.element_at(F.split("path", "/"), -2)
     kind = index = F.lit(None)
     for k, pattern in reversed(ARTIFACTS):
         kind = F.when(name.rlike(pattern), F.lit(k)).otherwise(kind)
         index = F.when(name.rlike(pattern), F.regexp_extract(name, pattern, 1) if "(" in pattern else F.lit("")).otherwise(index)
-    rows = listed.select(kind.cast("string").alias("kind"), index.try_cast("long").alias("chunk_index"), F.col("length").cast("long").alias("size"), name.alias("_name"), folder.alias("_folder")).where("kind is not null")
+    rows = listed.select(kind.cast("string").alias("kind"), index.try_cast("long").alias("chunk_index"), F.col("length").cast("long").alias("size"), name.alias("_name"), folder.alias("_folder"), *more).where("kind is not null")
     own = F.regexp_replace("_name", r"_16k_mono\.wav$|\.srt$|\.txt$", "")
     media = F.when(F.col("kind").isin("full_wav", "final", "final_txt"), own).when(F.endswith("_folder", F.lit(WORK)), F.regexp_replace("_folder", re.escape(WORK) + "$", "")).otherwise(F.col("_folder"))
-    return rows.select(media.alias("media_id"), "kind", "chunk_index", "size")
+    return rows.select(media.alias("media_id"), "kind", "chunk_index", "size", *more)
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -52,9 +52,14 @@ def read_manifest(spark: SparkSession, root: str) -> DataFrame:
     return artifacts(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length"))
 
 
+def file_path() -> Column:
+    """The path of a text file as it is written; Spark gives it encoded for a URI."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def whole_files(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
     """(media_id, chunk_index, body) of text files of chunks whose names fit ``names``."""
-    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=names).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=names).select(file_path().alias("path"), F.col("value").alias("body"))
     return rows.select(F.regexp_extract("path", CHUNK_FILE, 1).alias("media_id"), F.regexp_extract("path", CHUNK_FILE, 2).try_cast("long").alias("chunk_index"), "body")
 
 

@@ -165,7 +165,7 @@ def test_files_to_final_files_and_only_what_is_left(spark, tmp_path):
                 (work / f"chunk_{k:04d}.txt").write_text(said[(i, k)])
 
     def finals():
-        return {p.parent.name.split("=")[1]: (p.read_text(), p.stat().st_mtime_ns) for p in out.glob("media_id=*/part-*")}
+        return {p.stem: (p.read_text(), p.stat().st_mtime_ns) for p in out.glob("*.srt")}
 
     for m in media[:4]:
         put(m)
