@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from cuesmith.operators.runs import STRETCH, Scan, by_blocks, scans
 
 
 def overlap(chunks: DataFrame, segments: DataFrame, bin_seconds: float = 60.0) -> DataFrame:
@@ -26,18 +27,18 @@ def clip_to_speech(tokens: DataFrame, regions: DataFrame, keys: tuple[str, ...]
 
     A start in silence goes to the next region's start, an end in silence to the
     previous region's end; what has no length then is dropped. Without regions
-    tokens pass. Two as-of looks over one partitioning: tokens and regions in one
-    order of time, each token taking the region after its start and before its end.
+    tokens pass. Two as-of looks: tokens and regions in one order of time, each token
+    taking the region after its start, and the one before its end. Both are scans
+    by hours, so a recording of any length is many tasks.
     """
     has = F.lit(None)
     columns = [c for c in tokens.columns if c not in keys]
     rows = tokens.select(*keys, F.struct(*columns).alias("_token"), F.col("start").alias("_fwd"), F.col("end").alias("_back"), has.cast("double").alias("_r0"), has.cast("double").alias("_r1"))
     marks = regions.select(*keys, F.lit(None).cast(rows.schema["_token"].dataType).alias("_token"), F.col("end").alias("_fwd"), F.col("start").alias("_back"), F.col("start").alias("_r0"), F.col("end").alias("_r1"))
-    is_region = F.col("_token").isNull()
-    ahead = Window.partitionBy(*keys).orderBy("_fwd", is_region).rowsBetween(0, Window.unboundedFollowing)
-    behind = Window.partitionBy(*keys).orderBy("_back", ~is_region).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    both = rows.unionByName(marks).withColumns({"_next": F.first("_r0", ignorenulls=True).over(ahead), "_prev": F.last("_r1", ignorenulls=True).over(behind), "_any": F.count("_r0").over(whole)})
+    # at one time a token stands before a region's end and behind its start, so touching is inside
+    both = rows.unionByName(marks).withColumns({"_late": F.col("_token").isNull(), "_soon": F.col("_token").isNotNull()})
+    both = scans(both, keys, ("_fwd", "_late"), by_blocks("_fwd", STRETCH), {"_next": Scan("next", F.col("_r0"), own=True), "_any": Scan("total", F.col("_r0").isNotNull().cast("long"))})
+    both = scans(both, keys, ("_back", "_soon"), by_blocks("_back", STRETCH), {"_prev": Scan("last", F.col("_r1"), own=True)})
     start, end = F.greatest(F.col("_token.start"), F.col("_next")), F.least(F.col("_token.end"), F.col("_prev"))
     inside = both.where("_token is not null").withColumns({"_s": F.when(F.col("_any") == 0, F.col("_token.start")).otherwise(start), "_e": F.when(F.col("_any") == 0, F.col("_token.end")).otherwise(end)})
     fits = (F.col("_any") == 0) | (F.col("_next").isNotNull() & F.col("_prev").isNotNull() & (F.col("_e") > F.col("_s")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cuesmith.functions import text as t
+from cuesmith.operators.runs import POSITIONS, STRETCH, Scan, by_blocks, scans
 
 ORDER = ("start", "end", "chunk_index", "sub_no")
 
@@ -41,15 +42,16 @@ def monotonic(subtitles: DataFrame, keys: tuple[str, ...] = ("media_id",), order
     """Starts not before the last end, ends at least ``least`` after starts.
 
     The recurrence end(i) = max(end, start + least, end(i-1) + least) is a running
-    maximum once ``least * i`` is taken off.
+    maximum once ``least * i`` is taken off. Positions and the maximum are scans by
+    blocks of the first order column, a number, so no task holds a long group.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    n = F.row_number().over(w)
-    rows = subtitles.withColumn("_n", n)
-    peak = F.max(F.greatest("end", F.col("start") + least) - F.col("_n") * least).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_end", F.greatest(F.lit(0.0), peak) + F.col("_n") * least)
-    start = F.greatest("start", F.coalesce(F.lag("_end").over(w), F.lit(0.0)))
-    return rows.withColumn("start", start).withColumn("end", F.col("_end")).drop("_n", "_end")
+    block = by_blocks(order[0], POSITIONS if order[0].endswith(("_no", "pos")) else STRETCH)
+    rows = scans(subtitles, keys, order, block, {"_n": Scan("sum", F.lit(1).cast("long"), own=True)})
+    value = F.greatest("end", F.col("start") + least) - F.col("_n") * least
+    rows = scans(rows, keys, order, block, {"_peak": Scan("max", value, own=True), "_before": Scan("max", value)})
+    end = lambda peak, n: F.greatest(F.lit(0.0), F.col(peak)) + n * least
+    start = F.greatest("start", F.when(F.col("_n") > 1, end("_before", F.col("_n") - 1)).otherwise(F.lit(0.0)))
+    return rows.withColumns({"start": start, "end": end("_peak", F.col("_n"))}).select(*subtitles.columns)
 
 
 def srt_body(entries: DataFrame, keys: tuple[str, ...] = ("media_id",), number: str = "entry_no") -> DataFrame:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from cuesmith.operators.runs import STRETCH, by_blocks, cut_islands, over_runs, renumbered, row_before
+from cuesmith.operators.runs import POSITIONS, STRETCH, Scan, by_blocks, cut_islands, over_runs, renumbered, row_before, scans
 
 
 def chunk_counts(media: DataFrame, seconds: float) -> DataFrame:
@@ -74,14 +73,16 @@ def speech_from_frames(frames: DataFrame, threshold: float = 0.5, least_speech:
 
     Frames at the threshold or over are speech; silence shorter than
     ``least_silence`` joins; speech shorter than ``least_speech`` goes; the rest
-    is padded, neighbours meeting half-way where the pads would overlap.
+    is padded, neighbours meeting half-way where the pads would overlap. Frames are looked
+    at by blocks of positions and segments by hour: no task holds a recording. Frames
+    without a recording are left out.
     """
-    w = Window.partitionBy("media_id").orderBy("frame_no")
-    on = frames.where(F.col("prob") >= threshold)
-    gap = F.col("t") - (F.lag("t").over(w) + frame)
-    runs = on.withColumn("_new", F.coalesce((gap >= least_silence).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(w))
-    spans = runs.groupBy("media_id", "_run").agg(F.min("t").alias("s"), (F.max("t") + frame).alias("e")).where(F.col("e") - F.col("s") >= least_speech)
-    n = Window.partitionBy("media_id").orderBy("s")
-    before, after = F.lag("e").over(n), F.lead("s").over(n)
-    spans = spans.withColumns({"start": F.greatest(F.lit(0.0), F.col("s") - pad, (before + F.col("s")) / 2), "end": F.least(F.col("e") + pad, (F.col("e") + after) / 2), "seg_no": F.row_number().over(n).cast("long") - 1})
-    return spans.select("media_id", "seg_no", "start", "end")
+    keys, place = ["media_id"], by_blocks("frame_no", POSITIONS)
+    on = scans(frames.where(F.col("prob") >= threshold), keys, ["frame_no"], place, {"_before": Scan("last", F.struct("t"))})
+    gap = F.col("t") - (F.col("_before.t") + frame)
+    runs = cut_islands(on, keys, ["frame_no"], place, F.coalesce(gap >= least_silence, F.lit(True)))
+    spans = runs.groupBy("media_id", "island").agg(F.min("t").alias("s"), (F.max("t") + frame).alias("e")).where(F.col("e") - F.col("s") >= least_speech)
+    near = {"_e": Scan("last", F.struct("e")), "_s": Scan("next", F.struct("s")), "seg_no": Scan("sum", F.lit(1).cast("long"))}
+    spans = scans(spans, keys, ["s"], by_blocks("s", STRETCH), near)
+    start, end = F.greatest(F.lit(0.0), F.col("s") - pad, (F.col("_e.e") + F.col("s")) / 2), F.least(F.col("e") + pad, (F.col("e") + F.col("_s.s")) / 2)
+    return spans.select("media_id", "seg_no", start.alias("start"), end.alias("end"))

@@ -9,6 +9,7 @@ the engine each.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from itertools import groupby
 from operator import itemgetter
 
@@ -64,6 +65,56 @@ def sum_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
     return rows.select(*[c for c in df.columns if c != name], name)
 
 
+@dataclass(frozen=True)
+class Scan:
+    """A running value of a group in its order: ``max`` and ``sum`` of the rows up to this
+    one, ``last`` and ``next`` value that is not null before or after it, ``total``
+    sum of the whole group. ``own`` is whether the row itself counts. To keep
+    nulls, as in a shift by one row, wrap the value in a struct."""
+
+    kind: str
+    value: Column
+    own: bool = False
+
+
+def scans(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, wanted: dict[str, Scan]) -> DataFrame:
+    """``df`` with a column for each of ``wanted``: a prefix scan in parallel.
+
+    ``block`` is a number that grows with the order. Each block is folded to one value,
+    the folds of the blocks before (or after) are carried to it, and inside it a window
+    goes on from there. So a group of any length is spread over tasks by block,
+    and what meets for a group is a row a block. All values share one pass. A null
+    key is a key like others. Rows that tie in ``order`` must not differ in a
+    value that ``last`` or ``next`` looks for.
+    """
+    rows = df.withColumns({"_block": block} | {f"_in_{n}": s.value for n, s in wanted.items()})
+    own, at = [f"_k{i}" for i in range(len(keys))], F.struct(*order)
+    folded, carried, here = [], {}, {}
+    blocks, inside = in_order(own, ["_block"]), in_order([*keys, "_block"], order)
+    first, end = Window.unboundedPreceding, Window.unboundedFollowing
+    for n, s in wanted.items():
+        c, back, ahead = F.col(f"_in_{n}"), inside.rowsBetween(first, 0 if s.own else -1), inside.rowsBetween(0 if s.own else 1, end)
+        known = F.when(c.isNotNull(), at)
+        folded.append({"max": F.max(c), "sum": F.sum(c), "total": F.sum(c), "last": F.max_by(c, known), "next": F.min_by(c, known)}[s.kind].alias(f"_of_{n}"))
+        f = F.col(f"_of_{n}")
+        over = {"max": F.max(f), "sum": F.sum(f), "total": F.sum(f), "last": F.last(f, ignorenulls=True), "next": F.first(f, ignorenulls=True)}[s.kind]
+        carried[f"_to_{n}"] = over.over(Window.partitionBy(*own) if s.kind == "total" else blocks.rowsBetween(1, end) if s.kind == "next" else blocks.rowsBetween(first, -1))
+        zero = lambda x: F.coalesce(x, F.lit(0))
+        here[n] = {
+            "max": lambda c=c, w=back, n=n: F.greatest(F.max(c).over(w), F.col(f"_to_{n}")),
+            "sum": lambda c=c, w=back, n=n: zero(F.sum(c).over(w)) + zero(F.col(f"_to_{n}")),
+            "total": lambda n=n: zero(F.col(f"_to_{n}")),
+            "last": lambda c=c, w=back, n=n: F.coalesce(F.last(c, ignorenulls=True).over(w), F.col(f"_to_{n}")),
+            "next": lambda c=c, w=ahead, n=n: F.coalesce(F.first(c, ignorenulls=True).over(w), F.col(f"_to_{n}")),
+        }[s.kind]()
+    totals = rows.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], "_block").agg(*folded).withColumns(carried)
+    totals = totals.select(*own, F.col("_block").alias("_b"), *carried)
+    same = F.col("_block").eqNullSafe(F.col("_b"))
+    for k, o in zip(keys, own, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(o))
+    return rows.join(totals, same).withColumns(here).select(*[c for c in df.columns if c not in wanted], *wanted)
+
+
 def cut_islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, cut: Column) -> DataFrame:
     """``df`` with ``island``: a new one starts at each row where ``cut`` holds."""
     rows = df.withColumn("_cut", F.coalesce(cut, F.lit(False)).cast("long"))
