@@ -14,6 +14,7 @@ from cuesmith.jobs import fixtures as fx
 from cuesmith.jobs import oracles as o
 from cuesmith.operators import backlog, engine, intervals, merge, plan, segment, tokens, units
 from cuesmith.sources import files, subtitle_files
+from cuesmith.sources.scratch import shared_folder
 from cuesmith.streaming import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +57,11 @@ def _(s, d):
     return segment.segment_stream(tokens.media_order(fx.tokens(s, d)), segment.LEGACY, ("media_id",), ("media_pos",))
 
 
+@query("media_subtitles_by_block", "WITH " + o.TOKENS + _ORDERED + "," + o.cut("ordered", "media_id", False, True, False, "media_pos") + "," + o.merged("media_id", False) + f" SELECT media_id, {o.SUBS}")
+def _(s, d):
+    return segment.segment_blocks(tokens.media_order(fx.tokens(s, d)), segment.LEGACY, ("media_id",), ("media_pos",))
+
+
 @query("part_subtitles_main", "WITH " + o.TOKENS + ", parts AS (SELECT *, chunk_index // 2 AS part, row_number() OVER (PARTITION BY media_id ORDER BY \"start\", \"end\", chunk_index, pos) - 1 AS media_pos FROM tokens)," + o.cut("parts", "media_id, part", True, False, True, "media_pos") + "," + o.merged("media_id, part", True) + f" SELECT media_id, part, {o.SUBS}")
 def _(s, d):
     rows = tokens.media_order(fx.tokens(s, d)).withColumn("part", F.floor(F.col("chunk_index") / 2))
@@ -121,7 +127,7 @@ def _(s, d):
     """Final subtitles written as files by their recordings' names, listed as artifacts and read again."""
     named = F.concat(F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("media_id") % 5 + 1).cast("int")), "media_id")
     rows = merge.final_entries(segment.segment(fx.tokens(s, d), segment.MAIN), 0.5).withColumn("file", named).withColumnRenamed("entry_no", "sub_no")
-    folder = tables.shared_folder(s)
+    folder = shared_folder(s)
     subtitle_files.write_subtitles(rows, folder)
     kinds = files.read_manifest(s, folder).select(F.col("media_id").alias("file"), "kind")
     return subtitle_files.read_subtitles(s, folder).join(kinds, "file").select("file", "kind", "sub_no", "start", "end", "text")

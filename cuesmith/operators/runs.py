@@ -128,9 +128,10 @@ def renumbered(parts: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
     return sum_before(rows, keys, ["island", "_number"], by_blocks("island", 1000), F.lit(1), number).select(*[c for c in parts.columns if c not in ("island", number)], number)
 
 
-def over_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: Rule, schema: str, columns: Sequence[str] | None = None) -> DataFrame:
+def over_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: Rule, schema: str, columns: Sequence[str] | None = None, types: dict[str, pa.DataType] | None = None) -> DataFrame:
     """``rule`` maps the columns of one group, in order, to columns of the result;
-    the keys are added in front. ``schema`` is of the result without the keys."""
+    the keys are added in front. ``schema`` is of the result without the keys; ``types`` names
+    Arrow types of columns that may be empty arrays."""
     keys, order = list(keys), list(order)
     columns = [*dict.fromkeys([*keys, *(columns or df.columns)])]
     out = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", " + schema
@@ -151,7 +152,8 @@ def over_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: Ru
                 made[k].extend([v] * n)
 
         def full() -> pa.RecordBatch:
-            rows = pa.RecordBatch.from_pydict({k: pa.array(v, shape[k]) if k in shape else pa.array(v) for k, v in made.items()})
+            known = shape | (types or {})
+            rows = pa.RecordBatch.from_pydict({k: pa.array(v, known[k]) if k in known else pa.array(v) for k, v in made.items()})
             for v in made.values():
                 v.clear()
             return rows

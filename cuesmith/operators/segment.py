@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuesmith.functions import text as t
-from cuesmith.operators.runs import POSITIONS, STRETCH, by_blocks, cut_islands, over_runs, over_streams, renumbered, row_before, sum_before
+from cuesmith.operators.runs import POSITIONS, STRETCH, Scan, by_blocks, cut_islands, in_order, over_runs, over_streams, renumbered, row_before, scans, sum_before
 from cuesmith.operators.tokens import CHUNK, punctuate, repair_durations, repaired, with_transcript
+from cuesmith.sources.scratch import written
 
 SUBTITLE = "sub_no long, start double, `end` double, text string"
 
@@ -60,6 +62,21 @@ GAP = GapProfile()
 Cue = tuple[float, float, str]
 
 
+def cuts_here(words: list[str], first: float, end: float, after: float | None, p: Profile) -> tuple[bool, str]:
+    """Whether the open subtitle ends with its last word, which ends at ``end``, and its
+    text where that was needed; ``after`` is the next token's start, None behind the last."""
+    word = words[-1]
+    sentence = bool(t.py_ends_sentence(word))
+    if end - first < p.min_duration and after is not None and not (sentence and p.sentence_not_held):
+        return False, ""
+    joined = t.py_join(words)
+    if after is None or end - first >= p.max_duration or (sentence and not p.sentence_needs_text):
+        return True, joined
+    length = len(joined)
+    paused = after - end >= p.pause
+    return length >= p.max_chars or (length >= p.min_chars and (paused or sentence)) or (length >= int(p.max_chars * 0.75) and bool(t.py_soft(word))), joined
+
+
 def cut_stream(tokens: Iterable[tuple[str, float, float]], p: Profile) -> Iterator[Cue]:
     """Cues of one ordered group of (text, start, end), each as soon as it is cut.
     The pause is to the next token, blank or not."""
@@ -75,16 +92,7 @@ def cut_stream(tokens: Iterable[tuple[str, float, float]], p: Profile) -> Iterat
             first = start
         words.append(word)
         last = end
-        sentence = bool(t.py_ends_sentence(word))
-        held = last - first < p.min_duration and after is not None and not (sentence and p.sentence_not_held)
-        if held:
-            continue
-        joined = t.py_join(words)
-        cut = after is None or last - first >= p.max_duration or (sentence and not p.sentence_needs_text)
-        if not cut:
-            length = len(joined)
-            paused = after[1] - end >= p.pause
-            cut = length >= p.max_chars or (length >= p.min_chars and (paused or sentence)) or (length >= int(p.max_chars * 0.75) and t.py_soft(word))
+        cut, joined = cuts_here(words, first, last, after and after[1], p)
         if cut:
             if joined:
                 yield first, last, joined
@@ -93,6 +101,35 @@ def cut_stream(tokens: Iterable[tuple[str, float, float]], p: Profile) -> Iterat
         yield first, last, joined
 
 
+Token = tuple[str, float, float]
+
+
+def cut_chain(tokens: list[tuple[str, float, float, float | None]], held: list[Token], p: Profile, known: set[int], final: bool) -> tuple[list[tuple[int, float, float, str]], list[Token] | None]:
+    """Cuts of a block's tokens (text, start, end, next start) that begin with the open
+    tokens ``held``: (place of the cut, start, end, text), and the tokens left open.
+
+    What follows a cut depends on nothing before it. So at the first cut that is
+    ``known`` from another beginning both go on alike: the work stops, and None stands
+    for the tokens left open. Behind the last token of all the open ones are a cue.
+    """
+    out: list[tuple[int, float, float, str]] = []
+    held = list(held)
+    for k, (word, start, end, after) in enumerate(tokens):
+        if not word.strip():
+            continue
+        held.append((word, start, end))
+        cut, joined = cuts_here([h[0] for h in held], held[0][1], end, after, p)
+        if cut:
+            out.append((k, held[0][1], end, joined))
+            held = []
+            if k in known:
+                return out, None
+    if final and held:
+        out.append((len(tokens), held[0][1], held[-1][2], t.py_join([h[0] for h in held])))
+        held = []
+    return out, held
+
+
 def cut_tokens(texts: list[str], starts: list[float], ends: list[float], p: Profile) -> list[Cue]:
     return list(cut_stream(zip(texts, starts, ends, strict=True), p))
 
@@ -269,3 +306,100 @@ def segment_long(tokens: DataFrame, profile: Profile = MAIN, keys: tuple[str, ..
             yield k, *cue
 
     return over_streams(parts, keys, ("island", "sub_no"), rule, SUBTITLE, ["start", "end", "text"])
+
+
+_CUES = "array<struct<at: int, start: double, `end`: double, text: string>>"
+_OPEN = "array<struct<text: string, start: double, `end`: double>>"
+_TOKENS = "array<struct<text: string, start: double, `end`: double, after: double>>"
+
+
+def _arrow(**fields: pa.DataType) -> pa.DataType:
+    return pa.list_(pa.struct([pa.field(n, k) for n, k in fields.items()]))
+
+
+_F, _S = pa.float64(), pa.string()
+_ARROW = {"cues": _arrow(at=pa.int32(), start=_F, end=_F, text=_S), "open": _arrow(text=_S, start=_F, end=_F), "tokens": _arrow(text=_S, start=_F, end=_F, after=_F)}
+
+
+def _cue_rows(cues: list[tuple[int, float, float, str]]) -> list[dict]:
+    return [dict(zip(("at", "start", "end", "text"), c, strict=True)) for c in cues]
+
+
+def _open_rows(held: list[Token]) -> list[dict]:
+    return [dict(zip(("text", "start", "end"), h, strict=True)) for h in held]
+
+
+def segment_blocks(tokens: DataFrame, profile: Profile = LEGACY, keys: tuple[str, ...] = ("media_id",), order: tuple[str, ...] = ("pos",), size: int = POSITIONS) -> DataFrame:
+    """``segment`` for long groups of any profile, by speculation.
+
+    The tokens are dealt in blocks of ``size`` along the first order column, a number. Each block is first
+    cut as if nothing were open at its start. Then it is cut again from what its
+    predecessor left open, only until a cut coincides with one found before: from there
+    on both are the same. Where that changes what a block leaves open, which takes
+    a block without such a cut, its successor is cut again, and so on until nothing
+    changes. Short cues go into earlier ones by islands: one that is not short starts its
+    own. No task holds more than a block, and later rounds touch changed blocks only.
+    """
+    keys = tuple(keys)
+    block = by_blocks(order[0], size)
+    rows = repair_durations(tokens) if profile.repair else tokens
+    rows = scans(rows.select(*keys, *order, "text", "start", "end"), keys, order, block, {"_after": Scan("next", F.struct("start"))})
+    rows = rows.withColumns({"block": block, "after": F.col("_after.start"), "final": F.col("_after").isNull()})
+
+    def speculate(g: dict[str, list]) -> dict[str, list]:
+        own = list(zip(g["text"], g["start"], g["end"], g["after"], strict=True))
+        cues, held = cut_chain(own, [], profile, set(), g["final"][-1])
+        told = [dict(zip(("text", "start", "end", "after"), x, strict=True)) for x in own]
+        return {"tokens": [told], "cues": [_cue_rows(cues)], "open": [_open_rows(held)], "final": [g["final"][-1]]}
+
+    made = over_runs(rows, (*keys, "block"), order, speculate, f"tokens {_TOKENS}, cues {_CUES}, open {_OPEN}, final boolean", [*keys, "block", *order, "text", "start", "end", "after", "final"], _ARROW)
+    blocks = written(made, "blocks")
+    by = [*keys, "block"]
+    nothing = F.array().cast(_OPEN)
+    ends = blocks.select(*by, "cues", "open", nothing.alias("entry"))
+    before = F.lag("open").over(in_order(keys, ["block"]))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                own = [(x["text"], x["start"], x["end"], x["after"]) for x in row["tokens"]]
+                held = [(x["text"], x["start"], x["end"]) for x in row["entry"]]
+                cues, left = cut_chain(own, held, profile, {c["at"] for c in row["cues"]}, row["final"])
+                told = _cue_rows(cues)
+                if left is None:  # the rest is as it was
+                    told += [c for c in row["cues"] if c["at"] > cues[-1][0]]
+                    left = row["open"]
+                else:
+                    left = _open_rows(left)
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(k, 1) for c in by] + [pa.array([told], _ARROW["cues"]), pa.array([left], _ARROW["open"])], [*by, "cues", "open"])
+
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    while True:
+        entries = ends.withColumn("now", F.coalesce(before, nothing))
+        changed = entries.where(F.col("now") != F.col("entry")).select(*by, F.col("now").alias("entry"), "cues", "open")
+        if changed.isEmpty():
+            break
+        out = ", ".join(f"`{c}` {blocks.schema[c].dataType.simpleString()}" for c in by) + f", cues {_CUES}, open {_OPEN}"
+        work = blocks.select(*by, "tokens", "final").alias("l").join(changed.alias("r"), same).select(*[f"l.{c}" for c in by], "tokens", "final", "entry", "cues", "open")
+        fresh = work.mapInArrow(again, out).select(*by, F.col("cues").alias("_cues"), F.col("open").alias("_open"), F.lit(True).alias("_fresh"))
+        joined = entries.alias("l").join(fresh.alias("r"), same, "left")
+        pick = lambda new, old: F.when(F.col("_fresh"), F.col(new)).otherwise(F.col(old))
+        ends = written(joined.select(*[f"l.{c}" for c in by], pick("_cues", "cues").alias("cues"), pick("_open", "open").alias("open"), F.col("now").alias("entry")), "blocks")
+    cues = ends.select(*by, F.explode("cues").alias("c")).select(*by, "c.*").where("text <> ''")
+    return merge_long(cues, profile, keys, ("block", "at"), by_blocks("block", 16))
+
+
+def merge_long(cues: DataFrame, profile: Profile, keys: tuple[str, ...], order: tuple[str, ...], block: Column) -> DataFrame:
+    """Short cues into the one before, (keys, sub_no, start, end, text), for groups of any
+    length: a cue that is not short is never merged, so it starts an island."""
+    short = (F.length("text") < profile.short_chars) | (F.col("end") - F.col("start") < profile.short_duration)
+
+    def rule(g: dict[str, list]) -> dict[str, list]:
+        return _columns(merge_short_cues(list(zip(g["start"], g["end"], g["text"], strict=True)), profile))
+
+    rows = cut_islands(cues, keys, order, block, ~short)
+    parts = written(over_runs(rows, (*keys, "island"), order, rule, SUBTITLE, [*keys, "island", *order, "start", "end", "text"]), "cues")
+    return renumbered(parts, keys, "sub_no").select(*keys, "sub_no", "start", "end", "text")

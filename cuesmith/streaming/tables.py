@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuesmith.sources.scratch import shared_folder
 from cuesmith.streaming import stream
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder where the session keeps its checkpoints; a local session without
-    one gets a temporary folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(named or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream of files, a file or a folder of them."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
