@@ -551,6 +551,20 @@ def _(s, d):
     return tables.closed_sessions(s, d)
 
 
+@query("stream_typed_parts", """WITH c AS (SELECT conv_id AS media_id, turn, max(turn) OVER (PARTITION BY conv_id) AS top FROM conversations)
+SELECT media_id, turn // 2 AS part, count(*) AS chunks, count(*) = least(2, any_value(top) + 1 - turn // 2 * 2) AS complete FROM c WHERE turn < top GROUP BY media_id, turn // 2""")
+def _(s, d):
+    return tables.late_parts(s, d, typed=True)
+
+
+@query("stream_token_sessions", """WITH t AS (SELECT user_id, event_id, ts, ts + to_seconds(event_id % 7200) AS stop FROM events), m AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '10 days' AS mark FROM events),
+g AS (SELECT *, coalesce(ts - lag(stop) OVER w >= INTERVAL '6 hours', true) AS fresh FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM g),
+x AS (SELECT user_id, min(ts) AS first, max_by(stop, (ts, event_id)) AS last, count(*) AS n FROM r GROUP BY user_id, run) SELECT x.* FROM x, m WHERE last + INTERVAL '6 hours' <= mark""")
+def _(s, d):
+    return tables.token_sessions(s, d)
+
+
 def _stub():
     """An engine that hears a chunk's words half a second apart."""
     return lambda rows: [(f"{len(r['transcript'])} characters", [(w, k / 2, k / 2 + 0.25) for k, w in enumerate(r["transcript"].split(" "))]) for r in rows]

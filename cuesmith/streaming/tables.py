@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuesmith.sources.scratch import shared_folder
-from cuesmith.streaming import stream
+from cuesmith.streaming import keyed, stream
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,36 +15,38 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def run_out(df: DataFrame, complete: bool = False, root: str | None = None, clock: bool = True) -> DataFrame:
+def run_out(df: DataFrame, complete: bool = False, root: str | None = None, clock: bool = True, settings: dict[str, str] | None = None) -> DataFrame:
     """All that a stream gives for what is there now. A batch that runs again
     replaces what it wrote; in complete mode the last batch is the result. A run with
     the ``root`` of an earlier one goes on where that stopped. ``clock`` is for
-    states that time out by the clock."""
+    states that time out by the clock; ``settings`` hold while the stream runs."""
     spark, root = df.sparkSession, root or shared_folder(df.sparkSession)
 
     def batch(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{root}/out" if complete else f"{root}/out/batch={number}")
 
     # a timeout by the clock would ask for batches without data for ever
-    empty = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(empty)
-    spark.conf.set(empty, "false" if clock else "true")
+    settings = {"spark.sql.streaming.noDataMicroBatches.enabled": "false" if clock else "true"} | (settings or {})
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         query = df.writeStream.outputMode("complete" if complete else "append").foreachBatch(batch).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(empty, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(f"{root}/out").select(*df.columns)
 
 
-def delivered(spark: SparkSession, deliveries: list[DataFrame], job, clock: bool = True) -> DataFrame:
+def delivered(spark: SparkSession, deliveries: list[DataFrame], job, clock: bool = True, settings: dict[str, str] | None = None) -> DataFrame:
     """What ``job`` (stream -> stream) gives when the tables come one after another,
     the stream stopped and started again between them."""
     root = shared_folder(spark)
     for k, rows in enumerate(deliveries):
         rows.write.parquet(f"{root}/in/delivery={k}")
         source = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
-        out = run_out(job(source), root=f"{root}/job", clock=clock)
+        out = run_out(job(source), root=f"{root}/job", clock=clock, settings=settings)
     return out
 
 
@@ -94,14 +96,16 @@ def first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivered(spark, [turns, again.union(turns)], stream.first_results)
 
 
-def late_parts(spark: SparkSession, sf_dir: str, size: int = 2) -> DataFrame:
+def late_parts(spark: SparkSession, sf_dir: str, size: int = 2, typed: bool = False) -> DataFrame:
     """Even turns come first and odd ones later; each conversation's last turn never
-    comes, so that its part times out once a batch runs after its time."""
+    comes, so that its part times out once a batch runs after its time. ``typed`` takes the form on typed state."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("media_id"), F.col("turn").cast("long").alias("chunk_index"))
     last = turns.groupBy("media_id").agg(F.max("chunk_index").alias("last"))
     rows = turns.join(last, "media_id").where("chunk_index < last").select("media_id", "chunk_index", (F.col("last") + 1).alias("chunk_count"))
     tick = spark.range(1).select(F.lit(-1).cast("long").alias("media_id"), F.lit(0).cast("long").alias("chunk_index"), F.lit(1).cast("long").alias("chunk_count"))
     steps = [rows.where("chunk_index % 2 = 0"), rows.where("chunk_index % 2 = 1"), tick]
+    if typed:
+        return delivered(spark, steps, lambda s: keyed.complete_parts(s, size, timeout_ms=1), settings=keyed.STORE).where("media_id >= 0")
     return delivered(spark, steps, lambda s: stream.complete_parts(s, size, timeout_ms=1)).where("media_id >= 0")
 
 
@@ -118,3 +122,17 @@ def closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def closed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivered(spark, _late(spark, sf_dir), lambda s: stream.pause_sessions(s, 6 * 3600.0), clock=False)
+
+
+def token_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as tokens of up to two hours, delivered by spans of eight days, those with
+    odd numbers one delivery later; at the end those again that are older than any open session: they are too late."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    start = F.col("ts").cast("timestamp")
+    tokens = events.select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("id"), start.alias("start"), F.timestamp_micros(F.unix_micros(start) + F.col("event_id") % 7200 * 1_000_000).alias("stop"))
+    ends = F.broadcast(tokens.agg(F.min("start").alias("begin"), F.max("start").alias("end")))
+    turn = F.floor((F.unix_micros("start") - F.unix_micros("begin")) / (8 * 86_400_000_000)) + F.col("id") % 2
+    dealt = tokens.join(ends, F.lit(True)).withColumn("turn", F.least(turn, F.lit(4)))
+    late = dealt.where(F.col("start") < F.col("end") - F.expr("INTERVAL 20 DAYS")).withColumn("id", -F.col("id"))
+    steps = [rows.select(*tokens.columns) for rows in [*[dealt.where(F.col("turn") == k) for k in range(5)], late]]
+    return delivered(spark, steps, lambda s: keyed.token_sessions(s, 6 * 3600.0, "10 days"), clock=False, settings=keyed.STORE)
