@@ -447,6 +447,16 @@ def _(s, d):
     return backlog.match_catalog(fx.requests(s, d), fx.catalog(s, d))
 
 
+_MANY = "codes AS (SELECT DISTINCT ' ' || lower(p_brand) || '-' || p_partkey % 1000 AS code FROM part)"
+
+
+@query("catalog_match_many", _CATALOG.replace(_CATALOG[_CATALOG.index("codes AS ("):_CATALOG.index(",\nhit AS")], _MANY))
+def _(s, d):
+    """More codes than stand beside the folders, most beginning alike and many inside others."""
+    codes = fx._table(s, d, "part").select(F.concat(F.lit(" "), F.lower("p_brand"), F.lit("-"), F.col("p_partkey") % 1000).alias("code"))
+    return backlog.match_catalog(codes, fx.catalog(s, d))
+
+
 @query("recent_codes", f"""WITH u AS (SELECT user_id, upper(event_type) || '-' || coalesce(json_extract_string(props, '$.k'), '') AS code, max(ts) AS ts FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, code) AS rank FROM u) SELECT user_id, rank, code, ts FROM r WHERE rank <= 20""")
 def _(s, d):
     return backlog.recent_codes(fx.uses(s, d))

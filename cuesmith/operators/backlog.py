@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,8 +25,9 @@ FORCED = {
     "force_wav": ("full_wav",),
 }
 VIDEO = (".mp4", ".avi", ".mkv", ".mov", ".wmv", ".flv", ".ts", ".m2ts", ".webm")
-#: Requested codes, at most, for which the catalog is searched by broadcast.
-MOST_CODES = 300
+#: Requested codes, at most, for which the catalog is searched by broadcast, and bytes of
+#: the codes of one automaton.
+MOST_CODES, MOST_BYTES = 300, 32 << 20
 
 
 def valid() -> Column:
@@ -76,24 +81,60 @@ def _plain(c: Column) -> Column:
     return F.regexp_replace(F.upper(t.strip(c)), "-", "")
 
 
+def automaton(key: str, codes: list[str]) -> ahocorasick.Automaton:
+    """The automaton of a search, made once a worker; only the last is kept."""
+    if key not in _AUTOMATA:
+        _AUTOMATA.clear()
+        made = ahocorasick.Automaton()
+        for c in codes:
+            made.add_word(c, c)
+        made.make_automaton()
+        _AUTOMATA[key] = made
+    return _AUTOMATA[key]
+
+
+_AUTOMATA: dict[str, ahocorasick.Automaton] = {}
+
+
+def _first_folders(folders: DataFrame, codes: list[str]) -> DataFrame:
+    """(_code, folder) of codes found in folders' names, each task's first folder of each."""
+    key = uuid.uuid4().hex
+    sent = folders.sparkSession.sparkContext.broadcast(codes)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[str, str] = {}
+        for batch in batches:
+            for folder, name in zip(batch.column("folder").to_pylist(), batch.column("_folder").to_pylist(), strict=True):
+                for code in {c for _, c in automaton(key, sent.value).iter(name)} if sent.value else ():
+                    if code not in first or folder.encode() < first[code].encode():
+                        first[code] = folder
+        rows = list(first.items())
+        for k in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[k : k + 10_000]], pa.string()) for c in (0, 1)], ["_code", "folder"])
+
+    return folders.mapInArrow(scan, "_code string, folder string")
+
+
 def match_catalog(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """(code, folder, file, status) of each distinct code: its first folder by name
     that contains it, and whether that has exactly one video without subtitles.
 
-    The folders are searched with the codes beside them, in each task; how many
-    codes there are is counted first. More of them go through their 3-grams,
-    where a code and a folder first share one.
+    How many codes there are is counted first. Up to ``MOST_CODES`` stand beside the
+    folders in each task. More are made into automata of at most ``MOST_BYTES`` of codes each:
+    a folder's name is read once by each and all codes in it are found, whatever prefix they
+    share; a task keeps the first folder of a code, so what moves is a row a code and task.
     """
     codes = requests.select("code").distinct().withColumn("_code", _plain(F.coalesce("code", F.lit(""))))
     asked = codes.where(F.col("_code") != "")
-    folders = catalog.select("folder").distinct().withColumn("_folder", F.regexp_replace(F.upper("folder"), "-", ""))
+    folders = catalog.select("folder").where("folder is not null").distinct().withColumn("_folder", F.regexp_replace(F.upper("folder"), "-", ""))
     if asked.limit(MOST_CODES + 1).count() <= MOST_CODES:
         pairs = folders.join(F.broadcast(asked), F.col("_folder").contains(F.col("_code")))
     else:
-        gram = F.substring("_code", 1, 3)
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_folder")), lambda k: F.col("_folder").substr(k, F.least(F.lit(3), F.length("_folder")))))
-        short = F.array_distinct(F.flatten(F.transform(grams, lambda g: F.array(g, F.left(g, F.lit(2)), F.left(g, F.lit(1))))))
-        pairs = folders.select("*", F.explode(short).alias("_gram")).join(asked.withColumn("_gram", gram), "_gram").where(F.col("_folder").contains(F.col("_code")))
+        spelled = asked.select("_code").distinct()
+        parts = 1 + (spelled.agg(F.sum(F.octet_length("_code") + 64)).first()[0] or 0) // MOST_BYTES
+        dealt = spelled.withColumn("_part", F.pmod(F.xxhash64("_code"), F.lit(parts)))
+        found = [_first_folders(folders, [r[0] for r in dealt.where(F.col("_part") == k).select("_code").collect()]) for k in range(parts)]
+        pairs = reduce(DataFrame.unionByName, found).join(asked, "_code")
     first = pairs.groupBy("code").agg(F.min("folder").alias("folder"))
     name = F.element_at(F.split("file", "/"), -1)
     videos = catalog.where(F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).isin(*VIDEO)).groupBy("folder").agg(F.count(F.lit(1)).alias("_n"), F.min("file").alias("file"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
+
+import ahocorasick
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,17 +72,55 @@ def media_order(tokens: DataFrame) -> DataFrame:
     return sum_before(tokens, ["media_id"], ["start", "end", "chunk_index", "pos"], by_blocks("start", STRETCH), F.lit(1), "media_pos")
 
 
+#: Characters to look through, at most, without an index of places: transcript times distinct tokens.
+SMALL_SEARCH = 20_000_000
+
+
+class Places:
+    """Where tokens next occur in a transcript.
+
+    A search that gave a place, or none, also answers every later one up to that place, so
+    a token looks at each character once. Where transcript and distinct tokens are many, one
+    pass of an automaton over the transcript notes all places instead.
+    """
+
+    def __init__(self, transcript: str, words: set[str]):
+        self.transcript = transcript
+        self.known: dict[str, tuple[int, int]] = {}
+        self.places: dict[str, array] | None = None
+        if len(transcript) * len(words) > SMALL_SEARCH:
+            self.places = {w: array("q") for w in words}
+            search = ahocorasick.Automaton()
+            for w in words:
+                search.add_word(w, w)
+            search.make_automaton()
+            for end, w in search.iter(transcript):
+                self.places[w].append(end + 1 - len(w))
+
+    def find(self, word: str, at: int) -> int:
+        if self.places is not None:
+            own = self.places[word]
+            k = bisect_left(own, at)
+            return own[k] if k < len(own) else -1
+        since, place = self.known.get(word, (0, -2))
+        if place == -2 or not (since <= at and (place == -1 or at <= place)):
+            place = self.transcript.find(word, at)
+            self.known[word] = (at, place)
+        return place
+
+
 def punctuate(texts: list[str], transcript: str) -> list[str]:
     """Each found token takes the marks that the transcript has between it and the next."""
+    words = [x.strip() for x in texts]
+    places = Places(transcript, {w for w in words if w})
     out, at = list(texts), 0
-    for k, own in enumerate(texts):
-        word = own.strip()
-        here = transcript.find(word, at) if word else -1
+    for k, (own, word) in enumerate(zip(texts, words, strict=True)):
+        here = places.find(word, at) if word else -1
         if here < 0:
             continue
         at = here + len(word)
-        after = texts[k + 1].strip() if k + 1 < len(texts) else ""
-        there = transcript.find(after, at) if after else -1
+        after = words[k + 1] if k + 1 < len(words) else ""
+        there = places.find(after, at) if after else -1
         marks = t.py_punctuation(transcript[at:there]) if there >= 0 else ""
         if marks and not own.endswith(marks):
             out[k] = own + marks
