@@ -2,23 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuesmith.operators.runs import STRETCH, Scan, by_blocks, scans
 
 
+#: Times beyond count as this when intervals are placed.
+FAR = float(1 << 52)
+
+
+def fitting(bin_seconds: float) -> Column:
+    """Doublings of ``bin_seconds`` after which a bin is as long as the interval."""
+    length = F.abs(_near("end") - _near("start"))
+    return F.greatest(F.lit(0), F.ceil(F.log2(length / bin_seconds))).cast("int")
+
+
+def _near(c: str) -> Column:
+    return F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.col(c)))
+
+
+def placed(intervals: DataFrame, others: list[int], bin_seconds: float) -> DataFrame:
+    """``intervals``, which have ``fit``, once or twice in bins (``doublings``, ``bin``) of the width
+    that fits them (``own``) and of each greater width among ``others``."""
+    widths = F.explode(F.array_union(F.array("fit"), F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda x: x > F.col("fit"))))
+    rows = intervals.withColumn("doublings", widths).withColumn("own", F.col("doublings") == F.col("fit"))
+    at = lambda c: F.floor(_near(c) / (F.lit(bin_seconds) * F.pow(F.lit(2.0), F.col("doublings"))))
+    return rows.withColumn("bin", F.explode(F.array_distinct(F.array(at("start"), at("end")))))
+
+
 def overlap(chunks: DataFrame, segments: DataFrame, bin_seconds: float = 60.0) -> DataFrame:
     """Parts of segments inside chunks (media_id, chunk_index, seg_no, start, end).
 
-    Both sides are cut into time bins of a recording, so that a long one is many
-    keys; a pair counts in the bin where the later of the two begins. Touching is
-    not overlapping.
+    A pair meets in bins of the width that fits the longer of the two, which each of
+    them crosses at most twice: an interval is there twice for its own width and for each
+    greater one that the other side has, so what is shuffled does not grow with
+    lengths. Widths double, so there are few. A long recording is many keys; a pair counts
+    in the bin where the later of the two begins. Touching is not overlapping; intervals
+    without a time are left out.
     """
-    first, last = F.floor(F.col("start") / bin_seconds), F.floor(F.col("end") / bin_seconds)
-    c = chunks.select("media_id", "chunk_index", F.col("start").alias("c0"), F.col("end").alias("c1"), first.alias("cf"), F.explode(F.sequence(first, last)).alias("bin"))
-    s = segments.select("media_id", "seg_no", F.col("start").alias("s0"), F.col("end").alias("s1"), first.alias("sf"), F.explode(F.sequence(first, last)).alias("bin"))
-    both = c.join(s, ["media_id", "bin"]).where((F.col("s1") > F.col("c0")) & (F.col("s0") < F.col("c1")) & (F.col("bin") == F.greatest("cf", "sf")))
+    c = chunks.select("media_id", "chunk_index", "start", "end").where("start is not null and end is not null").withColumn("fit", fitting(bin_seconds))
+    s = segments.select("media_id", "seg_no", "start", "end").where("start is not null and end is not null").withColumn("fit", fitting(bin_seconds))
+    fits = lambda df: sorted(r[0] for r in df.select("fit").distinct().collect())
+    left = placed(c, fits(s), bin_seconds).select("media_id", "chunk_index", F.col("start").alias("c0"), F.col("end").alias("c1"), F.col("own").alias("c_own"), "doublings", "bin")
+    right = placed(s, fits(c), bin_seconds).select("media_id", "seg_no", F.col("start").alias("s0"), F.col("end").alias("s1"), F.col("own").alias("s_own"), "doublings", "bin")
+    width = F.lit(bin_seconds) * F.pow(F.lit(2.0), F.col("doublings"))
+    later = F.floor(F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.greatest("c0", "s0"))) / width)
+    both = left.join(right, ["media_id", "doublings", "bin"]).where((F.col("c_own") | F.col("s_own")) & (F.col("s1") > F.col("c0")) & (F.col("s0") < F.col("c1")) & (F.col("bin") == later))
     return both.select("media_id", "chunk_index", "seg_no", F.greatest("s0", "c0").alias("start"), F.least("s1", "c1").alias("end"))
 
 
