@@ -68,7 +68,7 @@ def quality_ablations(spark, sf_dir):
 @query("op5_source_mixing")
 def op5(spark, sf_dir):
     sized = mixing.sizes(table(spark, sf_dir, "documents"))
-    rows = mixing.with_takes(sized, mixing.plan_mix(sized), "id")
+    rows = mixing.with_takes(sized, mixing.plan_mix(sized), F.col("key"))
     return rows.select(F.col("row.id").alias("doc_id"), "row.size", "at.source_size", "at.target", (F.col("row.size") * F.size("takes")).alias("taken"), F.transform("takes", lambda t: t["shard"]).alias("shards"))
 
 
