@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -102,7 +103,7 @@ class WordIds(dict):
 
     Words are encoded by the library. Only one of A-Z and a-z alone goes straight to its
     merges: it is one piece and lower-cases letter by letter. Marks are cut off only
-    behind one of these letters, where a piece ends. A tokenizer that does not
+    behind one of these letters, where a piece ends, and never in a word with an added token in it. A tokenizer that does not
     cut at white space is given whole texts.
     """
 
@@ -113,6 +114,8 @@ class WordIds(dict):
 
         self.tokenizer, self.apart = Tokenizer.from_file(path), by_words(path)
         self.merges = self.tokenizer.model.tokenize
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else "<u4")
 
     def __missing__(self, word: bytes) -> bytes:
@@ -122,6 +125,8 @@ class WordIds(dict):
         return ids
 
     def encode(self, word: bytes) -> bytes:
+        if self.added and self.added.search(word):  # is cut out before anything else
+            return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
         if word.isalpha():  # A-Z and a-z
             return array("I", [t.id for t in self.merges(word.lower().decode())]).tobytes()
         stem = word.rstrip(MARKS)

@@ -630,6 +630,26 @@ def test_shards_follow_the_words(spark, monkeypatch):
     assert [(r._shard, r._place) for r in places if r.p == places[0].p] == sorted((r._shard, r._place) for r in places if r.p == places[0].p)
 
 
+def test_rows_without_id_and_of_one_id_reach_the_target(spark):
+    rows = [(k, prose(10, k), "en", "a", 1) for k in range(200)] + [(None, prose(10, 1000 + k), "en", "y", 1) for k in range(200)] + [(7, prose(10, 2000 + k), "en", "z", 1) for k in range(200)]
+    took = Counter()
+    for r in mixing.mix(spark.createDataFrame(rows, DOCS), block_words=300, shards=3).collect():
+        took[r.source] += len(r.text.split())
+    for s, want in zip("ayz", plain_targets([2000, 2000, 2000], [5, 2, 1]), strict=True):
+        assert abs(took[s] - want) <= 10, s
+
+
+def test_shards_follow_the_words_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_BLOCKS", 64)
+    sized = spark.range(3000).selectExpr("id", "'a' AS source", "id % 7 * 0 + 4000000 AS size")  # 1.2e10 words
+    plan = mixing.plan_mix(sized, max_blocks=64)
+    assert not plan.sent and 1500 <= plan.shards <= 2300
+    words = plan.sources.first()["source_size"]
+    assert words * 1.5 / plan.shards <= 1.1 * mixing.SHARD_WORDS
+    both = [{r.row.id: sorted((t["pass"], t["shard"]) for t in r.takes) for r in mixing.with_takes(sized.withColumn("key", F.xxhash64("id")), mixing.Mix(plan.sources, plan.blocks, plan.seed, plan.shards, sent), F.col("key")).collect()} for sent in (False, True)]
+    assert both[0] == both[1] and abs(sum(map(len, both[0].values())) - 4500) <= 1
+
+
 def test_plan_is_bounded(spark):
     sized = spark.createDataFrame([(k, "a", 100) for k in range(1000)], "id long, source string, size long")
     plan = mixing.plan_mix(sized, block_words=10, max_blocks=16)
@@ -824,6 +844,26 @@ def test_random_texts_have_the_librarys_ids():
     assert mismatches([t.replace("a", "<|endoftext|>") for t in texts[:2000]]) == []
 
 
+def test_added_tokens_are_cut_out_first(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    for k, content in enumerate(["[PAD]", "wor", "d.", "(("]):
+        spec["added_tokens"].append({"id": 49_408 + k, "content": content, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    path = str(tmp_path / "added.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    ids, whole = token_ids.WordIds(path), Tokenizer.from_file(path)
+    assert ids.apart
+    for text in ["x[PAD]", "[PAD]", "[PAD", "word", "words.", "sword...", "x((!", "a[PAD]b.", "end.", "x(", "plain text,"]:
+        got = [int(i) for w in text.split() for i in np.frombuffer(ids[w.encode()], "<u4")]
+        assert got == whole.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_other_tokenizers_get_whole_texts(spark, name):
     import public_tokenizers
