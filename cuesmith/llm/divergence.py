@@ -8,7 +8,6 @@ whole parts of a billion and all arithmetic is on integers, so results repeat.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -37,22 +36,19 @@ class Audit:
     top: int = 10
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, however often ``body`` names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def matches(text: Column) -> Column:
+    """The terms of a text in order; a null text has none."""
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(TERM), 0)
 
 
-def text_terms(text: Column) -> Column:
-    """Array of (term, n): the distinct terms of a text and how often each occurs."""
-    plain = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    words = F.sort_array(F.regexp_extract_all(plain, F.lit(TERM), 0))
-
-    def counted(words: Column) -> Column:
-        new = F.transform(words, lambda w, k: F.when((k == 0) | (F.get(words, k - 1) != w), k))
-        ends = lambda at: F.transform(at, lambda k, j: F.struct(F.get(words, k).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(words)) - k).cast("long").alias("n")))
-        return bound(F.filter(new, lambda k: k.isNotNull()), ends)
-
-    return bound(words, counted)
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(lang, source, term, n, docs): occurrences of each term in a group and the
+    documents that have it. A document's matches are exploded, and its distinct ones
+    beside them, so both counts are of the same pass and meet by (group, term)."""
+    words = docs.select(*_named(docs), matches(F.col("text")).alias("words"))
+    both = words.select(*GROUP, F.posexplode(F.array("words", F.array_distinct("words"))).alias("once", "words"))
+    each = both.select(*GROUP, F.col("once").cast("long").alias("once"), F.explode("words").alias("term"))
+    return each.groupBy(*GROUP, "term").agg(F.sum(1 - F.col("once")).alias("n"), F.sum("once").alias("docs"))
 
 
 def _named(docs: DataFrame) -> list[Column]:
@@ -85,12 +81,11 @@ def divergence(docs: DataFrame, audit: Audit = Audit()) -> DataFrame:
     keeps no term gives pairs of value 0. Repeated rows are documents of their own.
     An empty table gives no rows; columns other than text, lang and source play no part.
 
-    A term is first counted inside its document, so partial counts meet by (group,
-    term) and a hot source is spread over its terms. Terms are crossed with groups in
+    Terms are counted where they lie first, so partial counts meet by (group, term)
+    and a hot source is spread over its terms. Terms are crossed with groups in
     salts of ``TERMS_A_SALT``, so a language with most terms is many tasks.
     """
-    rows = docs.select(*_named(docs), F.explode(text_terms(F.col("text"))).alias("t"))
-    counts = stored(rows.groupBy(*GROUP, F.col("t.term").alias("term")).agg(F.sum("t.n").alias("n"), F.count(F.lit(1)).alias("docs")), "terms")
+    counts = stored(term_counts(docs), "terms")
     vocab = counts.groupBy("lang", "term").agg(F.sum("n").alias("all_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= audit.least_docs).drop("docs")
     vocab = stored(vocab, "vocabulary")
     groups = stored(docs.select(*_named(docs)).distinct(), "groups")

@@ -90,11 +90,14 @@ def test_shares_are_exact_beyond_64_bits(spark):
     assert one.select(dv.share(F.col("c"), F.col("total"), F.col("v"), dv.Audit())).first()[0] == 1 + 10**9 * (10**13 + 2) // (10**15 + 14)
 
 
-def test_terms_of_a_text_are_counted_once_each(spark):
-    texts = ["b a B", "", None, "...", "éÉ é", "a" * 100_000 + " a a"]
-    got = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, text string").select("k", dv.text_terms(F.col("text")).alias("t")).collect()
-    for r in got:
-        assert {x["term"]: x["n"] for x in r["t"]} == Counter(plain_terms(texts[r["k"]]))
+def test_terms_are_counted_by_group_and_by_document(spark):
+    texts = ["b a B", "", None, "...", "éÉ é", "a" * 100_000 + " a a", "a a a", "a a a"]
+    got = dv.term_counts(documents(spark, [(k, x, "en", "s") for k, x in enumerate(texts)])).collect()
+    n, docs = Counter(), Counter()
+    for x in texts:
+        n.update(plain_terms(x))
+        docs.update(set(plain_terms(x)))
+    assert {r["term"]: (r["n"], r["docs"]) for r in got} == {t: (n[t], docs[t]) for t in n}
 
 
 # hard negatives
