@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuesmith.operators.runs import POSITIONS, STRETCH, Scan, by_blocks, cut_islands, over_runs, renumbered, row_before, scans
+from cuesmith.sources.scratch import written
 
 
 def chunk_counts(media: DataFrame, seconds: float) -> DataFrame:
@@ -64,7 +65,7 @@ def speech_chunks(segments: DataFrame, longest: float) -> DataFrame:
     rows = row_before(segments.select(*keys, *order), keys, order, block, "start", "_before")
     # of equal segments the first has the lesser start before it, and may be the one that cuts
     rows = cut_islands(rows, keys, (*order, "_before"), block, F.col("end") - F.col("_before") > longest).drop("_before")
-    parts = over_runs(rows, (*keys, "island"), order, rule, "chunk_index long, start double, `end` double")
+    parts = written(over_runs(rows, (*keys, "island"), order, rule, "chunk_index long, start double, `end` double"), "chunks")
     return renumbered(parts, keys, "chunk_index").select("media_id", "chunk_index", "start", "end")
 
 

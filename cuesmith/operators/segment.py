@@ -187,29 +187,37 @@ def cut_units(texts: list[str], starts: list[float], ends: list[float], p: GapPr
     return cues
 
 
-def merge_fragments(cues: list[Cue], p: GapProfile) -> list[Cue]:
-    """A tiny cue is glued to the next, once, when the two stay short enough."""
-    out: list[Cue] = []
-    rest = iter(range(len(cues)))
-    for k in rest:
-        start, end, words = cues[k]
-        if k + 1 < len(cues) and len(t.py_clean(words)) < p.min_chars and end - start < p.min_duration * 1.5:
-            both = t.py_clean(words + cues[k + 1][2])
+def fragment_stream(cues: Iterable[Cue], p: GapProfile) -> Iterator[Cue]:
+    """A tiny cue is glued to the next, once, when the two stay short enough. One cue is held."""
+    coming = iter(cues)
+    cue = next(coming, None)
+    while cue is not None:
+        start, end, words = cue
+        after = next(coming, None)
+        if after is not None and len(t.py_clean(words)) < p.min_chars and end - start < p.min_duration * 1.5:
+            both = t.py_clean(words + after[2])
             if len(t.py_clean(both)) <= p.max_chars + 8:
-                out.append((start, cues[k + 1][1], both))
-                next(rest)
+                yield start, after[1], both
+                cue = next(coming, None)
                 continue
-        out.append((start, end, t.py_clean(words)))
-    return out
+        yield start, end, t.py_clean(words)
+        cue = after
 
 
-def monotonic_cues(cues: list[Cue]) -> list[Cue]:
-    out, last = [], 0.0
+def merge_fragments(cues: list[Cue], p: GapProfile) -> list[Cue]:
+    return list(fragment_stream(cues, p))
+
+
+def monotonic_stream(cues: Iterable[Cue]) -> Iterator[Cue]:
+    last = 0.0
     for start, end, words in cues:
         start = max(start, last)
         last = max(end, start + 0.05)
-        out.append((start, last, words))
-    return out
+        yield start, last, words
+
+
+def monotonic_cues(cues: list[Cue]) -> list[Cue]:
+    return list(monotonic_stream(cues))
 
 
 def _columns(cues: list[Cue]) -> dict[str, list]:
@@ -263,14 +271,15 @@ def gap_segment(units: DataFrame, profile: GapProfile = GAP, keys: tuple[str, ..
     are glued and times made monotonic.
 
     A strong gap always cuts, so the islands between two of them are cut apart;
-    only the finished subtitles are brought back together.
+    only the finished subtitles are brought back together, and pass one by one.
     """
 
     def rule(g: dict[str, list]) -> dict[str, list]:
         return _columns(cut_units(g["text"], g["start"], g["end"], profile))
 
-    def finish(g: dict[str, list]) -> dict[str, list]:
-        return _columns(monotonic_cues(merge_fragments(list(zip(g["start"], g["end"], g["text"], strict=True)), profile)))
+    def finish(group: Iterator[tuple]) -> Iterator[tuple]:
+        for k, cue in enumerate(monotonic_stream(fragment_stream(group, profile))):
+            yield k, *cue
 
     rows, by = units.where(t.strip(F.col("text")) != ""), ("start", "end", *order)
     block = by_blocks("start", STRETCH)
@@ -278,8 +287,8 @@ def gap_segment(units: DataFrame, profile: GapProfile = GAP, keys: tuple[str, ..
     rows = cut_islands(row_before(rows, keys, by, block, "end", "_before"), keys, by, block, (gap >= profile.strong_gap) & ~F.isnan(gap)).drop("_before")
     parts = over_runs(rows, (*keys, "island"), by, rule, SUBTITLE, [*keys, "island", *order, "text", "start", "end"])
     if post:
-        return over_runs(parts, keys, ("island", "sub_no"), finish, SUBTITLE, [*keys, "island", "sub_no", "start", "end", "text"])
-    return renumbered(parts, keys, "sub_no").select(*keys, "sub_no", "start", "end", "text")
+        return over_streams(parts, keys, ("island", "sub_no"), finish, SUBTITLE, ["start", "end", "text"])
+    return renumbered(written(parts, "cues"), keys, "sub_no").select(*keys, "sub_no", "start", "end", "text")
 
 
 def islands(tokens: DataFrame, keys: tuple[str, ...] = ("media_id", "chunk_index"), order: tuple[str, ...] = ("pos",)) -> DataFrame:

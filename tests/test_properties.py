@@ -228,7 +228,7 @@ def test_long_groups_go_to_the_rules_in_islands(spark, monkeypatch):
     for post, want in ((False, cues), (True, segment.monotonic_cues(segment.merge_fragments(cues, segment.GAP)))):
         out = segment.gap_segment(df, post=post).orderBy("sub_no").collect()
         assert [(x.sub_no, x.start, x.end, x.text) for x in out] == [(k, *c) for k, c in enumerate(want)]
-    assert seen == [("media_id", "island"), ("media_id", "island"), ("media_id", "island"), ("media_id",)]
+    assert seen == [("media_id", "island")] * 3  # what a recording's cues go through then holds one of them
 
 
 def test_equal_segments_stay_in_order(spark):
