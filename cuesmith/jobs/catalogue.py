@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from cuesmith.functions import text as t
 from cuesmith.jobs import fixtures as fx
 from cuesmith.jobs import oracles as o
 from cuesmith.operators import backlog, engine, intervals, merge, plan, segment, tokens, units
-from cuesmith.sources import files, subtitle_files
+from cuesmith.sources import files, subtitle_files, token_table
 from cuesmith.sources.scratch import shared_folder
 from cuesmith.streaming import tables
 
@@ -52,6 +53,19 @@ def _(s, d):
 _ORDERED = ", ordered AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY \"start\", \"end\", chunk_index, pos) - 1 AS media_pos FROM tokens)"
 
 
+def _bucketed(rows: DataFrame) -> token_table.TokenTable:
+    """``rows`` in a bucketed table of their own."""
+    spark = rows.sparkSession
+    return token_table.write_tokens(rows, f"tokens_{uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions")), shared_folder(spark, "tokens"))
+
+
+@query("subtitles_from_table", f"{o.MAIN} SELECT media_id, chunk_index, {o.SUBS}")
+def _(s, d):
+    """Tokens from a bucketed table, cut where they lie."""
+    table = _bucketed(fx.tokens(s, d))
+    return segment.segment(table.tokens(), segment.MAIN, parts=table.buckets)
+
+
 @query("media_subtitles_legacy", "WITH " + o.TOKENS + _ORDERED + "," + o.cut("ordered", "media_id", False, True, False, "media_pos") + "," + o.merged("media_id", False) + f" SELECT media_id, {o.SUBS}")
 def _(s, d):
     return segment.segment_stream(tokens.media_order(fx.tokens(s, d)), segment.LEGACY, ("media_id",), ("media_pos",))
@@ -196,6 +210,13 @@ def _(s, d):
     return tokens.restore_punctuation(fx.bare_tokens(s, d), fx.transcripts(s, d))
 
 
+@query("punctuation_from_table", _PUNCTUATED)
+def _(s, d):
+    """Tokens from a bucketed table, punctuated where they lie."""
+    table = _bucketed(fx.bare_tokens(s, d))
+    return tokens.restore_punctuation(table.tokens(), fx.transcripts(s, d), parts=table.buckets)
+
+
 @query("subtitles_from_transcripts", _PUNCTUATED.replace("    SELECT media_id, chunk_index, c.p AS pos", ", restored AS (SELECT media_id, chunk_index, c.p AS pos") + ")," + o.cut("restored", "media_id, chunk_index", True, False, True) + "," + o.merged("media_id, chunk_index", True) + f" SELECT media_id, chunk_index, {o.SUBS}")
 def _(s, d):
     return segment.segment_said(fx.bare_tokens(s, d), fx.transcripts(s, d), segment.MAIN)

@@ -128,10 +128,15 @@ def renumbered(parts: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
     return sum_before(rows, keys, ["island", "_number"], by_blocks("island", 1000), F.lit(1), number).select(*[c for c in parts.columns if c not in ("island", number)], number)
 
 
-def over_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: Rule, schema: str, columns: Sequence[str] | None = None, types: dict[str, pa.DataType] | None = None) -> DataFrame:
+def _dealt(df: DataFrame, keys: Sequence[str], parts: int | None) -> DataFrame:
+    return df.repartition(parts, *keys) if parts else df.repartition(*keys)
+
+
+def over_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: Rule, schema: str, columns: Sequence[str] | None = None, types: dict[str, pa.DataType] | None = None, parts: int | None = None) -> DataFrame:
     """``rule`` maps the columns of one group, in order, to columns of the result;
     the keys are added in front. ``schema`` is of the result without the keys; ``types`` names
-    Arrow types of columns that may be empty arrays."""
+    Arrow types of columns that may be empty arrays. Of rows that are dealt into
+    ``parts`` by the keys already, as a bucketed table is, none is moved."""
     keys, order = list(keys), list(order)
     columns = [*dict.fromkeys([*keys, *(columns or df.columns)])]
     out = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", " + schema
@@ -182,10 +187,10 @@ def over_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: Ru
         if made[fields[0]]:
             yield full()
 
-    return df.select(*columns).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(stream, out)
+    return _dealt(df.select(*columns), keys, parts).sortWithinPartitions(*keys, *order).mapInArrow(stream, out)
 
 
-def over_streams(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: StreamRule, schema: str, columns: Sequence[str]) -> DataFrame:
+def over_streams(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: StreamRule, schema: str, columns: Sequence[str], parts: int | None = None) -> DataFrame:
     """``over_runs`` for a rule that maps the rows of a group, tuples of ``columns``
     in order, to rows of the result one by one: no group is ever held."""
     keys, order, columns = list(keys), list(order), list(columns)
@@ -215,4 +220,4 @@ def over_streams(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule:
         if made:
             yield full()
 
-    return df.select(*dict.fromkeys([*keys, *order, *columns])).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(stream, out)
+    return _dealt(df.select(*dict.fromkeys([*keys, *order, *columns])), keys, parts).sortWithinPartitions(*keys, *order).mapInArrow(stream, out)

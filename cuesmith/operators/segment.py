@@ -224,18 +224,18 @@ def _columns(cues: list[Cue]) -> dict[str, list]:
     return {"sub_no": list(range(len(cues))), "start": [c[0] for c in cues], "end": [c[1] for c in cues], "text": [c[2] for c in cues]}
 
 
-def segment(tokens: DataFrame, profile: Profile = MAIN, keys: tuple[str, ...] = ("media_id", "chunk_index"), order: tuple[str, ...] = ("pos",), merge: bool = True) -> DataFrame:
-    """Subtitles (keys, sub_no, start, end, text) of each group of tokens."""
+def segment(tokens: DataFrame, profile: Profile = MAIN, keys: tuple[str, ...] = ("media_id", "chunk_index"), order: tuple[str, ...] = ("pos",), merge: bool = True, parts: int | None = None) -> DataFrame:
+    """Subtitles (keys, sub_no, start, end, text) of each group of tokens; ``parts`` as in ``over_runs``."""
     rows = repair_durations(tokens) if profile.repair else tokens
 
     def rule(g: dict[str, list]) -> dict[str, list]:
         cues = cut_tokens(g["text"], g["start"], g["end"], profile)
         return _columns(merge_short_cues(cues, profile) if merge else cues)
 
-    return over_runs(rows, keys, order, rule, SUBTITLE, [*keys, *order, "text", "start", "end"])
+    return over_runs(rows, keys, order, rule, SUBTITLE, [*keys, *order, "text", "start", "end"], parts=parts)
 
 
-def segment_said(tokens: DataFrame, transcripts: DataFrame, profile: Profile = MAIN) -> DataFrame:
+def segment_said(tokens: DataFrame, transcripts: DataFrame, profile: Profile = MAIN, parts: int | None = None) -> DataFrame:
     """``segment`` of the tokens with their transcript's punctuation, a chunk a group: both rules,
     and the repair between them, in one pass over tokens that are shuffled once."""
 
@@ -244,10 +244,10 @@ def segment_said(tokens: DataFrame, transcripts: DataFrame, profile: Profile = M
         starts = repaired(texts, g["start"], g["end"]) if profile.repair else g["start"]
         return _columns(merge_short_cues(cut_tokens(texts, starts, g["end"], profile), profile))
 
-    return over_runs(with_transcript(tokens, transcripts), CHUNK, ("pos",), rule, SUBTITLE, [*CHUNK, "pos", "text", "start", "end", "_said"])
+    return over_runs(with_transcript(tokens, transcripts), CHUNK, ("pos",), rule, SUBTITLE, [*CHUNK, "pos", "text", "start", "end", "_said"], parts=parts)
 
 
-def segment_stream(tokens: DataFrame, profile: Profile = LEGACY, keys: tuple[str, ...] = ("media_id",), order: tuple[str, ...] = ("pos",)) -> DataFrame:
+def segment_stream(tokens: DataFrame, profile: Profile = LEGACY, keys: tuple[str, ...] = ("media_id",), order: tuple[str, ...] = ("pos",), parts: int | None = None) -> DataFrame:
     """``segment`` for long groups of a profile without islands: tokens pass one by
     one, and a task holds the open subtitle and the one before it."""
     rows = repair_durations(tokens) if profile.repair else tokens
@@ -256,7 +256,7 @@ def segment_stream(tokens: DataFrame, profile: Profile = LEGACY, keys: tuple[str
         for k, cue in enumerate(merge_stream(cut_stream(group, profile), profile)):
             yield k, *cue
 
-    return over_streams(rows, keys, order, rule, SUBTITLE, ["text", "start", "end"])
+    return over_streams(rows, keys, order, rule, SUBTITLE, ["text", "start", "end"], parts)
 
 
 def merge_short(subtitles: DataFrame, profile: Profile = MAIN, keys: tuple[str, ...] = ("media_id", "chunk_index")) -> DataFrame:

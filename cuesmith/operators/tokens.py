@@ -130,12 +130,16 @@ def punctuate(texts: list[str], transcript: str) -> list[str]:
 def with_transcript(tokens: DataFrame, transcripts: DataFrame) -> DataFrame:
     """``tokens`` with ``_said``, the chunk's transcript on its first token and null on the rest."""
     w = Window.partitionBy(*CHUNK).orderBy("pos")
-    firsts = tokens.withColumn("_n", F.row_number().over(w))
-    return firsts.join(transcripts.select(*CHUNK, F.lit(1).alias("_n"), F.col("transcript").alias("_said")), [*CHUNK, "_n"], "left")
+    rows = tokens.withColumn("_n", F.row_number().over(w))
+    said = transcripts.select(*[F.col(c).alias(f"_{c}") for c in CHUNK], F.col("transcript").alias("_said"))
+    # equal on the chunk alone, so that the tokens stay where the window has them
+    first = (F.col("_n") == 1) & (F.col("media_id") == F.col("_media_id")) & (F.col("chunk_index") == F.col("_chunk_index"))
+    return rows.join(said, first, "left").drop(*[f"_{c}" for c in CHUNK])
 
 
-def restore_punctuation(tokens: DataFrame, transcripts: DataFrame) -> DataFrame:
+def restore_punctuation(tokens: DataFrame, transcripts: DataFrame, parts: int | None = None) -> DataFrame:
     """Tokens with the transcript's punctuation; without a transcript as they are.
+    ``parts`` as in ``over_runs``.
 
     The transcript travels once a chunk, on the chunk's first token, and not with
     every token.
@@ -147,4 +151,4 @@ def restore_punctuation(tokens: DataFrame, transcripts: DataFrame) -> DataFrame:
         texts = punctuate(g["text"], said) if said else g["text"]
         return {"pos": g["pos"], "text": texts, "start": g["start"], "end": g["end"]}
 
-    return over_runs(rows, CHUNK, ("pos",), rule, "pos long, text string, start double, `end` double", [*CHUNK, "pos", "text", "start", "end", "_said"])
+    return over_runs(rows, CHUNK, ("pos",), rule, "pos long, text string, start double, `end` double", [*CHUNK, "pos", "text", "start", "end", "_said"], parts=parts)
