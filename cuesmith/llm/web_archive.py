@@ -1,32 +1,37 @@
-"""Web archives in ZIP packages: WARC records, compressed one by one, and an
+"""Web archives in ZIP packages: WARC records, compressed one by one, and a CDXJ
 index, both as stored members, so that a record is read by one ranged read.
 
 The reader finds the central directory from the end of the file, ZIP64 or not,
 takes the places of the members from it, reads the index and then only the bytes
-of each record. Nothing is extracted.
+of each record. Nothing is extracted. Archives and indexes are known by the ends of
+their names, so packages of other makers are read too.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote
+from urllib.parse import quote, urlsplit
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, stored
 from .files import filesystem
 
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+#: How the names of archives and of indexes end, in any folder of a package.
+ARCHIVES, INDEXES = (".warc.gz", ".warc"), (".cdxj", ".cdx", ".cdx.gz", ".cdxj.gz")
+TIME = "19700101000000"
 #: A payload of fewer bytes is always written in full.
 LEAST_SHARED = 100
 ARCHIVE_BYTES = 64 << 20
@@ -116,20 +121,70 @@ def record(page: str, url: str | None, html: bytes, digest: str, first: str | No
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, int]:
-    """(headers, payload, length of the full payload); the block must be as its digest says."""
+    """(headers, payload, length of the full payload); the block must be as its digest says,
+    where that is a SHA-256. A record of another kind than an HTTP one has its block as payload."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     version, *lines = head.decode().split("\r\n")
     if not version.startswith("WARC/"):
         raise ValueError("not a WARC record")
     named = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines)}
     block = rest[: int(named["content-length"])]
-    if "sha256:" + hashlib.sha256(block).hexdigest() != named["warc-block-digest"]:
+    if _differs(block, named.get("warc-block-digest")):
         raise ValueError("the record's block is damaged")
+    if not block.startswith(b"HTTP/"):
+        return named, block, len(block)
     http, _, payload = block.partition(b"\r\n\r\n")
-    full = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+    full = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
     return named, payload, full
 
 
+def _differs(raw: bytes, digest: str | None) -> bool:
+    """Whether ``raw`` is not what a SHA-256 in hex says; other digests are not looked into."""
+    name, _, value = (digest or "").partition(":")
+    return name == "sha256" and len(value) == 64 and hashlib.sha256(raw).hexdigest() != value.lower()
+
+
+def url_key(url: str | None) -> str:
+    """The sort key of a url: its host's labels from the last on, then port, path and query in
+    small letters, as ``com,example)/path?query``; ``-`` where there is none."""
+    if url is None:
+        return "-"
+    try:
+        parts = urlsplit(url)
+        host, port = parts.hostname, parts.port
+    except ValueError:
+        host = port = None
+    if not host:
+        return quote(url, safe="!$&'()*+,-./:;=?@_~%").lower() or "-"
+    tail = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    return quote(",".join(reversed(host.split("."))), safe=",:[]") + (f":{port}" if port else "") + ")" + quote(tail, safe="!$&'()*+,-./:;=?@_~%").lower()
+
+
+def index_line(page: str | None, url: str | None, digest: str, first: str | None, at: int, length: int) -> str:
+    """One line of a CDXJ index: key, time and a JSON object."""
+    told = {"url": url or "", "mime": "warc/revisit" if first else "text/html", "status": "200", "digest": f"sha256:{digest}", "length": str(length), "offset": str(at), "filename": RECORDS.rsplit("/", 1)[1]}
+    told |= {"page": int(page)} if page is not None else {}
+    return f"{url_key(url)} {TIME} {json.dumps(told)}\n"
+
+
+def parse_index(raw: bytes) -> Iterator[dict]:
+    """The JSON objects of a CDXJ index; lines that start with ``!`` and empty ones are passed by."""
+    for line in raw.decode().splitlines():
+        at = line.find("{")
+        if at >= 0 and not line.startswith("!"):
+            yield json.loads(line[at:])
+
+
+def inflated(raw: bytes) -> bytes:
+    """All members of a gzip file."""
+    out = []
+    while raw:
+        z = zlib.decompressobj(31)
+        out.append(z.decompress(raw) + z.flush())
+        raw = z.unused_data
+    return b"".join(out)
+
+
 def _gzip(raw: bytes) -> bytes:
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress(raw) + z.flush()
@@ -169,7 +224,7 @@ def write_archives(pages: DataFrame, path: str | None = None, id: str = "page_id
             nonlocal name
             member.close()
             with package.open(zipfile.ZipInfo(INDEX), "w", force_zip64=True) as f:
-                f.write("".join(index).encode())
+                f.write("".join(sorted(index)).encode())
             package.close()
             out.close()
             row = pa.RecordBatch.from_pylist([{"path": f"{path}/{name}", "records": len(index), "bytes": size}], MANIFEST)
@@ -186,7 +241,7 @@ def write_archives(pages: DataFrame, path: str | None = None, id: str = "page_id
                         member = package.open(zipfile.ZipInfo(RECORDS), "w", force_zip64=True)
                     packed = _gzip(record(str(page["id"]), page["url"], page["html"], page["digest"], _page(page["first"])))
                     member.write(packed)
-                    index.append(json.dumps({"page": page["id"], "offset": size, "length": len(packed)}) + "\n")
+                    index.append(index_line(_page(page["id"]), page["url"], page["digest"], _page(page["first"]), size, len(packed)))
                     size += len(packed)
                     if size >= archive_bytes:
                         yield close()
@@ -234,18 +289,40 @@ def _tasks(archives: DataFrame, per_task: int) -> int:
     return min(MOST_TASKS, max(1, -(-(archives.agg(F.sum("bytes")).first()[0] or 0) // per_task)))
 
 
+def packages(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, bytes) of the packages below a folder, as ``read_records`` takes them."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wacz").load(folder)
+    return rows.select("path", F.col("length").alias("bytes"))
+
+
+def places_in(read, size: int) -> list[tuple[int | None, int, int]]:
+    """(page, at, length) of every record that a package's indexes list, in order of place.
+    A line without a file's name is of the only archive there is; one of a file that is not in the package is an error."""
+    all_ = members(read, size)
+    starts = {m.name.rsplit("/", 1)[-1]: stored_at(read, m) for m in all_ if m.name.endswith(ARCHIVES)}
+    out = set()
+    for m in all_:
+        if m.name.endswith(INDEXES):
+            raw = read(stored_at(read, m), m.size)
+            for x in parse_index(inflated(raw) if m.name.endswith(".gz") else raw):
+                name = x["filename"].rsplit("/", 1)[-1] if "filename" in x else next(iter(starts), None) if len(starts) == 1 else None
+                if name not in starts:
+                    raise ValueError(f"the index names {name}, which is not in the package")
+                out.add((x.get("page"), starts[name] + int(x["offset"]), int(x["length"])))
+    return sorted(out, key=lambda r: r[1:])
+
+
 def index_of(archives: DataFrame) -> DataFrame:
-    """(path, page, at, length) of every record, from the archives' own indexes."""
+    """(path, page, at, length) of every record, from the archives' own indexes; ``page``
+    is null where the index tells none. Several lines of one record are one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         source = Ranged()
         for batch in batches:
             for path in batch["path"]:
                 read = source.open(path)
-                found = {m.name: m for m in members(read, source.size())}
-                start, index = stored_at(read, found[RECORDS]), found[INDEX]
-                lines = [json.loads(x) for x in read(stored_at(read, index), index.size).decode().splitlines()]
-                yield pd.DataFrame({"path": path, "page": pd.array([x["page"] for x in lines], "Int64"), "at": [start + x["offset"] for x in lines], "length": [x["length"] for x in lines]})
+                found = places_in(read, source.size())
+                yield pd.DataFrame({"path": path, "page": pd.array([p for p, _, _ in found], "Int64"), "at": [at for _, at, _ in found], "length": [n for _, _, n in found]})
 
     return archives.select("path").repartition(_tasks(archives, ARCHIVE_BYTES), "path").mapInPandas(run, "path string, page long, at long, length long")
 
@@ -256,7 +333,8 @@ def read_records(archives: DataFrame, chunk: int = 8 << 20, payload: bool = Fals
 
     A task reads about ``chunk`` bytes of an archive; records that lie beside each
     other come with one ranged read and are cut from it.
-    A response's length and digest are taken from the bytes read.
+    A response's length and digest are taken from the bytes read. Of records that others
+    wrote, ids and references that name no page are null.
     """
     schema = "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
 
@@ -272,13 +350,14 @@ def read_records(archives: DataFrame, chunk: int = 8 << 20, payload: bool = Fals
                     raw = source.open(places[a][0])(start, last + size - start)
                     held += [raw[at - start : at - start + n] for _, at, n in places[a:b]]
                 for raw in held:
-                    named, body, full = parse_record(zlib.decompress(raw, 31))
+                    named, body, full = parse_record(inflated(raw) if raw[:2] == b"\x1f\x8b" else raw)
                     kind = named["warc-type"]
-                    digest = hashlib.sha256(body).hexdigest() if kind == "response" else named["warc-payload-digest"].removeprefix("sha256:")
-                    if kind == "response" and named["warc-payload-digest"] != f"sha256:{digest}":
+                    told = named.get("warc-payload-digest")
+                    digest = told.removeprefix("sha256:") if kind == "revisit" and told else hashlib.sha256(body).hexdigest()
+                    if kind != "revisit" and _differs(body, told):
                         raise ValueError("the record's payload is damaged")
-                    page = lambda v: None if v in (None, "<urn:page:None>") else int(v.removeprefix("<urn:page:").rstrip(">"))
-                    row = (page(named["warc-record-id"]), named.get("warc-target-uri"), len(body) if kind == "response" else full, digest, kind, page(named.get("warc-refers-to")))
+                    page = lambda v: int(v[10:-1]) if v and re.fullmatch(r"<urn:page:-?[0-9]+>", v) else None
+                    row = (page(named["warc-record-id"]), named.get("warc-target-uri"), full if kind == "revisit" else len(body), digest, kind, page(named.get("warc-refers-to")))
                     rows.append(row + (body,) * payload)
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], ["id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * payload])
