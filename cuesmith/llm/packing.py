@@ -87,6 +87,8 @@ def pieces(text: Column, tokens: Column, largest: int) -> Column:
 def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", sizes: Sequence[int] = SIZES, group_rows: int = 2048, group_tokens: int = 1 << 21) -> DataFrame:
     """Pieces of every document with their content: id, copy, piece, start, length,
     bin, offset, capacity, body; the pieces of a sequence stand together in order.
+    Groups are samples of all rows, and the sequences of a group stand in an order of
+    chance that reruns repeat.
 
     A document is its words and one end token. One longer than the largest size
     is cut into full sequences and a rest. A piece covers tokens ``start`` to
@@ -128,8 +130,11 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", sizes: Sequenc
         again = at - np.maximum.accumulate(np.where(same, 0, at))  # the how manieth of its kind in the group
         bins, offsets, capacity = best_fit(length[order].tolist(), sizes)
         bins, offsets = np.array(bins, np.int64), np.array(offsets, np.int64)
-        out = np.lexsort((offsets, bins))
-        place, g = order[out], int(table.column("grp")[0].as_py())
+        g = int(table.column("grp")[0].as_py())
+        # pieces came in falling length, so bins did: they are turned into an order of chance
+        turn = np.random.default_rng([len(capacity), g]).permutation(len(capacity))
+        out = np.lexsort((offsets, turn[bins]))
+        place = order[out]
         columns = {
             "id": table.column("id").take(pa.array(place)), "copy": pa.array((again * deals[order] + deal[order])[out]), "piece": pa.array(piece[place].astype(np.int64)),
             "start": pa.array(piece[place].astype(np.int64) * largest), "length": pa.array(length[place]), "bin": pa.array([f"{g}-{b}" for b in bins[out]], pa.string()),

@@ -1,6 +1,8 @@
 """Each operator on odd tables, and against a plain version of itself."""
 
+import gzip
 import hashlib
+import json
 import math
 import random
 import re
@@ -712,6 +714,56 @@ def test_zip64_directories(tmp_path):
     assert raw[start : start + 5] == body
 
 
+def test_index_lines_are_sorted_and_name_their_places(spark, tmp_path):
+    rows = [(1, "http://b.Example.com:8080/P?Q=1", "x"), (2, "https://a.org", "y"), (3, None, "z"), (4, "no url\nat all", "w"), (None, "http://[bad/", "v")]
+    (path,) = [r.path for r in web_archive.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w")).collect()]
+    with zipfile.ZipFile(path.removeprefix("file://")) as z:
+        lines, records = z.read(web_archive.INDEX).decode().splitlines(), z.read(web_archive.RECORDS)
+    assert lines == sorted(lines) and len(lines) == 5
+    by_page = {}
+    for line in lines:
+        key, time, told = line.split(" ", 2)
+        told = json.loads(told)
+        assert len(time) == 14 and told["filename"] == "data.warc.gz"
+        by_page[told.get("page")] = key
+        raw = records[int(told["offset"]) : int(told["offset"]) + int(told["length"])]
+        assert told["digest"] == web_archive.parse_record(gzip.decompress(raw))[0]["warc-payload-digest"]
+    assert by_page[1] == "com,example,b:8080)/p?q=1" and by_page[2] == "org,a)/" and by_page[3] == "-"
+
+
+def test_packages_of_others(spark, tmp_path):
+    def other(kind, uri, block, **more):
+        head = "".join(f"{k}: {v}\r\n" for k, v in ({"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:1-2>", "WARC-Target-URI": uri, "WARC-Block-Digest": "sha1:ABC", "Content-Length": len(block)} | more).items())
+        return gzip.compress(("WARC/1.0\r\n" + head + "\r\n").encode() + block + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\nbody"
+    files_ = {"archive/one.warc.gz": [other("warcinfo", "", b"software: x\r\n"), other("response", "http://a/", http)], "archive/two.warc.gz": [other("response", "http://b/", http + b"2"), other("revisit", "http://c/", http[:-4], **{"WARC-Payload-Digest": "sha1:XYZ"})]}
+    lines = ["!meta {}"]
+    with zipfile.ZipFile(tmp_path / "x.wacz", "w") as z:
+        for name, parts in files_.items():
+            at = 0
+            for part in parts:
+                lines.append(f'a,b)/ 20200101000000 {json.dumps({"url": "u", "length": str(len(part)), "offset": str(at), "filename": name.split("/")[1]})}')
+                at += len(part)
+            z.writestr(name, b"".join(parts))
+        half = len(lines) // 2
+        z.writestr("indexes/index.cdx.gz", b"".join(gzip.compress(("\n".join(x) + "\n").encode()) for x in (lines[:half], lines[half:])))
+        z.writestr("datapackage.json", "{}")
+    got = web_archive.read_records(web_archive.packages(spark, str(tmp_path)), payload=True).collect()
+    assert sorted((r.record_type, r.url, r.id, r.payload_bytes, r.payload_digest, bytes(r.payload)) for r in got) == sorted([
+        ("warcinfo", "", None, 13, hashlib.sha256(b"software: x\r\n").hexdigest(), b"software: x\r\n"),
+        ("response", "http://a/", None, 4, hashlib.sha256(b"body").hexdigest(), b"body"),
+        ("response", "http://b/", None, 5, hashlib.sha256(b"body2").hexdigest(), b"body2"),
+        ("revisit", "http://c/", None, 0, "sha1:XYZ", b""),
+    ])
+    with zipfile.ZipFile(tmp_path / "bad.wacz", "w") as z:
+        z.writestr("archive/one.warc.gz", b"x")
+        z.writestr("indexes/index.cdxj", 'a 2020 {"offset": 0, "length": 1, "filename": "gone.warc.gz"}\n')
+    read = (tmp_path / "bad.wacz").read_bytes()
+    with pytest.raises(ValueError, match="gone"):
+        web_archive.places_in(lambda at, n: read[at : at + n], len(read))
+
+
 def test_broken_archives(tmp_path):
     with pytest.raises(ValueError, match="no end"):
         web_archive.members(reader(b"x" * 100), 100)
@@ -845,7 +897,6 @@ def test_random_texts_have_the_librarys_ids():
 
 
 def test_added_tokens_are_cut_out_first(tmp_path):
-    import json
 
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -919,6 +970,12 @@ def test_packing_is_dense_and_repeats(spark):
     bins = {r.bin: r.capacity for r in got}
     assert sum(r.length for r in got) >= 0.93 * sum(bins.values())
     assert by_id(packing.pack(docs.repartition(7)).collect(), "doc_id", "piece", "bin", "offset") == by_id(got, "doc_id", "piece", "bin", "offset")
+    by_group = {}
+    for r in got:
+        if r.offset == 0:
+            by_group.setdefault(r.bin.split("-")[0], []).append(r.capacity)
+    assert any(x != sorted(x, reverse=True) for x in by_group.values())
+    assert [(r.bin, r.offset) for r in packing.pack(docs).collect()] == [(r.bin, r.offset) for r in got]
 
 
 @pytest.mark.parametrize("sizes", [(512, 1024, 2048, 4096, 8192), (7,)])
