@@ -32,12 +32,16 @@ def written(spark: SparkSession, out: str) -> DataFrame:
     return files.read_manifest(spark, out)
 
 
-def stamped(spark: SparkSession, root: str) -> DataFrame:
+def stamped(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """(media_id, chunk_index, stamp) of the chunks with a valid token file: the stamp
-    tells sizes and times of its token file and transcript, and the rules' version."""
-    rows = files.artifacts(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime"), "modificationTime")
+    tells sizes and times of its token file and transcript, and the rules' version.
+    With ``content`` it tells their SHA-256 in place of times, so that a copied or
+    touched file counts as the same; all of these files are read then."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*{.tokens.json,.txt}").load(root)
+    state = F.sha2("content", 256) if content else F.unix_micros("modificationTime").cast("string")
+    rows = files.artifacts(listed.select("path", "length", state.alias("state")), "state")
     rows = rows.where(backlog.valid() & F.col("kind").isin("tokens", "txt") & F.col("chunk_index").isNotNull())
-    told = F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "kind", "size", F.unix_micros("modificationTime")))), ",")
+    told = F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "kind", "size", "state"))), ",")
     chunks = rows.groupBy(*CHUNK).agg(told.alias("told"), F.max(F.col("kind") == "tokens").alias("has"))
     return chunks.where("has").select(*CHUNK, F.concat(F.lit(RULES + "|"), "told").alias("stamp"))
 
@@ -52,13 +56,13 @@ def made_before(spark: SparkSession, out: str) -> DataFrame:
     return last.where("stamp is not null")
 
 
-def left(spark: SparkSession, root: str, out: str, again: Sequence[str] = (), flags: Sequence[str] = ()) -> DataFrame:
+def left(spark: SparkSession, root: str, out: str, again: Sequence[str] = (), flags: Sequence[str] = (), content: bool = False) -> DataFrame:
     """(media_id, chunk_index, stamp, fresh) of all chunks with tokens of the recordings that
     need work. ``fresh`` chunks have no subtitle file yet or their inputs changed; a
     recording needs work where a chunk is fresh or gone, its final file is not there,
     or ``again`` names it. ``flags`` first drop kinds of files, as when work is forced."""
     have = backlog.after_force(written(spark, out), flags).where(backlog.valid())
-    now, before = stamped(spark, root), made_before(spark, out)
+    now, before = stamped(spark, root, content), made_before(spark, out)
     forced = any("srt" in backlog.FORCED[f] for f in flags)
     known = before.join(have.where("kind = 'srt'").select(*CHUNK, F.lit(True).alias("file")), CHUNK, "left").where(F.lit(not forced) & (F.col("file") | ~F.col("made")))
     named = F.col("media_id").isin(*again) if again else F.lit(False)
@@ -73,16 +77,17 @@ def _named(pattern: str, *values: Column | str) -> Column:
     return F.concat("media_id", F.lit(f"{files.WORK}/"), F.format_string(pattern, *values))
 
 
-def write_final_files(spark: SparkSession, root: str, out: str, delay: float = 0.5, again: Sequence[str] = (), flags: Sequence[str] = (), part: int = 10) -> DataFrame:
+def write_final_files(spark: SparkSession, root: str, out: str, delay: float = 0.5, again: Sequence[str] = (), flags: Sequence[str] = (), part: int = 10, content: bool = False) -> DataFrame:
     """Read the chunks' token files and transcripts below ``root``, restore punctuation, cut subtitles and
     write under ``out``, by the names that ``read_manifest`` knows, each fresh chunk's file, each complete
     part of ``part`` chunks with a fresh one, and each recording's final file, tokens and transcript.
 
-    What nothing has changed for is left alone. A changed, added or removed chunk makes its own file, its part
+    What nothing has changed for is left alone; ``content`` is whether changes are told by what the inputs
+    hold (see ``stamped``), and after it is switched all is made again once. A changed, added or removed chunk makes its own file, its part
     and its recording's final files again and nothing else; the file of a removed one stays. Returns what is missing, (media_id, chunk_index, kind): chunks with any
     artifact whose token file is not there or not valid; they are left out of the files.
     """
-    todo = left(spark, root, out, again, flags).persist()
+    todo = left(spark, root, out, again, flags, content).persist()
     parsed = subs = todo
     try:
         chunks = files.read_manifest(spark, root).where(F.col("kind").isin("wav", "txt", "tokens") & F.col("chunk_index").isNotNull()).select(*CHUNK).distinct()

@@ -1,6 +1,7 @@
 """Subtitle files as a data source, and the job from a folder of artifacts to files."""
 
 import json
+import os
 
 import pytest
 from pyspark.errors import PySparkException
@@ -175,3 +176,20 @@ def test_flags_make_their_files_again(spark, tmp_path, flag, again):
     resume.write_final_files(spark, str(root), str(out), part=2, flags=[flag])
     got = changed(first, stamps(out))
     assert {f"a.srt_work/{x}" for x in again} <= got if again else not got
+
+
+def test_changes_by_content(spark, tmp_path):
+    root, out = tmp_path / "in", tmp_path / "out"
+    for k in range(2):
+        put(root, "a b", k, "one two three!")
+    resume.write_final_files(spark, str(root), str(out), content=True)
+    for p in root.rglob("*.json"):
+        os.utime(p, ns=(0, 10**18))
+    assert resume.left(spark, str(root), str(out), content=True).count() == 0
+    assert resume.left(spark, str(root), str(out)).where("fresh").count() == 2
+    work = root / "a b.srt_work"
+    times = (work / "chunk_0001.tokens.json").stat()
+    body = (work / "chunk_0001.tokens.json").read_text().replace("two", "six")  # as long, and as old
+    (work / "chunk_0001.tokens.json").write_text(body)
+    os.utime(work / "chunk_0001.tokens.json", ns=(times.st_atime_ns, times.st_mtime_ns))
+    assert {r.chunk_index for r in resume.left(spark, str(root), str(out), content=True).where("fresh").collect()} == {1}
