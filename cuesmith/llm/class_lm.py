@@ -1,18 +1,22 @@
 """Class-based n-gram scores: exchange clustering puts words into classes, and a
 text's probability is the product of class transitions and word emissions.
 
-Each of the ``lookup`` most frequent words is a unit of its own; rarer words and
-unseen ones share units by their ending. All that the clustering asks of the corpus is how
+Each of the ``lookup`` most frequent words is a unit of its own; while these are clustered,
+rarer words and unseen ones share units by their ending. All that the clustering asks of the corpus is how
 often each unit stands before and behind each other one. That is counted once, summed
 where a unit's counts meet, and written as a table dealt by unit. A round is two passes over it:
 the class transitions, 64 x 64 sums, and then, in the tasks, the class of
 each unit that raises the likelihood of the class bigrams most, the others held
 fixed. Half of the units may move in a round; the rounds end when the likelihood no longer
-rises, and the best one counts.
+rises, and the best one counts. Then every rarer word of the training rows, however many there
+are, is exchanged too: how often each class stands beside it comes together by word, and it leaves
+its ending's class for the one that raises the likelihood most. These classes are a
+table, joined by word; they count if the transitions, counted again, are likelier. Only
+words that training rows do not have keep the class of their ending.
 
 P(word | previous) = P(class | class of previous) * P(word | class). Transitions
 are smoothed towards the class frequencies; every word gives up an absolute
-discount to the unseen words of its class. Counts of the ``lookup`` most
+discount to the unseen words of its class. Counts and classes of the ``lookup`` most
 frequent words go to the tasks; those of the rest are joined.
 """
 
@@ -32,12 +36,15 @@ from pyspark.sql import functions as F
 from .common import discard, stored
 
 END = b""  # no word is empty
+PLACE, CELL = "<u4", "<u4"
+KEPT = ("key", "id", "held_out", "n_tokens", "n_known", "base", "emit")
+SCORED = ("id", "held_out", "n_tokens", "n_known", "base")
 
 
 @dataclass(frozen=True)
 class Model:
-    """``classes`` with the end's own, ``lookup`` words at most that are units of their own and
-    are broadcast, ``endings`` units of the others, ``rounds`` of exchange at most,
+    """``classes`` with the end's own, ``lookup`` words at most that are clustered in rounds and
+    are broadcast, ``endings`` units where the others start, ``rounds`` of exchange at most,
     ``prior`` transitions of smoothing, ``part_pairs`` neighbours to a part of the table."""
 
     classes: int = 64
@@ -107,13 +114,14 @@ def encoded(docs: DataFrame, top: tuple[list[bytes], np.ndarray], discount: floa
     """Each row as units, with the sums over the words in ``top`` and the others listed.
 
     (key, id, held_out, n_tokens, n_known, base, emit, units, rare); ``base`` adds
-    log10(c + 1), ``emit`` log10 of the count less discount.
+    log10(c + 1), ``emit`` log10 of the count less discount. ``rare`` has a word, how often
+    it stands in the row and its packed places there.
     """
     words, n = top
     own = len(words)
     sums = np.stack([np.log10(n + 1), np.log10(np.maximum(n - discount, 1e-9))], 1)
     shared = docs.sparkSession.sparkContext.broadcast((words, sums))
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32()), ("unit", pa.int32())]))
+    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32()), ("places", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -124,7 +132,7 @@ def encoded(docs: DataFrame, top: tuple[list[bytes], np.ndarray], discount: floa
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 batch = whole.slice(a, 512)
-                rows, all_units, offsets, rares, counts, units = [], [], [0], [], [], []
+                rows, all_units, offsets, rares, counts, places = [], [], [0], [], [], []
                 for text in batch.column("text").to_pylist():
                     tokens = tokens_of(text)
                     at = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
@@ -133,23 +141,25 @@ def encoded(docs: DataFrame, top: tuple[list[bytes], np.ndarray], discount: floa
                     missing = np.flatnonzero(~known)
                     if len(missing):
                         u[missing] = [ending_unit(tokens[k], own, model) for k in missing]
-                        rare = Counter(tokens[k] for k in missing)
+                        rare: dict[bytes, list[int]] = {}
+                        for k in missing.tolist():
+                            rare.setdefault(tokens[k], []).append(k)
                         rares += rare
-                        counts += rare.values()
-                        units += [ending_unit(w, own, model) for w in rare]
+                        counts += map(len, rare.values())
+                        places += [np.array(at_, PLACE).tobytes() for at_ in rare.values()]
                     offsets.append(len(rares))
                     total = sums[at[known]].sum(0)
                     rows.append((key, len(tokens) + 1, int(known.sum()) + (end_n > 0), float(total[0]) + math.log10(end_n + 1), float(total[1])))
                     all_units.append(u.tobytes())
                     key += 1
                 cols = list(zip(*rows, strict=True))
-                rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(rares, pa.binary()), pa.array(counts, pa.int32()), pa.array(units, pa.int32())], fields=list(rare_type.value_type)))
+                rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(rares, pa.binary()), pa.array(counts, pa.int32()), pa.array(places, pa.binary())], fields=list(rare_type.value_type)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[0], pa.int64()), batch.column("id"), batch.column("held_out"), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)), pa.array(all_units, pa.binary()), rare],
                     ["key", "id", "held_out", "n_tokens", "n_known", "base", "emit", "units", "rare"],
                 )
 
-    schema = f"key long, id {docs.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, emit double, units binary, rare array<struct<word: binary, n: int, unit: int>>"
+    schema = f"key long, id {docs.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, emit double, units binary, rare array<struct<word: binary, n: int, places: binary>>"
     return docs.mapInArrow(run, schema)
 
 
@@ -382,6 +392,97 @@ def cluster(table: DataFrame, n_units: int, model: Model) -> tuple[np.ndarray, n
     return best[1], best[2]
 
 
+def beside_rare(rows: DataFrame, classes: np.ndarray, own: int, model: Model) -> DataFrame:
+    """(word, cells, n) of each rare word of ``encoded`` rows, a row a task and flush: packed
+    counts of the classes before it (cells from 0), behind it (from ``model.classes``) and,
+    in the last cell, of itself behind itself."""
+    c = model.classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, Counter] = {}
+
+        def out() -> pa.RecordBatch:
+            cells = [np.fromiter(x, CELL, len(x)).tobytes() for x in held.values()]
+            many = [np.fromiter(x.values(), "<i8", len(x)).tobytes() for x in held.values()]
+            got = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(cells, pa.binary()), pa.array(many, pa.binary())], ["word", "cells", "n"])
+            held.clear()
+            return got
+
+        for batch in batches:
+            for raw, rare in zip(batch.column("units"), batch.column("rare"), strict=True):
+                if not len(rare):
+                    continue
+                at = classes[np.concatenate([[0], np.frombuffer(raw.as_py(), np.uint32), [0]]).astype(np.int64)]
+                for x in rare.as_py():
+                    k = np.frombuffer(x["places"], PLACE).astype(np.int64)
+                    cells = held.setdefault(x["word"], Counter())
+                    cells.update(at[k].tolist())
+                    cells.update((c + at[k + 2].astype(np.int64)).tolist())
+                    if twice := int((np.diff(k) == 1).sum()):
+                        cells[2 * c] += twice
+                if len(held) > model.flush:
+                    yield out()
+        if held:
+            yield out()
+
+    return rows.select("units", "rare").mapInArrow(run, "word binary, cells binary, n binary")
+
+
+def rare_words(rows: DataFrame, classes: np.ndarray, n: np.ndarray, own: int, model: Model) -> DataFrame:
+    """(word, n, own, class) of every rare word of ``encoded`` training rows, written: its count, the class
+    of its ending and the class that raises the likelihood most, all other words held."""
+    c = model.classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = small_steps(n)
+        for whole in batches:
+            for a in range(0, whole.num_rows, 512):
+                batch = whole.slice(a, 512)
+                words = batch.column("word").to_pylist()
+                some = [(k, np.frombuffer(x["cells"], CELL), np.frombuffer(x["n"], "<i8")) for k, xs in enumerate(batch.column("beside").to_pylist()) for x in xs]
+                row = np.repeat([k for k, _, _ in some], [len(x) for _, x, _ in some])
+                beside = np.bincount(row * (2 * c + 1) + np.concatenate([x for _, x, _ in some]), np.concatenate([m for _, _, m in some]), len(words) * (2 * c + 1)).reshape(len(words), -1)
+                before, after, twice = beside[:, :c], beside[:, c : 2 * c], beside[:, 2 * c]
+                start = classes[[ending_unit(w, own, model) for w in words]].astype(np.int64)
+                best = best_classes(before, after, twice, start, n, steps)
+                yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(before.sum(1).astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(best.astype(np.int32))], ["word", "n", "own", "class"])
+
+    by_word = beside_rare(rows, classes, own, model).groupBy("word").agg(F.collect_list(F.struct("cells", "n")).alias("beside"))
+    return stored(by_word.mapInArrow(run, "word binary, n long, own int, class int"), "rare")
+
+
+def _path(seq: bytes, moves: list[dict], exchanged: bool, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(classes of a row's tokens with the ends around them, places of unseen words); of
+    ``moves``, those with a class are rare words that left their ending's, the others unseen."""
+    at = np.concatenate([[0], np.frombuffer(seq, kind), [0]]).astype(np.int64)
+    unseen = []
+    for x in moves:
+        k = np.frombuffer(x["places"], PLACE).astype(np.int64) + 1
+        if x["class"] is None:
+            unseen.append(k)
+        elif exchanged:
+            at[k] = x["class"]
+    return at, np.concatenate(unseen) if unseen else np.zeros(0, np.int64)
+
+
+def transitions_again(rows: DataFrame, c: int, kind: np.dtype) -> np.ndarray:
+    """Transitions of rows whose rare words have the classes they were exchanged to; tasks send sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(c * c, np.int64)
+        for batch in batches:
+            for seq, moves in zip(batch.column("seq"), batch.column("moves"), strict=True):
+                at, _ = _path(seq.as_py(), moves.as_py(), True, kind)
+                total += np.bincount(at[:-1] * c + at[1:], minlength=c * c)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["cell", "n"])
+
+    out = np.zeros(c * c)
+    for r in rows.select("seq", "moves").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # c * c rows at most
+        out[r.cell] = r.n
+    return out.reshape(c, c)
+
+
 def score_corpus(docs: DataFrame, model: Model = Model(), text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens,
     base_score and score, both log10 probabilities of the whole text and its end.
@@ -398,58 +499,61 @@ def score_corpus(docs: DataFrame, model: Model = Model(), text: str = "text", id
     n, v, ends = of.n or 0, of.v or 0, of.ends or 0
     discount = min(0.9, max(0.1, of.once / (of.once + 2 * of.two))) if of.once else 0.5
     top = frequent_words(vocabulary, model.lookup)
+    discard(vocabulary)
     table = stored(encoded(rows, top, discount, model, ends), "encoded", compression="zstd")
-    own, n_units = len(top[0]), 1 + len(top[0]) + model.endings
+    own, n_units, c = len(top[0]), 1 + len(top[0]) + model.endings, model.classes
     neighbours = contexts(table.where("not held_out").select("units"), n_units, n, model)
     classes, counts = cluster(neighbours, n_units, model)
     discard(neighbours)
+    kind = np.dtype("u1" if c <= 256 else "<u2")
+    classes = classes.astype(kind)
+    rare = rare_words(table.where("not held_out"), classes, counts, own, model)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seq = [classes[np.frombuffer(raw.as_py(), np.uint32)].tobytes() for raw in batch.column("units")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEPT), pa.array(seq, pa.binary())], [*KEPT, "seq"])
+
+    paths = table.drop("rare").mapInArrow(passed, f"key long, id {docs.schema[id].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, emit double, seq binary")
+    found = table.select("key", F.explode("rare").alias("r")).select("key", "r.word", F.col("r.n").alias("times"), "r.places").join(rare, "word", "left")
+    sums = found.groupBy("key").agg(
+        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
+        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("rare_base"),
+        F.sum(F.when(F.col("n").isNotNull(), F.col("times") * F.log10(F.col("n") - discount)).otherwise(0)).alias("rare_emit"),
+        F.collect_list(F.when(F.col("n").isNull() | (F.col("own") != F.col("class")), F.struct("places", "class"))).alias("moves"),
+    )
+    none = F.array().cast("array<struct<places: binary, class: int>>")
+    both = paths.join(sums, "key", "left").fillna(0, ["rare_known", "rare_base", "rare_emit"])
+    both = both.select("id", "held_out", "n_tokens", (F.col("n_known") + F.col("rare_known")).cast("long").alias("n_known"), (F.col("base") + F.col("rare_base")).alias("base"), (F.col("emit") + F.col("rare_emit")).alias("emit"), "seq", F.coalesce("moves", none).alias("moves"))
+    both = stored(both, "paths", compression="zstd")
+    discard(table)
+    again = transitions_again(both.where("not held_out"), c, kind)
+    exchanged = likelihood(again) >= likelihood(counts)
+    counts = again if exchanged else counts
 
     size = counts.sum(0)  # tokens of each class
-    share = size / size.sum() if size.sum() else np.full(model.classes, 1 / model.classes)
+    share = size / size.sum() if size.sum() else np.full(c, 1 / c)
     share = np.maximum(share, 1e-12)
     log_t = np.log10((counts + model.prior * share) / (counts.sum(1, keepdims=True) + model.prior))
     log_size = np.log10(np.maximum(size, 1.0))
-    # distinct words of each unit: their discounts are the unseen words' mass of their class
-    ending = F.crc32(F.substring("word", -2, 2)) % model.endings
-    kinds = np.zeros(n_units)
-    for r in vocabulary.where(F.col("word") != END).groupBy(ending.alias("e")).count().collect():
-        kinds[1 + own + r.e] = r["count"]
-    for k, w in enumerate(top[0]):
-        kinds[ending_unit(w, own, model)] -= 1
-        kinds[k + 1] = 1
-    unseen = np.zeros(model.classes)
-    np.add.at(unseen, classes, kinds)
-    unseen = np.log10(discount * np.maximum(unseen, 1.0))
-    classes = classes.astype(np.uint8 if model.classes <= 256 else np.int32)
+    # distinct words of each class: their discounts are its unseen words' mass
+    kinds = np.bincount(classes[1 : 1 + own], minlength=c).astype(float)
+    for r in rare.groupBy((F.col("class") if exchanged else F.col("own")).alias("class")).count().collect():  # a row a class
+        kinds[r["class"]] += r["count"]
+    discard(rare)
+    unseen = np.log10(discount * np.maximum(kinds, 1.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for raw in batch.column("units").to_pylist():
-                at = classes[np.concatenate([[0], np.frombuffer(raw, np.uint32), [0]]).astype(np.int64)]
-                out.append(float(log_t[at[:-1], at[1:]].sum() - log_size[at[1:-1]].sum()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "id", "held_out", "n_tokens", "n_known", "base", "emit")), pa.array(out, pa.float64())], ["key", "id", "held_out", "n_tokens", "n_known", "base", "emit", "classes"])
-
-    passed = table.drop("rare").mapInArrow(run, f"key long, id {docs.schema[id].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, emit double, classes double")
-    rare = table.select("key", F.explode("rare").alias("r")).select("key", "r.word", F.col("r.n").alias("times"), "r.unit")
-    by_unit = docs.sparkSession.createDataFrame([(k, float(unseen[classes[k]])) for k in range(1 + own, n_units)], "unit int, unseen double")
-    looked = rare.join(vocabulary, "word", "left").join(F.broadcast(by_unit), "unit")
-    emit = F.when(F.col("n").isNull(), F.col("unseen")).otherwise(F.log10(F.col("n") - discount))
-    sums = looked.groupBy("key").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("rare_base"),
-        F.sum(F.col("times") * emit).alias("rare_emit"),
-    )
-    both = passed.join(sums, "key", "left").fillna(0, ["rare_known", "rare_base", "rare_emit"])
-    return both.select(
-        F.col("id").alias(id),
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.col("rare_known")).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("rare_base") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
-        (F.col("classes") + F.col("emit") + F.col("rare_emit")).alias("score"),
-    )
+            for seq, moves, emit in zip(batch.column("seq"), batch.column("moves"), batch.column("emit"), strict=True):
+                at, new = _path(seq.as_py(), moves.as_py(), exchanged, kind)
+                out.append(float(log_t[at[:-1], at[1:]].sum() - log_size[at[1:-1]].sum() + unseen[at[new]].sum()) + emit.as_py())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in SCORED), pa.array(out, pa.float64())], [*SCORED, "score"])
+
+    scored = both.mapInArrow(run, f"id {docs.schema[id].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, score double")
+    base = F.col("base") - F.col("n_tokens") * math.log10(n + v + 1)
+    return scored.select(F.col("id").alias(id), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def perplexity(scores: DataFrame, score: str = "score") -> DataFrame:

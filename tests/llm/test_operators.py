@@ -339,7 +339,15 @@ def test_scores_by_hand(spark, monkeypatch):
         seen["classes"], seen["n"] = plain(table, n_units, m)
         return seen["classes"], seen["n"]
 
+    rare_words = class_lm.rare_words
+
+    def kept_rare(*args):
+        table = rare_words(*args)
+        seen["rare"] = {bytes(r.word): (r.n, r.own, r["class"]) for r in table.collect()}
+        return table
+
     monkeypatch.setattr(class_lm, "cluster", kept)
+    monkeypatch.setattr(class_lm, "rare_words", kept_rare)
     got = {r.doc_id: r.score for r in class_lm.score_corpus(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), model).collect()}
     texts = {i: [*class_lm.tokens_of(t), b""] for i, t in docs}
     train = {i: w for i, w in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2}
@@ -356,13 +364,28 @@ def test_scores_by_hand(spark, monkeypatch):
         least = min(v for w, v in words if w and math.floor(math.log2(v) * 16) == b)
     top = [w for w, _ in sorted(((w, v) for w, v in words if w and v >= least), key=lambda x: (-x[1], x[0]))]
     unit = {b"": 0, **{w: k + 1 for k, w in enumerate(top)}}
-    class_of = lambda w: int(seen["classes"][unit[w] if w in unit else class_lm.ending_unit(w, len(top), model)])
-    pairs, size, kinds = Counter(), Counter(), Counter(class_of(w) for w in count if w)
-    for ws in train.values():
-        for a, b in zip([b"", *ws[:-1]], ws, strict=True):
-            pairs[class_of(a), class_of(b)] += 1
-            size[class_of(b)] += 1
-    assert all(seen["n"][a, b] == k for (a, b), k in pairs.items()) and seen["n"].sum() == sum(pairs.values())
+    start_of = lambda w: int(seen["classes"][unit[w] if w in unit else class_lm.ending_unit(w, len(top), model)])
+    assert {w: v[0] for w, v in seen["rare"].items()} == {w: k for w, k in count.items() if w not in unit}
+    assert all(v[1] == start_of(w) for w, v in seen["rare"].items())
+    joined = Counter((a, b) for ws in train.values() for a, b in zip([b"", *ws[:-1]], ws, strict=True))
+
+    def transitions(class_of):
+        n = np.zeros((model.classes, model.classes))
+        for (a, b), k in joined.items():
+            n[class_of(a), class_of(b)] += k
+        return n
+
+    assert (transitions(start_of) == seen["n"]).all()
+    # each seen word beyond the lookup goes where the likelihood, all others held, is greatest
+    for word in list(seen["rare"])[:40]:
+        tried = [class_lm.likelihood(transitions(lambda w, k=k, word=word: k if w == word else start_of(w))) for k in range(1, model.classes)]
+        assert np.isclose(tried[seen["rare"][word][2] - 1], max(tried), atol=1e-4)
+    class_of = lambda w: seen["rare"][w][2] if w in seen["rare"] else start_of(w)
+    assert class_lm.likelihood(transitions(class_of)) > class_lm.likelihood(seen["n"])
+    pairs = {(a, b): k for (a, b), k in np.ndenumerate(transitions(class_of))}
+    size, kinds = Counter(), Counter(class_of(w) for w in count if w)
+    for (_, b), k in pairs.items():
+        size[b] += k
     total, row = sum(size.values()), Counter()
     for (a, _), k in pairs.items():
         row[a] += k
