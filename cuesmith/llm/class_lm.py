@@ -392,36 +392,75 @@ def cluster(table: DataFrame, n_units: int, model: Model) -> tuple[np.ndarray, n
     return best[1], best[2]
 
 
-def beside_rare(rows: DataFrame, classes: np.ndarray, own: int, model: Model) -> DataFrame:
+def numbers(column: pa.Array, kind: str | np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers packed in a binary column, one row after another; how many each row has)."""
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(0, np.int64)
+    _, cuts, data = column.buffers()
+    cuts = np.frombuffer(cuts, "<i4")[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = bytes(data.slice(int(cuts[0]), int(cuts[-1] - cuts[0]))) if cuts[-1] > cuts[0] else b""
+    return np.frombuffer(raw, kind), np.diff(cuts) // np.dtype(kind).itemsize
+
+
+def packed_rows(values: np.ndarray, many: np.ndarray) -> pa.Array:
+    """A binary column whose rows hold the next ``many`` of ``values``."""
+    cuts = np.concatenate([[0], np.cumsum(many * values.dtype.itemsize)]).astype("<i4")
+    return pa.BinaryArray.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def paths_of(tokens: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows' tokens one after another with an end, 0, before each row and behind the last; where each row's end stands)."""
+    first = np.concatenate([[0], np.cumsum(many + 1)])
+    at = np.zeros(first[-1] + 1, np.int64)
+    inside = np.ones(len(at), bool)
+    inside[first] = False
+    at[inside] = tokens
+    return at, first
+
+
+def listed(column: pa.Array, first: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(the structs in a column of lists, where their places are in ``paths_of``'s array, how many places each has)."""
+    flat = column.flatten()
+    places, many = numbers(flat.field("places"), PLACE)
+    row = np.repeat(np.arange(len(column)), np.diff(np.asarray(column.offsets)))
+    return flat, places.astype(np.int64) + 1 + np.repeat(first[row], many), many
+
+
+def beside_rare(rows: DataFrame, classes: np.ndarray, model: Model) -> DataFrame:
     """(word, cells, n) of each rare word of ``encoded`` rows, a row a task and flush: packed
     counts of the classes before it (cells from 0), behind it (from ``model.classes``) and,
     in the last cell, of itself behind itself."""
     c = model.classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, Counter] = {}
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        size = 0
 
         def out() -> pa.RecordBatch:
-            cells = [np.fromiter(x, CELL, len(x)).tobytes() for x in held.values()]
-            many = [np.fromiter(x.values(), "<i8", len(x)).tobytes() for x in held.values()]
-            got = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(cells, pa.binary()), pa.array(many, pa.binary())], ["word", "cells", "n"])
+            words = pa.concat_arrays([x for x, _, _ in held]).dictionary_encode()
+            number, shift, keys = words.indices.to_numpy().astype(np.int64), 0, []
+            for some, of, cell in held:
+                keys.append(number[shift + of] * (2 * c + 1) + cell)
+                shift += len(some)
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
             held.clear()
-            return got
+            many = np.bincount(key // (2 * c + 1), minlength=len(words.dictionary))
+            return pa.RecordBatch.from_arrays([words.dictionary, packed_rows((key % (2 * c + 1)).astype(CELL), many), packed_rows(n.astype("<i8"), many)], ["word", "cells", "n"])
 
-        for batch in batches:
-            for raw, rare in zip(batch.column("units"), batch.column("rare"), strict=True):
-                if not len(rare):
-                    continue
-                at = classes[np.concatenate([[0], np.frombuffer(raw.as_py(), np.uint32), [0]]).astype(np.int64)]
-                for x in rare.as_py():
-                    k = np.frombuffer(x["places"], PLACE).astype(np.int64)
-                    cells = held.setdefault(x["word"], Counter())
-                    cells.update(at[k].tolist())
-                    cells.update((c + at[k + 2].astype(np.int64)).tolist())
-                    if twice := int((np.diff(k) == 1).sum()):
-                        cells[2 * c] += twice
-                if len(held) > model.flush:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 512):
+                batch = whole.slice(a, 512)
+                at, first = paths_of(*numbers(batch.column("units"), PLACE))
+                at = classes[at].astype(np.int64)
+                flat, k, many = listed(batch.column("rare"), first)
+                of = np.repeat(np.arange(len(flat)), many)
+                again = (k[1:] - k[:-1] == 1) & (of[1:] == of[:-1])
+                cell = np.concatenate([at[k - 1], c + at[k + 1], np.full(again.sum(), 2 * c)])
+                held.append((flat.field("word"), np.concatenate([of, of, of[1:][again]]), cell))
+                size += len(cell)
+                if size > 4 * model.flush:
                     yield out()
+                    size = 0
         if held:
             yield out()
 
@@ -439,30 +478,28 @@ def rare_words(rows: DataFrame, classes: np.ndarray, n: np.ndarray, own: int, mo
             for a in range(0, whole.num_rows, 512):
                 batch = whole.slice(a, 512)
                 words = batch.column("word").to_pylist()
-                some = [(k, np.frombuffer(x["cells"], CELL), np.frombuffer(x["n"], "<i8")) for k, xs in enumerate(batch.column("beside").to_pylist()) for x in xs]
-                row = np.repeat([k for k, _, _ in some], [len(x) for _, x, _ in some])
-                beside = np.bincount(row * (2 * c + 1) + np.concatenate([x for _, x, _ in some]), np.concatenate([m for _, _, m in some]), len(words) * (2 * c + 1)).reshape(len(words), -1)
+                lists = batch.column("beside")
+                (cells, many), (times, _) = (numbers(lists.flatten().field(k), t) for k, t in (("cells", CELL), ("n", "<i8")))
+                row = np.repeat(np.repeat(np.arange(len(words)), np.diff(np.asarray(lists.offsets))), many)
+                beside = np.bincount(row * (2 * c + 1) + cells, times, len(words) * (2 * c + 1)).reshape(len(words), -1)
                 before, after, twice = beside[:, :c], beside[:, c : 2 * c], beside[:, 2 * c]
                 start = classes[[ending_unit(w, own, model) for w in words]].astype(np.int64)
                 best = best_classes(before, after, twice, start, n, steps)
                 yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(before.sum(1).astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(best.astype(np.int32))], ["word", "n", "own", "class"])
 
-    by_word = beside_rare(rows, classes, own, model).groupBy("word").agg(F.collect_list(F.struct("cells", "n")).alias("beside"))
+    by_word = beside_rare(rows, classes, model).groupBy("word").agg(F.collect_list(F.struct("cells", "n")).alias("beside"))
     return stored(by_word.mapInArrow(run, "word binary, n long, own int, class int"), "rare")
 
 
-def _path(seq: bytes, moves: list[dict], exchanged: bool, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """(classes of a row's tokens with the ends around them, places of unseen words); of
+def _paths(batch: pa.RecordBatch, exchanged: bool, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``paths_of`` rows of classes, and the places of unseen words; of
     ``moves``, those with a class are rare words that left their ending's, the others unseen."""
-    at = np.concatenate([[0], np.frombuffer(seq, kind), [0]]).astype(np.int64)
-    unseen = []
-    for x in moves:
-        k = np.frombuffer(x["places"], PLACE).astype(np.int64) + 1
-        if x["class"] is None:
-            unseen.append(k)
-        elif exchanged:
-            at[k] = x["class"]
-    return at, np.concatenate(unseen) if unseen else np.zeros(0, np.int64)
+    at, first = paths_of(*numbers(batch.column("seq"), kind))
+    flat, k, many = listed(batch.column("moves"), first)
+    to = np.repeat(flat.field("class").fill_null(-1).to_numpy(zero_copy_only=False), many)
+    if exchanged:
+        at[k[to >= 0]] = to[to >= 0]
+    return at, first, k[to < 0]
 
 
 def transitions_again(rows: DataFrame, c: int, kind: np.dtype) -> np.ndarray:
@@ -471,8 +508,8 @@ def transitions_again(rows: DataFrame, c: int, kind: np.dtype) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(c * c, np.int64)
         for batch in batches:
-            for seq, moves in zip(batch.column("seq"), batch.column("moves"), strict=True):
-                at, _ = _path(seq.as_py(), moves.as_py(), True, kind)
+            for a in range(0, batch.num_rows, 512):
+                at, _, _ = _paths(batch.slice(a, 512), True, kind)
                 total += np.bincount(at[:-1] * c + at[1:], minlength=c * c)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["cell", "n"])
@@ -543,13 +580,18 @@ def score_corpus(docs: DataFrame, model: Model = Model(), text: str = "text", id
     discard(rare)
     unseen = np.log10(discount * np.maximum(kinds, 1.0))
 
+    log_size[0] = 0.0  # the end is the only word of its class
+    step = log_t - log_size
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for seq, moves, emit in zip(batch.column("seq"), batch.column("moves"), batch.column("emit"), strict=True):
-                at, new = _path(seq.as_py(), moves.as_py(), exchanged, kind)
-                out.append(float(log_t[at[:-1], at[1:]].sum() - log_size[at[1:-1]].sum() + unseen[at[new]].sum()) + emit.as_py())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in SCORED), pa.array(out, pa.float64())], [*SCORED, "score"])
+        for whole in batches:
+            for a in range(0, whole.num_rows, 512):
+                batch = whole.slice(a, 512)
+                at, first, new = _paths(batch, exchanged, kind)
+                value = step[at[:-1], at[1:]]
+                value[new - 1] += unseen[at[new]]
+                out = np.add.reduceat(value, first[:-1]) + batch.column("emit").to_numpy()
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in SCORED), pa.array(out, pa.float64())], [*SCORED, "score"])
 
     scored = both.mapInArrow(run, f"id {docs.schema[id].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, score double")
     base = F.col("base") - F.col("n_tokens") * math.log10(n + v + 1)
