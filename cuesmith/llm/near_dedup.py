@@ -37,7 +37,7 @@ from .common import discard, single_rows, stored, without
 from .graph import components
 
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Documents of a bucket in a block, and of a hub's members in one.
+#: Documents of a bucket that are one block at most, and of a hub's members in a block.
 BLOCK, STAR = 512, 4096
 #: Distinct words whose hashes a worker keeps at a time.
 KNOWN_WORDS = 500_000
@@ -244,15 +244,18 @@ def block_links(rows: pd.DataFrame, sketch: Sketch) -> list[tuple[int, int]]:
     """Links across the components of one block pair, enough to join them; from rows
     without texts, one (node, node) for each that has a likely partner.
 
-    A pair is looked at in the first band that it shares. Ends that links of
+    A pair is looked at in the first band that it shares, also where the buckets of a
+    hub are one group (band -1). Ends that links of
     this block already join are passed over: they are in one component.
     """
     ids, comps, n = rows["node"].to_numpy(), rows["component"].to_numpy(), rows["n"].to_numpy().astype(float)
     regs = np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(len(rows), -1)
     texts, outside = rows["text"].to_numpy() if "text" in rows else None, rows["outside"].to_numpy()
     band = int(rows["band"].iloc[0])
+    bits = rows["bands"].to_numpy() if band < 0 else None
     wanted = np.zeros(len(rows), bool)
-    sets: dict[int, frozenset] = {}
+    hashes: dict[int, np.ndarray] = {}
+    known: dict[bytes, int] = {}
     top: dict[int, int] = {}
 
     def root(c: int) -> int:
@@ -260,10 +263,18 @@ def block_links(rows: pd.DataFrame, sketch: Sketch) -> list[tuple[int, int]]:
             c = top[c]
         return c
 
-    def set_of(k: int) -> frozenset:
-        if k not in sets:
-            sets[k] = shingles(words_of(texts[k]), sketch.words)
-        return sets[k]
+    def hashes_of(k: int) -> np.ndarray:
+        if k not in hashes:
+            hashes[k] = np.unique(shingle_hashes(words_of(texts[k]), sketch.words, known))
+        return hashes[k]
+
+    def linked(i: int, j: int) -> bool:
+        """By full sets; their hashes, which take less memory, first tell where that is in vain."""
+        a, b = hashes_of(i), hashes_of(j)
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        if 100 * both < sketch.percent * (len(a) + len(b) - both):
+            return False
+        return similar(shingles(words_of(texts[i]), sketch.words), shingles(words_of(texts[j]), sketch.words), sketch.percent)
 
     found = []
     inner = np.flatnonzero(~outside)
@@ -274,7 +285,11 @@ def block_links(rows: pd.DataFrame, sketch: Sketch) -> list[tuple[int, int]]:
         if not len(others):
             continue
         same = regs[others] == regs[i]
-        if band:
+        if bits is not None:
+            met = same.reshape(len(others), sketch.bands, sketch.rows).all(2)
+            here = met.any(1) & ((bits[i] >> (met.argmax(1) % BITS)) & 1 == 1)
+            others, same = others[here], same[here]
+        elif band:
             others, same = (x[~same[:, : band * sketch.rows].reshape(len(others), band, sketch.rows).all(2).any(1)] for x in (others, same))
         if not len(others):
             continue
@@ -287,38 +302,59 @@ def block_links(rows: pd.DataFrame, sketch: Sketch) -> list[tuple[int, int]]:
         for k in sorted(np.flatnonzero(ok), key=lambda k: -equal[k]):
             j = others[k]
             ci, cj = root(comps[i]), root(comps[j])
-            if ci != cj and similar(set_of(i), set_of(j), sketch.percent):
+            if ci != cj and linked(i, j):
                 top[max(ci, cj)] = min(ci, cj)
                 found.append((int(ids[i]), int(ids[j])))
     return found if texts is not None else [(int(x), int(x)) for x in ids[wanted]]
 
 
 PAIR = ["key", "band", "kind", "i", "j"]
+#: Bands that a LONG tells apart; those a multiple of it apart share a bit, which compares some pairs twice.
+BITS = 63
 
 
 def bucket_blocks(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(PAIR, node, component, outside): where documents whose components meet in a
-    bucket are to be compared.
+    """(PAIR, node, component, bands, outside): where documents whose components meet
+    in a bucket are to be compared, written.
 
     A bucket with one component is settled, and of buckets with the same members
-    the first band's stands for all. In any other the largest component
+    the first band's stands for all. A group of near copies meets in most bands with
+    nearly the same members, so the buckets of one hub are one group (band -1, the
+    hub as key) where that makes fewer rows; ``bands`` has a bit for each band of a
+    row there. In any bucket or group the largest component
     is the main one and the rest are outsiders: each block of outsiders meets
-    each block of the main component and each block of outsiders. A block holds
-    about BLOCK documents, so no task holds a bucket.
+    each block of the main component and each block of outsiders. There are as many
+    blocks as the root of a bucket's size over BLOCK, so no task holds a large bucket, and
+    the rows made grow with the power 1.5 of its size; only the pairs of registers looked
+    at, within tasks, grow with its square.
     """
     named = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = named.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("count"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"))
     mixed_ = sizes.groupBy("band", "key").agg(F.max(F.struct("count", F.col("component").alias("main"))).alias("top"), F.sum("count").alias("all"), F.count(F.lit(1)).alias("parts"), F.sum("members").alias("members")).where("parts > 1")
-    mixed_ = mixed_.groupBy("members", "all", "parts", "top").agg(F.min(F.struct("band", "key")).alias("at")).select("at.band", "at.key", "top", "all")
-    mixed_ = mixed_.select("band", "key", "top.main", F.ceil(F.col("top.count") / BLOCK).alias("n_in"), F.ceil((F.col("all") - F.col("top.count")) / BLOCK).alias("n_out"))
-    rows = named.join(mixed_, ["band", "key"]).withColumn("outside", F.col("component") != F.col("main"))
+    mixed_ = mixed_.groupBy("members", "all", "parts", "top").agg(F.min(F.struct("band", "key")).alias("at")).select("at.band", "at.key")
+    unsettled = stored(named.join(mixed_, ["band", "key"]).select("hub", "band", "key", "node", "component"), "unsettled")
+    parts = lambda n: F.ceil(F.sqrt(n / BLOCK))
+    made = F.col("count") * parts(F.col("count"))
+    buckets = unsettled.groupBy("hub", "band", "key").count()
+    apart = buckets.groupBy("hub").agg(F.sum(made).alias("apart"), F.count(F.lit(1)).alias("buckets")).where("buckets > 1")
+    once = unsettled.select("hub", "node").distinct().groupBy("hub").count().select("hub", made.alias("once"))
+    one = apart.join(once, "hub").where("once < apart").select("hub", F.lit(True).alias("one"))
+    # joined by bucket, as a hub's rows would be one hot key
+    rows = unsettled.join(buckets.join(one, "hub").select("band", "key", "one"), ["band", "key"], "left").withColumn("bit", F.expr(f"shiftleft(1L, band % {BITS})"))
+    rows = rows.withColumn("key", F.when(F.col("one"), F.col("hub")).otherwise(F.col("key"))).withColumn("band", F.when(F.col("one"), -1).otherwise(F.col("band")))
+    rows = rows.groupBy("band", "key", "node").agg(F.first("component").alias("component"), F.bit_or("bit").alias("bands"))
+    tops = rows.groupBy("band", "key", "component").count().groupBy("band", "key").agg(F.max(F.struct("count", F.col("component").alias("main"))).alias("top"), F.sum("count").alias("all"))
+    tops = tops.select("band", "key", "top.main", parts(F.col("top.count")).alias("n_in"), parts(F.col("all") - F.col("top.count")).alias("n_out"))
+    rows = rows.join(tops, ["band", "key"]).withColumn("outside", F.col("component") != F.col("main"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("outside"), F.col("n_out")).otherwise(F.col("n_in")))
     numbers = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("i"), j.cast("long").alias("j"))
     outsider = F.concat(F.transform(numbers(F.col("n_in")), lambda j: pair("main", F.col("own"), j)), F.transform(numbers(F.col("n_out")), lambda k: pair("out", F.least("own", k), F.greatest("own", k))))
     member = F.transform(numbers(F.col("n_out")), lambda i: pair("main", i, F.col("own")))
-    blocks = rows.withColumn("own", own).select("band", "key", "node", "component", "outside", F.explode(F.when(F.col("outside"), outsider).otherwise(member)).alias("at"))
-    return blocks.select("band", "key", "at.*", "node", "component", "outside")
+    blocks = rows.withColumn("own", own).select("band", "key", "node", "component", "bands", "outside", F.explode(F.when(F.col("outside"), outsider).otherwise(member)).alias("at"))
+    blocks = stored(blocks.select("band", "key", "at.*", "node", "component", "bands", "outside"), "blocks")
+    discard(unsettled)
+    return blocks
 
 
 def _by_block(blocks: DataFrame, sketch: Sketch) -> DataFrame:
@@ -399,7 +435,7 @@ def _linked(docs: DataFrame, every: DataFrame, sketch: Sketch, text: str, id: st
     links = checked.where("ok and kind = 1").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     wrong = checked.where("not ok and kind = 0").select("key")
     labels = components(links)
-    blocks = stored(bucket_blocks(shared, labels), "blocks")
+    blocks = bucket_blocks(shared, labels)
     if not blocks.isEmpty():
         wanted = stored(wanted_blocks(blocks, classes, sketch), "wanted")
         bodies = stored(bodies.join(wanted.select("node").distinct().join(firsts, "node"), "key").select("node", "text"), "texts")

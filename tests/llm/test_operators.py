@@ -313,6 +313,46 @@ def test_a_hot_bucket_moves_no_texts_of_unlikely_pairs(spark):
     assert {x.node for x in wanted.collect()} == {5, 1500} and wanted.count() == 2
 
 
+def test_rows_of_one_hubs_buckets_do_not_multiply(spark):
+    """A group that meets in twenty bands, each time with nearly the same members, is one
+    group: its rows, and four times as many, grow with less than the square."""
+    made = []
+    for size in (1000, 4000):
+        shared = spark.range(size).select(F.col("id").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("band")).where("node = 0 or (node + band) % 40 > 0")
+        shared = shared.select("node", "band", (F.col("band") + 1000).cast("long").alias("key"), F.lit(0).cast("long").alias("hub"))
+        labels = spark.range(size // 10).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("component"))
+        blocks = near_dedup.bucket_blocks(shared, labels)
+        assert [tuple(r) for r in blocks.select("key", "band").distinct().collect()] == [(0, -1)]
+        assert blocks.select("node").distinct().count() == size
+        made.append(blocks.count())
+    assert made[0] < 5 * 1000 and made[1] < 8 * made[0]
+
+
+def test_a_group_below_the_threshold_loses_no_link(spark, monkeypatch):
+    """Copies of one text with three to eight changed words, most of them apart; groups of a hub and blocks of them."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    r = random.Random(77)
+    base = prose(110, 900).split()
+    texts = []
+    for k in range(90):
+        words = base.copy() if k % 3 or not k else texts[r.randrange(k)].split()
+        for at in r.sample(range(len(words)), r.randint(1, 2) if not k % 3 else r.randint(2, 6)):
+            words[at] = f"x{k}y{at}"
+        texts.append(" ".join(words))
+    rows = [(1000 + k * 37 % 90, t) for k, t in enumerate(texts)]
+    merged, plain = [], near_dedup.bucket_blocks
+
+    def seen(*args):
+        blocks = plain(*args)
+        merged.append(blocks.where("band < 0").count())
+        return blocks
+
+    monkeypatch.setattr(near_dedup, "bucket_blocks", seen)
+    want = plain_components(rows, 5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and merged[0] > 0 and 10 < len({c for _, c in want.values()}) < 85
+
+
 # class n-grams
 
 
