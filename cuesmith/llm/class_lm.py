@@ -27,6 +27,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -135,25 +136,27 @@ def encoded(docs: DataFrame, top: tuple[list[bytes], np.ndarray], discount: floa
                 rows, all_units, offsets, rares, counts, places = [], [], [0], [], [], []
                 for text in batch.column("text").to_pylist():
                     tokens = tokens_of(text)
-                    at = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
+                    at = np.fromiter(map(get, tokens, repeat(-1)), np.int64, len(tokens))
                     known = at >= 0
                     u = (at + 1).astype(np.uint32)
                     missing = np.flatnonzero(~known)
                     if len(missing):
-                        u[missing] = [ending_unit(tokens[k], own, model) for k in missing]
                         rare: dict[bytes, list[int]] = {}
                         for k in missing.tolist():
                             rare.setdefault(tokens[k], []).append(k)
                         rares += rare
-                        counts += map(len, rare.values())
-                        places += [np.array(at_, PLACE).tobytes() for at_ in rare.values()]
+                        many = list(map(len, rare.values()))
+                        here = list(chain.from_iterable(rare.values()))
+                        u[here] = np.repeat([ending_unit(w, own, model) for w in rare], many)
+                        counts += many
+                        places += here
                     offsets.append(len(rares))
                     total = sums[at[known]].sum(0)
                     rows.append((key, len(tokens) + 1, int(known.sum()) + (end_n > 0), float(total[0]) + math.log10(end_n + 1), float(total[1])))
                     all_units.append(u.tobytes())
                     key += 1
                 cols = list(zip(*rows, strict=True))
-                rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(rares, pa.binary()), pa.array(counts, pa.int32()), pa.array(places, pa.binary())], fields=list(rare_type.value_type)))
+                rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(rares, pa.binary()), pa.array(counts, pa.int32()), packed_rows(np.array(places, PLACE), np.array(counts, np.int64))], fields=list(rare_type.value_type)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[0], pa.int64()), batch.column("id"), batch.column("held_out"), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)), pa.array(all_units, pa.binary()), rare],
                     ["key", "id", "held_out", "n_tokens", "n_known", "base", "emit", "units", "rare"],
@@ -163,10 +166,19 @@ def encoded(docs: DataFrame, top: tuple[list[bytes], np.ndarray], discount: floa
     return docs.mapInArrow(run, schema)
 
 
-CELLS = {"unit": "<u4", "after": "u1", "other": "<u4", "n": "<i8"}
+CELLS = {"unit": "<u4", "after": "u1", "other": "<u4", "n": "<u4"}
+#: The greatest count of one cell; a greater one is several cells, which readers add up.
+MOST = 2**32 - 1
 
 
 def _packed(part: int, cells: dict[str, np.ndarray]) -> pa.RecordBatch:
+    if cells["n"].max() > MOST:
+        times = -(-cells["n"] // MOST)
+        last = np.cumsum(times) - 1
+        cut = {k: np.repeat(x, times) for k, x in cells.items()}
+        cut["n"][:] = MOST
+        cut["n"][last] = cells["n"] - (times - 1) * MOST
+        cells = cut
     columns = [pa.array([part], pa.int32()), *(pa.array([cells[k].astype(t).tobytes()], pa.binary()) for k, t in CELLS.items())]
     return pa.RecordBatch.from_arrays(columns, ["part", *CELLS])
 
@@ -269,7 +281,8 @@ def moved(table: DataFrame, classes: np.ndarray, n: np.ndarray, turn: int) -> np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = small_steps(n)
         for x in _parts(batches):
-            units, row = np.unique(x["unit"], return_inverse=True)
+            first = np.concatenate([[True], x["unit"][1:] != x["unit"][:-1]])  # a part is in order of unit
+            units, row = x["unit"][first], np.cumsum(first) - 1
             movable = (units != 0) & (((units.astype(np.int64) * 2654435761 >> (3 + turn // 2)) + turn) % 2 == 0)
             some = movable[row]
             kept = np.cumsum(movable) - 1
@@ -306,19 +319,16 @@ def likelihood(n: np.ndarray) -> float:
     return float(_h(n).sum() - _h(n.sum(0)).sum() - _h(n.sum(1)).sum())
 
 
-def small_steps(n: np.ndarray, most: int = 16) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """What 1, 2, ... more of a transition add, by (class beside the unit, class of the unit):
-    of the classes behind the unit, and of those before it."""
-    out = []
-    for table in (n, n.T):
-        some = [(_h(table + m) - _h(table)).T for m in range(1, most + 1)]
-        for x in some:
-            np.fill_diagonal(x, 0)
-        out.append(some)
-    return out[0], out[1]
+def small_steps(n: np.ndarray, most: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """What 1, 2, ... more of a transition add, by (how many, class beside the unit, class of
+    the unit): of the classes behind the unit, and of those before it."""
+    add = _h(n + np.arange(1, most + 1)[:, None, None]) - _h(n)
+    k = np.arange(len(n))
+    add[:, k, k] = 0
+    return np.ascontiguousarray(add.transpose(0, 2, 1)), add
 
 
-def best_classes(before: np.ndarray, after: np.ndarray, twice: np.ndarray, own: np.ndarray, n: np.ndarray, steps: tuple[list[np.ndarray], list[np.ndarray]]) -> np.ndarray:
+def best_classes(before: np.ndarray, after: np.ndarray, twice: np.ndarray, own: np.ndarray, n: np.ndarray, steps: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The class of each of some units that raises the likelihood most, all else held.
     ``steps`` are ``small_steps`` of ``n``.
 
@@ -334,12 +344,16 @@ def best_classes(before: np.ndarray, after: np.ndarray, twice: np.ndarray, own:
         # small counts of other classes, most of all cells: what they add is looked up
         quick = (mine > 0) & (mine <= len(more))
         quick[rows, own] = False
-        for m, step in enumerate(more, 1):
-            some = quick & (mine == m)
-            if some.any():
-                gain += some @ step
         unit, k = np.nonzero(quick)
         m, x = mine[unit, k], table[own[unit], k]
+        if len(unit) >= 8 * len(own):
+            for k_, step in enumerate(more, 1):
+                some = quick & (mine == k_)
+                if some.any():
+                    gain += some @ step
+        elif len(unit):  # few cells: rows of the table are added up, without a product over all cells
+            first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+            gain[unit[first]] += np.add.reduceat(more[m.astype(np.int64) - 1, k], first, axis=0)
         off = 2 * _h(x) - _h(x - m) - _h(x + m)  # the own class is without the unit
         gain[rows, own] += np.bincount(unit, off, len(own))
         unit, k = np.nonzero((mine > 0) & ~quick)  # only these cells change what their row holds
@@ -351,18 +365,24 @@ def best_classes(before: np.ndarray, after: np.ndarray, twice: np.ndarray, own:
         same = k == own[unit]
         rest[same] -= others[unit[same]]
         rest[np.flatnonzero(same), k[same]] -= twice[unit[same]]
-        add = _h(rest + many) - _h(rest)
+        without = _h(table)[:, k].T  # by class of the unit, with it
+        at = (np.arange(len(unit)), own[unit])
+        without[at] = _h(rest[at])
+        without[same] = _h(rest[same])
+        add = _h(rest + many) - without
         add[np.arange(len(unit)), k] = 0  # the diagonal is below
         first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
         gain[unit[first]] += np.add.reduceat(add, first, axis=0)
-    diagonal = np.broadcast_to(np.diag(n), gain.shape).copy()
-    diagonal[rows, own] -= right[rows, own] + left[rows, own] + twice
-    gain += _h(diagonal + right + left + twice[:, None]) - _h(diagonal)
+    both = right + left + twice[:, None]
+    unit, k = np.nonzero(both)  # elsewhere the diagonal stays as it is
+    rest = np.diag(n)[k] - np.where(k == own[unit], both[unit, k], 0)
+    gain[unit, k] += _h(rest + both[unit, k]) - _h(rest)
     for total, mine in ((n.sum(1), right), (n.sum(0), left)):
         size = mine.sum(1) + twice
-        held = np.broadcast_to(total, gain.shape).copy()
-        held[rows, own] -= size
-        gain -= _h(held + size[:, None]) - _h(held)
+        sizes, at = np.unique(size, return_inverse=True)
+        add = (_h(total + sizes[:, None]) - _h(total))[at]
+        add[rows, own] = _h(total[own]) - _h(total[own] - size)  # the own class is without the unit
+        gain -= add
     gain[:, 0] = -np.inf  # the end's class is its own
     best = gain.argmax(1)
     return np.where(gain[rows, best] > gain[rows, own] + 1e-6, best, own)

@@ -452,6 +452,50 @@ def test_best_classes_by_recounting():
             assert np.isclose(value(np.where(np.arange(units) == u, got[u], classes)), max(tried), atol=1e-4)
 
 
+def test_few_cells_are_added_and_not_multiplied():
+    """Words seen once take rows of the table of steps, not a product a step; both ways choose the same."""
+    r = np.random.default_rng(12)
+    c, words = 16, 300
+    n = r.poisson(r.gamma(0.3, 3000, (c, c))).astype(float)
+    before, after = np.eye(c)[r.integers(0, c, words)], np.eye(c)[r.integers(0, c, words)]
+    own, twice = r.integers(1, c, words), np.zeros(words)
+    products = []
+
+    class Step(np.ndarray):
+        def __rmatmul__(self, other):
+            products.append(1)
+            return np.asarray(other) @ np.asarray(self)
+
+        __array_priority__ = 100
+
+        def __array_ufunc__(self, ufunc, method, *args, **kw):
+            if ufunc is np.matmul:
+                products.append(1)
+            return getattr(ufunc, method)(*(np.asarray(x) for x in args), **kw)
+
+    steps = class_lm.small_steps(n)
+    few = class_lm.best_classes(before, after, twice, own, n, tuple(np.array(x).view(Step) for x in steps))
+    assert not products
+    for k in range(words):  # by recounting the whole table
+        value = []
+        for to in range(1, c):
+            m = n.copy()
+            m[:, own[k]] -= before[k]
+            m[own[k], :] -= after[k]
+            m[:, to] += before[k]
+            m[to, :] += after[k]
+            value.append(class_lm.likelihood(m))
+        assert value[few[k] - 1] > max(value) - 1e-4
+
+
+def test_counts_beyond_a_cell_are_several_cells():
+    cells = {"unit": np.array([1, 1, 2]), "after": np.array([0, 1, 1]), "other": np.array([5, 6, 7]), "n": np.array([3, 2 * class_lm.MOST + 9, class_lm.MOST])}
+    row = class_lm._packed(4, cells)
+    unit, _, other, n = (np.frombuffer(row.column(k)[0].as_py(), t).astype(np.int64) for k, t in class_lm.CELLS.items())
+    assert unit.tolist() == [1, 1, 1, 1, 2] and other.tolist() == [5, 6, 6, 6, 7]
+    assert n.tolist() == [3, class_lm.MOST, class_lm.MOST, 9, class_lm.MOST]
+
+
 def test_contexts_are_the_counts_of_pairs(spark):
     r = np.random.default_rng(5)
     docs = [r.integers(1, 50, r.integers(0, 90)).astype(np.uint32) for _ in range(60)]
