@@ -24,13 +24,13 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +61,28 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(``tokens_of`` all texts of a column, one after another; how many each has)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, cuts = lists.flatten(), np.asarray(lists.offsets)
+    some = pc.not_equal(pc.binary_length(words), 0)  # white space around a text leaves empty words
+    held = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    return words.filter(some).cast(pa.binary()), np.diff(held[cuts])
+
+
+def slices(batch: pa.RecordBatch, size: np.ndarray, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of rows whose sizes add up to ``most``, or of one larger row."""
+    upto, a = np.cumsum(size), 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def sizes(column: pa.Array) -> np.ndarray:
+    return pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def held_out(id: Column, parts: int = 7, part: int = 2) -> Column:
     return F.coalesce(F.crc32(id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
@@ -69,21 +91,25 @@ def word_counts(docs: DataFrame, model: Model) -> DataFrame:
     """(word, n) of the column ``text`` with one END a row; tasks add up first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held, size = [], 0
 
-        def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-            counts.clear()
-            return out
+        def added() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
 
-        for batch in batches:
-            for text in batch.column("text"):
-                counts.update(tokens_of(text.as_py()))
-                counts[END] += 1
-                if len(counts) > model.flush:
-                    yield rows()
-        if counts:
-            yield rows()
+        for whole in batches:
+            for batch in slices(whole, sizes(whole.column("text"))):
+                counts = words_of(batch.column("text"))[0].value_counts()
+                ends = pa.table({"word": pa.array([END], pa.binary()), "n": pa.array([batch.num_rows], pa.int64())})
+                held += [pa.table({"word": counts.field("values"), "n": counts.field("counts")}), ends]
+                size += len(counts) + 1
+                if size > 2 * model.flush:
+                    held = [added()]
+                    size = held[0].num_rows
+                    if size > model.flush:
+                        yield from held[0].to_batches()
+                        held, size = [], 0
+        if held:
+            yield from added().to_batches()
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -111,6 +137,13 @@ def ending_unit(word: bytes, words: int, model: Model) -> int:
     return 1 + words + zlib.crc32(word[-2:]) % model.endings
 
 
+def ending_units(column: pa.Array, words: int, model: Model) -> np.ndarray:
+    """``ending_unit`` of a column of words; each ending is looked at once."""
+    endings = pc.binary_slice(column, -2).dictionary_encode()
+    units = np.array([ending_unit(w, words, model) for w in endings.dictionary.to_pylist()], np.int64)
+    return units[endings.indices.to_numpy()]
+
+
 def encoded(docs: DataFrame, top: tuple[list[bytes], np.ndarray], discount: float, model: Model, end_n: int) -> DataFrame:
     """Each row as units, with the sums over the words in ``top`` and the others listed.
 
@@ -128,37 +161,31 @@ def encoded(docs: DataFrame, top: tuple[list[bytes], np.ndarray], discount: floa
         from pyspark import TaskContext
 
         words, sums = shared.value
-        place = {w: k for k, w in enumerate(words)}
-        get, key = place.get, TaskContext.get().partitionId() << 40
+        words = pa.array(words, pa.binary())
+        key = TaskContext.get().partitionId() << 40
         for whole in batches:
-            for a in range(0, whole.num_rows, 512):
-                batch = whole.slice(a, 512)
-                rows, all_units, offsets, rares, counts, places = [], [], [0], [], [], []
-                for text in batch.column("text").to_pylist():
-                    tokens = tokens_of(text)
-                    at = np.fromiter(map(get, tokens, repeat(-1)), np.int64, len(tokens))
-                    known = at >= 0
-                    u = (at + 1).astype(np.uint32)
-                    missing = np.flatnonzero(~known)
-                    if len(missing):
-                        rare: dict[bytes, list[int]] = {}
-                        for k in missing.tolist():
-                            rare.setdefault(tokens[k], []).append(k)
-                        rares += rare
-                        many = list(map(len, rare.values()))
-                        here = list(chain.from_iterable(rare.values()))
-                        u[here] = np.repeat([ending_unit(w, own, model) for w in rare], many)
-                        counts += many
-                        places += here
-                    offsets.append(len(rares))
-                    total = sums[at[known]].sum(0)
-                    rows.append((key, len(tokens) + 1, int(known.sum()) + (end_n > 0), float(total[0]) + math.log10(end_n + 1), float(total[1])))
-                    all_units.append(u.tobytes())
-                    key += 1
-                cols = list(zip(*rows, strict=True))
-                rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(rares, pa.binary()), pa.array(counts, pa.int32()), packed_rows(np.array(places, PLACE), np.array(counts, np.int64))], fields=list(rare_type.value_type)))
+            for batch in slices(whole, sizes(whole.column("text"))):
+                tokens, many = words_of(batch.column("text"))
+                rows, coded = batch.num_rows, tokens.dictionary_encode()
+                kinds, index = coded.dictionary, coded.indices.to_numpy()  # each word is looked up once a slice
+                places = pc.index_in(kinds, words).fill_null(-1).to_numpy().astype(np.int64)
+                units, missing = places + 1, places < 0
+                units[missing] = ending_units(kinds.filter(pa.array(missing)), own, model)
+                at, row = places[index], np.repeat(np.arange(rows), many)
+                known = at >= 0
+                base, emit = (np.bincount(row[known], sums[at[known], k], rows) for k in (0, 1))
+                rest = np.flatnonzero(~known)
+                rest = rest[np.argsort(row[rest] * len(kinds) + index[rest], kind="stable")]  # by row, then word, then place
+                first = np.flatnonzero(np.concatenate([[True], (row[rest[1:]] != row[rest[:-1]]) | (index[rest[1:]] != index[rest[:-1]])])) if len(rest) else rest
+                counts = np.diff(np.append(first, len(rest)))
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(row[rest[first]], minlength=rows))])
+                inside = rest - (np.cumsum(many) - many)[row[rest]]
+                rare = pa.StructArray.from_arrays([kinds.take(pa.array(index[rest[first]])), pa.array(counts, pa.int32()), packed_rows(inside.astype(PLACE), counts)], fields=list(rare_type.value_type))
+                numbers_ = (np.arange(key, key + rows), many + 1, np.bincount(row[known], minlength=rows) + (end_n > 0), base + math.log10(end_n + 1), emit)
+                key += rows
+                columns = [pa.array(x, t) for x, t in zip(numbers_, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), batch.column("id"), batch.column("held_out"), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)), pa.array(all_units, pa.binary()), rare],
+                    [columns[0], batch.column("id"), batch.column("held_out"), *columns[1:], packed_rows(units.astype(PLACE)[index], many), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rare)],
                     ["key", "id", "held_out", "n_tokens", "n_known", "base", "emit", "units", "rare"],
                 )
 
@@ -166,27 +193,59 @@ def encoded(docs: DataFrame, top: tuple[list[bytes], np.ndarray], discount: floa
     return docs.mapInArrow(run, schema)
 
 
-CELLS = {"unit": "<u4", "after": "u1", "other": "<u4", "n": "<u4"}
+CELLS = {"unit": "<u4", "after": "u1", "other": "<u4", "n": "<u2"}
 #: The greatest count of one cell; a greater one is several cells, which readers add up.
-MOST = 2**32 - 1
+MOST = 2**16 - 1
+#: A row of units that move in the same rounds: how many cells each has behind and before it, and those cells.
+SIDES = {"unit": "<u4", "behind": "<u4", "before": "<u4", "other_behind": "<u4", "n_behind": "<u2", "other_before": "<u4", "n_before": "<u2"}
+#: Halves of the units; the rounds go through them, both sides of each.
+HALVES = 6
 
 
-def _packed(part: int, cells: dict[str, np.ndarray]) -> pa.RecordBatch:
+def _cut(cells: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     if cells["n"].max() > MOST:
         times = -(-cells["n"] // MOST)
         last = np.cumsum(times) - 1
         cut = {k: np.repeat(x, times) for k, x in cells.items()}
         cut["n"][:] = MOST
         cut["n"][last] = cells["n"] - (times - 1) * MOST
-        cells = cut
+        return cut
+    return cells
+
+
+def _packed(part: int, cells: dict[str, np.ndarray]) -> pa.RecordBatch:
+    cells = _cut(cells)
     columns = [pa.array([part], pa.int32()), *(pa.array([cells[k].astype(t).tobytes()], pa.binary()) for k, t in CELLS.items())]
     return pa.RecordBatch.from_arrays(columns, ["part", *CELLS])
 
 
-def contexts(units: DataFrame, n_units: int, tokens: int, model: Model) -> DataFrame:
+def _by_half(part: int, cells: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A part's cells, which are in order of unit, a row for the units that are on the same side of each half."""
+    cells = _cut(cells)
+    first = np.concatenate([[True], cells["unit"][1:] != cells["unit"][:-1]])
+    units, row = cells["unit"][first].astype(np.int64), np.cumsum(first) - 1
+    half = np.where(units == 0, 2**HALVES, (units * 2654435761 >> 3) % 2**HALVES)  # the end never moves
+    rows = np.bincount(half, minlength=2**HALVES + 1)
+    held = np.flatnonzero(rows)
+    order = np.argsort(half, kind="stable")
+    out = {"unit": packed_rows(units[order].astype(SIDES["unit"]), rows[held])}
+    for side, name in ((1, "behind"), (0, "before")):
+        some = cells["after"] == side
+        of = row[some]
+        out[name] = packed_rows(np.bincount(of, minlength=len(units))[order].astype(SIDES[name]), rows[held])
+        of = half[of].astype(np.uint8)
+        moved_, many = np.argsort(of, kind="stable"), np.bincount(of, minlength=2**HALVES + 1)[held]
+        for k in ("other", "n"):
+            out[f"{k}_{name}"] = packed_rows(cells[k][some][moved_].astype(SIDES[f"{k}_{name}"]), many)
+    columns = [pa.array(np.full(len(held), part), pa.int32()), pa.array(held, pa.int32()), *(out[k] for k in SIDES)]
+    return pa.RecordBatch.from_arrays(columns, ["part", "half", *SIDES])
+
+
+def contexts(units: DataFrame, n_units: int, tokens: int, model: Model, by_half: bool = False) -> DataFrame:
     """The table of neighbours: (part, unit, after, other, n), a row a part, its columns packed
     numbers in order of unit, side and other. ``after`` is 1 where ``other``
-    stands behind the unit, else 0.
+    stands behind the unit, else 0. With ``by_half`` a part is (part, half, ``SIDES``) instead, in rows of
+    units that move in the same rounds, so that a pass reads the rows and the sides that it needs.
 
     A part has the units of one remainder. Parts grow in number with the corpus, so that
     a task holds its share of the pairs, and of a very frequent unit no
@@ -229,13 +288,15 @@ def contexts(units: DataFrame, n_units: int, tokens: int, model: Model) -> DataF
         at = order[first]
         return {"unit": unit[at], "after": after[at], "other": other[at], "n": np.add.reduceat(n[order], first)}
 
+    out = _by_half if by_half else _packed
+
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, some, size = None, [], 0
         for batch in batches:
             for k in range(batch.num_rows):
                 at = batch.column("part")[k].as_py()
                 if at != part and some:
-                    yield _packed(part, summed(some))
+                    yield out(part, summed(some))
                     some, size = [], 0
                 part = at
                 some.append({c: np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in CELLS.items()})
@@ -244,32 +305,39 @@ def contexts(units: DataFrame, n_units: int, tokens: int, model: Model) -> DataF
                     some = [summed(some)]
                     size = len(some[0]["unit"])
         if some:
-            yield _packed(part, summed(some))
+            yield out(part, summed(some))
 
     schema = "part int, unit binary, after binary, other binary, n binary"
     dealt = units.mapInArrow(counted, schema).repartition(parts, "part").sortWithinPartitions("part")
+    if by_half:
+        schema = f"part int, half int, {', '.join(f'{k} binary' for k in SIDES)}"
     return stored(dealt.mapInArrow(merged, schema), "contexts", compression="zstd")
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            yield {c: np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in CELLS.items()}
+def _sides(batches: Iterator[pa.RecordBatch], c: int) -> Iterator[dict[str, np.ndarray]]:
+    """The packed columns of some rows at a time, as many as tasks should hold with ``c`` numbers a unit."""
+    for whole in batches:
+        names = whole.schema.names
+        size = sum(sizes(whole.column(k)) * (c if k == "unit" else 1) for k in names)
+        for batch in slices(whole, size):
+            yield {k: numbers(batch.column(k), SIDES[k])[0] for k in names}
 
 
 def class_pairs(table: DataFrame, classes: np.ndarray, c: int) -> np.ndarray:
     """Transitions of the classes over the table of neighbours; tasks send sums."""
 
+    small = classes.astype("u1" if c <= 256 else "<u2")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(c * c)
-        for x in _parts(batches):
-            some = x["after"] == 1
-            total += np.bincount(classes[x["unit"][some]] * c + classes[x["other"][some]], x["n"][some], c * c)
+        for x in _sides(batches, 1):
+            total += np.bincount(np.repeat(small[x["unit"]] * np.int64(c), x["behind"]) + small[x["other_behind"]], x["n_behind"], c * c)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at].astype(np.int64))], ["cell", "n"])
 
     out = np.zeros(c * c)
-    for r in table.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # c * c rows at most
+    pairs = table.select("unit", "behind", "other_behind", "n_behind")  # each pair stands once behind a unit
+    for r in pairs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # c * c rows at most
         out[r.cell] = r.n
     return out.reshape(c, c)
 
@@ -277,28 +345,25 @@ def class_pairs(table: DataFrame, classes: np.ndarray, c: int) -> np.ndarray:
 def moved(table: DataFrame, classes: np.ndarray, n: np.ndarray, turn: int) -> np.ndarray:
     """The classes after a round: half of the units, another half each turn, take their best."""
     c = len(n)
+    small = classes.astype("u1" if c <= 256 else "<u2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = small_steps(n)
-        for x in _parts(batches):
-            first = np.concatenate([[True], x["unit"][1:] != x["unit"][:-1]])  # a part is in order of unit
-            units, row = x["unit"][first], np.cumsum(first) - 1
-            movable = (units != 0) & (((units.astype(np.int64) * 2654435761 >> (3 + turn // 2)) + turn) % 2 == 0)
-            some = movable[row]
-            kept = np.cumsum(movable) - 1
-            row, other, after, many = kept[row[some]], x["other"][some], x["after"][some], x["n"][some]
-            units = units[movable]
-            for a in range(0, len(units), 512):
-                here = slice(*np.searchsorted(row, [a, a + 512]))
-                u, o, f, m = units[a : a + 512], other[here], after[here], many[here]
-                cell = (row[here] - a) * c + classes[o]
-                right, left = (np.bincount(cell[f == side], m[f == side], len(u) * c).reshape(-1, c) for side in (1, 0))
-                self_ = (f == 1) & (o == u[row[here] - a])
-                twice = np.bincount(row[here][self_] - a, m[self_], len(u))
-                best = best_classes(left, right, twice, classes[u], n, steps)
-                at = np.flatnonzero(best != classes[u])
-                yield pa.RecordBatch.from_arrays([pa.array(u[at].astype(np.int64)), pa.array(best[at].astype(np.int32))], ["unit", "class"])
-
+        for x in _sides(batches, c):
+            unit, of = x["unit"], np.arange(len(x["unit"]))
+            right, left = (np.bincount(np.repeat(of * c, x[k]) + small[x[f"other_{k}"]], x[f"n_{k}"], len(unit) * c).reshape(-1, c) for k in ("behind", "before"))
+            self_ = np.flatnonzero(np.repeat(unit, x["behind"]) == x["other_behind"])
+            twice = np.bincount(np.repeat(of, x["behind"])[self_], x["n_behind"][self_], len(unit))
+            order = np.argsort(x["behind"].astype(np.int64) + x["before"], kind="stable")  # units of few cells have a quicker way
+            for a in range(0, len(unit), 512):
+                some = order[a : a + 512]
+                own = small[unit[some]].astype(np.int64)
+                best = best_classes(left[some], right[some], twice[some], own, n, steps)
+                at = np.flatnonzero(best != own)
+                yield pa.RecordBatch.from_arrays([pa.array(unit[some[at]].astype(np.int64)), pa.array(best[at].astype(np.int32))], ["unit", "class"])
+
+    side = F.shiftright("half", turn // 2 % HALVES)
+    table = table.where((F.col("half") < 2**HALVES) & ((side + turn) % 2 == 0)).select(*SIDES)
     out = classes.copy()
     got = table.mapInArrow(run, "unit long, class int").toArrow()  # one row a moved unit at most
     out[got.column("unit").to_numpy()] = got.column("class").to_numpy()
@@ -499,29 +564,34 @@ def rare_words(rows: DataFrame, classes: np.ndarray, n: np.ndarray, own: int, mo
     parts = max(8, min(20_000, -(-int(n.sum()) // (4 * model.part_pairs))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, block = n.copy(), 4
-        for whole in batches:
-            a = 0
-            while a < whole.num_rows:
-                batch = whole.slice(a, block)
+        now, block, held = n.copy(), 4, None
+        for whole in chain(batches, [None]):  # rows of a word stand one after another
+            here = pa.concat_batches([x for x in (held, whole) if x is not None]) if held or whole else None
+            if not here:
+                continue
+            word = here.column("word")
+            first = np.flatnonzero(np.concatenate([[True], pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)]))
+            cuts, a = np.append(first, len(word)), 0
+            ready = len(first) - (whole is not None)  # the last word may go on in the next batch
+            while a < ready and (whole is None or a + block <= ready):
+                some = cuts[a : min(a + block, ready) + 1]
+                batch, words = here.slice(some[0], some[-1] - some[0]), word.take(pa.array(some[:-1]))
                 a, block = a + block, min(512, 2 * block)
-                words = batch.column("word").to_pylist()
-                lists = batch.column("beside")
-                (cells, many), (times, _) = (numbers(lists.flatten().field(k), t) for k, t in (("cells", CELL), ("n", "<i8")))
-                row = np.repeat(np.repeat(np.arange(len(words)), np.diff(np.asarray(lists.offsets))), many)
+                (cells, many), (times, _) = (numbers(batch.column(k), t) for k, t in (("cells", CELL), ("n", "<i8")))
+                row = np.repeat(np.repeat(np.arange(len(words)), np.diff(some)), many)
                 beside = np.bincount(row * (2 * c + 1) + cells, times, len(words) * (2 * c + 1)).reshape(len(words), -1)
                 before, after, twice = beside[:, :c], beside[:, c : 2 * c], beside[:, 2 * c]
-                start = classes[[ending_unit(w, own, model) for w in words]].astype(np.int64)
+                start = classes[ending_units(words, own, model)].astype(np.int64)
                 best = best_classes(before, after, twice, start, now, small_steps(now))
                 move = best != start
                 to = np.eye(c)[best[move]]
                 # a word behind itself arrives with both ends
                 before_, after_ = before[move] - twice[move, None] * np.eye(c)[start[move]], after[move] - twice[move, None] * np.eye(c)[start[move]]
                 now = now + parts * (before_.T @ to + to.T @ after_ + np.diag(to.T @ twice[move]))
-                yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(before.sum(1).astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(best.astype(np.int32))], ["word", "n", "own", "class"])
+                yield pa.RecordBatch.from_arrays([words, pa.array(before.sum(1).astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(best.astype(np.int32))], ["word", "n", "own", "class"])
+            held = here.slice(cuts[min(a, ready)])
 
-    by_word = beside_rare(rows, classes, model).repartition(parts, "word").groupBy("word").agg(F.collect_list(F.struct("cells", "n")).alias("beside"))
-    by_word = by_word.sortWithinPartitions(F.xxhash64("word"), "word")
+    by_word = beside_rare(rows, classes, model).repartition(parts, "word").sortWithinPartitions(F.xxhash64("word"), "word")
     return stored(by_word.mapInArrow(run, "word binary, n long, own int, class int"), "rare")
 
 
@@ -573,7 +643,7 @@ def score_corpus(docs: DataFrame, model: Model = Model(), text: str = "text", id
     discard(vocabulary)
     table = stored(encoded(rows, top, discount, model, ends), "encoded", compression="zstd")
     own, n_units, c = len(top[0]), 1 + len(top[0]) + model.endings, model.classes
-    neighbours = contexts(table.where("not held_out").select("units"), n_units, n, model)
+    neighbours = contexts(table.where("not held_out").select("units"), n_units, n, model, by_half=True)
     classes, counts = cluster(neighbours, n_units, model)
     discard(neighbours)
     kind = np.dtype("u1" if c <= 256 else "<u2")

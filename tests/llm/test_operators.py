@@ -14,6 +14,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -516,6 +517,50 @@ def test_contexts_are_the_counts_of_pairs(spark):
     assert sum(got.values()) >= sum(want.values()) - 2 * len(docs)
 
 
+def test_words_are_found_as_in_single_texts():
+    r = random.Random(8)
+    texts = [None, "", " ", " a  b ", *("".join(r.choice(" \t\n\r\x0b\x0c\x1c\x85\xa0 AbZİé字\x00") for _ in range(r.randrange(40))) for _ in range(3000))]
+    words, many = class_lm.words_of(pa.array(texts)[1:])  # a slice, as tasks cut batches
+    assert words.to_pylist() == [w for t in texts[1:] for w in class_lm.tokens_of(t)]
+    assert many.tolist() == [len(class_lm.tokens_of(t)) for t in texts[1:]]
+    model = class_lm.Model(endings=50)
+    assert class_lm.ending_units(words, 9, model).tolist() == [class_lm.ending_unit(w, 9, model) for w in words.to_pylist()]
+
+
+def test_rounds_read_the_rows_and_sides_they_need(spark, monkeypatch):
+    """The table by halves has the cells of the plain one; a round reads only units that may move and chooses as the plain exchange."""
+    r = np.random.default_rng(6)
+    docs = [r.integers(1, 300, r.integers(0, 90)).astype(np.uint32) for _ in range(80)]
+    units = spark.createDataFrame([(bytearray(x.tobytes()),) for x in docs], "units binary").repartition(4)
+    model, c = class_lm.Model(part_pairs=300), 7
+    plain, table = (class_lm.contexts(units, 300, 3000, model, by) for by in (False, True))
+    want, got, halves = Counter(), Counter(), {}
+    for row in plain.collect():
+        for u, after, o, n in zip(*(np.frombuffer(row[k], t).tolist() for k, t in class_lm.CELLS.items()), strict=True):
+            want[u, after, o] += n
+    for row in table.collect():
+        x = {k: np.frombuffer(row[k], t) for k, t in class_lm.SIDES.items()}
+        halves |= dict.fromkeys(x["unit"].tolist(), row.half)
+        for after, k in ((1, "behind"), (0, "before")):
+            for u, o, n in zip(np.repeat(x["unit"], x[k]).tolist(), x[f"other_{k}"].tolist(), x[f"n_{k}"].tolist(), strict=True):
+                got[u, after, o] += n
+    assert got == want and halves[0] == 2**class_lm.HALVES
+    classes = np.where(np.arange(300) == 0, 0, r.integers(1, c, 300))
+    pairs = np.zeros((300, 300))
+    for (u, after, o), n in want.items():
+        if after:
+            pairs[u, o] += n
+    one = np.eye(c)[classes]
+    n = class_lm.class_pairs(table, classes, c)
+    assert (n == one.T @ pairs @ one).all()
+    for turn in (0, 1, 4, 13):
+        movable = np.array([u for u in range(1, 300) if ((u * 2654435761 >> 3 + turn // 2 % class_lm.HALVES) + turn) % 2 == 0])
+        out = class_lm.moved(table, classes, n, turn)
+        assert (out == class_lm.exchange(pairs.T @ one, pairs @ one, np.diag(pairs).copy(), classes, movable, c)).all() and (out != classes).any()
+        read = table.where((F.col("half") < 2**class_lm.HALVES) & ((F.shiftright("half", turn // 2 % class_lm.HALVES) + turn) % 2 == 0))
+        assert {u for row in read.collect() for u in np.frombuffer(row.unit, "<u4").tolist()} == set(movable.tolist())
+
+
 def test_nothing_to_learn_from(spark):
     held = [k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2][:3]
     df = spark.createDataFrame([(k, "a b") for k in held], "doc_id long, text string")
