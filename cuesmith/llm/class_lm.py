@@ -5,8 +5,8 @@ Each of the ``lookup`` most frequent words is a unit of its own; while these are
 rarer words and unseen ones share units by their ending. All that the clustering asks of the corpus is how
 often each unit stands before and behind each other one. That is counted once, summed
 where a unit's counts meet, and written as a table dealt by unit. A round is two passes over it:
-the class transitions, 64 x 64 sums, and then, in the tasks, the class of
-each unit that raises the likelihood of the class bigrams most, the others held
+the class transitions, 64 x 64 sums, over the cells behind each unit, and then, in the tasks, over the rows of
+the units that may move, the class of each that raises the likelihood of the class bigrams most, the others held
 fixed. Half of the units may move in a round; the rounds end when the likelihood no longer
 rises, and the best one counts. Then every rarer word of the training rows, however many there
 are, is exchanged too: how often each class stands beside it comes together by word, and it leaves
@@ -171,17 +171,17 @@ def encoded(docs: DataFrame, top: tuple[list[bytes], np.ndarray], discount: floa
                 places = pc.index_in(kinds, words).fill_null(-1).to_numpy().astype(np.int64)
                 units, missing = places + 1, places < 0
                 units[missing] = ending_units(kinds.filter(pa.array(missing)), own, model)
-                at, row = places[index], np.repeat(np.arange(rows), many)
-                known = at >= 0
-                base, emit = (np.bincount(row[known], sums[at[known], k], rows) for k in (0, 1))
-                rest = np.flatnonzero(~known)
+                row, of_kind = np.repeat(np.arange(rows), many), np.zeros((3, len(kinds)))
+                of_kind[:, ~missing] = *sums[places[~missing]].T, np.ones((~missing).sum())
+                base, emit, n_known = (np.bincount(row, x[index], rows) for x in of_kind)
+                rest = np.flatnonzero(missing[index])
                 rest = rest[np.argsort(row[rest] * len(kinds) + index[rest], kind="stable")]  # by row, then word, then place
                 first = np.flatnonzero(np.concatenate([[True], (row[rest[1:]] != row[rest[:-1]]) | (index[rest[1:]] != index[rest[:-1]])])) if len(rest) else rest
                 counts = np.diff(np.append(first, len(rest)))
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(row[rest[first]], minlength=rows))])
                 inside = rest - (np.cumsum(many) - many)[row[rest]]
                 rare = pa.StructArray.from_arrays([kinds.take(pa.array(index[rest[first]])), pa.array(counts, pa.int32()), packed_rows(inside.astype(PLACE), counts)], fields=list(rare_type.value_type))
-                numbers_ = (np.arange(key, key + rows), many + 1, np.bincount(row[known], minlength=rows) + (end_n > 0), base + math.log10(end_n + 1), emit)
+                numbers_ = (np.arange(key, key + rows), many + 1, n_known.astype(np.int64) + (end_n > 0), base + math.log10(end_n + 1), emit)
                 key += rows
                 columns = [pa.array(x, t) for x, t in zip(numbers_, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -282,11 +282,15 @@ def contexts(units: DataFrame, n_units: int, tokens: int, model: Model, by_half:
     def summed(some: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
         unit, after, other, n = (np.concatenate([x[k] for x in some]).astype(np.int64) for k in CELLS)
         key = (unit * 2 + after) * n_units + other
-        order = np.argsort(key)
-        key = key[order]
+        if 2 * n_units**2 < 2**63 // (MOST + 1) and n.max() <= MOST:  # numbers that carry their count are sorted faster than an order of them
+            key = np.sort(key * (MOST + 1) + n)
+            key, n = key // (MOST + 1), key % (MOST + 1)
+        else:
+            order = np.argsort(key)
+            key, n = key[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        at = order[first]
-        return {"unit": unit[at], "after": after[at], "other": other[at], "n": np.add.reduceat(n[order], first)}
+        key, other = np.divmod(key[first], n_units)
+        return {"unit": key // 2, "after": key % 2, "other": other, "n": np.add.reduceat(n, first)}
 
     out = _by_half if by_half else _packed
 
@@ -302,7 +306,7 @@ def contexts(units: DataFrame, n_units: int, tokens: int, model: Model, by_half:
                 some.append({c: np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in CELLS.items()})
                 size += len(some[-1]["unit"])
                 if size > 2 * model.part_pairs:
-                    some = [summed(some)]
+                    some = [_cut(summed(some))]
                     size = len(some[0]["unit"])
         if some:
             yield out(part, summed(some))
@@ -483,7 +487,7 @@ def numbers(column: pa.Array, kind: str | np.dtype) -> tuple[np.ndarray, np.ndar
         return np.zeros(0, kind), np.zeros(0, np.int64)
     _, cuts, data = column.buffers()
     cuts = np.frombuffer(cuts, "<i4")[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    raw = bytes(data.slice(int(cuts[0]), int(cuts[-1] - cuts[0]))) if cuts[-1] > cuts[0] else b""
+    raw = data.slice(int(cuts[0]), int(cuts[-1] - cuts[0])) if cuts[-1] > cuts[0] else b""
     return np.frombuffer(raw, kind), np.diff(cuts) // np.dtype(kind).itemsize
 
 

@@ -561,6 +561,20 @@ def test_rounds_read_the_rows_and_sides_they_need(spark, monkeypatch):
         assert {u for row in read.collect() for u in np.frombuffer(row.unit, "<u4").tolist()} == set(movable.tolist())
 
 
+@pytest.mark.parametrize("n_units", [50, 2**24])
+def test_counts_are_added_up_beyond_a_cell(spark, n_units):
+    """Of a pair that stands more often than a cell counts, summed on the way and at the end, by both orders."""
+    docs = [np.full(50_000, 1), np.tile([1, 2, 3], 30_000), np.arange(1, 40)] * 3
+    units = spark.createDataFrame([(bytearray(x.astype(np.uint32).tobytes()),) for x in docs], "units binary").repartition(2)
+    want = Counter((a, b) for x in docs for a, b in zip([0, *x.tolist()], [*x.tolist(), 0], strict=True))
+    got = Counter()
+    for row in class_lm.contexts(units, n_units, 10, class_lm.Model(part_pairs=2)).collect():
+        for u, after, o, n in zip(*(np.frombuffer(row[k], t).tolist() for k, t in class_lm.CELLS.items()), strict=True):
+            got[u, after, o] += n
+    assert want[1, 1] > class_lm.MOST
+    assert all(got[a, 1, b] == got[b, 0, a] == n for (a, b), n in want.items() if a and b)
+
+
 def test_nothing_to_learn_from(spark):
     held = [k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2][:3]
     df = spark.createDataFrame([(k, "a b") for k in held], "doc_id long, text string")
